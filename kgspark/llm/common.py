@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import re
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Words between ASCII white space; used for counting, shingles and language models.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -61,3 +67,112 @@ def ascii_lower(text: str) -> str:
 
 spaced_words = re.compile(SPACED_WORD).findall
 alnum_words = re.compile(ALNUM_WORD).findall
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give every executor this package (once per application), so that tasks need no installation of it."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='kgspark-')}/{top.name}", "zip", top.parent, top.name)
+        sc.addPyFile(archive)
+        _shipped.add(sc.applicationId)
+
+
+def over_batches(df: DataFrame, rows_of, schema: str) -> DataFrame:
+    """``rows_of(batch) -> dict of lists`` over each Arrow batch of ``df``, as a DataFrame of ``schema``.
+
+    A list may also be an Arrow array.  Batches are taken one at a time, so memory is that of one batch.
+    """
+    ship_package(df.sparkSession)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            got = rows_of(batch)
+            yield pa.RecordBatch.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def text_bytes(name: str = "text") -> Column:
+    """The UTF-8 bytes of a text column, none for null."""
+    return F.coalesce(F.col(name), F.lit("")).cast("binary")
+
+
+# Byte tables: UTF-8 bytes from 0x80 belong to characters outside ASCII, which the word patterns leave in words.
+LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+ALNUM_BYTES = bytes(32 if b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128 else LOWER_BYTES[b] for b in range(256))
+
+
+def lower_spaced_words(data: bytes) -> list[bytes]:
+    """Words of SPACED_WORD, A-Z lower-cased (bytes.split() parts at exactly these characters)."""
+    return data.translate(LOWER_BYTES).split()
+
+
+def lower_alnum_words(data: bytes) -> list[bytes]:
+    """Words of ALNUM_WORD, A-Z lower-cased."""
+    return data.translate(ALNUM_BYTES).split()
+
+
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the multiplier and of its inverse modulo 2**64, at least n of each."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(1 << 16, 1 << (n - 1).bit_length())
+        tables = []
+        for base in (_MULTIPLIER, _INVERSE):
+            factors = np.full(size, base, np.uint64)
+            factors[0] = 1
+            tables.append(np.multiply.accumulate(factors))
+        _powers[:] = tables
+    return _powers
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit values."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def spaced_word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of SPACED_WORD in order: differences of a polynomial prefix hash over the bytes."""
+    if not data:
+        return np.empty(0, np.uint64)
+    b = np.frombuffer(data, np.uint8)
+    word = np.concatenate(([False], ~_IS_SPACE[b], [False]))
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    powers, inverses = _power_tables(len(b) + 1)
+    prefix = np.empty(len(b) + 1, np.uint64)
+    prefix[0] = 0
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers[: len(b)], out=prefix[1:])
+    raw = (prefix[ends] - prefix[starts]) * inverses[starts]
+    return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each run of n consecutive words; of the whole sequence if it is shorter and not empty."""
+    if not len(words):
+        return words
+    n = min(n, len(words))
+    out = np.zeros(len(words) - n + 1, np.uint64)
+    for i in range(n):
+        out = mix64(out + words[i : len(words) - n + 1 + i] + np.uint64(i + 1))
+    return out

@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, url_filter
+from . import decontaminate, html_text, licenses, mixing, quality, sharding, url_filter
 from .common import table
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -16,11 +28,15 @@ def op6_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = url_filter.fit(url_filter.labelled_urls(spark))
     return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), model)
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op6_shard_tree, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op3_main_text, op4_quality_rules, op5_mix_sources, op6_shard_tree, op8_decontaminate, op10_url_filter)}
 
 ORACLES: dict[str, str] = {}
