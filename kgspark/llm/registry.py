@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, licenses, mixing, quality, sharding, url_filter
+from . import decontaminate, html_text, licenses, mixing, near_dedup, quality, sharding, url_filter
 from .common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"), words=4, percent=80)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -37,6 +41,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), model)
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op3_main_text, op4_quality_rules, op5_mix_sources, op6_shard_tree, op8_decontaminate, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_main_text, op4_quality_rules, op5_mix_sources, op6_shard_tree, op8_decontaminate, op10_url_filter)}
 
 ORACLES: dict[str, str] = {}
