@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, licenses, mixing, near_dedup, quality, sharding, url_filter
+from . import decontaminate, html_text, licenses, mixing, near_dedup, quality, sharding, token_output, url_filter
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.tokenized(table(spark, sf_dir, "documents", "doc_id", "text"), end_id=2)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -41,6 +45,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), model)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_main_text, op4_quality_rules, op5_mix_sources, op6_shard_tree, op8_decontaminate, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_main_text, op4_quality_rules, op5_mix_sources, op6_shard_tree, op7_token_output, op8_decontaminate, op10_url_filter)}
 
 ORACLES: dict[str, str] = {}
