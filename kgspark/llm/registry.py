@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, licenses, mixing, near_dedup, quality, sharding, token_output, url_filter
+from . import class_lm, decontaminate, html_text, licenses, mixing, near_dedup, quality, sharding, token_output, url_filter
 from .common import table
 
 
@@ -40,11 +40,15 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = url_filter.fit(url_filter.labelled_urls(spark))
     return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), model)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_main_text, op4_quality_rules, op5_mix_sources, op6_shard_tree, op7_token_output, op8_decontaminate, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_main_text, op4_quality_rules, op5_mix_sources, op6_shard_tree, op7_token_output, op8_decontaminate, op9_class_lm, op10_url_filter)}
 
 ORACLES: dict[str, str] = {}
