@@ -1,9 +1,636 @@
-"""Queries over the driver tables, by name."""
+"""Queries over the driver tables, by name: each shows one operator on the graph of ``encode``."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kgspark.functions import text
+from kgspark.operators import graph as g
+from kgspark.operators import mutate, prompts, proposals, retrieve, stats, traverse, validate
+from kgspark.operators.ontology import Ontology, RelationType
+from kgspark.operators.traverse import Expansion
+from kgspark.sources import documents, records
+
+from .encode import BASE, ONTOLOGY, Graph, node_id
+
 QUERIES: dict = {}
+CUSTOMER7, NATION3 = 3 * BASE + 8, 2 * BASE + 4
+
+
+def query(f):
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Graph(spark, sf_dir))
+    return f
+
+
+def _edges(df: DataFrame) -> DataFrame:
+    return df.select("id", "relation_type", "source", "target", "weight")
+
+
+def _seeds(kg: Graph, *ids: int) -> DataFrame:
+    return kg.spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "id long, ord int")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hops around one customer."""
+    return expand_2hop(Graph(spark, sf_dir))
+
+
+# Scans, lookups and filters
+
+
+@query
+def scan_concepts(kg):
+    return kg.concepts
+
+
+@query
+def scan_relations(kg):
+    return _edges(kg.relations)
+
+
+@query
+def concept_by_id(kg):
+    return g.by_id(kg.concepts, CUSTOMER7)
+
+
+@query
+def find_by_name(kg):
+    return g.find_by_name(kg.concepts, "Customer", "CUSTOMER#000000007")
+
+
+@query
+def concepts_exact_type(kg):
+    return g.of_type(kg.concepts, kg.ontology, "Part", subtypes=False)
+
+
+@query
+def concepts_subsumed(kg):
+    return g.of_type(kg.concepts, kg.ontology, "Party")
+
+
+@query
+def name_substring(kg):
+    return g.name_contains(kg.concepts, "ER#00000001").select("id", "concept_type", "name")
+
+
+@query
+def trigram_division(kg):
+    named = kg.concepts.select("id", "name")
+    return g.search_by_trigrams(named, g.name_trigrams(named), "Ring #12")
+
+
+@query
+def relations_filtered(kg):
+    return _edges(g.relations_where(kg.relations, source=6 * BASE + 8, relation_type="contains_part"))
+
+
+@query
+def edge_node_join(kg):
+    located = g.relations_where(kg.relations, relation_type="located_in")
+    return g.with_ends(located, kg.concepts).select("id", "source_name", "target_name")
+
+
+@query
+def outgoing(kg):
+    return _edges(g.outgoing(kg.relations, 6 * BASE + 8))
+
+
+@query
+def incoming(kg):
+    return _edges(g.incoming(kg.relations, NATION3))
+
+
+@query
+def outgoing_typed_virtual(kg):
+    edges = g.edge_view(kg.relations, kg.ontology, ["placed"], "Outgoing").filter(F.col("node") == CUSTOMER7)
+    return edges.select("id", "relation_type", "source", "target", F.col("virt").cast("long").alias("virt"))
+
+
+@query
+def neighbors_both(kg):
+    return g.neighbors(kg.relations, kg.ontology, NATION3).withColumn("dir", F.col("dir").cast("long"))
+
+
+@query
+def resolve_named_relations(kg):
+    orders = kg.table("orders").filter("o_orderkey % 10 = 0")
+    customer = F.when(F.col("o_orderkey") % 50 == 0, F.lit("nobody")).otherwise(F.concat(F.lit("CUSTOMER#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")))
+    named = orders.select(F.col("o_orderkey").alias("named_id"), F.lit("Order").alias("source_type"), F.concat(F.lit("order#"), "o_orderkey").alias("source_name"), F.lit("Customer").alias("target_type"), customer.alias("target_name"))
+    return g.resolve_named(named, kg.concepts.select("id", "concept_type", "name")).select("named_id", "source_id", "target_id")
+
+
+@query
+def dangling_endpoints(kg):
+    gone = kg.table("customer").filter("c_acctbal < 0").select(node_id(3, "c_custkey").alias("id"))
+    return g.dangling(kg.relations, kg.concepts.select("id").join(gone, "id", "left_anti")).select("id", "missing")
+
+
+# Validation
+
+
+@query
+def validate_edges(kg):
+    turned = F.col("relation_type").isin("in_region", "placed_by") & (F.col("id") % 7 == 0)
+    ends = {"source": F.when(turned, F.col("target")).otherwise(F.col("source")), "target": F.when(turned, F.col("source")).otherwise(F.col("target"))}
+    named = F.when(F.col("id") % 11 == 0, F.lit("no_such_type")).otherwise(F.col("relation_type"))
+    rows = kg.relations.filter("relation_type IN ('in_region', 'placed_by', 'located_in')").withColumns(ends).withColumn("relation_type", named)
+    return validate.edge_violations(rows, kg.concepts, kg.ontology)
+
+
+def _party_batch(kg) -> DataFrame:
+    """Customers and suppliers named by nation, in order of key: many clashes."""
+    customers = kg.table("customer").select((F.col("c_custkey") * 2).alias("seq"), F.lit("Customer").alias("concept_type"), F.concat(F.lit("Party "), F.col("c_nationkey").cast("string")).alias("name"))
+    suppliers = kg.table("supplier").select((F.col("s_suppkey") * 2 + 1).alias("seq"), F.lit("Supplier").alias("concept_type"), F.concat(F.lit("PARTY "), F.col("s_nationkey").cast("string")).alias("name"))
+    return customers.unionByName(suppliers)
+
+
+@query
+def disjoint_violations(kg):
+    return validate.disjoint_violations(_party_batch(kg), kg.ontology)
+
+
+@query
+def duplicate_names(kg):
+    parts = kg.table("part").select(F.col("p_partkey").alias("seq"), F.lit("Part").alias("concept_type"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"))
+    return validate.duplicate_names(parts)
+
+
+@query
+def validate_concepts(kg):
+    kinds = F.when(F.col("seq") % 97 == 0, F.lit("Alien")).otherwise(F.col("concept_type"))
+    batch = _party_batch(kg).withColumns({"concept_type": kinds, "name": F.concat("name", F.lit("-"), (F.col("seq") % 40).cast("string")), "keys": F.array().cast("array<string>")})
+    return validate.concept_violations(batch, kg.ontology).select("seq", F.col("check_no").cast("long").alias("check_no"), "code")
+
+
+@query
+def cardinality_violations(kg):
+    doubled = kg.table("nation").select((node_id(17, "n_nationkey")).alias("id"), F.lit("in_region").alias("relation_type"), node_id(2, F.col("n_nationkey") % 10).alias("source"), node_id(1, "n_regionkey").alias("target"), F.lit(1.0).alias("weight"), node_id(17, "n_nationkey").alias("seq"))
+    rows = kg.relations.filter("relation_type IN ('in_region', 'placed_by')").unionByName(doubled)
+    return validate.cardinality_violations(rows, kg.ontology)
+
+
+@query
+def validate_inverses(kg):
+    bad = Ontology(ONTOLOGY.concept_types, [*ONTOLOGY.relation_types, RelationType("lost", "Part", "Part", inverse_of="nothing"), RelationType("skewed", "Part", "Order", inverse_of="placed_by")])
+    return kg.spark.createDataFrame(bad.invalid_inverses(), "relation_type string, reason string")
+
+
+# Text and retrieval
+
+
+@query
+def tokenize_counts(kg):
+    docs = kg.table("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = text.tokens(F.col("text"))
+    return docs.select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"))
+
+
+@query
+def indexable_text(kg):
+    rows = kg.concepts.filter("concept_type IN ('Customer', 'Supplier', 'Part')")
+    return rows.select("id", retrieve.indexable_text(rows).alias("text"))
+
+
+def _corpus(kg) -> DataFrame:
+    return kg.table("documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query
+def term_stats(kg):
+    posted = retrieve.postings(_corpus(kg))
+    return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("total"))
+
+
+def _lexical(kg) -> DataFrame:
+    posted = retrieve.postings(_corpus(kg))
+    n = _corpus(kg).agg(F.count("*").alias("n"))
+    queries = kg.table("benchmark").filter("item_id < 40").select(F.col("item_id").alias("query_id"), "text")
+    return retrieve.lexical_scores(queries, posted, retrieve.lengths(posted), n)
+
+
+@query
+def lexical_topk(kg):
+    best = retrieve.top(_lexical(kg).withColumn("score", F.round("score", 9)), 10)
+    return best.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
+@query
+def vector_topk(kg):
+    vectors = kg.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    scores = retrieve.dense_cosine(vectors.filter("id < 20"), vectors).withColumn("score", F.round("score", 9))
+    return retrieve.top(scores, 10).select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
+@query
+def hash_embed(kg):
+    rows = kg.table("benchmark").select(F.col("item_id").alias("id"), "text")
+    return retrieve.hash_embedding(rows).select("id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+
+
+def _index(kg) -> retrieve.Index:
+    return retrieve.Index.build(kg.concepts.filter("concept_type IN ('Region', 'Nation', 'Customer', 'Supplier', 'Part')"))
+
+
+def _rounded(scored: DataFrame) -> DataFrame:
+    return scored.select("id", *[F.round(c, 6).alias(c) for c in ("score", "lexical", "vector")])
+
+
+@query
+def hybrid_rank(kg):
+    return _rounded(retrieve.rank(_index(kg), kg.ontology, retrieve.Request("red widget 1200")))
+
+
+@query
+def hybrid_rank_typed(kg):
+    return _rounded(retrieve.rank(_index(kg), kg.ontology, retrieve.Request("nation 3 supplier 000000012", concept_types=("Party",))))
+
+
+@query
+def retrieve_subgraph(kg):
+    request = retrieve.Request("red widget 1200", top_k=1, expansion=Expansion(max_depth=1, max_nodes=5000))
+    _, sub = retrieve.retrieve(_index(kg), kg.concepts, kg.relations, kg.ontology, request)
+    return sub.nodes.select("id", F.col("depth").cast("long").alias("depth"))
+
+
+# Traversal
+
+
+@query
+def type_descendants(kg):
+    return kg.type_closure
+
+
+@query
+def expand_2hop(kg):
+    sub = traverse.expand(kg.concepts, kg.relations, kg.ontology, _seeds(kg, CUSTOMER7), Expansion(max_depth=2, max_nodes=1_000_000))
+    return sub.nodes.select("id", F.col("depth").cast("long").alias("depth"))
+
+
+@query
+def expand_typed(kg):
+    spec = Expansion(max_depth=2, relation_types=("placed", "contains_part"), concept_types=("Order", "Part"), direction="Outgoing", max_nodes=1_000_000)
+    sub = traverse.expand(kg.concepts, kg.relations, kg.ontology, _seeds(kg, CUSTOMER7), spec)
+    return sub.edges.select(F.col("relation_id").alias("id"), "relation_type", "source", "target")
+
+
+@query
+def expand_capped(kg):
+    sub = traverse.expand(kg.concepts, kg.relations, kg.ontology, _seeds(kg, NATION3), Expansion(max_depth=1, max_nodes=10))
+    return sub.edges.select(F.col("relation_id").alias("id"), "source", "target")
+
+
+@query
+def shortest_path(kg):
+    path = traverse.shortest_path(kg.concepts, kg.relations, kg.ontology, CUSTOMER7, 1 * BASE + 1)
+    return path.select(F.col("step").cast("long").alias("step"), "relation_id", "relation_type", "concept_id")
+
+
+@query
+def closure_in_region(kg):
+    seeds = kg.concepts.filter("concept_type = 'Region'").select("id")
+    return traverse.closure(kg.relations, kg.ontology, seeds, "in_region", 2).select("seed", "id", F.col("depth").cast("long").alias("depth"))
+
+
+@query
+def transitive_enrich(kg):
+    seeds = _seeds(kg, NATION3)
+    sub = traverse.expand(kg.concepts, kg.relations, kg.ontology, seeds, Expansion(max_depth=1, relation_types=("in_region",)))
+    return traverse.enrich_transitive(sub, seeds, kg.relations, kg.ontology).select("id", F.col("depth").cast("long").alias("depth"))
+
+
+@query
+def subgraph_default_seeds(kg):
+    return traverse.default_seeds(kg.concepts, kg.ontology, 50, ("Party",)).withColumn("ord", F.col("ord").cast("long"))
+
+
+# Statistics and pages
+
+
+@query
+def graph_stats(kg):
+    return g.graph_stats(kg.concepts, kg.relations, kg.ontology)
+
+
+@query
+def metrics_gauges(kg):
+    return g.metrics_text(graph_stats(kg))
+
+
+@query
+def degree_by_type(kg):
+    return g.degrees(kg.relations)
+
+
+@query
+def ingest_stats(kg):
+    kinds = kg.concepts.select(F.lit("concept").alias("kind")).unionByName(kg.relations.select(F.lit("relation").alias("kind")))
+    return stats.kinds(kinds)
+
+
+def _samples(kg) -> DataFrame:
+    return kg.table("events").select(F.col("event_type").alias("series"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.col("value"))
+
+
+@query
+def stats_history(kg):
+    return stats.history(_samples(kg))
+
+
+@query
+def stats_delta(kg):
+    first = _samples(kg).groupBy("series", "at").agg(F.sum("value").alias("value"))
+    return stats.delta(first).select("series", *[F.round(c, 6).alias(c) for c in ("old", "new", "delta_percent")])
+
+
+@query
+def invoiced_total_by_party(kg):
+    amounts = kg.table("orders").select(node_id(6, "o_orderkey").alias("source"), F.col("o_totalprice").alias("amount"))
+    placed = g.relations_where(kg.relations, relation_type="placed_by")
+    out = stats.total_by_party(placed, amounts, kg.concepts.filter("concept_type = 'Customer'"))
+    return out.select("party", F.round("total", 2).alias("total"), F.round("largest", 2).alias("largest"))
+
+
+_PAGE = ("id", "concept_type", "name")
+
+
+@query
+def page_concepts(kg):
+    return g.concept_page(kg.concepts, kg.ontology, offset=100, limit=50).select(*_PAGE)
+
+
+@query
+def page_concepts_type(kg):
+    return g.concept_page(kg.concepts, kg.ontology, "Part", offset=20, limit=50).select(*_PAGE)
+
+
+@query
+def page_concepts_subtypes(kg):
+    return g.concept_page(kg.concepts, kg.ontology, "Party", subtypes=True, offset=1480, limit=60).select(*_PAGE)
+
+
+@query
+def page_concepts_search(kg):
+    return g.concept_page(kg.concepts, kg.ontology, "Part", needle="RED", limit=30).select(*_PAGE)
+
+
+@query
+def page_relations(kg):
+    return _edges(g.relation_page(kg.relations, offset=40, limit=60, relation_type="placed_by"))
+
+
+@query
+def page_with_total(kg):
+    return g.page_with_total(kg.concepts, kg.ontology, "Party", 10, 25).select("id", "name", "total")
+
+
+# Changes
+
+
+@query
+def allocate_ids(kg):
+    batch = kg.table("orders").select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") + 1).otherwise(0).alias("id"))
+    return mutate.allocate_ids(batch, 1_000_000)
+
+
+@query
+def apply_concept_patches(kg):
+    patches = kg.table("customer").filter("c_acctbal < 500").select(node_id(3, "c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("renamed-"), F.col("c_custkey").cast("string"))).alias("new_name"), F.lit("overdue").alias("new_description"))
+    return mutate.apply_patches(kg.concepts.filter("concept_type = 'Customer'"), patches)
+
+
+@query
+def cascade_delete(kg):
+    gone = kg.table("supplier").filter("s_nationkey = 3").select(node_id(4, "s_suppkey").alias("id"))
+    concepts, relations = mutate.cascade_delete(kg.concepts, kg.relations, gone)
+    left = concepts.groupBy(F.col("concept_type").alias("kind")).agg(F.count("*").alias("n"))
+    return left.unionByName(relations.groupBy(F.col("relation_type").alias("kind")).agg(F.count("*").alias("n")))
+
+
+@query
+def delete_relation(kg):
+    gone = kg.relations.filter("relation_type = 'placed_by' AND weight = 1 AND id % 2 = 0").select("id")
+    return _edges(mutate.delete_relations(kg.relations.filter("relation_type IN ('placed_by', 'in_region')"), gone))
+
+
+def _related(kg) -> DataFrame:
+    """A symmetric relation between parts: each with the part of half its key."""
+    a, b = F.col("p_partkey"), F.floor(F.col("p_partkey") / 2).cast("long")
+    return kg.table("part").select(node_id(18, a).alias("id"), F.lit("related_to").alias("relation_type"), node_id(5, a).alias("source"), node_id(5, b).alias("target"), F.lit(0.5).alias("weight"), a.alias("seq"))
+
+
+@query
+def materialize_symmetric(kg):
+    return mutate.symmetric_twins(_related(kg), kg.ontology)
+
+
+@query
+def export_symmetric_dedup(kg):
+    twins = mutate.symmetric_twins(_related(kg), kg.ontology).withColumns({"id": F.col("id") + BASE, "seq": F.col("id") + BASE})
+    return _edges(mutate.export_relations(_related(kg).unionByName(twins), kg.ontology))
+
+
+@query
+def ingest_deferred(kg):
+    orders = kg.table("orders").select((F.col("o_orderkey") * 7919 % 100_003).alias("seq"), "o_orderkey", "o_custkey")
+    order_key = F.concat(F.lit("Order:"), F.col("o_orderkey").cast("string"))
+    concepts = orders.select("seq", F.lit("concept").alias("kind"), order_key.alias("concept_key"), F.lit(None).cast("string").alias("source_key"), F.lit(None).cast("string").alias("target_key"))
+    other = F.concat(F.lit("Order:"), (F.col("o_orderkey") * 2).cast("string"))
+    relations = orders.select((F.col("seq") + 1).alias("seq"), F.lit("named_relation").alias("kind"), F.lit(None).cast("string").alias("concept_key"), order_key.alias("source_key"), other.alias("target_key"))
+    known = kg.spark.createDataFrame([("Order:0",)], "key string")
+    return mutate.ingest(concepts.unionByName(relations), known)
+
+
+def _log(kg) -> DataFrame:
+    kind = F.when(F.col("event_id") == 1500, "clear").when(F.col("event_type") == "error", "delete").otherwise("upsert")
+    return kg.table("events").select(F.col("event_id").alias("seq"), kind.alias("kind"), F.col("user_id").alias("key"), F.round("value", 4).cast("string").alias("payload"), "value")
+
+
+@query
+def wal_replay(kg):
+    return mutate.wal_fold(_log(kg)).select("key", "seq")
+
+
+@query
+def compact_equivalence(kg):
+    return mutate.wal_fold(mutate.compact(_log(kg).drop("value"), 5000)).select("key", "seq")
+
+
+# Scalars
+
+
+@query
+def looks_binary(kg):
+    salted = F.when(F.col("doc_id") % 5 == 0, F.concat(F.repeat(F.lit("\x01"), 40), F.coalesce("text", F.lit("")))).otherwise(F.coalesce("text", F.lit("")))
+    return kg.table("documents").select("doc_id", text.looks_binary(salted).alias("is_binary"))
+
+
+@query
+def infer_concept_type(kg):
+    stems = kg.table("part").select("p_partkey", F.concat_ws("_", F.translate("p_name", " ", "-"), F.concat(F.lower("p_type"), F.lit("s"))).alias("stem"))
+    return stems.select("p_partkey", text.infer_concept_type(F.col("stem")).alias("concept_type"))
+
+
+@query
+def classify_file(kg):
+    ends = F.array(*[F.lit(x) for x in ("csv", "JSONL", "ndjson", "xlsx", "md", "docx", "pdf", "png", "triples", "bin", "txt")])
+    path = F.concat(F.lit("dir.v1/"), F.translate("p_name", " ", "_"), F.lit("."), F.element_at(ends, (F.col("p_partkey") % 11 + 1).cast("int")))
+    return kg.table("part").select("p_partkey", text.file_kind(path).alias("kind"))
+
+
+@query
+def event_props_variant(kg):
+    v = kg.table("events").select("event_id", F.try_parse_json("props").alias("v"))
+    return v.select("event_id", F.try_variant_get("v", "$.k", "string").alias("k"))
+
+
+@query
+def humanize_relation(kg):
+    rows = kg.table("nation").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("isLocatedIn"), F.initcap(F.lower("n_name")))).otherwise(F.concat(F.lit("signed_by_"), F.lower("n_name"))).alias("r"))
+    return rows.select("n_nationkey", text.humanize(F.col("r")).alias("phrase"))
+
+
+@query
+def mask_key(kg):
+    return kg.table("customer").select("c_custkey", text.mask_key(F.substr(F.col("c_name"), F.lit(1), (F.col("c_custkey") % 19).cast("int"))).alias("hint"))
+
+
+def _marked_bodies(kg) -> DataFrame:
+    head = F.format_string("@concept_type Party : Agent\n@concept Party: %s ,\nplain text\n@conceptual no\n  @relation A -knows-> B;\n@rule strict r on Party: when x then y\n@concept Party: Shared\n@concept Party: Shared\n", F.col("source"))
+    return kg.table("documents").select(F.col("doc_id").alias("id"), F.concat(head, F.coalesce("text", F.lit(""))).alias("body"))
+
+
+@query
+def extract_directives(kg):
+    return documents.directives(_marked_bodies(kg)).select("id", F.col("line_no").cast("long").alias("line_no"), "tag", "rest")
+
+
+@query
+def distinct_mentions(kg):
+    return documents.mentions(documents.directives(_marked_bodies(kg)))
+
+
+@query
+def bounded_description(kg):
+    docs = kg.table("documents").filter("lang = 'en'").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    cut = text.bounded_description(F.col("text"), 1000)
+    return docs.select("doc_id", cut.alias("description"))
+
+
+@query
+def chunk_documents(kg):
+    body = F.repeat(F.concat(F.translate(F.coalesce("text", F.lit("")), "\n", " "), F.lit("\n\n")), 8)
+    return kg.table("documents").select("doc_id", F.posexplode(text.paragraph_chunks(body)).alias("chunk", "body")).select("doc_id", "chunk", F.length("body").alias("n_chars"))
+
+
+def _replies(kg) -> DataFrame:
+    """Model replies as JSON, some in a code fence: an item for each order line's part and supplier."""
+    concept = F.struct(F.lit("Part").alias("concept_type"), F.concat(F.lit(" part "), (F.col("l_partkey") % 50).cast("string")).alias("name"), F.lit("").alias("description"), (F.col("l_linenumber") / 10).alias("confidence"))
+    relation = F.struct(F.lit("shipped_by").alias("relation_type"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string"), F.lit("-concept-0")).alias("source_ref"), F.concat(F.lit("Supplier:SUPPLIER#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias("target_ref"))
+    body = F.to_json(F.struct(F.array(concept).alias("concepts"), F.array(relation).alias("relations")))
+    fenced = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    lines = kg.table("lineitem").filter("l_orderkey < 300").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    return lines.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("long").alias("chunk"), fenced.alias("reply"))
+
+
+@query
+def proposal_refs(kg):
+    return proposals.parse_replies(_replies(kg)).select("file", "chunk", "kind", "client_ref", F.trim("name").alias("name"), "target_ref")
+
+
+@query
+def merge_concepts_confidence(kg):
+    items = kg.table("lineitem").select(F.col("l_linenumber").alias("chunk"), (F.col("l_orderkey") * 100_000 + F.col("l_partkey")).alias("item"), F.lit("x").alias("client_ref"), F.lit("Part").alias("concept_type"), F.concat(F.lit(" Part "), (F.col("l_partkey") % 100).cast("string"), F.when(F.col("l_partkey") % 2 == 0, " ").otherwise("")).alias("name"), F.lit("").alias("description"), (F.col("l_discount") * 100).cast("int").cast("double").alias("confidence"))
+    merged = proposals.merge_concepts(items)
+    return merged.select("key", "confidence", F.col("n_merged").alias("n_merged"))
+
+
+@query
+def merge_proposals(kg):
+    items = proposals.parse_replies(_replies(kg)).withColumn("file_no", F.col("file"))
+    _, relations = proposals.merge_files(items)
+    return relations.select("relation_type", "source_ref", "target_ref", "ref")
+
+
+@query
+def proposal_conflicts(kg):
+    concepts = kg.table("part").filter("p_partkey < 200").select(F.concat(F.lit("c0-concept-"), F.col("p_partkey").cast("string")).alias("client_ref"), F.lit("Part").alias("concept_type"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.upper("p_name"), F.lit(" #"), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.lit("new part "), F.col("p_partkey").cast("string"))).alias("name"))
+    relations = kg.table("part").filter("p_partkey < 200").select(F.concat(F.lit("c0-relation-"), F.col("p_partkey").cast("string")).alias("client_ref"), F.concat(F.lit("c0-concept-"), (F.col("p_partkey") * 2).cast("string")).alias("source_ref"), F.concat(F.lit("Nation:nation_"), (F.col("p_partkey") % 40).cast("string")).alias("target_ref"))
+    return proposals.conflicts(concepts, relations, kg.concepts.select("id", "concept_type", "name"))
+
+
+@query
+def apply_decisions(kg):
+    concepts = kg.table("customer").filter("c_custkey < 300").select(F.concat(F.lit("c0-concept-"), F.col("c_custkey").cast("string")).alias("client_ref"), F.lit("Customer").alias("concept_type"), F.when(F.col("c_custkey") % 2 == 0, F.upper("c_name")).otherwise(F.concat(F.lit("new "), "c_name")).alias("name"))
+    action = F.element_at(F.array(F.lit("create_new"), F.lit("merge"), F.lit("skip")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    decisions = kg.table("customer").filter("c_custkey < 300 AND c_custkey % 5 <> 0").select(F.concat(F.lit("c0-concept-"), F.col("c_custkey").cast("string")).alias("client_ref"), action.alias("action"))
+    return proposals.apply_decisions(concepts, decisions, kg.concepts.filter("concept_type = 'Customer'").select("id", "concept_type", "name"))
+
+
+# Prompts and answers
+
+
+@query
+def prompt_static(kg):
+    return prompts.static_lines(kg.ontology, kg.spark).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+@query
+def prompt_facts(kg):
+    edges = g.relations_where(kg.relations, relation_type="located_in").filter(F.col("target") == NATION3).withColumnRenamed("id", "relation_id")
+    return prompts.fact_lines(edges, kg.concepts, 2000).withColumn("fact_no", F.col("fact_no").cast("long"))
+
+
+def _answers(kg) -> DataFrame:
+    """Conversation turns as raw answers that cite ids, some after a greeting, some not at all."""
+    i = F.col("conv_id")
+    line = F.format_string("%s #%d, %d,#%d\nAnswer: ", F.when(i % 2 == 0, "Cited:").otherwise("cited: [x]"), i % 30, i % 7, i % 30)
+    first = F.substring(F.translate(F.coalesce("text", F.lit("")), "\n", " "), 1, 30)
+    raw = F.when(i % 5 == 0, first).when(i % 5 == 1, F.concat(F.lit("Hello.\n"), line, first)).otherwise(F.concat(line, first))
+    return kg.table("conversations").filter("turn = 0").select(i.alias("answer_id"), raw.alias("raw"))
+
+
+@query
+def parse_citations(kg):
+    return prompts.cited(_answers(kg)).select("answer_id", "cited_ids")
+
+
+@query
+def citations_valid(kg):
+    return prompts.citation_validity(_answers(kg), kg.spark.range(3, 20).toDF("id"))
+
+
+@query
+def echo_answer(kg):
+    asked = kg.table("benchmark").select(F.col("item_id").alias("prompt_id"), F.lit("").alias("system"), F.lit("").alias("context"), F.col("text").alias("question"))
+    return prompts.echo(asked)
+
+
+# Ingest
+
+
+@query
+def ingest_csv_unpivot(kg):
+    raw = kg.table("customer").select(F.col("c_name").alias("Name"), F.col("c_mktsegment").alias("segment"), F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.col("c_nationkey").cast("string")).alias("nation"), F.lit("d").alias("description"))
+    return records.unpivot_properties(records.table_concepts(raw, "Customer"))
+
+
+@query
+def ingest_triples(kg):
+    line = F.concat(F.lit("Order:"), F.col("o_orderkey").cast("string"), F.lit("  placed_by Customer:"), F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, "  # note").otherwise(""))
+    lines = kg.table("orders").select(F.lit("f").alias("file"), F.col("o_orderkey").alias("line_no"), line.alias("line"))
+    concepts, _ = records.parse_triples(lines)
+    return concepts.select("concept_type", "name", "first_seq")
+
+
+@query
+def ingest_jsonl(kg):
+    body = F.to_json(F.struct(F.lit("concept").alias("kind"), F.lit(0).alias("id"), F.lit("Customer").alias("concept_type"), F.col("c_name").alias("name")))
+    lines = kg.table("customer").select(F.col("c_custkey").alias("line_no"), F.when(F.col("c_custkey") % 10 == 0, "# comment").otherwise(body).alias("line"))
+    return records.concepts_of(records.parse_jsonl(lines))
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+@query
+def ingest_text_docs(kg):
+    files = kg.table("pages").select(F.concat(F.lit("/pages/page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
+    return documents.decoded(files).select("name", "lang", "is_binary", F.length("body").alias("n_chars"))
