@@ -32,20 +32,23 @@ def stream_changes(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(LOG).parquet(f"{path}/log")
 
 
-def fold_stream(changes: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keep ``table`` at the latest change of each key: each micro-batch is folded and a new version swapped in.
+def fold_stream(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the latest change of each key: each micro-batch is folded into the version before it and written as its own.
 
-    A batch that is run again after a failure gives the same version, since the fold keeps the highest seq.
+    Versions are named by batch, so a batch that is run again after a failure writes the same version again.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         new = batch.select("seq", "kind", "key", "payload")
-        if spark.catalog.tableExists(table):
-            new = new.unionByName(spark.table(table).select("seq", "kind", "key", "payload"))
+        if batch_id:
+            new = new.unionByName(batch.sparkSession.read.parquet(f"{path}/v={batch_id - 1}").select("seq", "kind", "key", "payload"))
         last = new.groupBy("key").agg(F.max_by(F.struct("seq", "kind", "payload"), "seq").alias("r")).select("key", "r.*")
-        staged = f"{table}_next"
-        last.write.mode("overwrite").saveAsTable(staged)
-        spark.table(staged).write.mode("overwrite").saveAsTable(table)
+        last.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
 
     return changes.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def folded(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version that ``fold_stream`` wrote."""
+    versions = spark.read.parquet(path)
+    return versions.join(F.broadcast(versions.agg(F.max("v").alias("v"))), "v").drop("v")
