@@ -2,9 +2,10 @@
 
 A document's set holds its distinct word shingles.  Equal sets are one class, so copies cost one row each.  A class
 is sketched by registers, each the leading-zero count and first mantissa bits of the smallest hash in a bucket.  Bands
-of registers give candidate buckets; inside a bucket members are held against one centre, not against each other, and
-only members whose components still differ after that are paired.  Candidate pairs pass the sketches' estimate of
-Jaccard similarity, corrected for chance collisions, and are then confirmed on the full sets.
+of registers give candidate buckets.  Inside a bucket members are first held against two centres, not against each other:
+that links nearly all that is linked.  Members of a bucket whose components still differ are then held against each
+other in blocks of a bounded size.  Both times pairs pass the sketches' estimate of Jaccard similarity, corrected for
+chance collisions, and are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.plans.lineage import ship_package
+
 from .common import LOWER_BYTES, over_batches, settle, small, spaced_word_hashes, text_bytes, window_hashes
 
 #: Rounds of hashing and buckets of a round; their product is the number of registers.
@@ -23,10 +27,10 @@ ROUNDS, BUCKETS = 8, 16
 BAND_ROWS = 4
 #: Mantissa bits of a register, beside the leading-zero count.
 MANTISSA = 10
-#: Pairs whose estimate is so far below the wanted similarity are not verified: six standard errors and more.
-MARGIN = 0.3
-#: Times that each bucket is searched from a centre before what is left is paired.
-STAR_ROUNDS = 2
+#: Pairs whose estimate is so far below the wanted similarity are not verified: more than five standard errors.
+MARGIN = 0.2
+#: Members of a bucket that are held against each other at once.
+BLOCK = 2048
 
 _rng = np.random.default_rng(20_240_229)
 _ODD = (_rng.integers(0, 1 << 63, ROUNDS, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -91,7 +95,7 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
         for data in batch.column("__bytes").to_pylist():
             s = shingle_set(data, words)
             n.append(len(s))
-            keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            keys.append(_digest(s))
             sketches.append(sketch(s).tobytes() if len(s) else None)
         return {"doc_id": batch.column("doc_id"), "n_shingles": n, "key": keys, "sketch": sketches}
 
@@ -101,7 +105,7 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _bands(sketches: DataFrame) -> DataFrame:
-    """band, node: a row for each band of each sketch."""
+    """band, slot, node: a row for each band of each sketch; slot is which band it is."""
 
     def rows_of(batch):
         nodes = np.asarray(batch.column("node"))
@@ -111,13 +115,31 @@ def _bands(sketches: DataFrame) -> DataFrame:
         return {"band": packed.ravel().view(np.int64), "slot": np.tile(np.arange(packed.shape[1], dtype=np.int32), len(nodes)), "node": np.repeat(nodes, packed.shape[1])}
 
     exact = over_batches(sketches.select("node", "sketch"), rows_of, "band bigint, slot int, node bigint")
-    return exact.select(F.xxhash64("band", "slot").alias("band"), "node")
+    return exact.select(F.xxhash64("band", "slot").alias("band"), "slot", "node")
+
+
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
+def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node, set: the full sets of some classes, made anew from one text of each."""
+    wanted = settle(nodes.join(classes, "node").select("node", "key", "first_id"))
+
+    def sets_of(batch):
+        sets = [shingle_set(data, words) for data in batch.column("__bytes").to_pylist()]
+        return {"key": [_digest(s) for s in sets], "set": [s.tobytes() for s in sets]}
+
+    ids = small(wanted.select(F.col("first_id").alias("__id")).distinct(), 1_000_000)
+    texts = docs.select("doc_id", text_bytes().alias("__bytes")).join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    sets = over_batches(texts.select("__bytes"), sets_of, "key binary, set binary").join(small(wanted.select("node", "key"), 1_000_000), "key")
+    return settle(sets.groupBy("node").agg(F.first("set").alias("set")))
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have percent / 100 or more of their union in common."""
     side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    sized = pairs.distinct().join(side("b"), "b").join(side("a"), "a")
+    sized = pairs.join(side("b"), "b").join(side("a"), "a")
     sized = sized.filter((F.least("n_a", "n_b") * 100) >= F.greatest("n_a", "n_b") * percent)
 
     def near(batch):
@@ -127,17 +149,9 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
         return {c: np.asarray(batch.column(c))[keep] for c in ("a", "b")}
 
     likely = settle(over_batches(sized, near, "a bigint, b bigint"))
-    nodes = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    wanted = settle(nodes.join(classes, "node").select("node", "key", "first_id"))
-
-    def sets_of(batch):
-        sets = [shingle_set(data, words) for data in batch.column("__bytes").to_pylist()]
-        return {"key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], "set": [s.tobytes() for s in sets]}
-
-    ids = small(wanted.select(F.col("first_id").alias("__id")).distinct(), 1_000_000)
-    texts = docs.select("doc_id", text_bytes().alias("__bytes")).join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    sets = over_batches(texts.select("__bytes"), sets_of, "key binary, set binary").join(small(wanted.select("node", "key"), 1_000_000), "key")
-    sets = settle(sets.groupBy("node").agg(F.first("set").alias("set")))
+    if likely.isEmpty():
+        return likely
+    sets = _sets(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), classes, docs, words)
 
     def verified(batch):
         a, b = (np.asarray(batch.column(c)) for c in ("a", "b"))
@@ -164,7 +178,7 @@ def components(edges: DataFrame) -> DataFrame:
     def large(e: DataFrame) -> DataFrame:
         both = e.union(e.select("v", "u"))
         m = smallest(both).select("u", F.least("u", "m").alias("m"))
-        return both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        return both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
     def small_star(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
@@ -189,6 +203,119 @@ def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.drop("comp").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
 
 
+def _from_centres(members: DataFrame) -> DataFrame:
+    """a, b: two centres of each bucket with its other members; at most two pairs for each member.
+
+    One is the member that shares most buckets, which lies amid its group; the other is drawn by hash.
+    """
+    top = F.max_by("node", F.struct("score", -F.col("node"))), F.max_by("node", F.struct(F.xxhash64("node"), "node"))
+    centres = members.groupBy("band").agg(F.array_distinct(F.array(*top)).alias("centres"))
+    return members.join(centres, "band").select(F.explode("centres").alias("a"), F.col("node").alias("b")).filter("a <> b")
+
+
+def _groups(batches, key: tuple[str, ...]):
+    """Tables of the rows of each key, from batches that are sorted by it."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        columns = [np.asarray(table.column(c)) for c in key]
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1 if len(table) else np.empty(0, int)
+        starts = [0, *cuts.tolist()]
+        for a, b in zip(starts, starts[1:]):
+            yield table.slice(a, b - a)
+        rest = table.slice(starts[-1])
+    if rest is not None and len(rest):
+        yield rest
+
+
+_KEY = ("band", "low", "high")
+
+
+def _in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows of members (band, node) for each pair of blocks of their bucket that they belong to, with low, high, block.
+
+    sizes: band, rows.  A bucket of up to BLOCK rows is one block; each row of a larger one goes to every pair of its
+    own block with another.
+    """
+    n = F.ceil(F.col("rows") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("node"), n).cast("int")
+    rows = members.join(sizes.select("band", "rows"), "band").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    return rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("rows", "other")
+
+
+def _across(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b: links between members of a bucket that are of different components, one for each two components met.
+
+    First the sketches leave only members that have a likely partner in the bucket, each pair in the first band that
+    it shares; then the full sets of these are held against each other.
+    """
+    parts = members.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band")
+    sizes = settle(parts.agg(F.count("*").alias("parts"), F.sum("n").alias("rows")).filter("parts > 1"))
+    rows = _in_blocks(members.select("band", "slot", "node", "comp"), sizes).join(classes.select("node", "n", "sketch"), "node")
+    least = percent / 100 - MARGIN
+
+    def likely(batches):
+        for t in _groups(batches, _KEY):
+            n, comp, block = (np.asarray(t.column(c)) for c in ("n", "comp", "block"))
+            x = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(len(n), -1)
+            low, slot = t.column("low")[0].as_py(), t.column("slot")[0].as_py()
+            alone = low == t.column("high")[0].as_py()
+            left = np.arange(len(n)) if alone else np.flatnonzero(block == low)
+            right = left if alone else np.flatnonzero(block != low)
+            keep = np.zeros(len(n), bool)
+            for k in range(0, len(left), 32):
+                i = left[k : k + 32]
+                agree = x[i][:, None, :] == x[right][None, :, :]
+                bands = agree.reshape(len(i), len(right), ROUNDS // BAND_ROWS, BAND_ROWS, BUCKETS).all(axis=3).reshape(len(i), len(right), -1)
+                m, o = np.broadcast_to(n[i][:, None], agree.shape[:2]), np.broadcast_to(n[right][None, :], agree.shape[:2])
+                good = (comp[i][:, None] != comp[right][None, :]) & (np.minimum(m, o) * 100 >= np.maximum(m, o) * percent)
+                good &= (agree.mean(axis=2) >= least) & (bands.argmax(axis=2) == slot)
+                a, b = np.nonzero(good)
+                if len(a):
+                    # chance agreement only lowers an estimate, so those below without the correction are out already
+                    chance = collision_rate(m[a, b].astype(float), o[a, b].astype(float))
+                    sure = (agree.mean(axis=2)[a, b] - chance) / (1 - chance) >= least
+                    keep[i[a[sure]]] = keep[right[b[sure]]] = True
+            if keep.any():
+                yield from t.select([*_KEY, "block", "node", "comp"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    by_key = lambda df: df.repartition(*_KEY).sortWithinPartitions(*_KEY)
+    ship_package(docs.sparkSession)
+    found = settle(by_key(rows).mapInArrow(likely, "band bigint, low int, high int, block int, node bigint, comp bigint"))
+    if found.isEmpty():
+        return found.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    full = found.join(_sets(found.select("node").distinct(), classes, docs, words), "node")
+
+    def linked(batches):
+        for t in _groups(batches, _KEY):
+            nodes, comp, block = (np.asarray(t.column(c)) for c in ("node", "comp", "block"))
+            sets = [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()]
+            sizes = np.array([len(s) for s in sets])
+            names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+            ends = np.cumsum(sizes)
+            low = t.column("low")[0].as_py()
+            alone = low == t.column("high")[0].as_py()
+            mine, met = np.zeros(len(names), np.int32), set()
+            out: list[tuple[int, int]] = []
+            for i in range(len(sets)) if alone else np.flatnonzero(block == low):
+                own = codes[ends[i] - sizes[i] : ends[i]]
+                mine[own] = 1
+                common = np.add.reduceat(mine[codes], ends - sizes)
+                mine[own] = 0
+                good = (100 * common >= percent * (sizes + sizes[i] - common)) & (comp != comp[i])
+                for j in np.flatnonzero(good if alone else good & (block != low)):
+                    pair = (min(comp[i], comp[j]), max(comp[i], comp[j]))
+                    if pair not in met:
+                        met.add(pair)
+                        out.append((nodes[i], nodes[j]))
+            if out:
+                a, b = (pa.array(x, pa.int64()) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+    return settle(by_key(full).mapInArrow(linked, "a bigint, b bigint"))
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own included) and kept.
 
@@ -205,26 +332,14 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     scores = members.groupBy("node").agg(F.sum("size").alias("score"))
     members = settle(members.drop("size").join(scores, "node").withColumn("comp", F.col("node")))
     links = None
-    best = lambda: F.max_by("node", F.struct("score", -F.col("node")))
-    for k in range(STAR_ROUNDS + 1):
-        mixed = members.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("score", "node", "comp")).alias("top")).filter("low < high")
-        members = settle(members.join(mixed.select("band", F.col("top.comp").alias("top_comp")), "band"))
-        if members.isEmpty():
-            break
-        if k < STAR_ROUNDS:
-            # first from the member that shares most buckets, later from the best outside that one's component
-            choice = members if k == 0 else members.filter("comp <> top_comp")
-            centres = choice.groupBy("band").agg(best().alias("a"), F.max_by("comp", F.struct("score", -F.col("node"))).alias("comp_a"))
-            pairs = members.join(centres, "band").filter("node <> a AND comp <> comp_a").select("a", F.col("node").alias("b"))
-        else:
-            groups = members.select("band", "comp").distinct()
-            across = groups.join(groups.withColumnRenamed("comp", "comp_b"), "band").filter("comp < comp_b")
-            pairs = members.select("band", "comp", F.col("node").alias("a")).join(across, ["band", "comp"]).join(members.select("band", F.col("comp").alias("comp_b"), F.col("node").alias("b")), ["band", "comp_b"]).select("a", "b")
-        found = _confirmed(pairs, classes, docs, words, percent)
-        links = found if links is None else links.union(found)
-        roots = components(links)
+    if not members.isEmpty():
+        pairs = settle(_from_centres(members).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        links = _confirmed(pairs, classes, docs, words, percent)
+        roots = settle(components(links))
+        more = _across(_labelled(members, roots), classes, docs, words, percent)
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        members = _labelled(members.drop("top_comp"), roots)
+        if not more.isEmpty():
+            links = settle(components(links.union(more))).select(F.col("node").alias("a"), F.col("root").alias("b"))
     labelled = by_key.select("key", "node", "first_id")
     if links is not None:
         labelled = labelled.join(links.withColumnsRenamed({"a": "node", "b": "root"}), "node", "left")
