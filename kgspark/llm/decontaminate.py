@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, lower_alnum_words, mix64, over_batches, settle, text_bytes
+from .common import ALNUM_WORD, ascii_lower, lower_alnum_words, mix64, over_batches, settle, text_bytes
 
 #: Words of a window.
 WINDOW = 10
@@ -165,7 +165,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def without_words(text: str, starts: list[int], ends: list[int]) -> str:
     """The text without the words from each start to each end (exclusive)."""
-    places = [m.span() for m in re.finditer(ALNUM_WORD, text)]
+    places = [m.span() for m in re.finditer(ALNUM_WORD, ascii_lower(text))]
     pieces, at = [], 0
     for a, b in zip(starts, ends, strict=True):
         pieces.append(text[at : places[a][0]])
