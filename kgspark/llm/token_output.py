@@ -25,16 +25,26 @@ SEGMENT_IDS = 1 << 20
 #: Most pieces of text whose ids a Python worker remembers.
 REMEMBERED = 1_000_000
 
+#: Pieces that are encoded as one text.
+JOINED = 500
+
 _AT_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r"\s | \s|^ | $")
 _MARKS = ".,"
 
 
+def _bounded(piece: str) -> bool:
+    """Whether a piece, its leading line break aside, is not empty and neither begins nor ends with white space."""
+    body = piece[1:] if piece[:1] == "\n" else piece
+    return body != "" and not body[0].isspace() and not body[-1].isspace()
+
+
 class TextEncoder:
-    """Ids of whole texts by the tokenizers library, remembering those of pieces between single spaces.
+    """Ids of whole texts by the tokenizers library, remembering those of pieces between single spaces or line breaks.
 
-    The byte-level pre-tokenizer never joins what stands before and after a single space between other characters,
-    so a text may be cut in front of each such space and its pieces encoded on their own, with the same ids.
+    The byte-level pre-tokenizer never joins what stands before and after a single space between other characters, and
+    a single line break between other characters is a pre-token of its own.  So a text may be cut in front of each, and
+    its pieces encoded on their own, with the same ids.  A text with other runs of white space is cut only at single
+    spaces.
     """
 
     def __init__(self, path: str, ordinary_specials: bool = True) -> None:
@@ -43,14 +53,33 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary_specials
         self.marks = dict(zip(_MARKS, self._ids(list(_MARKS)), strict=True))
+        (self.line_break,) = self._ids(["\n"])
+        if len(self.line_break) != 2:
+            raise ValueError("the tokenizer has no id for a line break")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         return [array("H", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that end with no white space and hold no line break: many as one text, parted at line breaks."""
+        cut = np.frombuffer(self.line_break, np.uint16)[0]
+        texts = ["\n".join(pieces[k : k + JOINED]) for k in range(0, len(pieces), JOINED)]
+        out: list[bytes] = []
+        for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(x.ids, np.uint16)
+            data, at = ids.tobytes(), 0
+            for end in [*np.flatnonzero(ids == cut).tolist(), len(ids)]:
+                out.append(data[2 * at : 2 * end])
+                at = end + 1
+        return out
+
     def _learn(self, wanted: set[str]) -> None:
-        """See that ``known`` has the ids of these pieces behind a space; what was not asked for lately is forgotten."""
+        """See that ``known`` has the ids of these pieces; what was not asked for lately is forgotten.
+
+        A piece that begins with a line break follows it, any other follows a space.
+        """
         if len(self.known) > REMEMBERED // 2:
             self.known, self.older = {}, self.known
         missing = wanted.difference(self.known)
@@ -61,15 +90,26 @@ class TextEncoder:
         # a mark behind a letter is a pre-token of its own
         marked = [p for p in missing if p[-1:] in _MARKS and p[-2:-1].isalpha()]
         missing.difference_update(marked)
-        bare = {p[:-1] for p in marked}.difference(self.known)
-        order = list(missing | bare)
-        self.known.update(zip(order, self._ids([f" {p}" for p in order]), strict=True))
+        missing |= {p[:-1] for p in marked}.difference(self.known)
+        broken = [p for p in missing if p[0] == "\n"]
+        spaced = [p for p in missing if "\n" not in p and not p[-1].isspace()]
+        rest = list(missing.difference(broken, spaced))
+        self.known.update(zip(broken, (self.line_break + x for x in self._joined([p[1:] for p in broken])), strict=True))
+        self.known.update(zip(spaced, self._joined([f" {p}" for p in spaced]), strict=True))
+        self.known.update(zip(rest, self._ids([f" {p}" for p in rest]), strict=True))
         self.known.update((p, self.known[p[:-1]] + self.marks[p[-1]]) for p in marked)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text; none for null."""
-        cut = [[] if not t else _AT_SPACE.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
-        self._learn({p for pieces in cut for p in pieces[1:]})
+        cut = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
+        wanted = {p for pieces in cut for p in pieces[1:]}
+        odd = {p for p in wanted.difference(self.known) if not _bounded(p)}
+        for k, pieces in enumerate(cut):
+            if pieces and (not pieces[0] or pieces[0][-1].isspace() or (odd and not odd.isdisjoint(pieces[1:]))):
+                cut[k] = _AT_SPACE.split(texts[k])
+        if odd:
+            wanted = {p for pieces in cut for p in pieces[1:]}
+        self._learn(wanted)
         first = iter(self._ids([pieces[0] for pieces in cut if pieces]))
         get = self.known.__getitem__
         return [next(first) + b"".join(map(get, pieces[1:])) if pieces else b"" for pieces in cut]
