@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import class_lm, decontaminate, html_text, licenses, mixing, near_dedup, quality, sharding, token_output, url_filter
-from .common import table
+from .common import ALNUM_WORD, table
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,4 +53,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_main_text, op4_quality_rules, op5_mix_sources, op6_shard_tree, op7_token_output, op8_decontaminate, op9_class_lm, op10_url_filter)}
 
-ORACLES: dict[str, str] = {}
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '{ALNUM_WORD}')"
+
+#: The other operators' methods (hash draws, sketches, trees, tokenizer ids) have no SQL form.
+ORACLES: dict[str, str] = {
+    "op8_decontaminate": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
+grams AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS gram FROM items, unnest(range(1, len(w) - n + 2)) AS t(k) WHERE n > 0),
+windows AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS gram FROM docs, (SELECT DISTINCT n FROM grams) AS s, unnest(range(1, len(w) - n + 2)) AS t(k)),
+found AS (SELECT DISTINCT r, n, k, item_id FROM windows JOIN grams USING (n, gram)),
+hit AS (SELECT r, count(DISTINCT k + j) AS n_hit FROM found, unnest(range(0, n)) AS t(j) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+""",
+}
