@@ -1,12 +1,13 @@
 """Brown class n-grams: exchange clustering of words, class transitions and word emissions.
 
-Words are counted over the whole training corpus in a distributed table.  The most frequent words, and shapes that
-stand for all others (bounded numbers, parameters), are the symbols whose bigram counts, again over the whole corpus,
-are clustered by the exchange algorithm.  So every word has a class: its own or its shape's.  A text's probability is
-the product of class transitions and of emissions of its words from their classes.
-
-Only tables whose size is bounded by parameters reach the driver or are broadcast; counts of all other words are
-joined to the texts by a shuffle.
+Words are counted over the whole training corpus in a distributed table.  Every word with MIN_COUNT occurrences is a
+symbol of its own; shapes stand for the rarer ones.  Bigram counts of all symbols stay a distributed table, each symbol
+with its neighbours.  The exchange algorithm clusters the most frequent words and the shapes to begin with; then each
+round reads the table against the classes of the round before and moves words to their best class.  A text's
+probability is the product of class transitions and of emissions of its words from their classes.
+
+The driver and the workers hold a hash and a class of every symbol word (10 bytes each) and class-by-class sums; counts
+of words beyond the most frequent are joined to the texts by a shuffle.
 """
 
 from __future__ import annotations
@@ -16,17 +17,22 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_spaced_words, over_batches, settle, text_bytes
+from .common import _IS_SPACE, LOWER_BYTES, lower_spaced_words, over_batches, settle, spaced_word_hashes, text_bytes
 
-#: Words that are symbols of their own, classes, and words whose counts are broadcast.
+#: Words that the clustering begins with, classes, and words whose counts are broadcast.
 SYMBOL_WORDS, CLASSES, HEAD_WORDS = 512, 48, 200_000
+#: Least count of words that are symbols of their own.
+MIN_COUNT = 5
 #: Shapes of all other words: by length and by their last two bytes.
 SHAPES = 64
 #: Passes of the exchange algorithm at most.
 PASSES = 12
+#: Bytes of text whose words are looked up at once; a longer text is looked up alone.
+CHUNK_BYTES = 1 << 18
 
 
 def shape(word: bytes) -> int:
@@ -93,11 +99,11 @@ def exchange(bigrams: np.ndarray, classes: int, passes: int = PASSES) -> np.ndar
 
 @dataclass
 class Model:
-    """What scoring needs: counts and symbols of the head words, the classes, and their log10 probabilities."""
+    """What scoring needs: counts of the head words, hashes of the symbol words, the classes, and their log10 probabilities."""
 
     head: dict[bytes, int]
     head_counts: np.ndarray
-    head_symbols: np.ndarray
+    hashes: np.ndarray
     class_of: np.ndarray
     transitions: np.ndarray  # log10 P(class | class before)
     mass: np.ndarray  # log10 of what emissions of a class are divided by
@@ -106,13 +112,186 @@ class Model:
     end_count: int
 
 
-def _symbols(words: list[bytes], head: dict[bytes, int], head_symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Head index (-1: none) and symbol of each word."""
-    at = np.fromiter(map(head.get, words, repeat(-1)), np.int32, len(words))
-    symbols = head_symbols[at]
-    for k in np.flatnonzero(at < 0):
-        symbols[k] = SYMBOL_WORDS + shape(words[k])
-    return at, symbols
+def _symbols(texts: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the words of all texts: the place of a word's hash, or its shape's; and where each text's words end."""
+    data = b" ".join(texts).translate(LOWER_BYTES)
+    if not data:
+        return np.empty(0, np.int64), np.zeros(len(texts), np.int64)
+    b = np.frombuffer(data, np.uint8)
+    word = np.concatenate(([False], ~_IS_SPACE[b], [False]))
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    length, codes = ends - starts, b.astype(np.int64)
+    last = codes[ends - 1] * 31 + np.where(length > 1, codes[ends - 2], 0)
+    symbols = len(hashes) + ((np.minimum(length, 15) >> 2 << 4) | (last & 15))
+    if len(hashes):
+        found = spaced_word_hashes(data).view(np.int64)
+        at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+        symbols = np.where(hashes[at] == found, at, symbols)
+    return symbols, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+
+
+def _chunks(texts: list[bytes]):
+    """The texts in runs of about CHUNK_BYTES."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > CHUNK_BYTES:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
+
+
+def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kinds, at = np.unique(codes, return_inverse=True)
+    return kinds, np.bincount(at, n, len(kinds)).astype(np.int64)
+
+
+def neighbours(train: DataFrame, hashes: np.ndarray) -> DataFrame:
+    """A row for each symbol: the symbols beside it, k after it and -1 - k before it, and how often they stand there.
+
+    Texts begin and end with the end symbol.  A pair of a symbol with itself is not given twice.
+    """
+    end = len(hashes) + SHAPES
+    size = end + 1
+    shared = train.sparkSession.sparkContext.broadcast(hashes)
+
+    def pairs_of(batch):
+        codes = [np.empty(0, np.int64)]
+        for texts in _chunks(batch.column("__bytes").to_pylist()):
+            symbols, ends = _symbols(texts, shared.value)
+            path = np.insert(symbols, np.concatenate(([0], ends)), end)
+            codes.append(path[:-1] * size + path[1:])
+        pairs, n = np.unique(np.concatenate(codes), return_counts=True)
+        return {"pair": pairs, "n": n}
+
+    def both(batch):
+        pair, n = batch.column("pair").to_numpy(), batch.column("n").to_numpy()
+        a, b = pair // size, pair % size
+        two = a != b
+        return {"symbol": np.concatenate((a, b[two])), "other": np.concatenate((b, -1 - a[two])), "n": np.concatenate((n, n[two]))}
+
+    def row_each(batches):
+        held, kept = -1, []
+        for batch in batches:
+            symbol, other, n = (batch.column(c).to_numpy() for c in ("symbol", "other", "n"))
+            cuts = np.flatnonzero(np.diff(symbol)) + 1
+            ids = symbol[np.concatenate(([0], cuts))].tolist() if len(symbol) else []
+            done: list[tuple[int, np.ndarray, np.ndarray]] = []
+            for k, run in zip(ids, zip(np.split(other, cuts), np.split(n, cuts), strict=True)):
+                if k != held:
+                    if kept:
+                        done.append((held, *map(np.concatenate, zip(*kept))))
+                    held, kept = k, []
+                kept.append(run)
+            yield rows(done)
+        yield rows([(held, *map(np.concatenate, zip(*kept)))] if kept else [])
+
+    def rows(done):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in done], pa.int32()), pa.array([r[1] for r in done], pa.list_(pa.int32())), pa.array([r[2] for r in done], pa.list_(pa.int64()))], ["symbol", "others", "n"])
+
+    pairs = over_batches(train.select("__bytes"), pairs_of, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    beside = over_batches(pairs, both, "symbol int, other int, n bigint").repartition("symbol").sortWithinPartitions("symbol")
+    return settle(beside.mapInArrow(row_each, "symbol int, others array<int>, n array<bigint>"))
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, other and n of all neighbours in a batch of rows."""
+    others, n = batch.column("others"), batch.column("n")
+    row = np.repeat(np.arange(len(others)), others.value_lengths().to_numpy(zero_copy_only=False))
+    return row, others.flatten().to_numpy(), n.flatten().to_numpy()
+
+
+def class_table(table: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
+    """Bigrams by class and class, over the whole table of neighbours."""
+    shared = table.sparkSession.sparkContext.broadcast(of)
+
+    def rows_of(batch):
+        row, other, n = _flat(batch)
+        after = other >= 0
+        a = shared.value[batch.column("symbol").to_numpy()].astype(np.int64)[row[after]]
+        codes, n = _summed(a * classes + shared.value[other[after]], n[after])
+        return {"pair": codes, "n": n}
+
+    got = over_batches(table, rows_of, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(classes * classes)
+    out[np.asarray(got["pair"])] = np.asarray(got["n"])
+    shared.destroy()
+    return out.reshape(classes, classes)
+
+
+def likelihood(table: np.ndarray) -> float:
+    def f(x):
+        return float((x * np.log(np.maximum(x, 1e-300))).sum())
+
+    return f(table) - f(table.sum(axis=0)) - f(table.sum(axis=1))
+
+
+def best_classes(contexts: np.ndarray, own: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The likeliest class of each symbol under these class sums; its own where no other is better.
+
+    contexts: counts of the classes after it, of those before it, and of itself after itself.
+    """
+    classes = len(sums)
+    logs = np.log(np.maximum(sums, 0.5))
+    after, before, twice = contexts[:, :classes], contexts[:, classes:-1], contexts[:, -1:]
+    gain = after @ logs.T + before @ logs + twice * logs.diagonal()
+    for counts, axis in ((after, 1), (before, 0)):
+        gain -= (counts.sum(axis=1, keepdims=True) + twice) * np.log(np.maximum(sums.sum(axis=axis), 0.5))
+    gain[:, 0] = -np.inf
+    best, row = gain.argmax(axis=1), np.arange(len(own))
+    return np.where(gain[row, best] > gain[row, own] + 1e-9, best, own)
+
+
+def moves(table: DataFrame, of: np.ndarray, sums: np.ndarray, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of one of ``parts`` parts that have a better class, and that class."""
+    classes, end = len(sums), len(of) - 1
+    width = 2 * classes + 1
+    shared = table.sparkSession.sparkContext.broadcast(of)
+
+    def rows_of(batch):
+        of, symbol = shared.value, batch.column("symbol").to_numpy()
+        row, other, n = _flat(batch)
+        code = of[np.where(other < 0, -1 - other, other)] + classes * (other < 0)
+        code[symbol[row] == other] = 2 * classes
+        contexts = np.bincount(row * width + code, n, len(symbol) * width).reshape(-1, width)
+        own = of[symbol].astype(np.int64)
+        best = best_classes(contexts, own, sums)
+        moved = best != own
+        return {"symbol": symbol[moved], "class": best[moved]}
+
+    chosen = table.filter((F.col("symbol") < end) & (F.pmod(F.xxhash64("symbol"), F.lit(parts)) == part))
+    got = over_batches(chosen, rows_of, "symbol int, class int").toArrow()
+    shared.destroy()
+    return np.asarray(got["symbol"]), np.asarray(got["class"])
+
+
+def exchange_rounds(table: DataFrame, of: np.ndarray, classes: int, rounds: int = 2 * PASSES) -> tuple[np.ndarray, np.ndarray]:
+    """Classes after the exchange over the whole table of neighbours, and the bigrams by class.
+
+    The words of a round move at once, each to its best class under the sums of the round before, and neighbours that
+    move together can undo each other's gain.  So a round takes one part of the words; one that lowers the likelihood
+    is undone and the parts are made smaller.  It ends when no part has a word that moves, or after ``rounds``.
+    """
+    sums = class_table(table, of, classes)
+    parts, part, still = 2, 0, 0
+    for _ in range(rounds):
+        symbols, to = moves(table, of, sums, part, parts)
+        still = 0 if len(symbols) else still + 1
+        if still == parts:
+            break
+        if len(symbols):
+            moved = of.copy()
+            moved[symbols] = to
+            after = class_table(table, moved, classes)
+            if likelihood(after) > likelihood(sums):
+                of, sums = moved, after
+            else:
+                parts, still = 2 * parts, 0
+        part = (part + 1) % parts
+    return of, sums
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -149,44 +328,29 @@ def fit(train: DataFrame, counts: DataFrame, classes: int = CLASSES) -> tuple[Mo
     rows, least = _head(counts, HEAD_WORDS)
     head = {w: i for i, (w, _, _) in enumerate(rows)}
     head_counts = np.array([n for _, n, _ in rows] + [0], np.int64)
-    end = SYMBOL_WORDS + SHAPES
-    head_symbols = np.array([i if i < SYMBOL_WORDS else SYMBOL_WORDS + s for i, (_, _, s) in enumerate(rows)] + [end], np.int32)
-    spark = train.sparkSession
-    shared = spark.sparkContext.broadcast((head, head_symbols))
 
-    def rows_of(batch):
-        words_of, symbols_of = shared.value
-        size = end + 1
-        table = np.zeros(size * size, np.int64)
-        for data in batch.column("__bytes").to_pylist():
-            _, symbols = _symbols(lower_spaced_words(data), words_of, symbols_of)
-            path = np.concatenate(([end], symbols, [end])).astype(np.int64)
-            table += np.bincount(path[:-1] * size + path[1:], minlength=size * size) if len(path) > size else 0
-            if len(path) <= size:
-                np.add.at(table, path[:-1] * size + path[1:], 1)
-        codes = np.flatnonzero(table)
-        return {"pair": codes, "n": table[codes]}
-
-    pairs = over_batches(train.select("__bytes"), rows_of, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    size = end + 1
-    bigrams = np.zeros(size * size, np.int64)
-    bigrams[np.asarray(pairs["pair"])] = np.asarray(pairs["n"])
-    bigrams = bigrams.reshape(size, size)
-    of = exchange(bigrams, classes)
-    table = np.zeros((classes, classes))
-    np.add.at(table, (of[:, None].repeat(size, 1), of[None, :].repeat(size, 0)), bigrams)
-    unigram = (table.sum(axis=0) + 0.5) / (table.sum() + 0.5 * classes)
-    transitions = np.log10((table + 2 * unigram[None, :]) / (table.sum(axis=1, keepdims=True) + 2))
-    shapes = {r["shape"]: (r["v"], r["n"]) for r in counts.groupBy("shape").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()}
-    words, tokens = np.zeros(classes), np.zeros(classes)
-    for s, (v, n) in shapes.items():
-        words[of[SYMBOL_WORDS + s]] += v
-        tokens[of[SYMBOL_WORDS + s]] += n
-    for i, (_, n, s) in enumerate(rows[:SYMBOL_WORDS]):
-        c, d = of[i], of[SYMBOL_WORDS + s]
-        words[c], tokens[c], words[d], tokens[d] = words[c] + 1, tokens[c] + n, words[d] - 1, tokens[d] - n
+    def hashed(batch):
+        return {"hash": spaced_word_hashes(b" ".join(batch.column("word").to_pylist())).view(np.int64), "n": batch.column("n"), "shape": batch.column("shape")}
+
+    got = over_batches(counts.filter(F.col("n") >= MIN_COUNT), hashed, "hash bigint, n bigint, shape int").toArrow()
+    hashes, first, at = np.unique(np.asarray(got["hash"]), return_index=True, return_inverse=True)
+    n_of, shape_of = np.bincount(at, np.asarray(got["n"]), len(hashes)), np.asarray(got["shape"])[first]
+    table = neighbours(train, hashes)
+    # to begin with the most frequent words and the shapes are clustered; any other word has its shape's class
+    seeds = np.lexsort((hashes, -n_of))[:SYMBOL_WORDS]
+    coarse = np.concatenate((SYMBOL_WORDS + shape_of, SYMBOL_WORDS + np.arange(SHAPES + 1))).astype(np.int32)
+    coarse[seeds] = np.arange(len(seeds))
+    of = exchange(class_table(table, coarse, SYMBOL_WORDS + SHAPES + 1), classes)[coarse].astype(np.int16)
+    of, sums = exchange_rounds(table, of, classes)
+    unigram = (sums.sum(axis=0) + 0.5) / (sums.sum() + 0.5 * classes)
+    transitions = np.log10((sums + 2 * unigram[None, :]) / (sums.sum(axis=1, keepdims=True) + 2))
+    own = of[: len(hashes)]
+    words, tokens = np.bincount(own, minlength=classes).astype(float), np.bincount(own, n_of, classes)
+    for r in counts.filter(F.col("n") < MIN_COUNT).groupBy("shape").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect():
+        c = of[len(hashes) + r["shape"]]
+        words[c], tokens[c] = words[c] + r["v"], tokens[c] + r["n"]
     words[0], tokens[0] = 1, n_docs
-    model = Model(head, head_counts, head_symbols, of, transitions, np.log10(tokens + words + 1), int(totals[0] or 0) + n_docs, int(totals[1]) + (n_docs > 0), n_docs)
+    model = Model(head, head_counts, hashes, of, transitions, np.log10(tokens + words + 1), int(totals[0] or 0) + n_docs, int(totals[1]) + (n_docs > 0), n_docs)
     return model, least
 
 
@@ -208,16 +372,18 @@ def score(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
         logs = np.log10(m.head_counts + 1.0)
         end_class = m.class_of[-1]
         out: dict[str, list] = {c: [] for c in ("n_tokens", "head_known", "head_logs", "paths", "rest")}
-        for data in batch.column("__bytes").to_pylist():
-            words = lower_spaced_words(data)
-            at, symbols = _symbols(words, m.head, m.head_symbols)
-            path = np.concatenate(([end_class], m.class_of[symbols], [end_class]))
-            found = at[at >= 0]
-            out["n_tokens"].append(len(words) + 1)
-            out["head_known"].append(len(found) + (m.end_count > 0))
-            out["head_logs"].append(float(logs[found].sum()) + float(np.log10(m.end_count + 1.0)))
-            out["paths"].append(float(m.transitions[path[:-1], path[1:]].sum() - m.mass[path[1:]].sum()))
-            out["rest"].append(list(Counter(words[k] for k in np.flatnonzero(at < 0)).items()))
+        for texts in _chunks(batch.column("__bytes").to_pylist()):
+            symbols, ends = _symbols(texts, m.hashes)
+            for data, own in zip(texts, np.split(m.class_of[symbols], ends[:-1]), strict=True):
+                words = lower_spaced_words(data)
+                at = np.fromiter(map(m.head.get, words, repeat(-1)), np.int32, len(words))
+                path = np.concatenate(([end_class], own, [end_class]))
+                found = at[at >= 0]
+                out["n_tokens"].append(len(words) + 1)
+                out["head_known"].append(len(found) + (m.end_count > 0))
+                out["head_logs"].append(float(logs[found].sum()) + float(np.log10(m.end_count + 1.0)))
+                out["paths"].append(float(m.transitions[path[:-1], path[1:]].sum() - m.mass[path[1:]].sum()))
+                out["rest"].append(list(Counter(words[k] for k in np.flatnonzero(at < 0)).items()))
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out")} | {k: v for k, v in out.items() if k != "rest"} | {
             "rest": [[{"word": w, "tf": n} for w, n in r] for r in out["rest"]]
         }

@@ -229,3 +229,31 @@ def test_trees_in_sql_are_the_trees(spark):
     other = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(url_filter.LABELLED[1::2])], "page_id long, url string")
     judged = {r.page_id: r.score > 0 for r in url_filter.judge(other, url_filter.fit(half)).collect()}
     assert sum(judged[k] == bool(y) for k, (_, y) in enumerate(url_filter.LABELLED[1::2])) / len(judged) >= 0.8
+
+
+def test_class_lm_clusters_words_beyond_the_seeds(spark, monkeypatch):
+    """Two kinds of words that alternate, spelled alike: only their bigrams tell them apart."""
+    monkeypatch.setattr(class_lm, "SYMBOL_WORDS", 4)
+    rng = random.Random(5)
+    kinds = [[f"{c}{k:02d}xx" for k in range(40)] for c in "ab"]
+    texts = [" ".join(rng.choice(kinds[k % 2]) for k in range(rng.randint(20, 60))) for _ in range(300)] + ["rare1 rare2", "", " "]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").select(class_lm.text_bytes().alias("__bytes"))
+    counts = class_lm.word_counts(train).cache()
+    model, _ = class_lm.fit(train, counts, classes=4)
+    symbols, ends = class_lm._symbols([" ".join(k).encode() for k in kinds], model.hashes)
+    assert len(model.hashes) == 80 and len(set(symbols)) == 80 and ends.tolist() == [40, 80]
+    a, b = (set(model.class_of[s].tolist()) for s in np.split(symbols, [40]))
+    assert not a & b
+    # the table of neighbours is the plain count
+    want = Counter()
+    for t in texts:
+        path = [84 + 60, *class_lm._symbols([t.encode()], model.hashes)[0].tolist(), 84 + 60]
+        want.update(zip(path, path[1:]))
+    got = Counter()
+    for r in class_lm.neighbours(train, model.hashes).collect():
+        for k, n in zip(r.others, r.n, strict=True):
+            if k >= 0:
+                got[r.symbol, k] += n
+            else:
+                assert want[-1 - k, r.symbol] == n
+    assert got == want
