@@ -35,7 +35,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every row, from the coded files."""
-    return token_output.tokenized(docs, end_id=2)
+    return token_output.tokenized(docs, end_id=2, ordinary_specials=False)
 
 
 STAGES = [

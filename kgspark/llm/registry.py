@@ -35,7 +35,7 @@ def op6_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.tokenized(table(spark, sf_dir, "documents", "doc_id", "text"), end_id=2)
+    return token_output.tokenized(table(spark, sf_dir, "documents", "doc_id", "text"), end_id=2, ordinary_specials=False)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

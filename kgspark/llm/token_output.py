@@ -45,6 +45,9 @@ class TextEncoder:
     a single line break between other characters is a pre-token of its own.  So a text may be cut in front of each, and
     its pieces encoded on their own, with the same ids.  A text with other runs of white space is cut only at single
     spaces.
+
+    ordinary_specials: whether a special token that stands in a text is encoded as ordinary text; if not, it gets its
+    own id, as the library does by default.
     """
 
     def __init__(self, path: str, ordinary_specials: bool = True) -> None:
@@ -52,6 +55,9 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary_specials
+        # texts that hold a special token are never cut
+        names = [] if ordinary_specials else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, names))).search if names else None
         self.marks = dict(zip(_MARKS, self._ids(list(_MARKS)), strict=True))
         (self.line_break,) = self._ids(["\n"])
         if len(self.line_break) != 2:
@@ -101,11 +107,12 @@ class TextEncoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text; none for null."""
-        cut = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
+        whole = {k for k, t in enumerate(texts) if t and self.special(t)} if self.special else set()
+        cut = [([t] if k in whole else t.replace("\n", " \n").split(" ")) if t else [] for k, t in enumerate(texts)]
         wanted = {p for pieces in cut for p in pieces[1:]}
         odd = {p for p in wanted.difference(self.known) if not _bounded(p)}
         for k, pieces in enumerate(cut):
-            if pieces and (not pieces[0] or pieces[0][-1].isspace() or (odd and not odd.isdisjoint(pieces[1:]))):
+            if pieces and k not in whole and (not pieces[0] or pieces[0][-1].isspace() or (odd and not odd.isdisjoint(pieces[1:]))):
                 cut[k] = _AT_SPACE.split(texts[k])
         if odd:
             wanted = {p for pieces in cut for p in pieces[1:]}
@@ -115,15 +122,16 @@ class TextEncoder:
         return [next(first) + b"".join(map(get, pieces[1:])) if pieces else b"" for pieces in cut]
 
 
-_encoders: dict[str, TextEncoder] = {}
+_encoders: dict[tuple[str, bool], TextEncoder] = {}
 
 
-def _encoder(path: str) -> TextEncoder:
+def _encoder(path: str, ordinary_specials: bool) -> TextEncoder:
     """One a worker: what it remembers serves all its tasks."""
-    if path not in _encoders:
+    key = (path, ordinary_specials)
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[path] = TextEncoder(path)
-    return _encoders[path]
+        _encoders[key] = TextEncoder(path, ordinary_specials)
+    return _encoders[key]
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -145,7 +153,7 @@ def _segments(lengths: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, ordinary_specials: bool = True) -> None:
     """Encode every text of docs (doc_id, text) and write the data set to ``path``.
 
     Null texts are empty.  Documents with the same doc_id follow each other by text; null doc_ids come first.  Nothing
@@ -155,7 +163,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     end = np.array([end_id], np.uint16).tobytes()
 
     def rows_of(batch):
-        encode, ids = _encoder(tokenizer), []
+        encode, ids = _encoder(tokenizer, ordinary_specials), []
         texts = batch.column("text").to_pylist()
         for k in range(0, len(texts), 1000):
             ids += [x + end for x in encode(texts[k : k + 1000])]
@@ -213,7 +221,7 @@ def _decoded(spark: SparkSession, path: str, column: str, of_ids) -> DataFrame:
     return over_batches(located, rows_of, f"doc_id {kind}, start bigint, n_tokens bigint, {column}")
 
 
-def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, path: str | None = None) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, path: str | None = None, ordinary_specials: bool = True) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, written to ``path`` and read back from there.
 
     Without a path the data set goes to the shared folder.  ids_crc32 is over the ids, with the end id, as
@@ -221,5 +229,5 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, pa
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write(docs, path, tokenizer or tokenizer_path(), end_id)
+    write(docs, path, tokenizer or tokenizer_path(), end_id, ordinary_specials)
     return _decoded(spark, path, "ids_crc32 bigint", lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))

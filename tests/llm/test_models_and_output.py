@@ -257,3 +257,23 @@ def test_class_lm_clusters_words_beyond_the_seeds(spark, monkeypatch):
             else:
                 assert want[-1 - k, r.symbol] == n
     assert got == want
+
+
+def test_special_tokens_in_texts_get_their_ids(spark, tmp_path):
+    """op7 and the pipeline's last stage against a tokenizer as it is loaded."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from kgspark.llm import registry
+
+    texts = ["<|endoftext|> x", "a<|endoftext|>b", "one two <|endoftext|> three\nfour", "  odd\n\n <|endoftext|>\n", "<|endoftext|><|endoftext|>", "<|endoftext|", "plain text", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tok = Tokenizer.from_file(token_output.tokenizer_path())
+    at, want = 0, []
+    for k, t in enumerate(texts):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((k, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for got in (registry.op7_token_output(spark, str(tmp_path)), corpus_pipeline.token_stage(spark, docs, str(tmp_path))):
+        assert sorted(map(tuple, got.collect())) == want
