@@ -33,7 +33,7 @@ HINTS = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template|iframe)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|$)|<[A-Za-z][^<>]*$|[^<]+|<", re.S | re.I)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 _SPACES = re.compile(r"\s+")
 
 
@@ -47,15 +47,17 @@ class Block:
     boilerplate: int
     main: int
     heading: int
+    hints: tuple[int, ...] = ()
 
     @property
     def link_density(self) -> float:
         return self.link_words / self.words if self.words else 0.0
 
 
-def _flags(tag: str, attributes: str, inside_main: bool) -> tuple[int, int]:
-    """(boilerplate, main) of an element by its name, role, class and id."""
+def _flags(tag: str, attributes: str, inside_main: bool) -> tuple[int, int, int]:
+    """(boilerplate, main) of an element by its name and role, and whether its class or id hints at boilerplate."""
     boilerplate, main = int(tag in BOILERPLATE or (tag == "header" and not inside_main)), int(tag in ("article", "main"))
+    hint = 0
     for name, value in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         name, value = name.lower(), value.strip("\"'")
         if name == "role":
@@ -64,16 +66,31 @@ def _flags(tag: str, attributes: str, inside_main: bool) -> tuple[int, int]:
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             boilerplate |= 1
         elif name in ("class", "id") and HINTS.search(value) and not (tag in ("body", "html", "article", "main")):
-            boilerplate |= 1
-    return boilerplate, main
+            hint = 1
+    return boilerplate, main, hint
+
+
+def _weigh_hints(found: list[Block]) -> None:
+    """Blocks in a hinted element are boilerplate, unless it holds most unlinked words of the main elements, or of the
+    page if those have none: then its class or id is the name of a layout."""
+    open_to_all = [b for b in found if not b.boilerplate]
+    inside = [b for b in open_to_all if b.main and b.words > b.link_words] or open_to_all
+    held: dict[int, int] = {}
+    for b in inside:
+        for h in b.hints:
+            held[h] = held.get(h, 0) + b.words - b.link_words
+    half = sum(b.words - b.link_words for b in inside) / 2
+    for b in found:
+        b.boilerplate |= int(any(held.get(h, 0) <= half for h in b.hints))
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order; character references decoded, white space inside a block made one space."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []
+    stack: list[tuple[str, int, int, int]] = []
+    hints: list[int] = []
     pieces: list[tuple[str, bool]] = []
-    links = skipped = boilerplate = main = heading = 0
+    links = skipped = boilerplate = main = heading = hinted = 0
 
     def close() -> None:
         nonlocal pieces
@@ -81,9 +98,21 @@ def blocks(page: str) -> list[Block]:
             text = _SPACES.sub(" ", html.unescape("".join(p for p, _ in pieces))).strip()
             if text:
                 linked = sum(len(html.unescape(p).split()) for p, is_link in pieces if is_link)
-                out.append(Block(text, len(text.split()), linked, int(boilerplate > 0), int(main > 0), int(heading > 0)))
+                out.append(Block(text, len(text.split()), linked, int(boilerplate > 0), int(main > 0), int(heading > 0), tuple(hints)))
             pieces = []
 
+    def leave(k: int) -> None:
+        """Close the elements from the k-th on."""
+        nonlocal boilerplate, main, links, skipped, heading
+        for name, b, a, h in stack[k:]:
+            boilerplate, main = boilerplate - b, main - a
+            links -= name == "a"
+            skipped -= name in SKIPPED
+            heading -= name in ("h1", "h2", "h3", "h4", "h5", "h6")
+            if h:
+                hints.remove(h)
+        del stack[k:]
+
     for m in _TOKEN.finditer(page):
         whole, tag = m.group(0), m.group(3)
         if not tag:
@@ -99,25 +128,27 @@ def blocks(page: str) -> list[Block]:
         if m.group(2):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    for name, b, a in stack[k:]:
-                        boilerplate, main = boilerplate - b, main - a
-                        links -= name == "a"
-                        skipped -= name in SKIPPED
-                        heading -= name in ("h1", "h2", "h3", "h4", "h5", "h6")
-                    del stack[k:]
+                    leave(k)
                     break
         elif tag not in VOID and not m.group(4).rstrip().endswith("/"):
             if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-                _, b, a = stack.pop()
-                boilerplate, main = boilerplate - b, main - a
-                skipped -= tag in SKIPPED
-            b, a = _flags(tag, m.group(4), main > 0)
-            stack.append((tag, b, a))
+                leave(len(stack) - 1)
+            # the end tag of head may be left out
+            elif tag in BLOCKS and tag != "html" and skipped:
+                heads = [k for k, x in enumerate(stack) if x[0] == "head"]
+                if heads:
+                    leave(heads[0])
+            b, a, h = _flags(tag, m.group(4), main > 0)
+            if h:
+                hinted += 1
+                hints.append(h := hinted)
+            stack.append((tag, b, a, h))
             boilerplate, main = boilerplate + b, main + a
             links += tag == "a"
             skipped += tag in SKIPPED
             heading += tag in ("h1", "h2", "h3", "h4", "h5", "h6")
     close()
+    _weigh_hints(out)
     return out
 
 
