@@ -8,6 +8,7 @@ documents, each ended by the end id.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -18,115 +19,177 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .common import over_batches, shared_dir, small
+from .common import _IS_SPACE, mix64, over_batches, shared_dir, small, text_bytes
 
 #: A segment is closed when it has so many ids; a longer document is a segment of its own.
 SEGMENT_IDS = 1 << 20
-#: Most pieces of text whose ids a Python worker remembers.
-REMEMBERED = 1_000_000
-
-#: Pieces that are encoded as one text.
-JOINED = 500
-
-_AT_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_MARKS = ".,"
-
-
-def _bounded(piece: str) -> bool:
-    """Whether a piece, its leading line break aside, is not empty and neither begins nor ends with white space."""
-    body = piece[1:] if piece[:1] == "\n" else piece
-    return body != "" and not body[0].isspace() and not body[-1].isspace()
+#: Places of the table in which a Python worker remembers the ids of short pieces, and longer pieces it remembers.
+PLACES, LONG_PIECES = 1 << 20, 20_000
+#: Bytes of text that are cut at once, and pieces that are encoded as one text.
+CHUNK_BYTES, JOINED = 1 << 19, 500
+#: Most bytes and ids of a piece in the table, and most bytes of a longer one that is remembered.
+SHORT_BYTES, SHORT_IDS, LONG_BYTES = 16, 8, 64
+
+# White space outside ASCII (fixed values), and such beside white space of ASCII.
+_WIDE_SPACE = "\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WIDE_MARKS = tuple(x.encode() for x in "\u0085\u00a0\u1680\u205f\u3000") + ("\u2000".encode()[:2],)
+_MIXED_SPACE = re.compile(f"[\t-\r ][{_WIDE_SPACE}]|[{_WIDE_SPACE}][\t-\r ]").search
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+# Kinds of bytes: others, letters, digits, marks, the apostrophe; and pairs of kinds that are never in one pre-token.
+_KIND = np.array([1 if chr(k).isalpha() else 2 if chr(k).isdigit() else 4 if k == 39 else 3 for k in range(128)] + [0] * 128, np.uint8)
+_KIND[_IS_SPACE.nonzero()[0]] = 0
+_PARTED = np.zeros((5, 5), bool)
+_PARTED[[1, 1, 1, 2, 2, 2, 3, 3], [2, 3, 4, 1, 3, 4, 1, 2]] = True
+
+
+def _piece_starts(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where pieces begin in the bytes of texts that begin at ``starts``.
+
+    The byte-level pre-tokenizer takes a run of white space before a word apart from its last character, and that on its
+    own unless it is a space, which goes with the word; a run at the end of a text stays whole.  It also parts ASCII
+    letters, digits and marks, if no apostrophe stands before them.
+    """
+    space = _IS_SPACE[b]
+    first = np.zeros(len(b) + 1, bool)
+    first[starts] = True
+    before = np.concatenate(([True], space[:-1]))
+    after = np.concatenate((space[1:], [True]))
+    cut = space & (~before | (~after & ~first[1:]))
+    cut |= ~space & before & (np.concatenate(([0], b[:-1])) != 32)
+    kind = _KIND[b]
+    cut[1:] |= _PARTED[kind[:-1], kind[1:]]
+    return np.flatnonzero(cut | first[:-1])
 
 
 class TextEncoder:
-    """Ids of whole texts by the tokenizers library, remembering those of pieces between single spaces or line breaks.
+    """Ids of whole texts by the tokenizers library, remembering those of pieces that it never joins.
 
-    The byte-level pre-tokenizer never joins what stands before and after a single space between other characters, and
-    a single line break between other characters is a pre-token of its own.  So a text may be cut in front of each, and
-    its pieces encoded on their own, with the same ids.  A text with other runs of white space is cut only at single
-    spaces.
+    Pieces of up to SHORT_BYTES bytes have a place by hash in a table of fixed size that holds their bytes, so a hit is
+    exact; the newest piece of a place stays.  All other ids come from the library, each distinct piece of a chunk once.
+    Texts with a special token, or with white space outside ASCII beside such of ASCII, go to the library whole.
 
     ordinary_specials: whether a special token that stands in a text is encoded as ordinary text; if not, it gets its
     own id, as the library does by default.
     """
 
-    def __init__(self, path: str, ordinary_specials: bool = True) -> None:
+    def __init__(self, path: str, ordinary_specials: bool = False) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary_specials
-        # texts that hold a special token are never cut
-        names = [] if ordinary_specials else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, names))).search if names else None
-        self.marks = dict(zip(_MARKS, self._ids(list(_MARKS)), strict=True))
+        self.specials = [] if ordinary_specials else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         (self.line_break,) = self._ids(["\n"])
         if len(self.line_break) != 2:
             raise ValueError("the tokenizer has no id for a line break")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [array("H", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _joined(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that end with no white space and hold no line break: many as one text, parted at line breaks."""
+        self.head, self.tail = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.uint64)
+        self.size, self.n_ids = np.zeros(PLACES, np.uint8), np.zeros(PLACES, np.uint8)
+        self.ids = np.zeros(PLACES * SHORT_IDS, np.uint16)
+        self.long: dict[bytes, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("H", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _library(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece; those without white space at an end, but for a space before them, are encoded many as one text."""
+        texts = [p.decode(errors="replace") for p in pieces]
+        apart = [not t[-1].isspace() and "\n" not in t and (t[0] == " " or not t[0].isspace()) for t in texts]
+        plain = [t for t, x in zip(texts, apart, strict=True) if x]
         cut = np.frombuffer(self.line_break, np.uint16)[0]
-        texts = ["\n".join(pieces[k : k + JOINED]) for k in range(0, len(pieces), JOINED)]
-        out: list[bytes] = []
-        for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+        parts: list[bytes] = []
+        for x in self.tokenizer.encode_batch_fast(["\n".join(plain[k : k + JOINED]) for k in range(0, len(plain), JOINED)], add_special_tokens=False):
             ids = np.array(x.ids, np.uint16)
             data, at = ids.tobytes(), 0
             for end in [*np.flatnonzero(ids == cut).tolist(), len(ids)]:
-                out.append(data[2 * at : 2 * end])
+                parts.append(data[2 * at : 2 * end])
                 at = end + 1
-        return out
-
-    def _learn(self, wanted: set[str]) -> None:
-        """See that ``known`` has the ids of these pieces; what was not asked for lately is forgotten.
-
-        A piece that begins with a line break follows it, any other follows a space.
-        """
-        if len(self.known) > REMEMBERED // 2:
-            self.known, self.older = {}, self.known
-        missing = wanted.difference(self.known)
-        if self.older:
-            again = missing.intersection(self.older)
-            self.known.update((p, self.older[p]) for p in again)
-            missing -= again
-        # a mark behind a letter is a pre-token of its own
-        marked = [p for p in missing if p[-1:] in _MARKS and p[-2:-1].isalpha()]
-        missing.difference_update(marked)
-        missing |= {p[:-1] for p in marked}.difference(self.known)
-        broken = [p for p in missing if p[0] == "\n"]
-        spaced = [p for p in missing if "\n" not in p and not p[-1].isspace()]
-        rest = list(missing.difference(broken, spaced))
-        self.known.update(zip(broken, (self.line_break + x for x in self._joined([p[1:] for p in broken])), strict=True))
-        self.known.update(zip(spaced, self._joined([f" {p}" for p in spaced]), strict=True))
-        self.known.update(zip(rest, self._ids([f" {p}" for p in rest]), strict=True))
-        self.known.update((p, self.known[p[:-1]] + self.marks[p[-1]]) for p in marked)
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text; none for null."""
-        whole = {k for k, t in enumerate(texts) if t and self.special(t)} if self.special else set()
-        cut = [([t] if k in whole else t.replace("\n", " \n").split(" ")) if t else [] for k, t in enumerate(texts)]
-        wanted = {p for pieces in cut for p in pieces[1:]}
-        odd = {p for p in wanted.difference(self.known) if not _bounded(p)}
-        for k, pieces in enumerate(cut):
-            if pieces and k not in whole and (not pieces[0] or pieces[0][-1].isspace() or (odd and not odd.isdisjoint(pieces[1:]))):
-                cut[k] = _AT_SPACE.split(texts[k])
-        if odd:
-            wanted = {p for pieces in cut for p in pieces[1:]}
-        self._learn(wanted)
-        first = iter(self._ids([pieces[0] for pieces in cut if pieces]))
-        get = self.known.__getitem__
-        return [next(first) + b"".join(map(get, pieces[1:])) if pieces else b"" for pieces in cut]
+        joined, single = iter(parts), iter(self._ids([t for t, x in zip(texts, apart, strict=True) if not x]))
+        return [next(joined) if x else next(single) for x in apart]
+
+    def _known(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of the distinct pieces among these that are not in the table."""
+        got = {p: self.long.get(p) for p in pieces}
+        asked = [p for p, ids in got.items() if ids is None]
+        got.update(zip(asked, self._library(asked), strict=True))
+        if len(self.long) > LONG_PIECES:
+            self.long.clear()
+        self.long.update((p, got[p]) for p in asked if SHORT_BYTES < len(p) <= LONG_BYTES)
+        return got
+
+    def _chunk(self, data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts that begin at ``starts`` in data, none empty, and how many each has."""
+        at = _piece_starts(np.frombuffer(data, np.uint8), starts)
+        sizes = np.diff(at, append=len(data))
+        padded = np.frombuffer(data + b"\0" * SHORT_BYTES, np.uint8)
+        eight = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))
+        head = eight[at] & _MASKS[np.minimum(sizes, 8)]
+        tail = eight[np.minimum(at + 8, len(data))] & _MASKS[np.clip(sizes - 8, 0, 8)]
+        place = (mix64(head + tail * _ODD + sizes.astype(np.uint64)) & np.uint64(PLACES - 1)).astype(np.int64)
+        hit = (self.size[place] == sizes) & (self.head[place] == head) & (self.tail[place] == tail)
+        missing = np.flatnonzero(~hit)
+        n_ids = self.n_ids[place].astype(np.int64)
+        counts, first = n_ids[hit], place[hit] * SHORT_IDS
+        ready = self.ids.take(np.repeat(first + counts - np.cumsum(counts), counts) + np.arange(counts.sum()), mode="clip")
+        pieces = [data[a : a + n] for a, n in zip(at[missing].tolist(), sizes[missing].tolist(), strict=True)]
+        known = self._known(pieces)
+        found = [known[p] for p in pieces]
+        n_ids[missing] = [len(x) // 2 for x in found]
+        from_hit = np.repeat(hit, n_ids)
+        out = np.empty(len(from_hit), np.uint16)
+        out[from_hit], out[~from_hit] = ready, np.frombuffer(b"".join(found), np.uint16)
+        # a place gets all its columns from one piece, the last one
+        short = (sizes[missing] <= SHORT_BYTES) & (n_ids[missing] <= SHORT_IDS)
+        last = dict(zip(place[missing].tolist(), np.where(short, np.arange(len(missing)), -1).tolist(), strict=True))
+        which = np.array([k for k in last.values() if k >= 0], np.int64)
+        learn = missing[which]
+        where, counts = place[learn], n_ids[learn]
+        rows = np.zeros((len(learn), SHORT_IDS), np.uint16)
+        rows[np.arange(SHORT_IDS) < counts[:, None]] = np.frombuffer(b"".join(found[k] for k in which.tolist()), np.uint16)
+        self.head[where], self.tail[where] = head[learn], tail[learn]
+        self.size[where], self.n_ids[where] = sizes[learn], counts
+        self.ids.reshape(PLACES, SHORT_IDS)[where] = rows
+        return out, np.add.reduceat(n_ids, np.searchsorted(at, starts))
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all UTF-8 texts one after another, and how many each has."""
+        lengths = np.zeros(len(texts), np.int64)
+        out: list[tuple[int, np.ndarray]] = []
+        run: list[int] = []
+        size = 0
+
+        def close() -> None:
+            nonlocal size
+            if run:
+                ends = np.cumsum([len(texts[k]) for k in run])
+                ids, lengths[run] = self._chunk(b"".join(texts[k] for k in run), np.concatenate(([0], ends[:-1])))
+                out.extend(zip(run, np.split(ids, np.cumsum(lengths[run])[:-1]), strict=True))
+                run.clear()
+                size = 0
+
+        for k, t in enumerate(texts):
+            if not t:
+                continue
+            if any(x in t for x in self.specials) or (any(x in t for x in _WIDE_MARKS) and _MIXED_SPACE(t.decode(errors="replace"))):
+                (ids,) = self._ids([t.decode(errors="replace")])
+                lengths[k] = len(ids) // 2
+                out.append((k, np.frombuffer(ids, np.uint16)))
+                continue
+            if run and size + len(t) > CHUNK_BYTES:
+                close()
+            run.append(k)
+            size += len(t)
+        close()
+        out.sort(key=lambda x: x[0])
+        return np.concatenate([x for _, x in out]) if out else np.empty(0, np.uint16), lengths
 
 
 _encoders: dict[tuple[str, bool], TextEncoder] = {}
 
 
 def _encoder(path: str, ordinary_specials: bool) -> TextEncoder:
-    """One a worker: what it remembers serves all its tasks."""
+    """One a worker, about 36 MB: what it remembers serves all its tasks."""
     key = (path, ordinary_specials)
     if key not in _encoders:
         _encoders.clear()
@@ -153,30 +216,31 @@ def _segments(lengths: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, ordinary_specials: bool = True) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, ordinary_specials: bool = False) -> None:
     """Encode every text of docs (doc_id, text) and write the data set to ``path``.
 
-    Null texts are empty.  Documents with the same doc_id follow each other by text; null doc_ids come first.  Nothing
-    is cut: a document has all its ids, whatever its length.
+    Null texts are empty.  Documents with the same doc_id follow each other by the crc32 of the text, then by text, and
+    may be dealt to several tasks; null doc_ids come first.  Nothing is cut: a document has all its ids, whatever its
+    length.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    end = np.array([end_id], np.uint16).tobytes()
 
     def rows_of(batch):
-        encode, ids = _encoder(tokenizer, ordinary_specials), []
-        texts = batch.column("text").to_pylist()
-        for k in range(0, len(texts), 1000):
-            ids += [x + end for x in encode(texts[k : k + 1000])]
-        lengths = np.array([len(x) // 2 for x in ids], np.int64)
+        encode = _encoder(tokenizer, ordinary_specials)
+        ids, lengths = encode(batch.column("text").to_pylist())
+        ids, lengths = np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
+        ends = np.cumsum(lengths)
         spans = _segments(lengths)
-        streams = [np.frombuffer(b"".join(ids[a:b]), np.uint16) for a, b in spans]
+        streams = [ids[ends[a] - lengths[a] : ends[b - 1]] for a, b in spans]
         blocks = [s[k : k + range_coder.BLOCK_IDS] for s in streams for k in range(0, len(s), range_coder.BLOCK_IDS)]
         coded = iter(range_coder.encode_blocks(blocks))
         data = [b"".join(next(coded) for _ in range(0, len(s), range_coder.BLOCK_IDS)) for s in streams]
         doc_ids = batch.column("doc_id").to_pylist()
         return {"doc_ids": [doc_ids[a:b] for a, b in spans], "n_tokens": [lengths[a:b] for a, b in spans], "n_ids": [len(s) for s in streams], "blocks": data}
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("__crc")]
+    rows = docs.select("doc_id", text_bytes().alias("text")).withColumn("__crc", F.crc32("text"))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     segments = over_batches(ordered, rows_of, f"doc_ids array<{kind}>, n_tokens array<bigint>, n_ids bigint, blocks binary")
     placed = segments.withColumns({"part": F.spark_partition_id(), "segment": F.monotonically_increasing_id()})
     placed.write.parquet(f"{path}/segments")
@@ -221,7 +285,7 @@ def _decoded(spark: SparkSession, path: str, column: str, of_ids) -> DataFrame:
     return over_batches(located, rows_of, f"doc_id {kind}, start bigint, n_tokens bigint, {column}")
 
 
-def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, path: str | None = None, ordinary_specials: bool = True) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, path: str | None = None, ordinary_specials: bool = False) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, written to ``path`` and read back from there.
 
     Without a path the data set goes to the shared folder.  ids_crc32 is over the ids, with the end id, as
