@@ -69,12 +69,24 @@ spaced_words = re.compile(SPACED_WORD).findall
 alnum_words = re.compile(ALNUM_WORD).findall
 
 
+#: Bytes of an Arrow batch where the session leaves Spark's default; a longer row comes alone.
+BATCH_BYTES, _DEFAULT_BYTES = 16 << 20, "67108864b"
+_BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ready(spark: SparkSession) -> None:
+    """Ship the package, and bound Arrow batches by bytes, so that long texts do not make large ones."""
+    ship_package(spark)
+    if spark.conf.get(_BYTES_SETTING) == _DEFAULT_BYTES:
+        spark.conf.set(_BYTES_SETTING, f"{BATCH_BYTES}b")
+
+
 def over_batches(df: DataFrame, rows_of, schema: str) -> DataFrame:
     """``rows_of(batch) -> dict of lists`` over each Arrow batch of ``df``, as a DataFrame of ``schema``.
 
     A list may also be an Arrow array.  Batches are taken one at a time, so memory is that of one batch.
     """
-    ship_package(df.sparkSession)
+    ready(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):

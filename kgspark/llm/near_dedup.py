@@ -4,8 +4,9 @@ A document's set holds its distinct word shingles.  Equal sets are one class, so
 is sketched by registers, each the leading-zero count and first mantissa bits of the smallest hash in a bucket.  Bands
 of registers give candidate buckets.  Inside a bucket members are first held against two centres, not against each other:
 that links nearly all that is linked.  Members of a bucket whose components still differ are then held against each
-other in blocks of a bounded size.  Both times pairs pass the sketches' estimate of Jaccard similarity, corrected for
-chance collisions, and are confirmed on the full sets.
+other in blocks of a bounded size; a bucket beyond it is parted by further bands first.  Both times pairs pass the
+sketches' estimate of Jaccard similarity, corrected for chance collisions, and are confirmed on the full sets, which
+hold a 64-bit hash of each shingle.
 """
 
 from __future__ import annotations
@@ -14,12 +15,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.plans.lineage import ship_package
-
-from .common import LOWER_BYTES, over_batches, settle, small, spaced_word_hashes, text_bytes, window_hashes
+from .common import LOWER_BYTES, over_batches, ready, settle, small, spaced_word_hashes, text_bytes, window_hashes
 
 #: Rounds of hashing and buckets of a round; their product is the number of registers.
 ROUNDS, BUCKETS = 8, 16
@@ -29,8 +28,10 @@ BAND_ROWS = 4
 MANTISSA = 10
 #: Pairs whose estimate is so far below the wanted similarity are not verified: more than five standard errors.
 MARGIN = 0.2
-#: Members of a bucket that are held against each other at once.
-BLOCK = 2048
+#: Members of a bucket, and their shingles, that are held against each other at once.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
+#: Larger buckets are parted by each of so many bands that follow theirs, and so again up to so many times.
+FOLLOWING, LEVELS = 8, 3
 
 _rng = np.random.default_rng(20_240_229)
 _ODD = (_rng.integers(0, 1 << 63, ROUNDS, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -232,27 +233,58 @@ def _groups(batches, key: tuple[str, ...]):
 _KEY = ("band", "low", "high")
 
 
-def _in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rows of members (band, node) for each pair of blocks of their bucket that they belong to, with low, high, block.
+def _sizes(members: DataFrame) -> DataFrame:
+    """band, rows, shingles: the buckets that have members of more than one component."""
+    parts = members.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum("n").alias("shingles")).groupBy("band")
+    return settle(parts.agg(F.count("*").alias("parts"), F.sum("n").alias("rows"), F.sum("shingles").alias("shingles")).filter("parts > 1"))
+
+
+def _blocks() -> Column:
+    return F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+
+
+def _parted(members: DataFrame, bands: DataFrame) -> tuple[DataFrame, bool]:
+    """Rows of members (band, slot, node, comp, n) with rows and shingles of their bucket, and whether any was parted.
+
+    Members of a bucket that is more than a block are dealt to the buckets that they share with a band after theirs as
+    well: similar ones share a third of all bands or more, others seldom do.  So a row becomes FOLLOWING rows a level,
+    whatever the size of its bucket.  Buckets that are still large after LEVELS are left as they are.
+    """
+    out, parted = None, False
+    n_bands = ROUNDS * BUCKETS // BAND_ROWS
+    for level in range(LEVELS + 1):
+        sized = members.join(_sizes(members), "band")
+        fits = sized.filter(_blocks() <= 1) if level < LEVELS else sized
+        out = fits if out is None else out.unionByName(fits)
+        large = settle(sized.filter(_blocks() > 1).select("band", "slot", "node", "comp", "n")) if level < LEVELS else None
+        if large is None or large.isEmpty():
+            break
+        parted = True
+        later = large.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(FOLLOWING)))).withColumn("slot", F.pmod(F.col("slot") + F.col("step"), F.lit(n_bands)))
+        later = later.join(bands.select("node", "slot", F.col("band").alias("other")), ["node", "slot"])
+        members = settle(later.select(F.xxhash64("band", "other", "step").alias("band"), "slot", "node", "comp", "n"))
+    return settle(out), parted
+
+
+def _in_blocks(sized: DataFrame) -> DataFrame:
+    """Rows of sized for each pair of blocks of their bucket that they belong to, with low, high, block.
 
-    sizes: band, rows.  A bucket of up to BLOCK rows is one block; each row of a larger one goes to every pair of its
-    own block with another.
+    A bucket that fits is one block; each row of a larger one goes to every pair of its own block with another.
     """
-    n = F.ceil(F.col("rows") / BLOCK).cast("int")
+    n = _blocks()
     block = F.pmod(F.xxhash64("node"), n).cast("int")
-    rows = members.join(sizes.select("band", "rows"), "band").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    return rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("rows", "other")
+    rows = sized.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    return rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("rows", "shingles", "other")
 
 
-def _across(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _across(members: DataFrame, bands: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """a, b: links between members of a bucket that are of different components, one for each two components met.
 
     First the sketches leave only members that have a likely partner in the bucket, each pair in the first band that
-    it shares; then the full sets of these are held against each other.
+    it shares (in each band, if buckets were parted); then the full sets of these are held against each other.
     """
-    parts = members.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band")
-    sizes = settle(parts.agg(F.count("*").alias("parts"), F.sum("n").alias("rows")).filter("parts > 1"))
-    rows = _in_blocks(members.select("band", "slot", "node", "comp"), sizes).join(classes.select("node", "n", "sketch"), "node")
+    sized, parted = _parted(members.select("band", "slot", "node", "comp").join(classes.select("node", "n"), "node"), bands)
+    rows = _in_blocks(sized).join(classes.select("node", "sketch"), "node")
     least = percent / 100 - MARGIN
 
     def likely(batches):
@@ -267,10 +299,11 @@ def _across(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
             for k in range(0, len(left), 32):
                 i = left[k : k + 32]
                 agree = x[i][:, None, :] == x[right][None, :, :]
-                bands = agree.reshape(len(i), len(right), ROUNDS // BAND_ROWS, BAND_ROWS, BUCKETS).all(axis=3).reshape(len(i), len(right), -1)
                 m, o = np.broadcast_to(n[i][:, None], agree.shape[:2]), np.broadcast_to(n[right][None, :], agree.shape[:2])
                 good = (comp[i][:, None] != comp[right][None, :]) & (np.minimum(m, o) * 100 >= np.maximum(m, o) * percent)
-                good &= (agree.mean(axis=2) >= least) & (bands.argmax(axis=2) == slot)
+                good &= agree.mean(axis=2) >= least
+                if not parted:
+                    good &= agree.reshape(len(i), len(right), ROUNDS // BAND_ROWS, BAND_ROWS, BUCKETS).all(axis=3).reshape(len(i), len(right), -1).argmax(axis=2) == slot
                 a, b = np.nonzero(good)
                 if len(a):
                     # chance agreement only lowers an estimate, so those below without the correction are out already
@@ -281,7 +314,7 @@ def _across(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
                 yield from t.select([*_KEY, "block", "node", "comp"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
     by_key = lambda df: df.repartition(*_KEY).sortWithinPartitions(*_KEY)
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     found = settle(by_key(rows).mapInArrow(likely, "band bigint, low int, high int, block int, node bigint, comp bigint"))
     if found.isEmpty():
         return found.select(F.col("node").alias("a"), F.col("node").alias("b"))
@@ -336,7 +369,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         pairs = settle(_from_centres(members).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         links = _confirmed(pairs, classes, docs, words, percent)
         roots = settle(components(links))
-        more = _across(_labelled(members, roots), classes, docs, words, percent)
+        more = _across(_labelled(members, roots), bands, classes, docs, words, percent)
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         if not more.isEmpty():
             links = settle(components(links.union(more))).select(F.col("node").alias("a"), F.col("root").alias("b"))

@@ -79,6 +79,22 @@ def test_large_bucket_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = near_dedup.near_groups(df, 4, 80)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == plain_groups(rows, 4, 80)
+    monkeypatch.setattr(near_dedup, "LEVELS", 0)
+    got = near_dedup.near_groups(df, 4, 80)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == plain_groups(rows, 4, 80)
+
+
+def test_a_bucket_of_many_components_is_parted(spark):
+    """20,000 members of one bucket, each a component of its own but for pairs that share all bands: rows stay linear."""
+    n = 20_000
+    bands = spark.range(n).select(F.col("id").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("slot"))
+    bands = bands.withColumn("band", F.when(F.col("slot") == 3, F.lit(7)).otherwise(F.xxhash64((F.col("node") / 2).cast("long") % 3000, "slot"))).cache()
+    members = bands.filter("slot = 3").select("band", F.col("slot").cast("int").alias("slot"), "node", F.col("node").alias("comp"), F.lit(100).cast("long").alias("n"))
+    out, parted = near_dedup._parted(members, bands)
+    assert parted and out.count() <= near_dedup.FOLLOWING * n
+    assert out.groupBy("band").count().agg(F.max("count")).first()[0] <= near_dedup.BLOCK
+    met = out.select("band", F.col("node").alias("a")).join(out.select("band", F.col("node").alias("b")), "band").filter("b = a + 1 and a % 2 = 0").select("a").distinct().count()
+    assert met == n / 2
 
 
 def test_near_groups_of_nothing(spark):
