@@ -29,8 +29,8 @@ SYMBOL_WORDS, CLASSES, HEAD_WORDS = 512, 48, 200_000
 MIN_COUNT = 5
 #: Shapes of all other words: by length and by their last two bytes.
 SHAPES = 64
-#: Passes of the exchange algorithm at most.
-PASSES = 12
+#: Passes of the exchange algorithm at most, and the rise of the log-likelihood, as a share, with which a sweep is the last.
+PASSES, LEAST_RISE = 12, 1e-3
 #: Bytes of text whose words are looked up at once; a longer text is looked up alone.
 CHUNK_BYTES = 1 << 18
 
@@ -103,7 +103,7 @@ class Model:
 
     head: dict[bytes, int]
     head_counts: np.ndarray
-    hashes: np.ndarray
+    hashes: Vocabulary
     class_of: np.ndarray
     transitions: np.ndarray  # log10 P(class | class before)
     mass: np.ndarray  # log10 of what emissions of a class are divided by
@@ -112,7 +112,31 @@ class Model:
     end_count: int
 
 
-def _symbols(texts: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Vocabulary:
+    """Hashes of the symbol words in ascending order; where those of each leading bits begin."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = np.append(hashes.astype(np.uint64), np.uint64(0xFFFF_FFFF_FFFF_FFFF))
+        bits = max(8, len(hashes).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.hashes[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.hashes) - 1
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 if it is none of a symbol word."""
+        at = self.first[wanted >> self.shift].astype(np.int64)
+        here = self.hashes[at]
+        below = np.flatnonzero(here < wanted)
+        while len(below):
+            at[below] += 1
+            here[below] = self.hashes[at[below]]
+            below = below[here[below] < wanted[below]]
+        return np.where((here == wanted) & (at < len(self)), at, -1)
+
+
+def _symbols(texts: list[bytes], hashes: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of the words of all texts: the place of a word's hash, or its shape's; and where each text's words end."""
     data = b" ".join(texts).translate(LOWER_BYTES)
     if not data:
@@ -125,9 +149,8 @@ def _symbols(texts: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, np.nda
     last = codes[ends - 1] * 31 + np.where(length > 1, codes[ends - 2], 0)
     symbols = len(hashes) + ((np.minimum(length, 15) >> 2 << 4) | (last & 15))
     if len(hashes):
-        found = spaced_word_hashes(data).view(np.int64)
-        at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-        symbols = np.where(hashes[at] == found, at, symbols)
+        at = hashes.find(spaced_word_hashes(data))
+        symbols = np.where(at >= 0, at, symbols)
     return symbols, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
 
 
@@ -144,13 +167,10 @@ def _chunks(texts: list[bytes]):
         yield run
 
 
-def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    kinds, at = np.unique(codes, return_inverse=True)
-    return kinds, np.bincount(at, n, len(kinds)).astype(np.int64)
 
 
-def neighbours(train: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """A row for each symbol: the symbols beside it, k after it and -1 - k before it, and how often they stand there.
+def neighbours(train: DataFrame, hashes: Vocabulary) -> DataFrame:
+    """A row for each symbol: the symbols after it and those before it, and how often they stand there.
 
     Texts begin and end with the end symbol.  A pair of a symbol with itself is not given twice.
     """
@@ -167,16 +187,12 @@ def neighbours(train: DataFrame, hashes: np.ndarray) -> DataFrame:
         pairs, n = np.unique(np.concatenate(codes), return_counts=True)
         return {"pair": pairs, "n": n}
 
-    def both(batch):
-        pair, n = batch.column("pair").to_numpy(), batch.column("n").to_numpy()
-        a, b = pair // size, pair % size
-        two = a != b
-        return {"symbol": np.concatenate((a, b[two])), "other": np.concatenate((b, -1 - a[two])), "n": np.concatenate((n, n[two]))}
-
     def row_each(batches):
         held, kept = -1, []
         for batch in batches:
-            symbol, other, n = (batch.column(c).to_numpy() for c in ("symbol", "other", "n"))
+            place, n = batch.column("place").to_numpy(), batch.column("n").to_numpy()
+            symbol, other = place >> 33, place & ((1 << 33) - 1)
+            other = np.where(other >> 32, -1 - (other & 0xFFFF_FFFF), other)
             cuts = np.flatnonzero(np.diff(symbol)) + 1
             ids = symbol[np.concatenate(([0], cuts))].tolist() if len(symbol) else []
             done: list[tuple[int, np.ndarray, np.ndarray]] = []
@@ -189,17 +205,27 @@ def neighbours(train: DataFrame, hashes: np.ndarray) -> DataFrame:
             yield rows(done)
         yield rows([(held, *map(np.concatenate, zip(*kept)))] if kept else [])
 
+    def lists(runs, kind):
+        values = pa.array(np.concatenate(runs) if runs else [], kind)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, runs)]), pa.int32()), values)
+
     def rows(done):
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in done], pa.int32()), pa.array([r[1] for r in done], pa.list_(pa.int32())), pa.array([r[2] for r in done], pa.list_(pa.int64()))], ["symbol", "others", "n"])
+        sides = [(o[o >= 0], n[o >= 0], -1 - o[o < 0], n[o < 0]) for _, o, n in done]
+        columns = [lists([x[k] for x in sides], (pa.int32(), pa.int64())[k % 2]) for k in range(4)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in done], pa.int32()), *columns], ["symbol", "after", "n_after", "before", "n_before"])
 
     pairs = over_batches(train.select("__bytes"), pairs_of, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    beside = over_batches(pairs, both, "symbol int, other int, n bigint").repartition("symbol").sortWithinPartitions("symbol")
-    return settle(beside.mapInArrow(row_each, "symbol int, others array<int>, n array<bigint>"))
+    # a pair stands with each of its symbols: symbol, whether the other is before it, other
+    first, second = F.expr(f"pair div {size}"), F.col("pair") % size
+    places = F.shiftleft(first, 33) + second, F.shiftleft(second, 33) + F.shiftleft(F.lit(1).cast("long"), 32) + first
+    beside = pairs.select(F.explode(F.when(first == second, F.array(places[0])).otherwise(F.array(*places))).alias("place"), "n")
+    beside = beside.repartition(F.shiftright("place", 33)).sortWithinPartitions("place")
+    return settle(beside.mapInArrow(row_each, "symbol int, after array<int>, n_after array<bigint>, before array<int>, n_before array<bigint>"))
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row number, other and n of all neighbours in a batch of rows."""
-    others, n = batch.column("others"), batch.column("n")
+def _flat(batch: pa.RecordBatch, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, other symbol and count of all neighbours on one side, in a batch of rows."""
+    others, n = batch.column(side), batch.column(f"n_{side}")
     row = np.repeat(np.arange(len(others)), others.value_lengths().to_numpy(zero_copy_only=False))
     return row, others.flatten().to_numpy(), n.flatten().to_numpy()
 
@@ -209,13 +235,13 @@ def class_table(table: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
     shared = table.sparkSession.sparkContext.broadcast(of)
 
     def rows_of(batch):
-        row, other, n = _flat(batch)
-        after = other >= 0
-        a = shared.value[batch.column("symbol").to_numpy()].astype(np.int64)[row[after]]
-        codes, n = _summed(a * classes + shared.value[other[after]], n[after])
-        return {"pair": codes, "n": n}
+        row, other, n = _flat(batch, "after")
+        a = shared.value[batch.column("symbol").to_numpy()].astype(np.int64)[row]
+        codes = np.bincount(a * classes + shared.value[other], n, classes * classes)
+        kinds = np.flatnonzero(codes)
+        return {"pair": kinds, "n": codes[kinds].astype(np.int64)}
 
-    got = over_batches(table, rows_of, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    got = over_batches(table.select("symbol", "after", "n_after"), rows_of, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(classes * classes)
     out[np.asarray(got["pair"])] = np.asarray(got["n"])
     shared.destroy()
@@ -253,10 +279,14 @@ def moves(table: DataFrame, of: np.ndarray, sums: np.ndarray, part: int, parts:
 
     def rows_of(batch):
         of, symbol = shared.value, batch.column("symbol").to_numpy()
-        row, other, n = _flat(batch)
-        code = of[np.where(other < 0, -1 - other, other)] + classes * (other < 0)
-        code[symbol[row] == other] = 2 * classes
-        contexts = np.bincount(row * width + code, n, len(symbol) * width).reshape(-1, width)
+        contexts = np.zeros(len(symbol) * width)
+        for side, shift in (("after", 0), ("before", classes)):
+            row, other, n = _flat(batch, side)
+            code = row * width + of[other] + shift
+            itself = symbol[row] == other
+            code[itself] = row[itself] * width + 2 * classes
+            contexts += np.bincount(code, n, len(contexts))
+        contexts = contexts.reshape(-1, width)
         own = of[symbol].astype(np.int64)
         best = best_classes(contexts, own, sums)
         moved = best != own
@@ -273,10 +303,12 @@ def exchange_rounds(table: DataFrame, of: np.ndarray, classes: int, rounds: int
 
     The words of a round move at once, each to its best class under the sums of the round before, and neighbours that
     move together can undo each other's gain.  So a round takes one part of the words; one that lowers the likelihood
-    is undone and the parts are made smaller.  It ends when no part has a word that moves, or after ``rounds``.
+    is undone and the parts are made smaller.  It ends when no part has a word that moves, when a sweep over all parts
+    raises the likelihood by less than LEAST_RISE of it, or after ``rounds``.
     """
     sums = class_table(table, of, classes)
     parts, part, still = 2, 0, 0
+    sweep = likelihood(sums)
     for _ in range(rounds):
         symbols, to = moves(table, of, sums, part, parts)
         still = 0 if len(symbols) else still + 1
@@ -291,6 +323,10 @@ def exchange_rounds(table: DataFrame, of: np.ndarray, classes: int, rounds: int
             else:
                 parts, still = 2 * parts, 0
         part = (part + 1) % parts
+        if part == 0:
+            if likelihood(sums) - sweep < LEAST_RISE * abs(sweep):
+                break
+            sweep = likelihood(sums)
     return of, sums
 
 
@@ -317,8 +353,8 @@ def _head(counts: DataFrame, size: int) -> tuple[list[tuple[bytes, int, int]], i
         least, total = n, total + words
     if not least:
         return [], 1 << 62
-    got = [(bytes(r["word"]), r["n"], r["shape"]) for r in counts.filter(F.col("n") >= least).collect()]
-    return sorted(got, key=lambda r: (-r[1], r[0])), least
+    got = counts.filter(F.col("n") >= least).select("word", "n", "shape").toArrow().to_pydict()
+    return sorted(zip(got["word"], got["n"], got["shape"], strict=True), key=lambda r: (-r[1], r[0])), least
 
 
 def fit(train: DataFrame, counts: DataFrame, classes: int = CLASSES) -> tuple[Model, int]:
@@ -333,9 +369,10 @@ def fit(train: DataFrame, counts: DataFrame, classes: int = CLASSES) -> tuple[Mo
         return {"hash": spaced_word_hashes(b" ".join(batch.column("word").to_pylist())).view(np.int64), "n": batch.column("n"), "shape": batch.column("shape")}
 
     got = over_batches(counts.filter(F.col("n") >= MIN_COUNT), hashed, "hash bigint, n bigint, shape int").toArrow()
-    hashes, first, at = np.unique(np.asarray(got["hash"]), return_index=True, return_inverse=True)
+    hashes, first, at = np.unique(np.asarray(got["hash"]).view(np.uint64), return_index=True, return_inverse=True)
     n_of, shape_of = np.bincount(at, np.asarray(got["n"]), len(hashes)), np.asarray(got["shape"])[first]
-    table = neighbours(train, hashes)
+    words_of = Vocabulary(hashes)
+    table = neighbours(train, words_of)
     # to begin with the most frequent words and the shapes are clustered; any other word has its shape's class
     seeds = np.lexsort((hashes, -n_of))[:SYMBOL_WORDS]
     coarse = np.concatenate((SYMBOL_WORDS + shape_of, SYMBOL_WORDS + np.arange(SHAPES + 1))).astype(np.int32)
@@ -350,7 +387,7 @@ def fit(train: DataFrame, counts: DataFrame, classes: int = CLASSES) -> tuple[Mo
         c = of[len(hashes) + r["shape"]]
         words[c], tokens[c] = words[c] + r["v"], tokens[c] + r["n"]
     words[0], tokens[0] = 1, n_docs
-    model = Model(head, head_counts, hashes, of, transitions, np.log10(tokens + words + 1), int(totals[0] or 0) + n_docs, int(totals[1]) + (n_docs > 0), n_docs)
+    model = Model(head, head_counts, words_of, of, transitions, np.log10(tokens + words + 1), int(totals[0] or 0) + n_docs, int(totals[1]) + (n_docs > 0), n_docs)
     return model, least
 
 

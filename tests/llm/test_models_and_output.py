@@ -250,11 +250,10 @@ def test_class_lm_clusters_words_beyond_the_seeds(spark, monkeypatch):
         want.update(zip(path, path[1:]))
     got = Counter()
     for r in class_lm.neighbours(train, model.hashes).collect():
-        for k, n in zip(r.others, r.n, strict=True):
-            if k >= 0:
-                got[r.symbol, k] += n
-            else:
-                assert want[-1 - k, r.symbol] == n
+        for k, n in zip(r.after, r.n_after, strict=True):
+            got[r.symbol, k] += n
+        for k, n in zip(r.before, r.n_before, strict=True):
+            assert want[k, r.symbol] == n and k != r.symbol
     assert got == want
 
 
