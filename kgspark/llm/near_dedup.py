@@ -230,33 +230,31 @@ def _groups(batches, key: tuple[str, ...]):
         yield rest
 
 
-_KEY = ("band", "low", "high")
+_KEY = ("band", "block", "part")
 
 
 def _sizes(members: DataFrame) -> DataFrame:
-    """band, rows, shingles: the buckets that have members of more than one component."""
+    """band, blocks, main (the component with most members) and minor (how many are of others), of buckets with several."""
     parts = members.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum("n").alias("shingles")).groupBy("band")
-    return settle(parts.agg(F.count("*").alias("parts"), F.sum("n").alias("rows"), F.sum("shingles").alias("shingles")).filter("parts > 1"))
-
-
-def _blocks() -> Column:
-    return F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = parts.agg(F.count("*").alias("parts"), F.sum("n").alias("rows"), F.sum("shingles").alias("shingles"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"))
+    blocks = F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    return settle(sizes.filter("parts > 1").select("band", blocks.alias("blocks"), "main", (F.col("rows") - F.col("most")).alias("minor")))
 
 
 def _parted(members: DataFrame, bands: DataFrame) -> tuple[DataFrame, bool]:
-    """Rows of members (band, slot, node, comp, n) with rows and shingles of their bucket, and whether any was parted.
+    """Rows of members (band, slot, node, comp, n) with the sizes of their bucket, and whether any was parted.
 
-    Members of a bucket that is more than a block are dealt to the buckets that they share with a band after theirs as
-    well: similar ones share a third of all bands or more, others seldom do.  So a row becomes FOLLOWING rows a level,
-    whatever the size of its bucket.  Buckets that are still large after LEVELS are left as they are.
+    Members of a bucket with more than a block of minor members are dealt to the buckets that they share with a band
+    after theirs as well: similar ones share a third of all bands or more, others seldom do.  So a row becomes FOLLOWING
+    rows a level, whatever the size of its bucket.  Buckets that are still large after LEVELS are left as they are.
     """
     out, parted = None, False
     n_bands = ROUNDS * BUCKETS // BAND_ROWS
     for level in range(LEVELS + 1):
         sized = members.join(_sizes(members), "band")
-        fits = sized.filter(_blocks() <= 1) if level < LEVELS else sized
+        fits = sized.filter(F.col("minor") <= BLOCK) if level < LEVELS else sized
         out = fits if out is None else out.unionByName(fits)
-        large = settle(sized.filter(_blocks() > 1).select("band", "slot", "node", "comp", "n")) if level < LEVELS else None
+        large = settle(sized.filter(F.col("minor") > BLOCK).select("band", "slot", "node", "comp", "n")) if level < LEVELS else None
         if large is None or large.isEmpty():
             break
         parted = True
@@ -267,14 +265,20 @@ def _parted(members: DataFrame, bands: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def _in_blocks(sized: DataFrame) -> DataFrame:
-    """Rows of sized for each pair of blocks of their bucket that they belong to, with low, high, block.
+    """Rows of sized (see ``_parted``) by block, with part and visits.
 
-    A bucket that fits is one block; each row of a larger one goes to every pair of its own block with another.
+    Each member is at home in one block of its bucket, and minor ones visit every block to be held against those at
+    home.  Of two members of different components one is minor, so they meet.  If more than BLOCK visit, they come in
+    parts, and those at home are there for each part.
     """
-    n = _blocks()
-    block = F.pmod(F.xxhash64("node"), n).cast("int")
-    rows = sized.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    return rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("rows", "shingles", "other")
+    parts = F.ceil(F.col("minor") / BLOCK).cast("int")
+    home, visit = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("node", F.lit("visit")), parts).cast("int")
+    once = sized.filter(F.col("minor") <= BLOCK).withColumns({"block": home, "part": F.lit(0)})
+    again = sized.filter(F.col("minor") > BLOCK).withColumn("block", home).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    visits = sized.filter("comp <> main").withColumn("part", visit).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["band", "block", "part", "slot", "node", "comp", "n"]
+    at_home = once.select(*columns).unionByName(again.select(*columns)).withColumn("visits", F.lit(False))
+    return at_home.unionByName(visits.select(*columns).withColumn("visits", F.lit(True)))
 
 
 def _across(members: DataFrame, bands: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -289,12 +293,10 @@ def _across(members: DataFrame, bands: DataFrame, classes: DataFrame, docs: Data
 
     def likely(batches):
         for t in _groups(batches, _KEY):
-            n, comp, block = (np.asarray(t.column(c)) for c in ("n", "comp", "block"))
+            n, comp, visits = (np.asarray(t.column(c)) for c in ("n", "comp", "visits"))
             x = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(len(n), -1)
-            low, slot = t.column("low")[0].as_py(), t.column("slot")[0].as_py()
-            alone = low == t.column("high")[0].as_py()
-            left = np.arange(len(n)) if alone else np.flatnonzero(block == low)
-            right = left if alone else np.flatnonzero(block != low)
+            slot = t.column("slot")[0].as_py()
+            left, right = np.flatnonzero(visits), np.flatnonzero(~visits)
             keep = np.zeros(len(n), bool)
             for k in range(0, len(left), 32):
                 i = left[k : k + 32]
@@ -311,33 +313,36 @@ def _across(members: DataFrame, bands: DataFrame, classes: DataFrame, docs: Data
                     sure = (agree.mean(axis=2)[a, b] - chance) / (1 - chance) >= least
                     keep[i[a[sure]]] = keep[right[b[sure]]] = True
             if keep.any():
-                yield from t.select([*_KEY, "block", "node", "comp"]).filter(pa.array(keep)).combine_chunks().to_batches()
+                yield from t.select([*_KEY, "visits", "node", "comp"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
     by_key = lambda df: df.repartition(*_KEY).sortWithinPartitions(*_KEY)
     ready(docs.sparkSession)
-    found = settle(by_key(rows).mapInArrow(likely, "band bigint, low int, high int, block int, node bigint, comp bigint"))
+    found = settle(by_key(rows).mapInArrow(likely, "band bigint, block int, part int, visits boolean, node bigint, comp bigint"))
     if found.isEmpty():
         return found.select(F.col("node").alias("a"), F.col("node").alias("b"))
     full = found.join(_sets(found.select("node").distinct(), classes, docs, words), "node")
 
     def linked(batches):
         for t in _groups(batches, _KEY):
-            nodes, comp, block = (np.asarray(t.column(c)) for c in ("node", "comp", "block"))
-            sets = [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()]
+            nodes, comp, visits = (np.asarray(t.column(c)) for c in ("node", "comp", "visits"))
+            left, right = np.flatnonzero(visits), np.flatnonzero(~visits)
+            if not (len(left) and len(right)):
+                continue
+            column = t.column("set")
+            sets = [np.frombuffer(column[int(k)].as_py(), np.uint64) for k in right]
             sizes = np.array([len(s) for s in sets])
             names, codes = np.unique(np.concatenate(sets), return_inverse=True)
-            ends = np.cumsum(sizes)
-            low = t.column("low")[0].as_py()
-            alone = low == t.column("high")[0].as_py()
-            mine, met = np.zeros(len(names), np.int32), set()
+            starts, mine, met = np.cumsum(sizes) - sizes, np.zeros(len(names), np.int32), set()
             out: list[tuple[int, int]] = []
-            for i in range(len(sets)) if alone else np.flatnonzero(block == low):
-                own = codes[ends[i] - sizes[i] : ends[i]]
-                mine[own] = 1
-                common = np.add.reduceat(mine[codes], ends - sizes)
-                mine[own] = 0
-                good = (100 * common >= percent * (sizes + sizes[i] - common)) & (comp != comp[i])
-                for j in np.flatnonzero(good if alone else good & (block != low)):
+            for i in left:
+                own = np.frombuffer(column[int(i)].as_py(), np.uint64)
+                at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                at = at[names[at] == own]
+                mine[at] = 1
+                common = np.add.reduceat(mine[codes], starts)
+                mine[at] = 0
+                good = (100 * common >= percent * (sizes + len(own) - common)) & (comp[right] != comp[i])
+                for j in right[good]:
                     pair = (min(comp[i], comp[j]), max(comp[i], comp[j]))
                     if pair not in met:
                         met.add(pair)

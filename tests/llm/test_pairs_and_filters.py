@@ -93,6 +93,7 @@ def test_a_bucket_of_many_components_is_parted(spark):
     out, parted = near_dedup._parted(members, bands)
     assert parted and out.count() <= near_dedup.FOLLOWING * n
     assert out.groupBy("band").count().agg(F.max("count")).first()[0] <= near_dedup.BLOCK
+    assert near_dedup._in_blocks(out).count() <= 2 * out.count()
     met = out.select("band", F.col("node").alias("a")).join(out.select("band", F.col("node").alias("b")), "band").filter("b = a + 1 and a % 2 = 0").select("a").distinct().count()
     assert met == n / 2
 
