@@ -196,7 +196,7 @@ def test_distance(spark):
 def test_licenses(spark):
     body = licenses.TEMPLATES[0].text
     texts = ["Released under the MIT License.", "MIT-license mit LICENSE x apache license", None, "", "no such thing", "GNU Lesser General Public License", f"start {body} end", body.replace("copy", "cpy"), "mit is not a license", "licensed under cc by nc 4 0", "mit license " * 5000]
-    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS)
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)] * 2, DOCS).withColumns({"n_words": F.lit(0), "labels": F.lit("clash")})
     got = {r.doc_id: r for r in licenses.scan(df).collect()}
     for k, t in enumerate(texts):
         w = alnum(t)
@@ -207,3 +207,34 @@ def test_licenses(spark):
         assert set(names) <= set(r.labels.split(",")) | ({""} if not names else set()) and 0 <= r.score <= 1
     assert got[5].labels == "gpl,lgpl" and got[6].labels == "mit" and got[7].labels == "mit" and got[8].labels == "" and got[9].labels == "cc-by-nc"
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_licence_labels_by_brute_force(seed):
+    """Every place of every template, without the index."""
+    rng = random.Random(seed)
+    frequencies = {w: rng.randint(0, 900) for t in licenses.TEMPLATES for w in licenses.lower_alnum_words(t.text.encode())}
+    index = licenses.build(1000, frequencies)
+    found = 0
+    for _ in range(40):
+        words = []
+        for _ in range(rng.randint(0, 3)):
+            body = rng.choice(licenses.TEMPLATES).text.split()
+            body = [w for w in body if rng.random() > rng.choice([0, 0.01, 0.1])]
+            for _ in range(rng.choice([0, 0, 3, 20])):
+                body.insert(rng.randrange(len(body) + 1), rng.choice(["the", "software", "zebra", "license"]))
+            words += [rng.choice(["plain", "of", "software"]) for _ in range(rng.randint(0, 6))] + body
+        data = [w.encode() for w in words]
+        places = defaultdict(set)
+        for k, w in enumerate(data):
+            places[w].add(k)
+        want = {label for p, label in licenses.BASE if f" {p} " in f" {' '.join(words)} "}
+        for t, template in enumerate(index.words):
+            starts = [[k for k in range(len(data)) if data[k : k + len(p)] == p] for p in index.mandatory[t]]
+            for start in range(-len(template), len(data)):
+                if all(any(start - 4 <= p <= start + len(template) + 4 for p in ps) for ps in starts):
+                    if licenses.found_weight(template, start, places, index.weights) >= 0.7 * index.total(t):
+                        want.add(index.labels[t])
+        assert licenses.match(data, index)[2] == want
+        found += bool(want)
+    assert found > 10
