@@ -29,11 +29,14 @@ HINTS = re.compile(
     r"subscribe\w*|signup|login|share\w*|social\w*|related\w*|recommend\w*|pager|pagination|legal|copyright|disclaimer|toolbar|search)(?:$|[\s_-])",
     re.I,
 )
+# Elements that are text themselves, and the fewer words that mark one of them (fixed values).
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th".split())
+PARAGRAPH_HINTS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookie\w*|newsletter|subscribe\w*|share\w*|social\w*|comment\w*|copyright)(?:$|[\s_-])", re.I)
 # Roles of an element that is not main text (fixed values).
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template|iframe)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|$)|<[A-Za-z][^<>]*$|[^<]+|<", re.S | re.I)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template|iframe)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*+)>|<[!?/][^>]*(?:>|$)|<[A-Za-z][^<>]*$|[^<]+|<", re.S | re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?|"[^"]*"|'[^']*'""")
 _SPACES = re.compile(r"\s+")
 
 
@@ -65,7 +68,7 @@ def _flags(tag: str, attributes: str, inside_main: bool) -> tuple[int, int, int]
             main |= int(value.lower() in ("main", "article"))
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             boilerplate |= 1
-        elif name in ("class", "id") and HINTS.search(value) and not (tag in ("body", "html", "article", "main")):
+        elif name in ("class", "id") and tag not in ("body", "html", "article", "main") and (PARAGRAPH_HINTS if tag in PARAGRAPHS else HINTS).search(value):
             hint = 1
     return boilerplate, main, hint
 
@@ -154,44 +157,58 @@ def blocks(page: str) -> list[Block]:
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "boilerplate", "main", "heading", "page_has_main")
 
-# Labelled blocks (fixed training values): shapes of a block with its neighbours (words, link_density, words_before,
-# link_density_before, words_after, link_density_after) and whether such a block is main text where nothing but its
-# shape tells.
-SHAPES = (
-    (120, 0.0, 8, 0.0, 90, 0.0, 1),
-    (64, 0.02, 120, 0.0, 45, 0.0, 1),
-    (35, 0.05, 90, 0.0, 60, 0.0, 1),
-    (18, 0.0, 50, 0.0, 44, 0.0, 1),
-    (12, 0.1, 35, 0.1, 25, 0.0, 1),
-    (4, 0.0, 60, 0.0, 70, 0.0, 1),
-    (8, 0.0, 1, 0.0, 34, 0.0, 1),
-    (25, 0.0, 1, 1.0, 90, 0.0, 1),
-    (15, 0.0, 60, 0.0, 0, 0.0, 1),
-    (1, 1.0, 0, 0.0, 1, 1.0, 0),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0),
-    (5, 0.8, 4, 1.0, 5, 0.6, 0),
-    (20, 0.7, 6, 1.0, 14, 0.6, 0),
-    (40, 0.6, 30, 0.0, 9, 0.4, 0),
-    (3, 0.0, 4, 0.0, 2, 0.0, 0),
-    (2, 0.0, 2, 1.0, 3, 1.0, 0),
-    (4, 0.0, 7, 0.0, 0, 0.0, 0),
-    (6, 0.0, 1, 1.0, 3, 1.0, 0),
+# Labelled blocks of pages (fixed training values), in page order: (words, words in links, boilerplate, main, heading,
+# whether it is main text).  Few pages mark their main element, and not all that is no main text is marked.
+PAGES = (
+    # news, unmarked: menu, headline, byline, paragraphs, teasers, footer
+    ((1, 1, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (9, 0, 0, 0, 1, 1), (4, 0, 0, 0, 0, 0), (48, 0, 0, 0, 0, 1), (71, 2, 0, 0, 0, 1), (33, 0, 0, 0, 0, 1), (7, 0, 0, 0, 1, 1), (56, 1, 0, 0, 0, 1), (14, 0, 0, 0, 0, 1), (62, 3, 0, 0, 0, 1), (2, 0, 0, 0, 1, 0), (9, 9, 0, 0, 0, 0), (11, 11, 0, 0, 0, 0), (8, 8, 0, 0, 0, 0), (6, 3, 0, 0, 0, 0)),
+    # weblog, unmarked, with a link list beside the text
+    ((3, 3, 0, 0, 1, 0), (6, 0, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (6, 0, 0, 0, 1, 1), (88, 4, 0, 0, 0, 1), (120, 0, 0, 0, 0, 1), (22, 6, 0, 0, 0, 1), (95, 1, 0, 0, 0, 1), (41, 0, 0, 0, 0, 1), (5, 4, 0, 0, 0, 0), (2, 0, 0, 0, 1, 0), (3, 3, 0, 0, 0, 0), (4, 4, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (18, 15, 0, 0, 0, 0)),
+    # recipe: ingredients are short and stand together between paragraphs
+    ((1, 1, 1, 0, 0, 0), (1, 1, 1, 0, 0, 0), (4, 0, 0, 1, 1, 1), (36, 0, 0, 1, 0, 1), (3, 0, 0, 1, 0, 1), (3, 0, 0, 1, 0, 1), (4, 0, 0, 1, 0, 1), (2, 0, 0, 1, 0, 1), (25, 0, 0, 1, 0, 1), (30, 2, 0, 1, 0, 1), (4, 0, 0, 0, 0, 0), (38, 0, 1, 0, 0, 0), (9, 2, 1, 0, 0, 0)),
+    # article element with a list of links at its end
+    ((2, 2, 1, 0, 0, 0), (8, 0, 0, 1, 1, 1), (64, 0, 0, 1, 0, 1), (5, 0, 0, 1, 0, 1), (77, 5, 0, 1, 0, 1), (19, 1, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1), (44, 0, 0, 1, 0, 1), (7, 7, 0, 1, 0, 0), (8, 8, 0, 1, 0, 0), (6, 6, 0, 1, 0, 0), (5, 5, 0, 1, 0, 0), (10, 1, 1, 0, 0, 0)),
+    # article element; notice, newsletter form and comments are marked, an advert is not
+    ((16, 1, 1, 0, 0, 0), (5, 0, 0, 1, 1, 1), (52, 0, 0, 1, 0, 1), (21, 0, 1, 1, 0, 0), (8, 0, 0, 1, 0, 1), (43, 0, 0, 1, 0, 1), (80, 2, 0, 1, 0, 1), (6, 0, 1, 1, 0, 0), (12, 0, 0, 0, 0, 0), (34, 0, 1, 0, 0, 0), (52, 0, 1, 0, 0, 0), (28, 0, 1, 1, 0, 0), (7, 0, 1, 0, 0, 0)),
+    # encyclopedia, unmarked: long paragraphs with many links, a box of links
+    ((1, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (2, 0, 0, 0, 1, 1), (110, 24, 0, 0, 0, 1), (84, 21, 0, 0, 0, 1), (3, 0, 0, 0, 1, 1), (130, 30, 0, 0, 0, 1), (59, 17, 0, 0, 0, 1), (40, 37, 0, 0, 0, 0), (26, 26, 0, 0, 0, 0), (31, 28, 0, 0, 0, 0), (20, 4, 0, 0, 0, 0)),
+    # shop, unmarked: short lines without links, one description
+    ((2, 2, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (5, 0, 0, 0, 1, 1), (46, 0, 0, 0, 0, 1), (29, 0, 0, 0, 0, 1), (2, 0, 0, 0, 0, 0), (3, 0, 0, 0, 0, 0), (2, 0, 0, 0, 0, 0), (4, 4, 0, 0, 0, 0), (4, 4, 0, 0, 0, 0), (3, 0, 0, 0, 0, 0), (5, 5, 0, 0, 0, 0)),
+    # home page: teasers only
+    ((1, 1, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (7, 7, 0, 0, 1, 0), (17, 2, 0, 0, 0, 0), (8, 8, 0, 0, 1, 0), (15, 2, 0, 0, 0, 0), (6, 6, 0, 0, 1, 0), (16, 2, 0, 0, 0, 0), (9, 9, 0, 0, 1, 0), (3, 0, 0, 0, 0, 0), (5, 5, 0, 0, 0, 0)),
+    # manual, main element: short steps and headings
+    ((1, 1, 1, 0, 0, 0), (3, 3, 1, 0, 0, 0), (3, 0, 0, 1, 1, 1), (18, 0, 0, 1, 0, 1), (6, 0, 0, 1, 0, 1), (4, 0, 0, 1, 0, 1), (2, 0, 0, 1, 1, 1), (9, 0, 0, 1, 0, 1), (3, 1, 0, 1, 0, 1), (26, 3, 0, 1, 0, 1), (2, 2, 0, 1, 0, 0), (2, 2, 0, 1, 0, 0), (11, 0, 0, 0, 0, 0)),
+    # forum and letter, unmarked: long first text, marked replies
+    ((2, 2, 0, 0, 0, 0), (7, 0, 0, 0, 1, 1), (66, 0, 0, 0, 0, 1), (24, 0, 0, 0, 0, 1), (13, 0, 0, 0, 0, 1), (39, 0, 0, 0, 0, 1), (30, 0, 1, 0, 0, 0), (61, 2, 1, 0, 0, 0), (8, 0, 1, 0, 0, 0), (4, 2, 0, 0, 0, 0)),
+    # article element without text but for its heading; long marked parts around it
+    ((40, 3, 1, 0, 0, 0), (6, 0, 0, 1, 1, 1), (90, 0, 1, 0, 0, 0), (55, 30, 1, 0, 0, 0), (3, 0, 0, 0, 0, 0)),
+    # page of one text
+    ((75, 0, 0, 0, 0, 1), (102, 3, 0, 0, 0, 1), (15, 0, 0, 0, 0, 1), (54, 0, 0, 0, 0, 1)),
+    # news, main element: unmarked notice before it, pager inside it
+    ((22, 2, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (10, 0, 0, 1, 1, 1), (3, 0, 0, 1, 0, 1), (57, 0, 0, 1, 0, 1), (68, 8, 0, 1, 0, 1), (32, 0, 0, 1, 0, 1), (1, 1, 0, 1, 0, 0), (1, 1, 0, 1, 0, 0), (1, 1, 0, 1, 0, 0), (25, 0, 0, 0, 0, 0), (14, 0, 0, 0, 0, 0)),
 )
-# Where a block stands (boilerplate, main, heading, page_has_main) and whether it is main text there; None: by its shape.
-PLACES = (
-    (1, 0, 0, 1, 0),
-    (1, 1, 0, 1, 0),
-    (1, 1, 1, 1, 0),
-    (1, 0, 0, 0, 0),
-    (1, 0, 1, 0, 0),
-    (0, 0, 0, 1, 0),
-    (0, 0, 1, 1, 0),
-    (0, 1, 0, 1, 1),
-    (0, 1, 1, 1, 1),
-    (0, 0, 0, 0, None),
-    (0, 0, 1, 0, None),
-)
-LABELLED = tuple((*shape, *place, by_shape if label is None else label) for *shape, by_shape in SHAPES for *place, label in PLACES)
+
+
+def rows_of_page(found: list[tuple[int, int, int, int, int]]) -> list[tuple[float, ...]]:
+    """FEATURES of the blocks of a page: (words, words in links, boilerplate, main, heading) in page order."""
+    has_main = int(any(b[3] for b in found))
+    ends = [(0, 0.0), *((w, linked / w if w else 0.0) for w, linked, *_ in found), (0, 0.0)]
+    return [(*ends[k + 1], *ends[k], *ends[k + 2], *b[2:5], has_main) for k, b in enumerate(found)]
+
+
+def _rows(pages) -> tuple:
+    return tuple((*row, block[5]) for page in pages for row, block in zip(rows_of_page([b[:5] for b in page]), page, strict=True))
+
+
+def _variants(pages) -> list:
+    """The pages as they are, with their text in a main element, with all else in marked elements, and with both."""
+    out = list(pages)
+    for marked_text, marked_rest in ((1, 0), (0, 1), (1, 1)):
+        out += [[(w, linked, int(b or (marked_rest and not y)), int(m or (marked_text and y)), h, y) for w, linked, b, m, h, y in page] for page in pages]
+    return out
+
+
+LABELLED = _rows(_variants(PAGES))
 
 
 @dataclass
@@ -205,8 +222,8 @@ class Node:
     above: Node | None = None
 
 
-def grow(rows, depth: int = 8) -> Node:
-    """A decision tree by Gini impurity; ties go to the feature named first, then the lower threshold."""
+def grow(rows, depth: int = 8, least: int = 3) -> Node:
+    """A decision tree by Gini impurity with ``least`` rows or more in each leaf; ties go to the feature named first, then the lower threshold."""
     yes = sum(r[-1] for r in rows)
     node = Node(2 * yes >= len(rows))
     if depth == 0 or yes in (0, len(rows)):
@@ -222,11 +239,11 @@ def grow(rows, depth: int = 8) -> Node:
         for low, high in zip(values, values[1:]):
             at = (low + high) / 2
             parts = [r for r in rows if r[f] <= at], [r for r in rows if r[f] > at]
-            if (x := sum(map(impurity, parts))) < best - 1e-9:
+            if min(map(len, parts)) >= least and (x := sum(map(impurity, parts))) < best - 1e-9:
                 best, node.feature, node.at = x, f, at
     if node.feature is not None:
-        node.below = grow([r for r in rows if r[node.feature] <= node.at], depth - 1)
-        node.above = grow([r for r in rows if r[node.feature] > node.at], depth - 1)
+        node.below = grow([r for r in rows if r[node.feature] <= node.at], depth - 1, least)
+        node.above = grow([r for r in rows if r[node.feature] > node.at], depth - 1, least)
     return node
 
 
@@ -238,9 +255,7 @@ def classify(tree: Node, row) -> bool:
 
 def main_blocks(page: str, tree: Node) -> list[str]:
     found = blocks(page)
-    has_main = int(any(b.main for b in found))
-    ends = [(0, 0.0), *((b.words, b.link_density) for b in found), (0, 0.0)]
-    rows = [(*ends[k + 1], *ends[k], *ends[k + 2], b.boilerplate, b.main, b.heading, has_main) for k, b in enumerate(found)]
+    rows = rows_of_page([(b.words, b.link_words, b.boilerplate, b.main, b.heading) for b in found])
     return [b.text for b, row in zip(found, rows, strict=True) if classify(tree, row)]
 
 

@@ -29,3 +29,43 @@ def test_article_is_kept(page):
 @pytest.mark.parametrize("attributes", ["hidden", 'class="sidebar"', "id=comments", "role=navigation", "aria-hidden='true'", 'data-x="1" HIDDEN'])
 def test_marked_parts_are_still_left_out(attributes):
     assert html_text.main_blocks(f"<body><article>{ARTICLE}</article><div {attributes}><p>{WORDS}</p></div></body>", TREE) == TEXT
+
+
+def used(node):
+    return set() if node.feature is None else {html_text.FEATURES[node.feature]} | used(node.below) | used(node.above)
+
+
+def test_the_tree_reads_the_blocks():
+    assert {"words", "link_density"} <= used(TREE) and used(TREE) & {"link_density_before", "link_density_after", "words_before", "words_after"}
+
+
+def test_held_out_pages_without_a_main_element():
+    right = n = 0
+    for k, page in enumerate(html_text.PAGES):
+        tree = html_text.grow(html_text._rows(html_text._variants([p for j, p in enumerate(html_text.PAGES) if j != k])))
+        if not any(b[3] for b in page):
+            rows = html_text.rows_of_page([b[:5] for b in page])
+            right, n = right + sum(html_text.classify(tree, r) == bool(b[5]) for r, b in zip(rows, page, strict=True)), n + len(page)
+    print("blocks of held-out pages judged right:", right, "of", n)
+    assert right / n > 0.8
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<p data-x=don't>{WORDS}", [WORDS]),
+        (f"<input value='unclosed><p>{WORDS}</p>", [WORDS]),
+        (f'<p title="a > b" data-y=\'<i>\'>{WORDS}</p>', [WORDS]),
+        (f"<article><p class='search'>{WORDS}</p></article>", [WORDS]),
+        ("<a " + "x='1' " * 5000, []),
+    ],
+)
+def test_odd_tags_do_not_leak(page, want):
+    assert html_text.main_blocks(page, TREE) == want
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", f"<p>{WORDS}", "clash", 7)] * 2 + [(None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars int")
+    got = html_text.extract(df)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted(map(tuple, got.collect()), key=repr) == [(1, "u", WORDS, len(WORDS))] * 2 + [(None, None, "", 0)]
