@@ -30,7 +30,7 @@ graph("concepts_subsumed", "SELECT c.* FROM concepts c JOIN closure t ON t.desce
 graph("name_substring", "SELECT id, concept_type, name FROM concepts WHERE contains(lower(name), 'er#00000001')")
 graph("trigram_division", "SELECT id, name FROM concepts WHERE contains(lower(name), 'ring #12')")
 graph("relations_filtered", f"SELECT {EDGE} FROM relations WHERE source = {ORDER7} AND relation_type = 'contains_part'")
-graph("edge_node_join", "SELECT r.id, a.name AS source_name, b.name AS target_name FROM relations r JOIN concepts a ON a.id = r.source JOIN concepts b ON b.id = r.target WHERE r.relation_type = 'located_in'")
+graph("edge_node_join", "SELECT r.id, a.name AS source_name, b.name AS target_name FROM relations r JOIN concepts a ON a.id = r.source JOIN concepts b ON b.id = r.target")
 graph("outgoing", f"SELECT {EDGE} FROM relations WHERE source = {ORDER7}")
 graph("incoming", f"SELECT {EDGE} FROM relations WHERE target = {NATION3}")
 graph("outgoing_typed_virtual", f"SELECT id, 'placed' AS relation_type, target AS source, source AS target, CAST(1 AS BIGINT) AS virt FROM relations WHERE relation_type = 'placed_by' AND target = {CUSTOMER7}")
@@ -39,8 +39,7 @@ graph(
     "resolve_named_relations",
     """SELECT o_orderkey AS named_id, a.id AS source_id, b.id AS target_id FROM orders
     LEFT JOIN concepts a ON a.concept_type = 'Order' AND lower(a.name) = 'order#' || o_orderkey
-    LEFT JOIN concepts b ON b.concept_type = 'Customer' AND lower(b.name) = CASE WHEN o_orderkey % 50 = 0 THEN 'nobody' ELSE 'customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') END
-    WHERE o_orderkey % 10 = 0""",
+    LEFT JOIN concepts b ON b.concept_type = 'Customer' AND lower(b.name) = CASE WHEN o_orderkey % 50 = 0 THEN 'nobody' ELSE 'customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') END""",
 )
 graph(
     "dangling_endpoints",
@@ -55,10 +54,10 @@ graph(
     """SELECT r.id, CASE WHEN d.relation_type IS NULL THEN 'UnknownRelationType' ELSE 'SchemaViolation' END AS code
     FROM rows r LEFT JOIN concepts a ON a.id = r.source LEFT JOIN concepts b ON b.id = r.target LEFT JOIN declared d ON d.relation_type = r.relation_type
     WHERE d.relation_type IS NULL OR NOT EXISTS (SELECT 1 FROM closure t WHERE t.ancestor = d.dom AND t.descendant = a.concept_type) OR NOT EXISTS (SELECT 1 FROM closure t WHERE t.ancestor = d.ran AND t.descendant = b.concept_type)""",
-    f"""{SQL_CLOSURE}, declared(relation_type, dom, ran) AS (VALUES ('in_region', 'Nation', 'Region'), ('located_in', 'Party', 'Nation'), ('placed_by', 'Order', 'Customer')),
+    f"""{SQL_CLOSURE}, declared(relation_type, dom, ran) AS (VALUES ('in_region', 'Nation', 'Region'), ('located_in', 'Party', 'Nation'), ('placed_by', 'Order', 'Customer'), ('contains_part', 'Order', 'Part'), ('shipped_by', 'Order', 'Supplier')),
     rows AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'no_such_type' ELSE relation_type END AS relation_type,
-      CASE WHEN relation_type <> 'located_in' AND id % 7 = 0 THEN target ELSE source END AS source, CASE WHEN relation_type <> 'located_in' AND id % 7 = 0 THEN source ELSE target END AS target
-      FROM relations WHERE relation_type IN ('in_region', 'placed_by', 'located_in'))""",
+      CASE WHEN relation_type IN ('in_region', 'placed_by') AND id % 7 = 0 THEN target ELSE source END AS source, CASE WHEN relation_type IN ('in_region', 'placed_by') AND id % 7 = 0 THEN source ELSE target END AS target
+      FROM relations)""",
 )
 BATCH = """batch AS (
   SELECT c_custkey * 2 AS seq, 'Customer' AS concept_type, 'Party ' || c_nationkey AS name FROM customer
@@ -96,19 +95,19 @@ plain(
 
 DOC_TOKENS = TOKENS.format("coalesce(text, '')")
 plain("tokenize_counts", f"SELECT doc_id, CAST(len({DOC_TOKENS}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({DOC_TOKENS})) AS BIGINT) AS n_distinct FROM documents")
-graph("indexable_text", "SELECT id, CASE WHEN description = '' THEN name ELSE name || '. ' || description END AS text FROM concepts WHERE concept_type IN ('Customer', 'Supplier', 'Part')")
+graph("indexable_text", "SELECT id, CASE WHEN description = '' THEN name ELSE name || '. ' || description END AS text FROM concepts")
 POSTED = f"posted AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest({DOC_TOKENS}) AS term FROM documents) GROUP BY ALL)"
 plain("term_stats", f"WITH {POSTED} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM posted GROUP BY term")
 plain(
     "lexical_topk",
     f"""WITH {POSTED}, dl AS (SELECT id, sum(tf) AS dl FROM posted GROUP BY id), df AS (SELECT term, count(*) AS df FROM posted GROUP BY term),
-    q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOKENS.format('text')}) AS term FROM benchmark WHERE item_id < 40) GROUP BY ALL),
+    q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOKENS.format('text')}) AS term FROM benchmark WHERE item_id % 100 = 0) GROUP BY ALL),
     s AS (SELECT query_id, p.id, round(sum(qtf * sqrt(tf / dl) * ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5) + 1)), 9) AS score FROM q JOIN posted p USING (term) JOIN df USING (term) JOIN dl ON dl.id = p.id GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, rank, id, round(score, 6) AS score FROM r WHERE rank <= 10""",
 )
 plain(
     "vector_topk",
-    """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20),
+    """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, rank, id, round(score, 6) AS score FROM r WHERE rank <= 10""",
 )
 
@@ -125,7 +124,7 @@ plain("hash_embed", f"WITH items AS (SELECT item_id AS id, text FROM benchmark),
 
 def hybrid(query: str, pool: int, top: int, types: str = "") -> str:
     keep = f"WHERE id IN (SELECT id FROM concepts WHERE concept_type IN ({types}))" if types else ""
-    return f"""corpus AS (SELECT id, CASE WHEN description = '' THEN name ELSE name || '. ' || description END AS text FROM concepts WHERE concept_type IN ('Region', 'Nation', 'Customer', 'Supplier', 'Part')),
+    return f"""corpus AS (SELECT id, CASE WHEN description = '' THEN name ELSE name || '. ' || description END AS text FROM concepts),
     asked AS (SELECT CAST(0 AS BIGINT) AS id, '{query}' AS text),
     posted AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({TOKENS.format('text')}) AS term FROM corpus) GROUP BY ALL),
     dl AS (SELECT id, sum(tf) AS dl FROM posted GROUP BY id), df AS (SELECT term, count(*) AS df FROM posted GROUP BY term),
@@ -205,9 +204,15 @@ graph("metrics_gauges", "SELECT gauge, 'ontology_' || gauge || ' ' || value AS l
 graph("degree_by_type", "SELECT source, relation_type, count(*) AS degree FROM relations GROUP BY ALL")
 graph("ingest_stats", "SELECT 'concept' AS kind, count(*) AS n FROM concepts UNION ALL SELECT 'relation', count(*) FROM relations")
 SAMPLES = "samples AS (SELECT event_type AS series, CAST(floor(epoch(ts)) AS BIGINT) AS second, sum(value) AS value FROM events GROUP BY ALL)"
+# each sample, the next one that may be kept after it, and the chain of kept ones from the first on
+KEPT = """{source}, later AS (SELECT a.series, a.second, a.value, b.second AS nxt FROM samples a ASOF LEFT JOIN samples b ON a.series = b.series AND a.second + 60 <= b.second),
+    kept AS (SELECT * FROM later WHERE (series, second) IN (SELECT (series, min(second)) FROM samples GROUP BY series)
+      UNION ALL SELECT l.* FROM kept k JOIN later l ON l.series = k.series AND l.second = k.nxt),
+    buffer AS (SELECT series, second, value FROM kept QUALIFY row_number() OVER (PARTITION BY series ORDER BY second DESC) <= 200)"""
+plain("stats_history", f"WITH RECURSIVE {KEPT.format(source=SAMPLES.replace('sum(value)', 'min(value)'))} SELECT series, second AS at, value FROM buffer")
 plain(
     "stats_delta",
-    f"""WITH {SAMPLES}, e AS (SELECT series, arg_min(value, second) AS o, arg_max(value, second) AS n FROM samples GROUP BY series)
+    f"""WITH RECURSIVE {KEPT.format(source=SAMPLES)}, e AS (SELECT series, arg_min(value, second) AS o, arg_max(value, second) AS n FROM buffer GROUP BY series)
     SELECT series, round(o, 6) AS old, round(n, 6) AS new, round(CASE WHEN o = 0 THEN CASE WHEN n = 0 THEN 0.0 ELSE 100.0 END ELSE (n - o) / o * 100 END, 6) AS delta_percent FROM e""",
 )
 plain("invoiced_total_by_party", "SELECT c_name AS party, round(sum(o_totalprice), 2) AS total, round(max(o_totalprice), 2) AS largest FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_custkey, c_name")
@@ -225,14 +230,14 @@ plain("allocate_ids", "SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 TH
 graph(
     "apply_concept_patches",
     """SELECT c.id, c.concept_type, CASE WHEN c_acctbal < 500 AND c_custkey % 2 = 0 THEN 'renamed-' || c_custkey ELSE c.name END AS name, CASE WHEN c_acctbal < 500 THEN 'overdue' ELSE c.description END AS description
-    FROM concepts c JOIN customer ON c.id = 30000000001 + c_custkey""",
+    FROM concepts c LEFT JOIN customer ON c.id = 30000000001 + c_custkey""",
 )
 graph(
     "cascade_delete",
     "SELECT concept_type AS kind, count(*) AS n FROM concepts WHERE id NOT IN (SELECT id FROM gone) GROUP BY ALL UNION ALL SELECT relation_type, count(*) FROM relations WHERE source NOT IN (SELECT id FROM gone) AND target NOT IN (SELECT id FROM gone) GROUP BY ALL",
     "gone AS (SELECT CAST(40000000001 + s_suppkey AS BIGINT) AS id FROM supplier WHERE s_nationkey = 3)",
 )
-graph("delete_relation", f"SELECT {EDGE} FROM relations WHERE relation_type = 'in_region' OR (relation_type = 'placed_by' AND NOT (weight = 1 AND id % 2 = 0))")
+graph("delete_relation", f"SELECT {EDGE} FROM relations WHERE NOT (relation_type = 'placed_by' AND weight = 1 AND id % 2 = 0)")
 RELATED = "related AS (SELECT CAST(180000000001 + p_partkey AS BIGINT) AS id, 'related_to' AS relation_type, CAST(50000000001 + p_partkey AS BIGINT) AS source, CAST(50000000001 + p_partkey // 2 AS BIGINT) AS target, CAST(0.5 AS DOUBLE) AS weight, p_partkey AS seq FROM part)"
 plain("materialize_symmetric", f"WITH {RELATED} SELECT id, relation_type, target AS source, source AS target, weight FROM related WHERE source <> target")
 plain(
@@ -271,11 +276,11 @@ plain(
 plain("distinct_mentions", "SELECT doc_id AS id, 'Party' AS concept_type, name, 'mentions_party' AS relation_type FROM (SELECT doc_id, source AS name FROM documents UNION ALL SELECT doc_id, 'Shared' FROM documents)")
 plain(
     "bounded_description",
-    """WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE lang = 'en'),
+    """WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
     c AS (SELECT doc_id, t, (SELECT max(n) FROM range(0, 1001) r(n) WHERE strlen(t[1:n]) <= 1000) AS n FROM t)
     SELECT doc_id, CASE WHEN strlen(t) <= 1000 THEN t ELSE t[1:n] || '…' END AS description FROM c""",
 )
-LINES = "lines AS (SELECT l_orderkey AS file, CAST(l_linenumber AS BIGINT) AS chunk, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem WHERE l_orderkey < 300 GROUP BY ALL)"
+LINES = "lines AS (SELECT l_orderkey AS file, CAST(l_linenumber AS BIGINT) AS chunk, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY ALL)"
 plain(
     "proposal_refs",
     f"""WITH {LINES} SELECT file, chunk, 'concept' AS kind, 'c' || chunk || '-concept-0' AS client_ref, 'part ' || p % 50 AS name, CAST(NULL AS VARCHAR) AS target_ref FROM lines
@@ -290,13 +295,13 @@ plain(
 )
 graph(
     "proposal_conflicts",
-    """SELECT 'c0-concept-' || p_partkey AS client_ref, 'exists' AS conflict, CAST(50000000001 + p_partkey AS VARCHAR) AS detail FROM part WHERE p_partkey < 200 AND p_partkey % 3 = 0
-    UNION ALL SELECT 'c0-relation-' || p_partkey, 'dangling_ref', CASE WHEN p_partkey * 2 >= 200 THEN 'c0-concept-' || p_partkey * 2 ELSE 'Nation:nation_' || p_partkey % 40 END FROM part WHERE p_partkey < 200 AND (p_partkey * 2 >= 200 OR p_partkey % 40 >= 25)""",
+    """SELECT 'c0-concept-' || p_partkey AS client_ref, 'exists' AS conflict, CAST(50000000001 + p_partkey AS VARCHAR) AS detail FROM part WHERE p_partkey % 3 = 0
+    UNION ALL SELECT 'c0-relation-' || p_partkey, 'dangling_ref', CASE WHEN p_partkey * 2 NOT IN (SELECT p_partkey FROM part) THEN 'c0-concept-' || p_partkey * 2 ELSE 'Nation:nation_' || p_partkey % 40 END FROM part WHERE p_partkey * 2 NOT IN (SELECT p_partkey FROM part) OR p_partkey % 40 >= 25""",
 )
 graph(
     "apply_decisions",
     """SELECT client_ref, status, CASE WHEN status = 'merged' THEN CAST(30000000001 + k AS BIGINT) END AS id FROM (
-      SELECT c_custkey AS k, 'c0-concept-' || c_custkey AS client_ref, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 3 = 2 THEN 'skipped' WHEN c_custkey % 2 = 1 THEN 'created' WHEN c_custkey % 3 = 1 THEN 'merged' ELSE 'failed' END AS status FROM customer WHERE c_custkey < 300)""",
+      SELECT c_custkey AS k, 'c0-concept-' || c_custkey AS client_ref, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 3 = 2 THEN 'skipped' WHEN c_custkey % 2 = 1 THEN 'created' WHEN c_custkey % 3 = 1 THEN 'merged' ELSE 'failed' END AS status FROM customer)""",
 )
 
 # Prompts and answers
@@ -313,7 +318,7 @@ graph(
     "SELECT fact_no, line FROM (SELECT *, row_number() OVER (ORDER BY id) AS fact_no, sum(strlen(line) + 1) OVER (ORDER BY id) AS used FROM l) WHERE used <= 2000",
     f"l AS (SELECT r.id, '- #' || r.source || ' ' || a.name || ' — located in ' || b.name || '.   (raw: ' || a.name || ' -[located_in]-> ' || b.name || ')' AS line FROM relations r JOIN concepts a ON a.id = r.source JOIN concepts b ON b.id = r.target WHERE r.relation_type = 'located_in' AND r.target = {NATION3})",
 )
-CITED = "c AS (SELECT conv_id AS answer_id, CASE WHEN conv_id % 5 = 0 THEN [] ELSE list_sort(list_distinct([conv_id % 30, conv_id % 7])) END AS ids FROM conversations WHERE turn = 0)"
+CITED = "c AS (SELECT i AS answer_id, CASE WHEN i % 5 = 0 THEN [] ELSE list_sort(list_distinct([i % 30, i % 7])) END AS ids FROM (SELECT conv_id * 1000 + turn AS i FROM conversations))"
 plain("parse_citations", f"WITH {CITED} SELECT answer_id, array_to_string(ids, ',') AS cited_ids FROM c")
 plain("citations_valid", f"WITH {CITED} SELECT answer_id, CAST(len(list_filter(ids, lambda x: x BETWEEN 3 AND 19)) AS BIGINT) AS n_valid, CAST(len(list_filter(ids, lambda x: x NOT BETWEEN 3 AND 19)) AS BIGINT) AS n_invalid FROM c")
 plain("echo_answer", "SELECT item_id AS prompt_id, '[echo] ' || text AS raw FROM benchmark")
