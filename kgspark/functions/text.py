@@ -132,3 +132,25 @@ def strip_fences(text: Column) -> Column:
     t = F.trim(text)
     inner = F.trim(F.regexp_replace(F.regexp_replace(t, "^```(json)?\\s*", ""), "(```)+\\s*$", ""))
     return F.when(t.startswith("```"), inner).otherwise(t)
+
+
+def json_block(reply: Column) -> Column:
+    """The first balanced ``{...}`` of a reply, strings with escapes respected; null if there is none.
+
+    A byte order mark, white space and one code fence around it are taken off first.
+    """
+    bare = F.regexp_replace(reply, r"^\x{FEFF}*\s*(?:```(?:json)*\n*)?", "")
+    start = F.instr(bare, "{")
+    body = F.when(start > 0, F.substr(bare, start))
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("inside"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(s: Column, c: Column) -> Column:
+        plain = ~s["inside"]
+        depth = s["depth"] + F.when(plain & (c == "{"), 1).when(plain & (c == "}"), -1).otherwise(0)
+        inside = F.when(c == '"', plain | s["escaped"]).otherwise(s["inside"])
+        escaped = s["inside"] & (c == "\\") & ~s["escaped"]
+        end = F.when((s["end"] == 0) & plain & (c == "}") & (depth == 0), s["at"] + 1).otherwise(s["end"])
+        return F.struct(depth.alias("depth"), inside.alias("inside"), escaped.alias("escaped"), (s["at"] + 1).alias("at"), end.alias("end"))
+
+    end = F.aggregate(F.split(body, ""), begin, step)["end"]
+    return F.when(end > 0, F.substr(body, F.lit(1), end))

@@ -95,3 +95,9 @@ def answer(prompts: DataFrame, make: Callable[[], LanguageModel] = Echo) -> Data
 def echo(prompts: DataFrame) -> DataFrame:
     """What ``Echo`` answers, as an expression."""
     return prompts.select("prompt_id", F.concat(F.lit("[echo] "), "question").alias("raw"))
+
+
+def token_usage(usage: DataFrame) -> DataFrame:
+    """Adds input, output, cache creation (0) and cache read tokens; of two fields for cached tokens the hit count comes first."""
+    cached = F.coalesce("prompt_cache_hit_tokens", "cached_tokens", F.lit(0))
+    return usage.withColumns({"input_tokens": F.col("prompt_tokens"), "output_tokens": F.col("completion_tokens"), "cache_creation_input_tokens": F.lit(0).cast("long"), "cache_read_input_tokens": cached.cast("long")})

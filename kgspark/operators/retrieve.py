@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions import text
+from kgspark.plans.lineage import cut
 
 from .ontology import Ontology
 from .traverse import Expansion, Subgraph, allowed_types, expand
@@ -41,26 +42,31 @@ def indexable_text(concepts: DataFrame) -> Column:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """term, id, tf from (id, text)."""
-    return docs.select("id", F.explode(text.tokens(F.col("text"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    """term, id, tf and dl (tokens of the document) from (id, text)."""
+    words = docs.select("id", text.tokens(F.col("text")).alias("words"))
+    return words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
 
 
-def lengths(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("id").agg(F.sum("tf").alias("dl"))
+#: Most rows of query terms or query vectors that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
-def lexical_scores(queries: DataFrame, posted: DataFrame, dl: DataFrame, n_docs: DataFrame) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def lexical_scores(queries: DataFrame, posted: DataFrame, n_docs: DataFrame) -> DataFrame:
     """query_id, id, score.
 
     queries: query_id, text; terms count as often as they stand in the query.  A term's weight in a document is
     sqrt(tf / dl) * ln((N - df + 0.5) / (df + 0.5) + 1).  n_docs: one row, n.
     """
     terms = queries.select("query_id", F.explode(text.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    asked = posted.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    asked = posted.join(_small(terms.select("term").distinct()), "term", "left_semi")
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weighted = asked.join(df, "term").join(F.broadcast(n_docs)).join(dl, "id").select("term", "id", (F.sqrt(F.col("tf") / F.col("dl")) * idf).alias("w"))
-    return weighted.join(F.broadcast(terms), "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
+    weighted = asked.join(df, "term").join(F.broadcast(n_docs)).select("term", "id", (F.sqrt(F.col("tf") / F.col("dl")) * idf).alias("w"))
+    return weighted.join(_small(terms), "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
@@ -83,7 +89,7 @@ def hash_embedding(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
 def sparse_cosine(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """query_id, id, score of unit vectors in (id, dim, value) form, over the dimensions that they share."""
     q = queries.select(F.col("id").alias("query_id"), "dim", F.col("value").alias("q"))
-    return vectors.join(F.broadcast(q), "dim").groupBy("query_id", "id").agg(F.sum(F.col("value") * F.col("q")).alias("score"))
+    return vectors.join(_small(q), "dim").groupBy("query_id", "id").agg(F.sum(F.col("value") * F.col("q")).alias("score"))
 
 
 def dense_cosine(queries: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -124,21 +130,19 @@ class Index:
     concepts: DataFrame
     docs: DataFrame
     posted: DataFrame
-    dl: DataFrame
     vectors: DataFrame
     n_docs: DataFrame
 
     @classmethod
     def build(cls, concepts: DataFrame) -> Index:
         docs = concepts.select("id", indexable_text(concepts).alias("text"))
-        posted = postings(docs)
-        return cls(concepts, docs, posted, lengths(posted), hash_embedding(docs), docs.agg(F.count("*").alias("n")))
+        return cls(concepts, docs, cut(postings(docs)), cut(hash_embedding(docs)), docs.agg(F.count("*").alias("n")))
 
 
 def rank(index: Index, ontology: Ontology, request: Request) -> DataFrame:
     """id, score, lexical, vector of a request."""
     query = index.concepts.sparkSession.createDataFrame([(0, request.query)], "query_id long, text string")
-    lexical = lexical_scores(query, index.posted, index.dl, index.n_docs)
+    lexical = lexical_scores(query, index.posted, index.n_docs)
     vector = sparse_cosine(hash_embedding(query.withColumnRenamed("query_id", "id")), index.vectors)
     return fuse(lexical, vector, index.concepts, ontology, request)
 

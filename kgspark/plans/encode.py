@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.operators.ontology import ConceptType, Ontology, RelationType
+from kgspark.operators.ontology import ActionType, ConceptType, Ontology, RelationType, RuleType
 
 BASE = 10_000_000_000
 
@@ -37,6 +37,13 @@ ONTOLOGY = Ontology(
         RelationType("related_to", "Part", "Part", symmetric=True),
     ],
 )
+#: The same with rule and action types, for the queries about their instances.
+RULED = Ontology(
+    ONTOLOGY.concept_types,
+    ONTOLOGY.relation_types,
+    [RuleType("credit", "a party owes", "hold its orders", ("Party",), strict=True), RuleType("duty", "goods cross a border", "pay duty", ("Nation",))],
+    [ActionType("audit", "Supplier", "Nation", effect="a report"), ActionType("remind", "Customer", effect="a letter")],
+)
 
 
 def node_id(code: int, key: Column | str) -> Column:
@@ -57,6 +64,29 @@ class Graph:
     def _concepts(self, name: str, code: int, kind: str, key: str, label: Column, description: Column) -> DataFrame:
         return self.table(name).select(node_id(code, key).alias("id"), F.lit(kind).alias("concept_type"), label.alias("name"), description.alias("description"))
 
+    @cached_property
+    def rules(self) -> DataFrame:
+        """A rule for each customer, on it and its nation; some are of no declared type or name a concept that is not there."""
+        k, nation = F.col("c_custkey"), F.col("c_nationkey")
+        kind = F.when(k % 41 == 0, "unknown").when(k % 2 == 0, "credit").otherwise("duty")
+        nation = F.when(k % 13 == 0, node_id(2, nation + 100)).otherwise(node_id(2, nation))
+        return self.table("customer").select(
+            node_id(21, k).alias("id"), kind.alias("rule_type"), F.concat(F.lit("rule-"), (k % 500).cast("string")).alias("name"), F.lit("balance < 0").alias("when"),
+            F.lit("hold").alias("then"), F.array(node_id(3, k), nation).alias("applies_to"), (k % 3 == 0).alias("strict"), F.col("c_mktsegment").alias("description"),
+        )
+
+    @cached_property
+    def actions(self) -> DataFrame:
+        """An action for each order on its customer, with the customer's order or none as object; some ends are not there."""
+        k, c = F.col("o_orderkey"), F.col("o_custkey")
+        kind = F.when(k % 43 == 0, "unknown").when(k % 2 == 0, "audit").otherwise("remind")
+        subject = F.when(k % 17 == 0, node_id(19, c)).otherwise(node_id(3, c))
+        target = F.when(k % 3 == 0, F.lit(None).cast("long")).when(k % 19 == 0, node_id(19, k)).otherwise(node_id(6, k))
+        return self.table("orders").select(
+            node_id(22, k).alias("id"), kind.alias("action_type"), F.concat(F.lit("action-"), (k % 900).cast("string")).alias("name"), subject.alias("subject"),
+            target.alias("object"), F.lit("done").alias("effect"), F.col("o_orderpriority").alias("description"),
+        )
+
     @cached_property
     def concepts(self) -> DataFrame:
         """id, concept_type, name, description."""

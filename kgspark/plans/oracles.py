@@ -328,3 +328,35 @@ plain("echo_answer", "SELECT item_id AS prompt_id, '[echo] ' || text AS raw FROM
 plain("ingest_csv_unpivot", "SELECT c_name AS name, 'segment' AS key, c_mktsegment AS value FROM customer UNION ALL SELECT c_name, 'nation', CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_custkey % 4 <> 0")
 plain("ingest_triples", "SELECT 'Order' AS concept_type, CAST(o_orderkey AS VARCHAR) AS name, o_orderkey * 3 AS first_seq FROM orders UNION ALL SELECT 'Customer', CAST(o_custkey AS VARCHAR), min(o_orderkey) * 3 + 1 FROM orders GROUP BY o_custkey")
 plain("ingest_jsonl", "SELECT c_custkey AS line_no, CAST(0 AS BIGINT) AS id, 'Customer' AS concept_type, c_name AS name, '' AS description FROM customer WHERE c_custkey % 10 <> 0")
+
+# Rules, actions and small lists
+
+RULES = """rules AS (SELECT 210000000001 + c_custkey AS id, CASE WHEN c_custkey % 41 = 0 THEN 'unknown' WHEN c_custkey % 2 = 0 THEN 'credit' ELSE 'duty' END AS rule_type, 'rule-' || c_custkey % 500 AS name,
+    30000000001 + c_custkey AS a, 20000000001 + c_nationkey + CASE WHEN c_custkey % 13 = 0 THEN 100 ELSE 0 END AS b, c_custkey % 3 = 0 AS strict, c_mktsegment AS description, c_custkey AS k, c_acctbal FROM customer)"""
+ACTIONS = """actions AS (SELECT 220000000001 + o_orderkey AS id, CASE WHEN o_orderkey % 43 = 0 THEN 'unknown' WHEN o_orderkey % 2 = 0 THEN 'audit' ELSE 'remind' END AS action_type, 'action-' || o_orderkey % 900 AS name,
+    CASE WHEN o_orderkey % 17 = 0 THEN 190000000001 ELSE 30000000001 END + o_custkey AS subject, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 19 = 0 THEN 190000000001 + o_orderkey ELSE 60000000001 + o_orderkey END AS object,
+    'done' AS effect, o_orderpriority AS description, o_orderkey AS k FROM orders)"""
+plain("rule_scan", f"WITH {RULES} SELECT id, rule_type, name, 'balance < 0' AS \"when\", 'hold' AS \"then\", a || ',' || b AS applies_to, strict, description FROM rules")
+plain("action_scan", f"WITH {ACTIONS} SELECT * EXCLUDE (k) FROM actions")
+graph(
+    "rule_refs_valid",
+    """SELECT id, 'UnknownRelationType' AS code, CAST(NULL AS BIGINT) AS missing FROM rules WHERE rule_type = 'unknown'
+    UNION ALL SELECT r.id, 'UnknownConcept', r.ref FROM (SELECT id, rule_type, unnest([a, b]) AS ref FROM rules) r WHERE rule_type <> 'unknown' AND ref NOT IN (SELECT id FROM concepts)""",
+    RULES,
+)
+graph(
+    "action_refs_valid",
+    """SELECT id, 'UnknownRelationType' AS code, CAST(NULL AS BIGINT) AS missing FROM actions WHERE action_type = 'unknown'
+    UNION ALL SELECT r.id, 'UnknownConcept', r.ref FROM (SELECT id, action_type, unnest([subject, object]) AS ref FROM actions) r WHERE action_type <> 'unknown' AND ref IS NOT NULL AND ref NOT IN (SELECT id FROM concepts)""",
+    ACTIONS,
+)
+plain("rule_page", f"WITH {RULES} SELECT id, rule_type, name FROM rules ORDER BY rule_type, name, id LIMIT 40 OFFSET 30")
+plain("action_page", f"WITH {ACTIONS} SELECT id, action_type, name FROM actions ORDER BY action_type, name, id LIMIT 60 OFFSET 100")
+plain("rule_update", f"WITH {RULES} SELECT id, CASE WHEN k % 8 = 0 THEN 'release' ELSE 'hold' END AS \"then\", CASE WHEN k % 4 = 0 THEN k % 12 = 0 ELSE strict END AS strict FROM rules")
+plain("action_update", f"WITH {ACTIONS} SELECT id, CASE WHEN k % 10 = 0 THEN NULL ELSE object END AS object, CASE WHEN k % 15 = 0 THEN 'undone' ELSE 'done' END AS effect FROM actions")
+plain("rule_remove", f"WITH {RULES} SELECT id, name FROM rules WHERE c_acctbal >= 0")
+graph("update_relation", "SELECT id, relation_type, source, target, CAST(CASE WHEN relation_type = 'contains_part' AND id % 6 = 0 THEN 0.25 ELSE weight END AS DOUBLE) AS weight FROM relations")
+graph("graph_stats_with_rules", "SELECT * REPLACE ((SELECT count(*) FROM customer) AS rules, (SELECT count(*) FROM orders) AS actions, CAST(2 AS BIGINT) AS rule_types, CAST(2 AS BIGINT) AS action_types) FROM s", STATS)
+plain("newest_events", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
+plain("json_blocks", """SELECT conv_id, turn, CASE WHEN conv_id % 7 <> 0 THEN '{"a": "x } \\\\ \\" y", "n": {"id": ' || conv_id || '}}' END AS block FROM conversations""")
+plain("token_usage", "SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS input_tokens, turn AS output_tokens, CAST(0 AS BIGINT) AS cache_creation_input_tokens, CASE WHEN conv_id % 3 = 0 THEN conv_id WHEN conv_id % 2 = 0 THEN conv_id + 1 ELSE 0 END AS cache_read_input_tokens FROM conversations")

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import text
 from kgspark.operators import graph as g
-from kgspark.operators import mutate, prompts, proposals, retrieve, stats, traverse, validate
+from kgspark.operators import mutate, prompts, proposals, retrieve, rules, stats, traverse, validate
 from kgspark.operators.ontology import Ontology, RelationType
 from kgspark.operators.traverse import Expansion
 from kgspark.sources import documents, records
 
-from .encode import BASE, ONTOLOGY, Graph, node_id
+from .encode import BASE, ONTOLOGY, RULED, Graph, node_id
+from .lineage import cut
 
 QUERIES: dict = {}
 CUSTOMER7, NATION3 = 3 * BASE + 8, 2 * BASE + 4
@@ -201,10 +202,10 @@ def term_stats(kg):
 
 
 def _lexical(kg) -> DataFrame:
-    posted = retrieve.postings(_corpus(kg))
+    posted = cut(retrieve.postings(_corpus(kg)))
     n = _corpus(kg).agg(F.count("*").alias("n"))
     queries = kg.table("benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
-    return retrieve.lexical_scores(queries, posted, retrieve.lengths(posted), n)
+    return retrieve.lexical_scores(queries, posted, n)
 
 
 @query
@@ -632,3 +633,86 @@ def ingest_jsonl(kg):
 def ingest_text_docs(kg):
     files = kg.table("pages").select(F.concat(F.lit("/pages/page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
     return documents.decoded(files).select("name", "lang", "is_binary", F.length("body").alias("n_chars"))
+
+
+# Rules, actions and small lists
+
+
+@query
+def rule_scan(kg):
+    return kg.rules.select("id", "rule_type", "name", "when", "then", F.array_join(F.transform("applies_to", lambda x: x.cast("string")), ",").alias("applies_to"), "strict", "description")
+
+
+@query
+def action_scan(kg):
+    return kg.actions
+
+
+@query
+def rule_refs_valid(kg):
+    return rules.rule_violations(kg.rules, kg.concepts, RULED)
+
+
+@query
+def action_refs_valid(kg):
+    return rules.action_violations(kg.actions, kg.concepts, RULED)
+
+
+@query
+def rule_page(kg):
+    return rules.page(kg.rules, "rule_type", 30, 40).select("id", "rule_type", "name")
+
+
+@query
+def action_page(kg):
+    return rules.page(kg.actions, "action_type", 100, 60).select("id", "action_type", "name")
+
+
+@query
+def rule_update(kg):
+    k = F.col("c_custkey")
+    patches = kg.table("customer").filter("c_custkey % 4 = 0").select(node_id(21, k).alias("id"), (k % 8 == 0).alias("has_then"), F.lit("release").alias("new_then"), F.lit(True).alias("has_strict"), (k % 12 == 0).alias("new_strict"))
+    return rules.update(kg.rules, patches, ["then", "strict"]).select("id", "then", "strict")
+
+
+@query
+def action_update(kg):
+    k = F.col("o_orderkey")
+    patches = kg.table("orders").filter("o_orderkey % 5 = 0").select(node_id(22, k).alias("id"), (k % 10 == 0).alias("has_object"), F.lit(None).cast("long").alias("new_object"), (k % 15 == 0).alias("has_effect"), F.lit("undone").alias("new_effect"))
+    return rules.update(kg.actions, patches, ["object", "effect"]).select("id", "object", "effect")
+
+
+@query
+def rule_remove(kg):
+    return rules.remove(kg.rules, kg.table("customer").filter("c_acctbal < 0").select(node_id(21, "c_custkey").alias("id"))).select("id", "name")
+
+
+@query
+def update_relation(kg):
+    patches = kg.relations.filter("relation_type = 'contains_part' AND id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, F.lit(0.25)).alias("new_weight"))
+    return _edges(rules.update_relations(kg.relations, patches)).withColumn("weight", F.col("weight").cast("double"))
+
+
+@query
+def graph_stats_with_rules(kg):
+    return g.graph_stats(kg.concepts, kg.relations, RULED, kg.rules, kg.actions)
+
+
+@query
+def newest_events(kg):
+    return rules.newest_first(kg.table("events"), "ts", "event_id", 50).select("event_id", "event_type")
+
+
+@query
+def json_blocks(kg):
+    body = F.concat(F.lit('{"a": "x } \\\\ \\" y", "n": {"id": '), F.col("conv_id").cast("string"), F.lit("}}"))
+    head = F.when(F.col("turn") % 3 == 0, F.lit("```json\n")).when(F.col("turn") % 3 == 1, F.lit("Here it is: ")).otherwise(F.lit("\ufeff  "))
+    reply = F.when(F.col("conv_id") % 7 == 0, F.lit("no { block")).otherwise(F.concat(head, body, F.lit(" and } more\n```")))
+    return kg.table("conversations").select("conv_id", "turn", text.json_block(reply).alias("block"))
+
+
+@query
+def token_usage(kg):
+    k = F.col("conv_id")
+    usage = kg.table("conversations").select("conv_id", "turn", F.length("text").cast("long").alias("prompt_tokens"), F.col("turn").cast("long").alias("completion_tokens"), F.when(k % 3 == 0, k).alias("prompt_cache_hit_tokens"), F.when(k % 2 == 0, k + 1).alias("cached_tokens"))
+    return prompts.token_usage(usage).select("conv_id", "turn", "input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")
