@@ -407,23 +407,33 @@ def score(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
     def rows_of(batch):
         m = shared.value
         logs = np.log10(m.head_counts + 1.0)
-        end_class = m.class_of[-1]
-        out: dict[str, list] = {c: [] for c in ("n_tokens", "head_known", "head_logs", "paths", "rest")}
+        end_class, end_log = m.class_of[-1], float(np.log10(m.end_count + 1.0))
+        out: dict[str, list] = {c: [] for c in ("n_tokens", "head_known", "head_logs", "paths")}
+        words_left: list[bytes] = []
+        n_left: list[int] = []
+        left = [np.zeros(1, np.int64)]
         for texts in _chunks(batch.column("__bytes").to_pylist()):
             symbols, ends = _symbols(texts, m.hashes)
-            for data, own in zip(texts, np.split(m.class_of[symbols], ends[:-1]), strict=True):
-                words = lower_spaced_words(data)
-                at = np.fromiter(map(m.head.get, words, repeat(-1)), np.int32, len(words))
-                path = np.concatenate(([end_class], own, [end_class]))
-                found = at[at >= 0]
-                out["n_tokens"].append(len(words) + 1)
-                out["head_known"].append(len(found) + (m.end_count > 0))
-                out["head_logs"].append(float(logs[found].sum()) + float(np.log10(m.end_count + 1.0)))
-                out["paths"].append(float(m.transitions[path[:-1], path[1:]].sum() - m.mass[path[1:]].sum()))
-                out["rest"].append(list(Counter(words[k] for k in np.flatnonzero(at < 0)).items()))
-        return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out")} | {k: v for k, v in out.items() if k != "rest"} | {
-            "rest": [[{"word": w, "tf": n} for w, n in r] for r in out["rest"]]
-        }
+            words = lower_spaced_words(b" ".join(texts))
+            sizes = np.diff(ends, prepend=0)
+            text = np.repeat(np.arange(len(texts)), sizes)
+            at = np.fromiter(map(m.head.get, words, repeat(-1)), np.int32, len(words))
+            found = at >= 0
+            # texts stand between end classes, which they share: from each to the next is one text's path
+            path = np.insert(m.class_of[symbols], np.concatenate(([0], ends)), end_class)
+            steps = m.transitions[path[:-1], path[1:]] - m.mass[path[1:]]
+            out["n_tokens"] += (sizes + 1).tolist()
+            out["head_known"] += (np.bincount(text, found, len(texts)).astype(np.int64) + (m.end_count > 0)).tolist()
+            out["head_logs"] += (np.bincount(text, np.where(found, logs[at], 0.0), len(texts)) + end_log).tolist()
+            out["paths"] += np.add.reduceat(steps, ends - sizes + np.arange(len(texts))).tolist()
+            k = np.flatnonzero(~found)
+            counted = Counter(zip(text[k].tolist(), map(words.__getitem__, k.tolist())))
+            words_left += [w for _, w in counted]
+            n_left += counted.values()
+            left.append(np.bincount(np.fromiter((t for t, _ in counted), np.int64, len(counted)), minlength=len(texts)))
+        rest = pa.StructArray.from_arrays([pa.array(words_left, pa.binary()), pa.array(n_left, pa.int32())], ["word", "tf"])
+        offsets = pa.array(np.cumsum(np.concatenate(left)), pa.int32())
+        return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "rest": pa.ListArray.from_arrays(offsets, rest)} | out
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, head_known bigint, head_logs double, paths double, rest array<struct<word: binary, tf: int>>"
     scanned = settle(over_batches(rows, rows_of, schema).withColumn("row", F.monotonically_increasing_id()))

@@ -81,6 +81,12 @@ def ready(spark: SparkSession) -> None:
         spark.conf.set(_BYTES_SETTING, f"{BATCH_BYTES}b")
 
 
+def _array(x, kind: pa.DataType) -> pa.Array:
+    if not isinstance(x, pa.Array):
+        return pa.array(x, kind)
+    return x if x.type == kind else x.cast(kind)
+
+
 def over_batches(df: DataFrame, rows_of, schema: str) -> DataFrame:
     """``rows_of(batch) -> dict of lists`` over each Arrow batch of ``df``, as a DataFrame of ``schema``.
 
@@ -92,7 +98,7 @@ def over_batches(df: DataFrame, rows_of, schema: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             got = rows_of(batch)
-            yield pa.RecordBatch.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
+            yield pa.RecordBatch.from_arrays([_array(got[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -158,12 +158,13 @@ def test_class_lm(spark, monkeypatch, head):
     rng = random.Random(2)
     nouns, verbs = [f"n{k}" for k in range(30)], [f"v{k}" for k in range(30)]
     texts = [" ".join(f"The {rng.choice(nouns)} {rng.choice(verbs)} a {rng.choice(nouns)}" for _ in range(rng.randint(1, 30))) for _ in range(120)] + [None, "", "new words É"]
-    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)] + [(None, "The n1", "en", "s", 1)]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)] + [(None, "The n1", "en", "s", 1), (900, "The n1 v1 a n2 " * 8_000, "en", "s", 1)]
+    rows += rows[3:5]
     got = {r.doc_id: r for r in class_lm.score(spark.createDataFrame(rows, DOCS), classes=12).collect()}
     upper = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tokens = {k: [*re.findall(SPACED_WORD, (t or "").translate(upper)), None] for k, t, *_ in rows}
     held = {k: zlib.crc32(("" if k is None else str(k)).encode()) % 7 == 2 for k in tokens}
-    c = Counter(w for k, ws in tokens.items() if not held[k] for w in ws)
+    c = Counter(w for k, *_ in rows if not held[k] for w in tokens[k])
     n, v = sum(c.values()), len(c)
     base = score = 0.0
     for k, ws in tokens.items():
