@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -9,11 +10,24 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the shared folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share, named in ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder serves a session of one local process (tests); a cluster is refused, since
+    its executors would not see each other's files.
+    """
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgspark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kgspark-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed to the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
