@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from kgspark.plans.lineage import ship_package
+from kgspark.plans.lineage import shared_dir, ship_package
 
 #: Words between ASCII white space; used for counting, shingles and language models.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -30,18 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests) a temporary
-    folder is used.
-    """
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgspark-"))
-    return sc.getCheckpointDir()
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
