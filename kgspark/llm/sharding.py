@@ -1,11 +1,11 @@
 """Hierarchical weighted hash tree: region, rack and shard levels, DataFrame functions only.
 
-Every shard (leaf) draws an exponential variate from the hash of the row's key and its own name,
-scaled by its weight.  The draw of a rack or region is the smallest of its subtree, which is again
-exponential with the subtree's summed weight: descending to the child with the smallest draw is a
-weighted hash draw at each level.  A row moves only if a leaf whose weight grew draws lower than its
-present leaf, so changes stay in the subtrees whose weights change, and an added shard takes rows
-only into itself.
+The tree has a place for each shard that it may ever hold.  A row descends from the root: its hash draws a region, a
+rack in it and a shard in that, each place as likely as the next, and stays if what is left of the hash falls within the
+weight of the shard it meets; else it descends again from the root by its next hash.  So a shard gets rows by its weight,
+and a rack or region by the sum of its own, at a cost that is the number of levels and not of shards.  A row's
+descents are the same in every tree: if a weight changes, only rows that meet that shard before the one that they
+had, or that lose their place in it, move, and an added shard takes rows only into itself.
 """
 
 from __future__ import annotations
@@ -17,69 +17,96 @@ from pyspark.sql import functions as F
 
 from .common import settle, small
 
+#: Descents that one digest holds, of 16 bits each.
+DESCENTS = 16
+
 
 @dataclass(frozen=True)
 class Leaf:
-    """One shard with its place in the tree."""
+    """One shard with its place at each level: region in the root, rack in the region, place in the rack."""
 
     shard: int
-    rack: int
     region: int
+    rack: int
+    place: int
+    weight: float = 1.0
+
+
+@dataclass(frozen=True)
+class Capacity:
+    """Places at each level (powers of two) and the largest weight: fixed for as long as rows should stay."""
+
+    regions: int = 4
+    racks: int = 2
+    shards: int = 4
     weight: float = 1.0
 
+    def check(self, leaves: list[Leaf]) -> None:
+        sides = (self.regions, self.racks, self.shards)
+        if any(n & (n - 1) or n < 1 for n in sides) or self.regions * self.racks * self.shards > 4096:
+            raise ValueError("levels need a power of two of places, 4096 in all at most")
+        if any(not (0 <= x.region < sides[0] and 0 <= x.rack < sides[1] and 0 <= x.place < sides[2] and x.weight <= self.weight) for x in leaves):
+            raise ValueError("a shard is outside the tree's capacity")
 
-def even_tree(n_shards: int, shards_per_rack: int = 4, racks_per_region: int = 2) -> list[Leaf]:
-    """Shards 0 to n-1 in racks and regions of fixed size, all of weight 1."""
-    return [Leaf(i, i // shards_per_rack, i // (shards_per_rack * racks_per_region)) for i in range(n_shards)]
 
+def even_tree(n_shards: int, capacity: Capacity = Capacity()) -> list[Leaf]:
+    """Shards 0 to n-1 of weight 1, rack after rack and region after region."""
+    racks, shards = capacity.racks, capacity.shards
+    return [Leaf(i, i // (racks * shards), i // shards % racks, i % shards) for i in range(n_shards)]
 
-def _draw(key: Column, leaf: Leaf) -> Column:
-    uniform = (F.shiftrightunsigned(F.xxhash64(key, F.lit(f"shard-{leaf.shard}")), 11).cast("double") + 0.5) / float(1 << 53)
-    return -F.log(uniform) / F.lit(float(leaf.weight))
 
+def _number(digest: Column, start: Column | int, digits: int) -> Column:
+    return F.conv(F.substring(digest, start, digits), 16, 10).cast("long")
 
-def _least(columns: list[Column]) -> Column:
-    return F.least(*columns) if len(columns) > 1 else columns[0]
 
+def _flat(name: Column, leaves: list[Leaf]) -> Column:
+    """The shard of the smallest exponential draw scaled by weight: for the rows that no descent has placed."""
 
-def _descend(nodes: list[tuple[Column, Column]]) -> Column:
-    """nodes: (draw, what is chosen below it); the first of the smallest draws wins."""
-    best = _least([d for d, _ in nodes])
-    chosen = nodes[-1][1]
-    for d, below in reversed(nodes[:-1]):
-        chosen = F.when(d <= best, below).otherwise(chosen)
-    return chosen
+    def draw(leaf: Column) -> Column:
+        uniform = (_number(F.md5(F.concat(name, F.lit("/"), leaf["shard"].cast("string"))), 1, 13) + 0.5) / float(1 << 52)
+        return F.struct((-F.log(uniform) / leaf["weight"]).alias("drawn"), leaf["shard"].alias("shard"))
 
+    known = F.array(*[F.struct(F.lit(x.shard).alias("shard"), F.lit(float(x.weight)).alias("weight")) for x in leaves])
+    return F.array_min(F.transform(known, draw))["shard"]
 
-def choose_shard(tree: list[Leaf], draws: dict[int, Column]) -> Column:
-    """The shard that the tree gives a row with these leaf draws."""
 
-    def group(leaves: list[Leaf], by) -> list[list[Leaf]]:
-        return [[x for x in leaves if by(x) == k] for k in sorted({by(x) for x in leaves})]
+def choose_shard(name: Column, draws: Column, leaves: list[Leaf], capacity: Capacity) -> Column:
+    """The shard that the tree gives a row with this name and these draws of 16 bits, one for each descent."""
+    at = {(x.region, x.rack, x.place): x for x in leaves}
+    levels = [n.bit_length() - 1 for n in (capacity.regions, capacity.racks, capacity.shards)]
+    unit = (1 << (16 - sum(levels))) / capacity.weight
 
-    def least_of(leaves: list[Leaf]) -> Column:
-        return _least([draws[x.shard] for x in leaves])
+    def nested(value) -> Column:
+        places = [[[value(at.get((r, k, p))) for p in range(capacity.shards)] for k in range(capacity.racks)] for r in range(capacity.regions)]
+        return F.array(*[F.array(*[F.array(*[F.lit(x) for x in rack]) for rack in region]) for region in places])
 
-    def in_rack(leaves: list[Leaf]) -> Column:
-        return _descend([(draws[x.shard], F.lit(x.shard)) for x in leaves])
+    def bits(drawn: Column, level: int) -> Column:
+        return F.shiftright(drawn, sum(levels[:level])).bitwiseAND((1 << levels[level]) - 1)
 
-    def in_region(leaves: list[Leaf]) -> Column:
-        return _descend([(least_of(r), in_rack(r)) for r in group(leaves, lambda x: x.rack)])
+    def met(tree: Column, drawn: Column) -> Column:
+        return F.get(F.get(F.get(tree, bits(drawn, 0)), bits(drawn, 1)), bits(drawn, 2))
 
-    live = [x for x in tree if x.weight > 0]
-    return _descend([(least_of(r), in_region(r)) for r in group(live, lambda x: x.region)])
+    shares = nested(lambda x: round(x.weight * unit) if x else 0)
+    stays = F.get(F.filter(draws, lambda drawn: F.shiftright(drawn, sum(levels)) < met(shares, drawn)), F.lit(0))
+    return F.coalesce(met(nested(lambda x: x.shard if x else -1), stays), _flat(name, leaves))
 
 
-def assign(df: DataFrame, key: str, trees: dict[str, list[Leaf]]) -> DataFrame:
-    """Add a column of shards for each named tree; leaves are told apart by shard number.
+def assign(df: DataFrame, key: str, trees: dict[str, list[Leaf]], capacity: Capacity = Capacity()) -> DataFrame:
+    """Add a column of shards for each named tree.
 
-    A null key is a key like any other (all such rows share a shard).  Rows with the same key share
-    a shard.  Columns of ``df`` are kept.
+    Weights are taken in steps of 2**-16 of the capacity's places times its weight.  A row that no descent places
+    (with half of the places held, one in 65,536) goes by a flat weighted draw over the shards, which moves rows as
+    little.  A null key is a key like any other (all such rows share a shard).  Rows with the same key share a shard.
+    Columns of ``df`` are kept.
     """
-    leaves = list({(x.shard, x.weight): x for tree in trees.values() for x in tree if x.weight > 0}.values())
-    names = {(x.shard, x.weight): f"__draw_{i}" for i, x in enumerate(leaves)}
-    drawn = df.withColumns({names[x.shard, x.weight]: _draw(F.col(key), x) for x in leaves})
-    return drawn.withColumns({name: choose_shard(tree, {x.shard: F.col(names[x.shard, x.weight]) for x in tree if x.weight > 0}) for name, tree in trees.items()}).drop(*names.values())
+    live = {name: [x for x in tree if x.weight > 0] for name, tree in trees.items()}
+    for leaves in live.values():
+        capacity.check(leaves)
+    draws = F.transform(F.sequence(F.lit(1), F.lit(4 * DESCENTS), F.lit(4)), lambda at: _number(F.col("__digest"), at, 4).cast("int"))
+    named = df.withColumn("__name", F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    drawn = named.withColumn("__digest", F.sha2("__name", 256)).withColumn("__draws", draws)
+    placed = drawn.withColumns({name: choose_shard(F.col("__name"), F.col("__draws"), leaves, capacity) for name, leaves in live.items()})
+    return placed.drop("__name", "__digest", "__draws")
 
 
 def with_slots(df: DataFrame, shard: str, n_shards: int, order: list[str], rows_per_group: int = 1024, slot: str = "slot") -> DataFrame:
@@ -90,7 +117,7 @@ def with_slots(df: DataFrame, shard: str, n_shards: int, order: list[str], rows_
     Rows equal in all of ``order`` are interchangeable.
     """
     groups = max(1, -(-df.count() // (n_shards * rows_per_group)))
-    rows = df.withColumn("__group", F.pmod(F.xxhash64(*order), F.lit(groups)))
+    rows = df.withColumn("__group", _number(F.md5(F.concat_ws("|", *order)), 1, 8) % groups)
     counts = rows.groupBy(shard, "__group").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(shard).orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
     starts = small(settle(counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")))

@@ -1,10 +1,12 @@
 """HTML text, mixing, sharding, token output, language model and URL filter."""
 
+import hashlib
 import math
 import random
 import re
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -101,14 +103,32 @@ def test_shards(spark):
 def test_weights_move_rows_into_their_subtree_only(spark):
     df = spark.range(4000).withColumnRenamed("id", "doc_id")
     before = sharding.even_tree(8)
-    after = [sharding.Leaf(x.shard, x.rack, x.region, 2.0 if x.rack == 1 else 1.0) for x in before]
-    got = sharding.assign(df, "doc_id", {"a": before, "b": after}).collect()
+    after = [replace(x, weight=2.0 if x.rack == 1 else 1.0) for x in before]
+    got = sharding.assign(df, "doc_id", {"a": before, "b": after}, sharding.Capacity(weight=2.0)).collect()
     rack = {x.shard: x.rack for x in before}
     assert all(r.a == r.b or rack[r.b] == 1 for r in got)
     share = sum(rack[r.b] == 1 for r in got) / len(got)
     assert abs(share - 8 / 12) < 0.04
 
 
+def test_tree_by_plain_descents(spark):
+    """Any count of shards against a loop over the digest; each added shard takes rows only into itself."""
+    df = spark.createDataFrame([(k if k else None,) for k in range(1500)], "doc_id long")
+    counts = (1, 15, 16, 17, 18, 32)
+    got = sharding.assign(df, "doc_id", {f"n{n}": sharding.even_tree(n) for n in counts}).collect()
+    for r in got:
+        name = "null" if r.doc_id is None else str(r.doc_id)
+        digest = hashlib.sha256(name.encode()).hexdigest()
+        for n in counts:
+            met = (int(digest[4 * k : 4 * k + 4], 16) for k in range(16))
+            places = (v % 4 * 8 + v // 4 % 2 * 4 + v // 8 % 4 for v in met)
+            flat = min(range(n), key=lambda i: -int(hashlib.md5(f"{name}/{i}".encode()).hexdigest()[:13], 16))
+            assert r[f"n{n}"] == next((p for p in places if p < n), flat)
+        assert r.n17 in (r.n16, 16) and r.n18 in (r.n17, 17) and r.n16 in (r.n15, 15)
+    with pytest.raises(ValueError):
+        sharding.assign(df, "doc_id", {"s": sharding.even_tree(33)})
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.lists(st.one_of(st.integers(0, 65535), st.integers(0, 20)), min_size=1, max_size=120), min_size=1, max_size=6))
 def test_range_coder_round_trip(blocks):
