@@ -62,7 +62,8 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def _measures() -> dict[str, Column]:
     text = F.coalesce(F.col("text"), F.lit(""))
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.crc32(text.cast("binary")), F.lit("mix")), 11).cast("double") + 0.5) / float(1 << 53)
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|mix|"), text))
+    uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     return {"__size": F.regexp_count(text, F.lit(SPACED_WORD)).cast("long"), "__key": -F.log(uniform) / quality_weight(text)}
 
 
@@ -70,11 +71,12 @@ def _select(rows: DataFrame) -> DataFrame:
     """rows: doc_id, source, __size, __key and others.  Adds the columns of ``mix`` with names that begin with ``__``.
 
     Keys are spread over buckets in key order; sums per bucket find the one in which a source's budget ends, and
-    only that bucket's rows are sorted.  With a number of buckets that grows as the root of the rows, both the
-    table of sums and the buckets that are sorted stay small.
+    only that bucket's rows are sorted.  Buckets are equal steps of the key's logarithm, as many to a unit as the root
+    of the rows: whatever the weights, an exponential key falls into one of them with a chance of at most 1 / e of a
+    step, so both the table of sums and the buckets that are sorted grow as that root.
     """
-    buckets = max(16, 4 * math.isqrt(rows.count()))
-    rows = rows.withColumn("__bucket", F.least(F.floor((1 - F.exp(-F.col("__key"))) * buckets), F.lit(buckets - 1)))
+    steps = max(16, math.isqrt(rows.count()))
+    rows = rows.withColumn("__bucket", F.floor(F.log("__key") * steps))
     sums = settle(rows.groupBy("source", "__bucket").agg(F.sum("__size").alias("__sum")))
     targets = settle(source_targets(sums.groupBy("source").agg(F.sum("__sum").alias("source_size"))))
     targets = targets.withColumns({"__budget": F.round("target").cast("long"), "__source_size": F.col("source_size"), "__target": F.col("target")})
