@@ -143,9 +143,10 @@ def judge(docs: DataFrame, columns: list[str], limits: Limits = Limits()) -> Dat
 
 
 def quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """doc_id, n_words, the base counts, base_failed, kept and both distances of every document."""
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
-    return judge(docs, ["doc_id"], limits).select("doc_id", *[F.col(f"__{c}").alias(c) for c in names])
+    """doc_id, n_words, the base counts, base_failed, kept and both distances (to six places) of every document."""
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    rounded = [F.round(f"__{c}", 6).alias(c) for c in ("class_distance", "word_distance")]
+    return judge(docs, ["doc_id"], limits).select("doc_id", *[F.col(f"__{c}").alias(c) for c in names], *rounded)
 
 
 def kept_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:

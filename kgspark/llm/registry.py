@@ -7,7 +7,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 
 from . import class_lm, decontaminate, html_text, licenses, mixing, near_dedup, quality, sharding, token_output, url_filter
-from .common import ALNUM_WORD, table
+from .common import ALNUM_WORD, SPACED_WORD, table
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +54,82 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_main_text, op4_quality_rules, op5_mix_sources, op6_shard_tree, op7_token_output, op8_decontaminate, op9_class_lm, op10_url_filter)}
 
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '{ALNUM_WORD}')"
+_SPACED = f"regexp_extract_all(coalesce(text, ''), '{SPACED_WORD}')"
 
-#: The other operators' methods (hash draws, sketches, trees, tokenizer ids) have no SQL form.
+
+def _draw(digest: str, digits: int = 13, start: int = 1) -> str:
+    return f"CAST('0x' || substr({digest}, {start}, {digits}) AS BIGINT)"
+
+
+def _count(characters: str) -> str:
+    return f"length(regexp_replace(coalesce(text, ''), '[^{characters}]', '', 'g'))"
+
+
+def _distance(p: str, q: str) -> str:
+    """Jensen-Shannon distance of two lists of shares."""
+    part = "list_sum(list_transform(list_zip({0}, {1}), lambda x: CASE WHEN x[1] > 0 THEN x[1] * log2(2 * x[1] / (x[1] + x[2])) ELSE 0 END))"
+    return f"round(sqrt(greatest(({part.format(p, q)} + {part.format(q, p)}) / 2, 0)), 6)"
+
+
+_CLASS_COUNTS = ", ".join(
+    [_count(c) for c in ("a-z", "A-Z", "0-9", r"\x09-\x0D ", r""".,;:!?''"\-()""", "#*$%&|<>")]
+    + [_count(r"\x00-\x08\x0E-\x1F\x7F+/=@\[\\\]^_`{}~"), _count(r"\x{80}-\x{27F}"), _count(r"\x{280}-\x{10FFFF}")]
+)
+_COMMON = ", ".join(f"({lang!r}, [{', '.join(map(repr, words))}])" for lang, words in quality.COMMON_WORDS.items())
+_LIMITS = quality.Limits()
+
+#: What has no SQL here: sketches, indexes, trees and models that are fitted, tokenizer ids, HTML.
 ORACLES: dict[str, str] = {
+    "op4_quality_rules": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, {_SPACED} AS w, [{_CLASS_COUNTS}] AS classes FROM documents),
+grams AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM docs, unnest(range(1, len(w) - 1)) AS t(i)),
+again AS (SELECT r, i FROM grams QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+repeats AS (SELECT r, count(DISTINCT i + j) AS n FROM again, unnest([0, 1, 2]) AS t(j) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
+dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '{SPACED_WORD}') GROUP BY r),
+counted AS (SELECT r, doc_id, lang, w, classes, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, classes[6] AS n_symbols,
+    coalesce(dups.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
+    len(w) < {_LIMITS.min_words} OR 100 * coalesce(repeats.n, 0) > {_LIMITS.max_repeat_percent} * len(w) AS base_failed FROM docs LEFT JOIN dups USING (r) LEFT JOIN repeats USING (r)),
+common(lang, words) AS (VALUES {_COMMON}),
+tokens AS (SELECT r, lang, translate(unnest(w), '{ascii_uppercase}', '{ascii_lowercase}') AS t FROM counted),
+placed AS (SELECT r, len(words) AS size, coalesce(list_position(words, t), list_position(words, trim(t, '.,;:!?''"-()')), len(words) + 1) AS place FROM tokens JOIN common USING (lang)),
+told AS (SELECT r, any_value(size) AS size, histogram(place) AS h FROM placed GROUP BY r),
+shares AS (SELECT c.*, list_transform(classes, lambda x: x / nullif(list_sum(classes), 0)) AS p,
+    CASE WHEN h IS NOT NULL THEN list_transform(range(1, size + 2), lambda i: coalesce(h[i], 0) / n_words) END AS q FROM counted c LEFT JOIN told USING (r)),
+good AS (SELECT * FROM shares WHERE NOT base_failed AND n_words >= {_LIMITS.guard_words}),
+class_refs AS (SELECT lang, list(m ORDER BY i) AS ref_p FROM (SELECT lang, i, avg(p[i]) AS m FROM good, unnest(range(1, 10)) AS t(i) GROUP BY lang, i) GROUP BY lang),
+word_refs AS (SELECT lang, list(m ORDER BY i) AS ref_q FROM (SELECT lang, i, avg(q[i]) AS m FROM good, unnest(range(1, len(q) + 1)) AS t(i) GROUP BY lang, i) GROUP BY lang),
+held AS (SELECT s.*, CASE WHEN n_words + list_sum(classes) > 0 THEN {_distance("p", "ref_p")} END AS class_distance, {_distance("q", "ref_q")} AS word_distance
+    FROM shares s LEFT JOIN class_refs c ON s.lang IS NOT DISTINCT FROM c.lang LEFT JOIN word_refs v ON s.lang = v.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance,
+    NOT base_failed AND (n_words < {_LIMITS.guard_words} OR (coalesce(class_distance, 0) <= {_LIMITS.max_class_distance} AND coalesce(word_distance, 0) <= {_LIMITS.max_word_distance})) AS kept FROM held
+""",
+    "op5_mix_sources": f"""
+WITH docs AS (SELECT doc_id, source, len({_SPACED}) AS size, -ln(({_draw("md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|mix|' || coalesce(text, ''))")} + 0.5) / pow(2, 52))
+    / greatest(length(translate(coalesce(text, ''), '#*$%&|<>', '')) / greatest(length(coalesce(text, '')), 1), 0.05) AS key FROM documents),
+sources AS (SELECT source, sum(size) AS source_size, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM docs GROUP BY source),
+levels AS (SELECT s.source, 3 * s.source_size / s.w AS ratio, ((SELECT sum(source_size) FROM sources) - coalesce(sum(3 * o.source_size) FILTER (3 * o.source_size / o.w < 3 * s.source_size / s.w), 0))
+    / sum(o.w) FILTER (3 * o.source_size / o.w >= 3 * s.source_size / s.w) AS level FROM sources s, sources o GROUP BY s.source, s.source_size, s.w),
+targets AS (SELECT source, source_size, CAST(least(3 * source_size, w * (SELECT min_by(level, ratio) FROM levels WHERE ratio >= level)) AS DOUBLE) AS target FROM sources),
+budgets AS (SELECT *, CAST(round(target) AS BIGINT) AS budget FROM targets),
+ordered AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS before FROM docs)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+    CAST(CASE WHEN size > 0 THEN budget // source_size * size + greatest(least(budget % source_size - before, size), 0) ELSE 0 END AS BIGINT) AS taken
+FROM ordered o JOIN budgets b ON o.source IS NOT DISTINCT FROM b.source
+""",
+    "op6_shard_tree": f"""
+WITH docs AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+sums AS (SELECT *, xor(4294967295, list_reduce(flatten(list_transform(bytes, lambda b: [b, 0, 0, 0, 0, 0, 0, 0])),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295)) AS text_crc32 FROM docs),
+drawn AS (SELECT doc_id, size, text_crc32, k, list_transform(range(16), lambda i: {_draw("sha256(k)", 4, "4 * i + 1")}) AS v FROM sums),
+met AS (SELECT *, list_transform(v, lambda x: x % 4 * 8 + x // 4 % 2 * 4 + x // 8 % 4) AS places,
+    list_transform(range(17), lambda i: {_draw("md5(k || '/' || i)")}) AS flat FROM drawn),
+placed AS (SELECT *, coalesce(list_filter(places, lambda p: p < 16)[1], list_position(flat[1:16], list_max(flat[1:16])) - 1) AS shard,
+    coalesce(list_filter(places, lambda p: p < 17)[1], list_position(flat, list_max(flat)) - 1) AS grown_shard,
+    {_draw("md5(concat_ws('|', doc_id, text_crc32, size))", 8)} % greatest(1, CAST(ceil((SELECT count(*) FROM documents) / 16384) AS BIGINT)) AS g FROM met)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY g, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard FROM placed
+""",
     "op8_decontaminate": f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 items AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
