@@ -48,7 +48,8 @@ def static_lines(ontology: Ontology, spark: SparkSession) -> DataFrame:
 def fact_lines(edges: DataFrame, concepts: DataFrame, budget: int = BUDGET) -> DataFrame:
     """fact_no, line: sentences of a subgraph's edges in order of id, as many as fit the budget in bytes.
 
-    edges: relation_id, relation_type, source, target of a bounded subgraph.  Edges without an end are left out.
+    edges: relation_id, relation_type, source, target.  Edges without an end are left out.  A line has 20 bytes at least,
+    so no more than a twentieth of the budget in lines is ordered.
     """
     names = concepts.select("id", "name")
     rows = edges.join(names.select(F.col("id").alias("source"), F.col("name").alias("a")), "source").join(names.select(F.col("id").alias("target"), F.col("name").alias("b")), "target")
@@ -56,11 +57,52 @@ def fact_lines(edges: DataFrame, concepts: DataFrame, budget: int = BUDGET) -> D
     raw = F.concat("a", F.lit(" -["), "relation_type", F.lit("]-> "), "b")
     line = F.concat(F.lit("- #"), F.col("source").cast("string"), F.lit(" "), "a", F.lit(" — "), verb, F.lit(" "), "b", F.lit(".   (raw: "), raw, F.lit(")"))
     order = Window.orderBy("relation_id")
-    lines = rows.select("relation_id", line.alias("line")).withColumn("fact_no", F.row_number().over(order))
+    first = rows.select("relation_id", line.alias("line")).orderBy("relation_id").limit(budget // 20 + 1)
+    lines = first.withColumn("fact_no", F.row_number().over(order))
     used = F.sum(F.octet_length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return lines.withColumn("used", used).filter(F.col("used") <= budget).select("fact_no", "line")
 
 
+#: Bytes of a query's context, and what closes one that was cut.
+CONTEXT_BUDGET, CUT_MARK = 12_000, "\n…[truncated]\n"
+
+
+def query_context(scored: DataFrame, nodes: DataFrame, edges: DataFrame, concepts: DataFrame, ontology: Ontology, budget: int = CONTEXT_BUDGET) -> DataFrame:
+    """context: one row, the best concepts, the subgraph and its facts as text of at most ``budget`` bytes and a mark if it was cut.
+
+    scored: id, score, lexical, vector.  nodes: id, depth, visit_rank.  edges: relation_id, relation_type, source, target.
+    A relation type's description stands for its humanised name.  Concepts outside nodes give no line.  A line has ten
+    bytes at least, so no section sorts or gathers more than a tenth of the budget in lines.
+    """
+    most = budget // 10 + 1
+    spark = concepts.sparkSession
+    held = nodes.join(concepts.select("id", "concept_type", "name", "description"), "id")
+    three = lambda c: F.format_string("%.3f", F.col(c).cast("double"))
+    scores = F.concat(F.lit(" [score="), three("score"), F.lit(" lex="), three("lexical"), F.lit(" vec="), three("vector"), F.lit("]"))
+    top = scored.join(held, "id").select(F.lit(1).alias("part"), (-F.col("score")).cast("double").alias("at"), "id", F.concat(F.lit("- ("), "concept_type", F.lit(") "), "name", scores).alias("line"))
+    described = F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(" — "), "description")).otherwise(F.lit(""))
+    around = held.select(F.lit(3).alias("part"), F.col("visit_rank").cast("double").alias("at"), "id", F.concat(F.lit("- #"), F.col("id").cast("string"), F.lit(" ["), F.col("depth").cast("string"), F.lit("] ("), "concept_type", F.lit(") "), "name", described).alias("line"))
+    verb = text.humanize(F.col("relation_type"))
+    for r in ontology.relation_types:
+        if r.description:
+            verb = F.when(F.col("relation_type") == r.name, F.lit(r.description)).otherwise(verb)
+    ends = edges.join(held.select(F.col("id").alias("source"), F.col("name").alias("a")), "source").join(held.select(F.col("id").alias("target"), F.col("name").alias("b")), "target")
+    fact = F.concat(F.lit("- #"), F.col("source").cast("string"), F.lit(" "), "a", F.lit(" — "), verb, F.lit(" "), "b", F.lit(".   (raw: "), "a", F.lit(" -["), "relation_type", F.lit("]-> "), "b", F.lit(")"))
+    facts = ends.select(F.lit(5).alias("part"), F.lit(0.0).alias("at"), F.col("relation_id").alias("id"), fact.alias("line"))
+    heads = [(2, "\n# Subgraph\n# Each line: `#<id> [depth] (Type) Name — description`. Cite the `#<id>` tokens verbatim in your answer."), (4, "\n# Facts")]
+    heads = [(0, "# Top concepts")] * (not scored.isEmpty()) + heads
+    lines = spark.createDataFrame([(part, 0.0, 0, line) for part, line in heads], "part int, at double, id long, line string")
+    for section in (top, around, facts):
+        lines = lines.unionByName(section.orderBy("at", "id").limit(most))
+    # each line is cut to what the whole may hold, so that the row that joins them stays bounded
+    row = F.struct("part", "at", "id", F.concat(F.substring("line", 1, budget), F.lit("\n")).alias("line"), (F.octet_length("line") + 1).alias("n"))
+    gathered = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["line"]), "").alias("whole"), F.sum(F.octet_length("line") + 1).alias("n"))
+    # a byte that continues a character moves the cut back to its start
+    data = F.encode("whole", "UTF-8")
+    kept = F.coalesce(*[F.when(~F.hex(F.substring(data, budget + 1 - k, 1)).rlike("^[89AB]"), F.substring(data, 1, budget - k)) for k in range(4)])
+    return gathered.select(F.when(F.col("n") <= budget, F.col("whole")).otherwise(F.concat(F.decode(kept, "UTF-8"), F.lit(CUT_MARK))).alias("context"))
+
+
 def cited(answers: DataFrame) -> DataFrame:
     """answer_id, cited_ids (as text) and answer of raw answers (answer_id, raw)."""
     return answers.select("answer_id", F.array_join(F.transform(text.cited_ids(F.col("raw")), lambda x: x.cast("string")), ",").alias("cited_ids"), text.answer_text(F.col("raw")).alias("answer"))

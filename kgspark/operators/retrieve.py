@@ -6,16 +6,19 @@ a bounded pool, so no query tokenises the corpus.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions import text
-from kgspark.plans.lineage import cut
+from kgspark.plans.lineage import cut, ship_package
 
 from .ontology import Ontology
-from .traverse import Expansion, Subgraph, allowed_types, expand
+from .traverse import Expansion, Subgraph, allowed_types, default_seeds, expand
 
 #: Candidates of each index for one wanted result, without and with a type filter; scores below this share of the best are dropped.
 POOL, POOL_TYPED, FLOOR = 4, 16, 0.4
@@ -92,11 +95,53 @@ def sparse_cosine(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return vectors.join(_small(q), "dim").groupBy("query_id", "id").agg(F.sum(F.col("value") * F.col("q")).alias("score"))
 
 
-def dense_cosine(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """query_id, id, score by the dot product of unit arrays; queries are a stated, bounded set held against all rows."""
-    q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    return vectors.join(F.broadcast(q)).select("query_id", "id", dot.alias("score"))
+#: Most query vectors that a task holds at once, on average; more are taken in further passes over the vectors.
+QUERY_BLOCK = 1024
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score, rank: for each query the k best vectors by dot product (to nine places), ties by id.
+
+    queries and vectors: id, v (arrays of unit length).  Queries are a stated set held against all rows in blocks, and each
+    Arrow batch gives only what may be among its best, ties included, so that no pairs are shuffled.  Null vectors and
+    those of another length than the query's are left out.
+    """
+    spark = vectors.sparkSession
+    ship_package(spark)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    held = vectors.filter("v IS NOT NULL AND id IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    best = None
+    for b in range(blocks):
+        block = queries.filter((F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) & F.col("v").isNotNull()).collect()
+        by_length: dict[int, tuple[list, list]] = {}
+        for r in block:
+            ids, rows = by_length.setdefault(len(r["v"]), ([], []))
+            ids.append(r["id"])
+            rows.append(r["v"])
+        matrices = {n: (np.array(ids, np.int64), np.array(rows, np.float64)) for n, (ids, rows) in by_length.items() if n}
+        part = held.mapInArrow(lambda batches, m=matrices: _best_of(batches, m, k), "query_id long, id long, score double")
+        best = part if best is None else best.unionByName(part)
+    return top(best, k)
+
+
+def _best_of(batches, matrices: dict, k: int):
+    for batch in batches:
+        lists, ids = batch.column("v"), batch.column("id").to_numpy()
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        lengths = np.diff(ends)
+        out: list[list] = [[], [], []]
+        for n, (query_ids, rows) in matrices.items():
+            at = np.flatnonzero(lengths == n)
+            if not len(at):
+                continue
+            scores = np.round(rows @ flat[ends[at][:, None] + np.arange(n)].T, 9)
+            scores[np.isnan(scores)] = -np.inf
+            least = np.partition(scores, len(at) - k, axis=1)[:, len(at) - k] if len(at) > k else np.full(len(rows), -np.inf)
+            q, v = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+            for column, x in zip(out, (query_ids[q], ids[at[v]], scores[q, v]), strict=True):
+                column.append(x)
+        columns = [np.concatenate(c) if c else np.empty(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "score"])
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, concepts: DataFrame, ontology: Ontology, request: Request) -> DataFrame:
@@ -125,25 +170,44 @@ def fuse(lexical: DataFrame, vector: DataFrame, concepts: DataFrame, ontology: O
 
 @dataclass
 class Index:
-    """Tables of one version of the graph: build once, write, and rank many requests against them."""
+    """Tables of one version of the graph: build once, write, and rank many requests against them.
+
+    embed: (id, text) to unit vectors in (id, dim, value) form, for documents and requests alike.
+    """
 
     concepts: DataFrame
     docs: DataFrame
     posted: DataFrame
     vectors: DataFrame
     n_docs: DataFrame
+    embed: Callable[[DataFrame], DataFrame] = hash_embedding
 
     @classmethod
-    def build(cls, concepts: DataFrame) -> Index:
+    def build(cls, concepts: DataFrame, embed: Callable[[DataFrame], DataFrame] = hash_embedding) -> Index:
         docs = concepts.select("id", indexable_text(concepts).alias("text"))
-        return cls(concepts, docs, cut(postings(docs)), cut(hash_embedding(docs)), docs.agg(F.count("*").alias("n")))
+        return cls(concepts, docs, cut(postings(docs)), cut(embed(docs)), docs.agg(F.count("*").alias("n")), embed)
+
+    def forgotten(self, ids: DataFrame) -> Index:
+        """The index without the concepts in ids (id); ids that it does not hold change nothing."""
+        gone = _small(ids.select("id").distinct())
+        concepts, docs, posted, vectors = (t.join(gone, "id", "left_anti") for t in (self.concepts, self.docs, self.posted, self.vectors))
+        return replace(self, concepts=concepts, docs=docs, posted=cut(posted.select(self.posted.columns)), vectors=cut(vectors), n_docs=docs.agg(F.count("*").alias("n")))
+
+    def replaced(self, concepts: DataFrame) -> Index:
+        """The index with these concepts in place of those of the same ids, or added; only their texts are read."""
+        kept, new = self.forgotten(concepts), Index.build(concepts, self.embed)
+        docs = kept.docs.unionByName(new.docs)
+        return Index(
+            kept.concepts.unionByName(new.concepts), docs, kept.posted.unionByName(new.posted), kept.vectors.unionByName(new.vectors),
+            docs.agg(F.count("*").alias("n")), self.embed,
+        )
 
 
 def rank(index: Index, ontology: Ontology, request: Request) -> DataFrame:
     """id, score, lexical, vector of a request."""
     query = index.concepts.sparkSession.createDataFrame([(0, request.query)], "query_id long, text string")
     lexical = lexical_scores(query, index.posted, index.n_docs)
-    vector = sparse_cosine(hash_embedding(query.withColumnRenamed("query_id", "id")), index.vectors)
+    vector = sparse_cosine(index.embed(query.withColumnRenamed("query_id", "id")), index.vectors)
     return fuse(lexical, vector, index.concepts, ontology, request)
 
 
@@ -153,3 +217,20 @@ def retrieve(index: Index, concepts: DataFrame, relations: DataFrame, ontology:
     order = Window.orderBy(F.col("score").desc(), "id")
     seeds = scored.select("id", F.row_number().over(order).alias("ord"))
     return scored, expand(concepts, relations, ontology, seeds, request.expansion)
+
+
+def requested_subgraph(index: Index, relations: DataFrame, ontology: Ontology, ids: tuple[int, ...] = (), query: str = "", concept_types: tuple[str, ...] = (), depth: int = 1, limit: int = 200) -> Subgraph:
+    """The graph around given concepts and, after them, the eight best of a query; without either, around the first concepts.
+
+    concept_types hold for the query, the first concepts and the expansion; given ids are not filtered.
+    """
+    concepts, limit = index.concepts, max(1, min(limit, 2000))
+    given = list(dict.fromkeys(ids))
+    seeds = concepts.sparkSession.createDataFrame([(i, k) for k, i in enumerate(given)], "id long, ord int")
+    if query.strip():
+        found = rank(index, ontology, Request(query, concept_types=concept_types))
+        order = Window.orderBy(F.col("score").desc(), "id")
+        seeds = cut(seeds.unionByName(found.select("id", (F.row_number().over(order) + len(given)).alias("ord"))))
+    if not given and seeds.isEmpty():
+        seeds = default_seeds(concepts, ontology, limit, concept_types)
+    return expand(concepts, relations, ontology, seeds, Expansion(max_depth=depth, concept_types=concept_types, max_nodes=limit))

@@ -360,3 +360,29 @@ graph("graph_stats_with_rules", "SELECT * REPLACE ((SELECT count(*) FROM custome
 plain("newest_events", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
 plain("json_blocks", """SELECT conv_id, turn, CASE WHEN conv_id % 7 <> 0 THEN '{"a": "x } \\\\ \\" y", "n": {"id": ' || conv_id || '}}' END AS block FROM conversations""")
 plain("token_usage", "SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS input_tokens, turn AS output_tokens, CAST(0 AS BIGINT) AS cache_creation_input_tokens, CASE WHEN conv_id % 3 = 0 THEN conv_id WHEN conv_id % 2 = 0 THEN conv_id + 1 ELSE 0 END AS cache_read_input_tokens FROM conversations")
+
+# Index upkeep, requested subgraphs, prompt context and export
+
+graph(
+    "index_upkeep",
+    f"""SELECT term, count(DISTINCT id) AS df, count(*) AS total FROM (SELECT id, unnest({TOKENS.format("concat_ws('. ', CASE WHEN concept_type = 'Customer' AND id % 10 = 0 THEN 'renamed ' || name ELSE name END, nullif(description, ''))")}) AS term
+    FROM concepts WHERE concept_type <> 'Supplier') GROUP BY term""",
+)
+graph(
+    "requested_subgraph",
+    """SELECT id, CAST(0 AS BIGINT) AS depth FROM starts UNION ALL SELECT DISTINCT n, 1 FROM (SELECT r.target AS n FROM relations r JOIN starts k ON k.id = r.source UNION SELECT r.source FROM relations r JOIN starts k ON k.id = r.target) WHERE n NOT IN (SELECT id FROM starts)""",
+    hybrid("red widget 1200", 32, 8) + f", starts AS (SELECT id FROM ranked UNION SELECT {NATION3})",
+)
+CONTEXT = f"""e AS (SELECT r.id, a.id AS party, a.concept_type AS kind, a.name AS a, a.description AS d, b.name AS b FROM relations r JOIN concepts a ON a.id = r.source JOIN concepts b ON b.id = r.target WHERE r.relation_type = 'located_in' AND r.target = {NATION3}),
+    c AS (SELECT '# Top concepts' || chr(10) || '- (Nation) ' || n.name || ' [score=0.750 lex=0.500 vec=1.000]' || chr(10) || chr(10) || '# Subgraph' || chr(10)
+    || '# Each line: `#<id> [depth] (Type) Name — description`. Cite the `#<id>` tokens verbatim in your answer.' || chr(10) || '- #' || n.id || ' [0] (Nation) ' || n.name || chr(10)
+    || (SELECT string_agg('- #' || party || ' [1] (' || kind || ') ' || a || CASE WHEN d <> '' THEN ' — ' || d ELSE '' END || chr(10), '' ORDER BY party) FROM e) || chr(10) || '# Facts' || chr(10)
+    || (SELECT string_agg('- #' || party || ' ' || a || ' — located in ' || b || '.   (raw: ' || a || ' -[located_in]-> ' || b || ')' || chr(10), '' ORDER BY id) FROM e) AS context FROM concepts n WHERE n.id = {NATION3})"""
+graph("prompt_context", "SELECT context FROM c", CONTEXT)
+graph("prompt_context_cut", "SELECT decode(unhex(substr(hex(encode(context)), 1, 240))) || chr(10) || '…[truncated]' || chr(10) AS context FROM c", CONTEXT)
+graph(
+    "export_records",
+    """SELECT 'concept' AS kind, id, concept_type AS type, name FROM concepts UNION ALL SELECT 'relation', id, relation_type, CAST(source AS VARCHAR) FROM relations
+    UNION ALL SELECT 'rule', id, rule_type, name FROM rules UNION ALL SELECT 'action', id, action_type, name FROM actions""",
+    f"{RULES}, {ACTIONS}",
+)

@@ -217,8 +217,7 @@ def lexical_topk(kg):
 @query
 def vector_topk(kg):
     vectors = kg.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    scores = retrieve.dense_cosine(vectors.filter("id % 100 = 0"), vectors).withColumn("score", F.round("score", 9))
-    return retrieve.top(scores, 10).select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
+    return retrieve.dense_topk(vectors.filter("id % 100 = 0"), vectors, 10).select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
 
 
 @query
@@ -716,3 +715,50 @@ def token_usage(kg):
     k = F.col("conv_id")
     usage = kg.table("conversations").select("conv_id", "turn", F.length("text").cast("long").alias("prompt_tokens"), F.col("turn").cast("long").alias("completion_tokens"), F.when(k % 3 == 0, k).alias("prompt_cache_hit_tokens"), F.when(k % 2 == 0, k + 1).alias("cached_tokens"))
     return prompts.token_usage(usage).select("conv_id", "turn", "input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")
+
+
+# Index upkeep, requested subgraphs, prompt context and export
+
+
+@query
+def index_upkeep(kg):
+    renamed = kg.concepts.filter("concept_type = 'Customer' AND id % 10 = 0").withColumn("name", F.concat(F.lit("renamed "), "name"))
+    index = _index(kg).replaced(renamed).forgotten(kg.concepts.filter("concept_type = 'Supplier'"))
+    return index.posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("total"))
+
+
+@query
+def requested_subgraph(kg):
+    sub = retrieve.requested_subgraph(_index(kg), kg.relations, kg.ontology, (NATION3,), "red widget 1200", limit=2000)
+    return sub.nodes.select("id", F.col("depth").cast("long").alias("depth"))
+
+
+def _nation_context(kg, budget: int) -> DataFrame:
+    """A nation and the parties in it."""
+    edges = g.relations_where(kg.relations, relation_type="located_in").filter(F.col("target") == NATION3).withColumnRenamed("id", "relation_id")
+    around = edges.select(F.col("source").alias("id"), F.lit(1).alias("depth"), F.col("source").alias("visit_rank"))
+    nodes = around.unionByName(kg.concepts.filter(F.col("id") == NATION3).select("id", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("visit_rank")))
+    scored = nodes.filter("depth = 0").select("id", F.lit(0.75).alias("score"), F.lit(0.5).alias("lexical"), F.lit(1.0).alias("vector"))
+    return prompts.query_context(scored, nodes, edges, kg.concepts, kg.ontology, budget)
+
+
+@query
+def prompt_context(kg):
+    return _nation_context(kg, 1 << 20)
+
+
+@query
+def prompt_context_cut(kg):
+    return _nation_context(kg, 120)
+
+
+@query
+def export_records(kg):
+    rules = kg.rules.select("id", "rule_type", "name")
+    lines = records.export_records(kg.ontology, kg.concepts, kg.relations, rules, kg.actions)
+    out = None
+    for part in list(lines.values())[1:]:
+        out = part if out is None else out.unionByName(part)
+    field = lambda name: F.get_json_object("value", f"$.{name}")
+    kind = F.coalesce(field("concept_type"), field("relation_type"), field("rule_type"), field("action_type"))
+    return out.select(field("kind").alias("kind"), field("id").cast("long").alias("id"), kind.alias("type"), F.coalesce(field("name"), field("source")).alias("name"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.operators.ontology import Ontology
+
 # Kinds of records (fixed values).
 KINDS = ("concept", "relation", "named_relation", "ontology", "concept_type_decl", "relation_type_decl", "rule_type_decl", "action_type_decl", "rule", "action")
 
@@ -85,7 +90,16 @@ def unpivot_properties(concepts: DataFrame) -> DataFrame:
     return concepts.select("name", F.explode("properties").alias("key", "value"))
 
 
-def write_jsonl(concepts: DataFrame, relations: DataFrame, path: str) -> None:
-    """One record a line, in folders of an order in which they can be read back: concepts, then relations."""
-    concepts.select(F.to_json(F.struct(F.lit("concept").alias("kind"), *concepts.columns)).alias("value")).write.text(f"{path}/1-concepts")
-    relations.select(F.to_json(F.struct(F.lit("relation").alias("kind"), *relations.columns)).alias("value")).write.text(f"{path}/2-relations")
+def export_records(ontology: Ontology, concepts: DataFrame, relations: DataFrame, rules: DataFrame | None = None, actions: DataFrame | None = None) -> dict[str, DataFrame]:
+    """value (a JSON record with its kind) by kind, in the order in which the records can be read back: the ontology first."""
+    spark = concepts.sparkSession
+    head = spark.createDataFrame([(json.dumps({"kind": "ontology", **asdict(ontology)}),)], "value string")
+    rows = {"concept": concepts, "relation": relations, "rule": rules, "action": actions}
+    lines = {kind: df.select(F.to_json(F.struct(F.lit(kind).alias("kind"), *df.columns)).alias("value")) for kind, df in rows.items() if df is not None}
+    return {"ontology": head} | lines
+
+
+def write_jsonl(ontology: Ontology, concepts: DataFrame, relations: DataFrame, path: str, rules: DataFrame | None = None, actions: DataFrame | None = None) -> None:
+    """One record a line, in folders whose names sort in the order in which they can be read back."""
+    for k, (kind, lines) in enumerate(export_records(ontology, concepts, relations, rules, actions).items()):
+        lines.write.text(f"{path}/{k}-{kind}")

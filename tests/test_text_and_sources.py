@@ -154,8 +154,9 @@ def test_jsonl(spark, tmp_path):
         records.parse_jsonl(spark.createDataFrame([(0, '{"kind":"zzz"}')], "line_no long, line string")).collect()
     concepts = spark.createDataFrame([(1, "A", "x", "")], "id long, concept_type string, name string, description string")
     relations = spark.createDataFrame([(2, "r", 1, 1)], "id long, relation_type string, source long, target long")
-    records.write_jsonl(concepts, relations, str(tmp_path / "out"))
-    back = records.parse_jsonl(records.numbered_lines(spark, str(tmp_path / "out/1-concepts")))
+    records.write_jsonl(Ontology([ConceptType("A")]), concepts, relations, str(tmp_path / "out"), actions=relations.limit(0))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["0-ontology", "1-concept", "2-relation", "3-action"]
+    back = records.parse_jsonl(records.numbered_lines(spark, str(tmp_path / "out/1-concept")))
     assert records.concepts_of(back).first().name == "x"
 
 
@@ -171,6 +172,26 @@ def test_ranking(spark):
     typed = retrieve.rank(index, onto, retrieve.Request("retrieval", concept_types=("Person",))).collect()
     assert [r.id for r in typed] == [4]
     assert retrieve.rank(index, onto, retrieve.Request("retrieval", top_k=0)).count() == 0
+    swapped = index.replaced(spark.createDataFrame([(2, "Topic", "Retrieval", ""), (9, "Topic", "Retrieval", "")], c.schema)).forgotten(spark.createDataFrame([(1,), (77,)], "id long"))
+    assert {r.id for r in retrieve.rank(swapped, onto, retrieve.Request("retrieval")).collect()} == {2, 4, 9}
+    assert swapped.n_docs.first().n == 4 and swapped.posted.columns == index.posted.columns
+    flat = retrieve.Index.build(c, embed=lambda docs: docs.select("id", F.lit(0).alias("dim"), F.lit(1.0).alias("value")))
+    assert {r.vector for r in retrieve.rank(flat, onto, retrieve.Request("knitting", lexical_weight=0.0)).collect()} == {1.0}
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_dense_topk(spark, monkeypatch, block):
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", block)
+    rows = [(k, [float(k % 4), 1.0, float(k % 3)]) for k in range(40)] + [(40, None), (41, [1.0]), (42, []), (3, [3.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    got = sorted((r.query_id, r["rank"], r.id, r.score) for r in retrieve.dense_topk(df.filter("id % 10 = 0 OR id = 41"), df, 5).collect())
+    want = []
+    for q, v in rows:
+        if (q % 10 == 0 or q == 41) and v:
+            found = sorted((-sum(x * y for x, y in zip(v, w)), i) for i, w in rows if w and len(w) == len(v))[:5]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    assert got == sorted(want)
+    assert retrieve.dense_topk(df.limit(0), df, 5).count() == 0 and retrieve.dense_topk(df, df.limit(0), 5).count() == 0
 
 
 def test_proposals(spark):
