@@ -86,7 +86,7 @@ LABELLED = (
 
 def parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty without ``://`` or for null."""
-    after = F.when(F.instr(url, "://") > 0, F.expr("substr(__url, instr(__url, '://') + 3)")).otherwise(F.lit(""))
+    after = F.when(F.instr(url, "://") > 0, url.substr(F.instr(url, "://") + 3, F.length(url))).otherwise(F.lit(""))
     host = lower_ascii(F.regexp_extract(after, r"(?s)^([^/?#]*)", 1))
     path = F.regexp_extract(after, r"(?s)^[^/?#]*(/[^?#]*)", 1)
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
