@@ -168,3 +168,20 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         out = mix64(out + words[i : len(words) - n + 1 + i] + np.uint64(i + 1))
     return out
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of the component of each of n nodes, where a[k] and b[k] are linked (union-find).
+
+    Roots are hooked to smaller ones, then paths are halved until every node points to its root; links within a
+    component are done with, so rounds are few.
+    """
+    parent = np.arange(n)
+    while len(a):
+        a, b = parent[a], parent[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+    return parent

@@ -6,7 +6,7 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, decontaminate, html_text, licenses, mixing, near_dedup, quality, sharding, token_output, url_filter
+from . import class_lm, decontaminate, html_text, licenses, mixing, near_dedup, quality, sharding, simhash_dedup, token_alignment, token_output, url_filter, vector_codes
 from .common import ALNUM_WORD, SPACED_WORD, table
 
 
@@ -51,7 +51,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), model)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_main_text, op4_quality_rules, op5_mix_sources, op6_shard_tree, op7_token_output, op8_decontaminate, op9_class_lm, op10_url_filter)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, radius=2)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.token_alignment(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+_ALL = (op1_near_dedup, op2_license_scan, op3_main_text, op4_quality_rules, op5_mix_sources, op6_shard_tree, op7_token_output, op8_decontaminate, op9_class_lm, op10_url_filter)
+QUERIES = {f.__name__: f for f in (*_ALL, op11_vector_codes, op12_simhash_dedup, op13_token_alignment)}
 
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '{ALNUM_WORD}')"
 _SPACED = f"regexp_extract_all(coalesce(text, ''), '{SPACED_WORD}')"
@@ -75,11 +88,36 @@ _CLASS_COUNTS = ", ".join(
     [_count(c) for c in ("a-z", "A-Z", "0-9", r"\x09-\x0D ", r""".,;:!?''"\-()""", "#*$%&|<>")]
     + [_count(r"\x00-\x08\x0E-\x1F\x7F+/=@\[\\\]^_`{}~"), _count(r"\x{80}-\x{27F}"), _count(r"\x{280}-\x{10FFFF}")]
 )
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """SQL of op11: long tables of parts and entries, one pair of assignment and update a round."""
+    steps = ["b0 AS (SELECT p, e, j, x AS c FROM cells JOIN first USING (r))"]
+    distance = "SELECT r, p, e, sum((x - c) * (x - c)) AS d FROM cells JOIN {0} USING (p, j) GROUP BY r, p, e"
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS (SELECT r, p, min_by(e, (d, e)) AS e, min(d) AS d FROM ({distance.format(f'b{k}')}) GROUP BY r, p)")
+        if k < rounds:
+            means = f"SELECT p, e, j, sum(x) AS s, count(*) AS n FROM cells JOIN a{k} USING (r, p) GROUP BY p, e, j"
+            steps.append(f"b{k + 1} AS (SELECT b.p, b.e, b.j, coalesce(CAST((s - ((s % n) + n) % n) // n AS BIGINT), c) AS c FROM b{k} b LEFT JOIN ({means}) USING (p, e, j))")
+    return f"""
+WITH kept AS (SELECT row_number() OVER () AS r, vec_id, label, embedding FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+sized AS (SELECT CAST(ceil(max(len(embedding)) / 8) AS BIGINT) AS w FROM kept),
+cells AS (SELECT r, i // w AS p, i % w AS j, CAST(floor(4096 * CAST(coalesce(embedding[i + 1], 0) AS DOUBLE)) AS BIGINT) AS x FROM kept, sized, unnest(range(8 * w)) AS t(i)),
+first AS (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (SELECT min_by(r, embedding) AS r, vec_id FROM kept WHERE vec_id IS NOT NULL GROUP BY vec_id ORDER BY vec_id LIMIT 16)),
+{", ".join(steps)},
+coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, j)) FROM b{rounds}) AS codebooks_sha256 FROM coded JOIN kept USING (r)
+"""
+
+
 _COMMON = ", ".join(f"({lang!r}, [{', '.join(map(repr, words))}])" for lang, words in quality.COMMON_WORDS.items())
 _LIMITS = quality.Limits()
 
 #: What has no SQL here: sketches, indexes, trees and models that are fitted, tokenizer ids, HTML.
 ORACLES: dict[str, str] = {
+    "op11_vector_codes": _codes_sql(),
     "op4_quality_rules": f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, {_SPACED} AS w, [{_CLASS_COUNTS}] AS classes FROM documents),
 grams AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM docs, unnest(range(1, len(w) - 1)) AS t(i)),
