@@ -74,6 +74,12 @@ def _draw(digest: str, digits: int = 13, start: int = 1) -> str:
     return f"CAST('0x' || substr({digest}, {start}, {digits}) AS BIGINT)"
 
 
+def _least(path: str, children: str, weight: str) -> str:
+    """The child i of ``children`` whose draw, divided by its weight, is the smallest."""
+    drawn = f"-ln(({_draw(f"md5({path} || '/' || i)")} + 0.5) / pow(2, 52)) / ({weight})"
+    return f"list_sort(list_transform({children}, lambda i: {{'d': {drawn}, 'i': i}}))[1].i"
+
+
 def _count(characters: str) -> str:
     return f"length(regexp_replace(coalesce(text, ''), '[^{characters}]', '', 'g'))"
 
@@ -160,12 +166,11 @@ WITH docs AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, coalesce(CA
     list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
 sums AS (SELECT *, xor(4294967295, list_reduce(flatten(list_transform(bytes, lambda b: [b, 0, 0, 0, 0, 0, 0, 0])),
     lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295)) AS text_crc32 FROM docs),
-drawn AS (SELECT doc_id, size, text_crc32, k, list_transform(range(16), lambda i: {_draw("sha256(k)", 4, "4 * i + 1")}) AS v FROM sums),
-met AS (SELECT *, list_transform(v, lambda x: x % 4 * 8 + x // 4 % 2 * 4 + x // 8 % 4) AS places,
-    list_transform(range(17), lambda i: {_draw("md5(k || '/' || i)")}) AS flat FROM drawn),
-placed AS (SELECT *, coalesce(list_filter(places, lambda p: p < 16)[1], list_position(flat[1:16], list_max(flat[1:16])) - 1) AS shard,
-    coalesce(list_filter(places, lambda p: p < 17)[1], list_position(flat, list_max(flat)) - 1) AS grown_shard,
-    {_draw("md5(concat_ws('|', doc_id, text_crc32, size))", 8)} % greatest(1, CAST(ceil((SELECT count(*) FROM documents) / 16384) AS BIGINT)) AS g FROM met)
+regions AS (SELECT *, {_least("k", "range(2)", "8")} AS r2, {_least("k", "range(3)", "CASE WHEN i < 2 THEN 8 ELSE 1 END")} AS r3 FROM sums),
+racks AS (SELECT *, {_least("k || '/' || r2", "range(2)", "4")} AS rack FROM regions),
+shards AS (SELECT *, {_least("k || '/' || r2 || '/' || rack", "range(8 * r2 + 4 * rack, 8 * r2 + 4 * rack + 4)", "1")} AS shard FROM racks),
+placed AS (SELECT *, CASE WHEN r3 = 2 THEN 16 ELSE shard END AS grown_shard,
+    {_draw("md5(concat_ws('|', doc_id, text_crc32, size))", 8)} % greatest(1, CAST(ceil((SELECT count(*) FROM documents) / 16384) AS BIGINT)) AS g FROM shards)
 SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY g, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard FROM placed
 """,
     "op8_decontaminate": f"""

@@ -1,15 +1,17 @@
 """Hierarchical weighted hash tree: region, rack and shard levels, DataFrame functions only.
 
-The tree has a place for each shard that it may ever hold.  A row descends from the root: its hash draws a region, a
-rack in it and a shard in that, each place as likely as the next, and stays if what is left of the hash falls within the
-weight of the shard it meets; else it descends again from the root by its next hash.  So a shard gets rows by its weight,
-and a rack or region by the sum of its own, at a cost that is the number of levels and not of shards.  A row's
-descents are the same in every tree: if a weight changes, only rows that meet that shard before the one that they
-had, or that lose their place in it, move, and an added shard takes rows only into itself.
+A row descends from the root.  At each level every child of the node that it has reached draws an exponential number
+from a hash of the row's key and the child's path, divided by the weight of all shards below the child; the smallest
+wins.  So a child gets rows by the weight of its subtree, and the cost is the number of children met and not of shards.
+
+A draw depends on the key, the path and the child's own weight alone.  If a shard's weight grows, rows move only into
+the nodes on its path: at the root into its region, in the region into its rack, in the rack into the shard.  Rows that
+stay outside these subtrees do not move, and a shard that comes as a region of its own takes rows only into itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,96 +19,84 @@ from pyspark.sql import functions as F
 
 from .common import settle, small
 
-#: Descents that one digest holds, of 16 bits each.
-DESCENTS = 16
-
 
 @dataclass(frozen=True)
 class Leaf:
-    """One shard with its place at each level: region in the root, rack in the region, place in the rack."""
+    """One shard, the labels of its region and of its rack in the region, and its weight."""
 
     shard: int
     region: int
     rack: int
-    place: int
     weight: float = 1.0
 
 
-@dataclass(frozen=True)
-class Capacity:
-    """Places at each level (powers of two) and the largest weight: fixed for as long as rows should stay."""
+def even_tree(n_shards: int, racks: int = 2, shards: int = 4) -> list[Leaf]:
+    """Shards 0 to n-1 of weight 1: ``shards`` a rack, ``racks`` a region."""
+    return [Leaf(i, i // (racks * shards), i // shards % racks) for i in range(n_shards)]
 
-    regions: int = 4
-    racks: int = 2
-    shards: int = 4
-    weight: float = 1.0
 
-    def check(self, leaves: list[Leaf]) -> None:
-        sides = (self.regions, self.racks, self.shards)
-        if any(n & (n - 1) or n < 1 for n in sides) or self.regions * self.racks * self.shards > 4096:
-            raise ValueError("levels need a power of two of places, 4096 in all at most")
-        if any(not (0 <= x.region < sides[0] and 0 <= x.rack < sides[1] and 0 <= x.place < sides[2] and x.weight <= self.weight) for x in leaves):
-            raise ValueError("a shard is outside the tree's capacity")
+def grown(tree: list[Leaf], by: int = 1, weight: float = 1.0) -> list[Leaf]:
+    """The tree with ``by`` more shards, each in a region of its own, so that rows move only into the new shards."""
+    shard, region = max((x.shard for x in tree), default=-1) + 1, max((x.region for x in tree), default=-1) + 1
+    return [*tree, *(Leaf(shard + k, region + k, 0, weight) for k in range(by))]
 
 
-def even_tree(n_shards: int, capacity: Capacity = Capacity()) -> list[Leaf]:
-    """Shards 0 to n-1 of weight 1, rack after rack and region after region."""
-    racks, shards = capacity.racks, capacity.shards
-    return [Leaf(i, i // (racks * shards), i // shards % racks, i % shards) for i in range(n_shards)]
+def _number(digest: Column, start: int, digits: int) -> Column:
+    return F.conv(F.substring(digest, start, digits), 16, 10).cast("long")
 
 
-def _number(digest: Column, start: Column | int, digits: int) -> Column:
-    return F.conv(F.substring(digest, start, digits), 16, 10).cast("long")
+def _drawn(name: Column, path: Column, children: Column) -> Column:
+    """The place, among ``children`` (label, weight), of the one with the smallest weighted draw, and its path."""
 
+    def draw(child: Column, k: Column) -> Column:
+        at = F.concat(path, F.lit("/"), child["label"])
+        uniform = (_number(F.md5(F.concat(name, at)), 1, 13) + 0.5) / float(1 << 52)
+        return F.struct((-F.log(uniform) / child["weight"]).alias("drawn"), k.alias("k"), at.alias("path"))
 
-def _flat(name: Column, leaves: list[Leaf]) -> Column:
-    """The shard of the smallest exponential draw scaled by weight: for the rows that no descent has placed."""
+    return F.array_min(F.transform(children, draw))
 
-    def draw(leaf: Column) -> Column:
-        uniform = (_number(F.md5(F.concat(name, F.lit("/"), leaf["shard"].cast("string"))), 1, 13) + 0.5) / float(1 << 52)
-        return F.struct((-F.log(uniform) / leaf["weight"]).alias("drawn"), leaf["shard"].alias("shard"))
 
-    known = F.array(*[F.struct(F.lit(x.shard).alias("shard"), F.lit(float(x.weight)).alias("weight")) for x in leaves])
-    return F.array_min(F.transform(known, draw))["shard"]
+def _known(groups: Iterable[tuple[object, float]]) -> Column:
+    return F.array(*[F.struct(F.lit(str(label)).alias("label"), F.lit(float(weight)).alias("weight")) for label, weight in groups])
 
 
-def choose_shard(name: Column, draws: Column, leaves: list[Leaf], capacity: Capacity) -> Column:
-    """The shard that the tree gives a row with this name and these draws of 16 bits, one for each descent."""
-    at = {(x.region, x.rack, x.place): x for x in leaves}
-    levels = [n.bit_length() - 1 for n in (capacity.regions, capacity.racks, capacity.shards)]
-    unit = (1 << (16 - sum(levels))) / capacity.weight
+def _below(leaves: list[Leaf], level: str) -> list[list[Leaf]]:
+    """The leaves of each child, children in the order of their labels."""
+    labels = sorted({getattr(x, level) for x in leaves})
+    return [[x for x in leaves if getattr(x, level) == label] for label in labels]
 
-    def nested(value) -> Column:
-        places = [[[value(at.get((r, k, p))) for p in range(capacity.shards)] for k in range(capacity.racks)] for r in range(capacity.regions)]
-        return F.array(*[F.array(*[F.array(*[F.lit(x) for x in rack]) for rack in region]) for region in places])
 
-    def bits(drawn: Column, level: int) -> Column:
-        return F.shiftright(drawn, sum(levels[:level])).bitwiseAND((1 << levels[level]) - 1)
+def _weights(children: list[list[Leaf]], level: str) -> Column:
+    return _known((getattr(c[0], level), sum(x.weight for x in c)) for c in children)
 
-    def met(tree: Column, drawn: Column) -> Column:
-        return F.get(F.get(F.get(tree, bits(drawn, 0)), bits(drawn, 1)), bits(drawn, 2))
 
-    shares = nested(lambda x: round(x.weight * unit) if x else 0)
-    stays = F.get(F.filter(draws, lambda drawn: F.shiftright(drawn, sum(levels)) < met(shares, drawn)), F.lit(0))
-    return F.coalesce(met(nested(lambda x: x.shard if x else -1), stays), _flat(name, leaves))
+def _descended(df: DataFrame, name: str, leaves: list[Leaf], column: str) -> DataFrame:
+    """Add the shard of each row, drawn level after level."""
+    regions = _below(leaves, "region")
+    racks = [_below(r, "rack") for r in regions]
+    shards = [[_below(k, "shard") for k in r] for r in racks]
+    first = _drawn(F.col(name), F.lit(""), _weights(regions, "region"))
+    second = _drawn(F.col(name), F.col("__1.path"), F.get(F.array(*(_weights(r, "rack") for r in racks)), F.col("__1.k")))
+    of_rack = F.get(F.get(F.array(*(F.array(*(_weights(k, "shard") for k in r)) for r in shards)), F.col("__1.k")), F.col("__2.k"))
+    third = _drawn(F.col(name), F.col("__2.path"), of_rack)
+    numbers = F.array(*(F.array(*(F.array(*(F.lit(c[0].shard) for c in k)) for k in r)) for r in shards))
+    shard = F.get(F.get(F.get(numbers, F.col("__1.k")), F.col("__2.k")), F.col("__3.k"))
+    return df.withColumn("__1", first).withColumn("__2", second).withColumn("__3", third).withColumn(column, shard).drop("__1", "__2", "__3")
 
 
-def assign(df: DataFrame, key: str, trees: dict[str, list[Leaf]], capacity: Capacity = Capacity()) -> DataFrame:
+def assign(df: DataFrame, key: str, trees: dict[str, list[Leaf]]) -> DataFrame:
     """Add a column of shards for each named tree.
 
-    Weights are taken in steps of 2**-16 of the capacity's places times its weight.  A row that no descent places
-    (with half of the places held, one in 65,536) goes by a flat weighted draw over the shards, which moves rows as
-    little.  A null key is a key like any other (all such rows share a shard).  Rows with the same key share a shard.
-    Columns of ``df`` are kept.
+    Weights are any numbers above 0; shards of weight 0 get no rows.  A tree without shards is refused.  A null key is a
+    key like any other (all such rows share a shard).  Rows with the same key share a shard.  Columns of ``df`` are kept.
     """
-    live = {name: [x for x in tree if x.weight > 0] for name, tree in trees.items()}
-    for leaves in live.values():
-        capacity.check(leaves)
-    draws = F.transform(F.sequence(F.lit(1), F.lit(4 * DESCENTS), F.lit(4)), lambda at: _number(F.col("__digest"), at, 4).cast("int"))
-    named = df.withColumn("__name", F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    drawn = named.withColumn("__digest", F.sha2("__name", 256)).withColumn("__draws", draws)
-    placed = drawn.withColumns({name: choose_shard(F.col("__name"), F.col("__draws"), leaves, capacity) for name, leaves in live.items()})
-    return placed.drop("__name", "__digest", "__draws")
+    out = df.withColumn("__name", F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    for column, tree in trees.items():
+        live = [x for x in tree if x.weight > 0]
+        if not live or len({x.shard for x in live}) < len(live):
+            raise ValueError("a tree needs shards, each once, of a weight above 0")
+        out = _descended(out, "__name", live, column)
+    return out.drop("__name")
 
 
 def with_slots(df: DataFrame, shard: str, n_shards: int, order: list[str], rows_per_group: int = 1024, slot: str = "slot") -> DataFrame:
@@ -128,11 +118,12 @@ def with_slots(df: DataFrame, shard: str, n_shards: int, order: list[str], rows_
 def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (with one more shard) of every row.
 
-    Null text: size 1 and the checksum of no bytes.  Null or repeated doc_ids: see ``assign``.  Empty
+    The shards form an even tree; the one more comes as a region of its own.  Null text: size 1 and the checksum of no bytes.  Null or repeated doc_ids: see ``assign``.  Empty
     input: no rows.  Other columns of ``docs`` are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = settle(assign(rows, "doc_id", {"shard": even_tree(n_shards), "grown_shard": even_tree(n_shards + 1)}))
+    tree = even_tree(n_shards)
+    placed = settle(assign(rows, "doc_id", {"shard": tree, "grown_shard": grown(tree)}))
     slots = with_slots(placed, "shard", n_shards, ["doc_id", "text_crc32", "size"])
     return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

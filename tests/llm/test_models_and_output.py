@@ -100,33 +100,61 @@ def test_shards(spark):
     assert sharding.shard_documents(df.limit(0)).count() == 0
 
 
-def test_weights_move_rows_into_their_subtree_only(spark):
-    df = spark.range(4000).withColumnRenamed("id", "doc_id")
-    before = sharding.even_tree(8)
-    after = [replace(x, weight=2.0 if x.rack == 1 else 1.0) for x in before]
-    got = sharding.assign(df, "doc_id", {"a": before, "b": after}, sharding.Capacity(weight=2.0)).collect()
-    rack = {x.shard: x.rack for x in before}
-    assert all(r.a == r.b or rack[r.b] == 1 for r in got)
-    share = sum(rack[r.b] == 1 for r in got) / len(got)
-    assert abs(share - 8 / 12) < 0.04
+def plain_shard(name, tree):
+    """One level after another, with the draws of all children."""
+    left, path = tree, ""
+    for level in ("region", "rack", "shard"):
+        labels = {getattr(x, level) for x in left}
+        drawn = {}
+        for label in labels:
+            u = (int(hashlib.md5(f"{name}{path}/{label}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            drawn[label] = -math.log(u) / sum(x.weight for x in left if getattr(x, level) == label)
+        best = min(drawn, key=drawn.get)
+        left, path = [x for x in left if getattr(x, level) == best], f"{path}/{best}"
+    return left[0].shard
 
 
 def test_tree_by_plain_descents(spark):
-    """Any count of shards against a loop over the digest; each added shard takes rows only into itself."""
-    df = spark.createDataFrame([(k if k else None,) for k in range(1500)], "doc_id long")
-    counts = (1, 15, 16, 17, 18, 32)
-    got = sharding.assign(df, "doc_id", {f"n{n}": sharding.even_tree(n) for n in counts}).collect()
+    df = spark.createDataFrame([(k if k else None, "kept") for k in range(1200)], "doc_id long, __1 string")
+    trees = {f"n{n}": sharding.even_tree(n) for n in (1, 9, 16, 33)}
+    trees["uneven"] = [sharding.Leaf(3, 7, 1, 0.5), sharding.Leaf(1, 7, 2, 3.0), sharding.Leaf(9, 2, 1, 1.5), sharding.Leaf(5, 2, 1, 0.0), sharding.Leaf(6, 2, 1, 0.25)]
+    trees["more"] = sharding.grown(trees["n16"], 3)
+    got = sharding.assign(df.drop("__1"), "doc_id", trees).collect()
     for r in got:
-        name = "null" if r.doc_id is None else str(r.doc_id)
-        digest = hashlib.sha256(name.encode()).hexdigest()
-        for n in counts:
-            met = (int(digest[4 * k : 4 * k + 4], 16) for k in range(16))
-            places = (v % 4 * 8 + v // 4 % 2 * 4 + v // 8 % 4 for v in met)
-            flat = min(range(n), key=lambda i: -int(hashlib.md5(f"{name}/{i}".encode()).hexdigest()[:13], 16))
-            assert r[f"n{n}"] == next((p for p in places if p < n), flat)
-        assert r.n17 in (r.n16, 16) and r.n18 in (r.n17, 17) and r.n16 in (r.n15, 15)
+        for column, tree in trees.items():
+            assert r[column] == plain_shard("null" if r.doc_id is None else str(r.doc_id), [x for x in tree if x.weight > 0])
+        assert r.more in (r.n16, 16, 17, 18)
     with pytest.raises(ValueError):
-        sharding.assign(df, "doc_id", {"s": sharding.even_tree(33)})
+        sharding.assign(df, "doc_id", {"s": []})
+
+
+def test_grown_weights_move_rows_only_along_the_path(spark):
+    """At the first level where old and new path part, the new one goes to a node above the shard that grew."""
+    df = spark.range(6000).withColumnRenamed("id", "doc_id")
+    before = sharding.even_tree(24)
+    after = [replace(x, weight=3.0) if x.shard == 13 else x for x in before]
+    at = {x.shard: (x.region, x.rack, x.shard) for x in before}
+    got = sharding.assign(df, "doc_id", {"a": before, "b": after}).collect()
+    moved = [(at[r.a], at[r.b]) for r in got if r.a != r.b]
+    assert moved
+    for old, new in moved:
+        k = next(k for k in range(3) if old[k] != new[k])
+        assert new[: k + 1] == at[13][: k + 1]
+    share = Counter(r.b for r in got)
+    assert abs(share[13] / 6000 - 3 / 26) < 0.015
+    assert abs(sum(n for s, n in share.items() if at[s][0] == 1) / 6000 - 10 / 26) < 0.02
+
+
+def test_regrouped_shards_and_light_ones(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    before = sharding.even_tree(8)
+    regrouped = [replace(x, region=x.shard % 2) for x in before]
+    light = [*before, sharding.Leaf(8, 1, 1, 0.01)]
+    got = sharding.assign(df, "doc_id", {"a": before, "b": regrouped, "c": light}).collect()
+    assert sum(r.a != r.b for r in got) > 5000
+    assert 8 <= sum(r.c == 8 for r in got) <= 50
+    for column in ("a", "b"):
+        assert all(abs(n - 2500) < 250 for n in Counter(r[column] for r in got).values())
 
 
 @settings(max_examples=25, deadline=None)
