@@ -45,17 +45,24 @@ def page(rows: DataFrame, kind: str, offset: int = 0, limit: int | None = None)
     return ordered if limit is None else ordered.limit(limit)
 
 
+def _one_each(patches: DataFrame, fields: list[str]) -> DataFrame:
+    """The patches by id; two of one id raise, so that no row is changed twice or given twice."""
+    twice = F.raise_error(F.concat(F.lit("more than one patch of id "), F.col("id").cast("string")))
+    only = F.when(F.count("*") > 1, twice).otherwise(F.any_value(F.struct(*fields)))
+    return patches.groupBy("id").agg(only.alias("__p")).select("id", "__p.*")
+
+
 def update(rows: DataFrame, patches: DataFrame, fields: list[str]) -> DataFrame:
     """Rows with the fields that a patch of their id gives.
 
-    patches: id, and for each field ``has_<field>`` (boolean) and ``new_<field>``, one row an id.  A field that is given
-    as null is cleared; one that is not given stays.
+    patches: id, and for each field ``has_<field>`` (boolean) and ``new_<field>``; two patches of one id raise.  A field
+    that is given as null is cleared; one that is not given stays.
     """
 
     def patched(c: str) -> Column:
         return F.when(F.col(f"has_{c}"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
 
-    joined = rows.join(patches.select("id", *[f"{p}_{c}" for c in fields for p in ("has", "new")]), "id", "left")
+    joined = rows.join(_one_each(patches, [f"{p}_{c}" for c in fields for p in ("has", "new")]), "id", "left")
     return joined.select(*[patched(c) if c in fields else F.col(c) for c in rows.columns])
 
 
@@ -65,8 +72,11 @@ def remove(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def update_relations(relations: DataFrame, patches: DataFrame) -> DataFrame:
-    """Relations with the weights of their patches (id, new_weight; null leaves the weight); nothing else may change."""
-    joined = relations.join(patches.select("id", "new_weight"), "id", "left")
+    """Relations with the weights of their patches (id, new_weight; null leaves the weight); nothing else may change.
+
+    Two patches of one id raise.
+    """
+    joined = relations.join(_one_each(patches, ["new_weight"]), "id", "left")
     return joined.select(*[F.coalesce("new_weight", "weight").cast(relations.schema["weight"].dataType).alias("weight") if c == "weight" else F.col(c) for c in relations.columns])
 
 

@@ -1,6 +1,6 @@
 """The driver tables as a property graph: concepts, relations and the ontology they follow.
 
-Ids are global and never zero: type code * 10**10 + key + 1.  ``seq`` is the order in which a relation was added.
+Ids are global and never zero: type code * 10**13 + key + 1.  ``seq`` is the order in which a relation was added.
 """
 
 from __future__ import annotations
@@ -8,12 +8,17 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kgspark.operators.ontology import ActionType, ConceptType, Ontology, RelationType, RuleType
 
-BASE = 10_000_000_000
+BASE = 10_000_000_000_000
+
+#: Relations of line items: table code * LINE_BASE + order key * LINES + number in the order.
+LINE_BASE, LINES = 10**18, 100_000
+#: The columns that tell an order's line items apart; rows that agree in all of them are alike.
+LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 ONTOLOGY = Ontology(
     [
@@ -112,11 +117,15 @@ class Graph:
 
     @cached_property
     def relations(self) -> DataFrame:
-        """id, relation_type, source, target, weight, seq; line items are told apart by all their keys."""
-        line = ((F.col("l_orderkey") * 100_000 + F.col("l_partkey")) * 10 + F.col("l_linenumber")) * 10_000 + F.col("l_suppkey")
-        wide = lambda kind, code, target, weight: self.table("lineitem").select(
-            (F.lit(code * 1_000_000_000_000_000_000 // 1) + line).cast("long").alias("id"), F.lit(kind).alias("relation_type"), node_id(6, "l_orderkey").alias("source"), target.alias("target"), weight.cast("double").alias("weight"),
-        ).withColumn("seq", F.col("id"))
+        """id, relation_type, source, target, weight, seq; an order's line items are numbered in the order of all their columns."""
+        lines = self.table("lineitem")
+        number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
+        line = F.col("l_orderkey").cast("long") * LINES + number
+
+        def wide(kind: str, code: int, target: Column, weight: Column) -> DataFrame:
+            i = F.lit(code * LINE_BASE) + line
+            return lines.select(i.alias("id"), F.lit(kind).alias("relation_type"), node_id(6, "l_orderkey").alias("source"), target.alias("target"), weight.cast("double").alias("weight"), i.alias("seq"))
+
         parts = [
             self._edges("nation", 11, "in_region", F.col("n_nationkey"), node_id(2, "n_nationkey"), node_id(1, "n_regionkey")),
             self._edges("customer", 12, "located_in", F.col("c_custkey"), node_id(3, "c_custkey"), node_id(2, "c_nationkey")),
@@ -137,22 +146,22 @@ class Graph:
 
 #: The same graph for DuckDB: common table expressions to put in front of a query.
 SQL_GRAPH = """concepts AS (
-  SELECT CAST(10000000001 + r_regionkey AS BIGINT) AS id, 'Region' AS concept_type, r_name AS name, '' AS description FROM region
-  UNION ALL SELECT CAST(20000000001 + n_nationkey AS BIGINT), 'Nation', n_name, '' FROM nation
-  UNION ALL SELECT CAST(30000000001 + c_custkey AS BIGINT), 'Customer', c_name, c_mktsegment FROM customer
-  UNION ALL SELECT CAST(40000000001 + s_suppkey AS BIGINT), 'Supplier', s_name, '' FROM supplier
-  UNION ALL SELECT CAST(50000000001 + p_partkey AS BIGINT), 'Part', p_name || ' #' || p_partkey, p_brand || ' ' || p_type FROM part
-  UNION ALL SELECT CAST(60000000001 + o_orderkey AS BIGINT), 'Order', 'Order#' || o_orderkey, o_orderpriority FROM orders
-  UNION ALL SELECT CAST(70000000001 + doc_id AS BIGINT), 'Document', 'doc-' || doc_id, coalesce(text, '') FROM documents
+  SELECT CAST(10000000000001 + r_regionkey AS BIGINT) AS id, 'Region' AS concept_type, r_name AS name, '' AS description FROM region
+  UNION ALL SELECT CAST(20000000000001 + n_nationkey AS BIGINT), 'Nation', n_name, '' FROM nation
+  UNION ALL SELECT CAST(30000000000001 + c_custkey AS BIGINT), 'Customer', c_name, c_mktsegment FROM customer
+  UNION ALL SELECT CAST(40000000000001 + s_suppkey AS BIGINT), 'Supplier', s_name, '' FROM supplier
+  UNION ALL SELECT CAST(50000000000001 + p_partkey AS BIGINT), 'Part', p_name || ' #' || p_partkey, p_brand || ' ' || p_type FROM part
+  UNION ALL SELECT CAST(60000000000001 + o_orderkey AS BIGINT), 'Order', 'Order#' || o_orderkey, o_orderpriority FROM orders
+  UNION ALL SELECT CAST(70000000000001 + doc_id AS BIGINT), 'Document', 'doc-' || doc_id, coalesce(text, '') FROM documents
 ), line AS (
-  SELECT *, ((CAST(l_orderkey AS BIGINT) * 100000 + l_partkey) * 10 + l_linenumber) * 10000 + l_suppkey AS k FROM lineitem
+  SELECT *, CAST(l_orderkey AS BIGINT) * 100000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS k FROM lineitem
 ), relations AS (
-  SELECT CAST(110000000001 + n_nationkey AS BIGINT) AS id, 'in_region' AS relation_type, CAST(20000000001 + n_nationkey AS BIGINT) AS source, CAST(10000000001 + n_regionkey AS BIGINT) AS target, CAST(1.0 AS DOUBLE) AS weight FROM nation
-  UNION ALL SELECT CAST(120000000001 + c_custkey AS BIGINT), 'located_in', CAST(30000000001 + c_custkey AS BIGINT), CAST(20000000001 + c_nationkey AS BIGINT), 1.0 FROM customer
-  UNION ALL SELECT CAST(130000000001 + s_suppkey AS BIGINT), 'located_in', CAST(40000000001 + s_suppkey AS BIGINT), CAST(20000000001 + s_nationkey AS BIGINT), 1.0 FROM supplier
-  UNION ALL SELECT CAST(140000000001 + o_orderkey AS BIGINT), 'placed_by', CAST(60000000001 + o_orderkey AS BIGINT), CAST(30000000001 + o_custkey AS BIGINT), 1.0 FROM orders
-  UNION ALL SELECT CAST(1000000000000000000 + k AS BIGINT), 'contains_part', CAST(60000000001 + l_orderkey AS BIGINT), CAST(50000000001 + l_partkey AS BIGINT), CAST(l_quantity AS DOUBLE) FROM line
-  UNION ALL SELECT CAST(2000000000000000000 + k AS BIGINT), 'shipped_by', CAST(60000000001 + l_orderkey AS BIGINT), CAST(40000000001 + l_suppkey AS BIGINT), 1.0 FROM line
+  SELECT CAST(110000000000001 + n_nationkey AS BIGINT) AS id, 'in_region' AS relation_type, CAST(20000000000001 + n_nationkey AS BIGINT) AS source, CAST(10000000000001 + n_regionkey AS BIGINT) AS target, CAST(1.0 AS DOUBLE) AS weight FROM nation
+  UNION ALL SELECT CAST(120000000000001 + c_custkey AS BIGINT), 'located_in', CAST(30000000000001 + c_custkey AS BIGINT), CAST(20000000000001 + c_nationkey AS BIGINT), 1.0 FROM customer
+  UNION ALL SELECT CAST(130000000000001 + s_suppkey AS BIGINT), 'located_in', CAST(40000000000001 + s_suppkey AS BIGINT), CAST(20000000000001 + s_nationkey AS BIGINT), 1.0 FROM supplier
+  UNION ALL SELECT CAST(140000000000001 + o_orderkey AS BIGINT), 'placed_by', CAST(60000000000001 + o_orderkey AS BIGINT), CAST(30000000000001 + o_custkey AS BIGINT), 1.0 FROM orders
+  UNION ALL SELECT CAST(1000000000000000000 + k AS BIGINT), 'contains_part', CAST(60000000000001 + l_orderkey AS BIGINT), CAST(50000000000001 + l_partkey AS BIGINT), CAST(l_quantity AS DOUBLE) FROM line
+  UNION ALL SELECT CAST(2000000000000000000 + k AS BIGINT), 'shipped_by', CAST(60000000000001 + l_orderkey AS BIGINT), CAST(40000000000001 + l_suppkey AS BIGINT), 1.0 FROM line
 )"""
 
 #: Concept types with every type below them, themselves included.

@@ -6,7 +6,7 @@ from .encode import SQL_CLOSURE, SQL_GRAPH
 
 SQL: dict[str, str] = {}
 
-CUSTOMER7, NATION3, ORDER7, REGION0 = 30000000008, 20000000004, 60000000008, 10000000001
+CUSTOMER7, NATION3, ORDER7, REGION0 = 30000000000008, 20000000000004, 60000000000008, 10000000000001
 EDGE = "id, relation_type, source, target, weight"
 TOKENS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
@@ -44,7 +44,7 @@ graph(
 graph(
     "dangling_endpoints",
     "SELECT r.id, 'source' AS missing FROM relations r WHERE r.source IN (SELECT id FROM gone) UNION ALL SELECT r.id, 'target' FROM relations r WHERE r.target IN (SELECT id FROM gone)",
-    "gone AS (SELECT CAST(30000000001 + c_custkey AS BIGINT) AS id FROM customer WHERE c_acctbal < 0)",
+    "gone AS (SELECT CAST(30000000000001 + c_custkey AS BIGINT) AS id FROM customer WHERE c_acctbal < 0)",
 )
 
 # Validation
@@ -81,7 +81,7 @@ graph(
     "cardinality_violations",
     "SELECT id, 'source' AS side FROM (SELECT *, row_number() OVER (PARTITION BY relation_type, source ORDER BY id) AS n FROM rows) WHERE n > 1",
     """rows AS (SELECT id, relation_type, source FROM relations WHERE relation_type IN ('in_region', 'placed_by')
-      UNION ALL SELECT CAST(170000000001 + n_nationkey AS BIGINT), 'in_region', CAST(20000000001 + n_nationkey % 10 AS BIGINT) FROM nation)""",
+      UNION ALL SELECT CAST(170000000000001 + n_nationkey AS BIGINT), 'in_region', CAST(20000000000001 + n_nationkey % 10 AS BIGINT) FROM nation)""",
 )
 plain(
     "validate_inverses",
@@ -230,19 +230,19 @@ plain("allocate_ids", "SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 TH
 graph(
     "apply_concept_patches",
     """SELECT c.id, c.concept_type, CASE WHEN c_acctbal < 500 AND c_custkey % 2 = 0 THEN 'renamed-' || c_custkey ELSE c.name END AS name, CASE WHEN c_acctbal < 500 THEN 'overdue' ELSE c.description END AS description
-    FROM concepts c LEFT JOIN customer ON c.id = 30000000001 + c_custkey""",
+    FROM concepts c LEFT JOIN customer ON c.id = 30000000000001 + c_custkey""",
 )
 graph(
     "cascade_delete",
     "SELECT concept_type AS kind, count(*) AS n FROM concepts WHERE id NOT IN (SELECT id FROM gone) GROUP BY ALL UNION ALL SELECT relation_type, count(*) FROM relations WHERE source NOT IN (SELECT id FROM gone) AND target NOT IN (SELECT id FROM gone) GROUP BY ALL",
-    "gone AS (SELECT CAST(40000000001 + s_suppkey AS BIGINT) AS id FROM supplier WHERE s_nationkey = 3)",
+    "gone AS (SELECT CAST(40000000000001 + s_suppkey AS BIGINT) AS id FROM supplier WHERE s_nationkey = 3)",
 )
 graph("delete_relation", f"SELECT {EDGE} FROM relations WHERE NOT (relation_type = 'placed_by' AND weight = 1 AND id % 2 = 0)")
-RELATED = "related AS (SELECT CAST(180000000001 + p_partkey AS BIGINT) AS id, 'related_to' AS relation_type, CAST(50000000001 + p_partkey AS BIGINT) AS source, CAST(50000000001 + p_partkey // 2 AS BIGINT) AS target, CAST(0.5 AS DOUBLE) AS weight, p_partkey AS seq FROM part)"
+RELATED = "related AS (SELECT CAST(180000000000001 + p_partkey AS BIGINT) AS id, 'related_to' AS relation_type, CAST(50000000000001 + p_partkey AS BIGINT) AS source, CAST(50000000000001 + p_partkey // 2 AS BIGINT) AS target, CAST(0.5 AS DOUBLE) AS weight, p_partkey AS seq FROM part)"
 plain("materialize_symmetric", f"WITH {RELATED} SELECT id, relation_type, target AS source, source AS target, weight FROM related WHERE source <> target")
 plain(
     "export_symmetric_dedup",
-    f"""WITH {RELATED}, both_ways AS (SELECT * FROM related UNION ALL SELECT id + 10000000000, relation_type, target, source, weight, id + 20000000000 FROM related WHERE source <> target),
+    f"""WITH {RELATED}, both_ways AS (SELECT * FROM related UNION ALL SELECT id + 10000000000000, relation_type, target, source, weight, id + 20000000000000 FROM related WHERE source <> target),
     w AS (SELECT *, row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY source, seq, id) AS n FROM both_ways) SELECT {EDGE} FROM w WHERE n = 1""",
 )
 plain(
@@ -295,12 +295,12 @@ plain(
 )
 graph(
     "proposal_conflicts",
-    """SELECT 'c0-concept-' || p_partkey AS client_ref, 'exists' AS conflict, CAST(50000000001 + p_partkey AS VARCHAR) AS detail FROM part WHERE p_partkey % 3 = 0
+    """SELECT 'c0-concept-' || p_partkey AS client_ref, 'exists' AS conflict, CAST(50000000000001 + p_partkey AS VARCHAR) AS detail FROM part WHERE p_partkey % 3 = 0
     UNION ALL SELECT 'c0-relation-' || p_partkey, 'dangling_ref', CASE WHEN p_partkey * 2 NOT IN (SELECT p_partkey FROM part) THEN 'c0-concept-' || p_partkey * 2 ELSE 'Nation:nation_' || p_partkey % 40 END FROM part WHERE p_partkey * 2 NOT IN (SELECT p_partkey FROM part) OR p_partkey % 40 >= 25""",
 )
 graph(
     "apply_decisions",
-    """SELECT client_ref, status, CASE WHEN status = 'merged' THEN CAST(30000000001 + k AS BIGINT) END AS id FROM (
+    """SELECT client_ref, status, CASE WHEN status = 'merged' THEN CAST(30000000000001 + k AS BIGINT) END AS id FROM (
       SELECT c_custkey AS k, 'c0-concept-' || c_custkey AS client_ref, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 3 = 2 THEN 'skipped' WHEN c_custkey % 2 = 1 THEN 'created' WHEN c_custkey % 3 = 1 THEN 'merged' ELSE 'failed' END AS status FROM customer)""",
 )
 
@@ -331,10 +331,10 @@ plain("ingest_jsonl", "SELECT c_custkey AS line_no, CAST(0 AS BIGINT) AS id, 'Cu
 
 # Rules, actions and small lists
 
-RULES = """rules AS (SELECT 210000000001 + c_custkey AS id, CASE WHEN c_custkey % 41 = 0 THEN 'unknown' WHEN c_custkey % 2 = 0 THEN 'credit' ELSE 'duty' END AS rule_type, 'rule-' || c_custkey % 500 AS name,
-    30000000001 + c_custkey AS a, 20000000001 + c_nationkey + CASE WHEN c_custkey % 13 = 0 THEN 100 ELSE 0 END AS b, c_custkey % 3 = 0 AS strict, c_mktsegment AS description, c_custkey AS k, c_acctbal FROM customer)"""
-ACTIONS = """actions AS (SELECT 220000000001 + o_orderkey AS id, CASE WHEN o_orderkey % 43 = 0 THEN 'unknown' WHEN o_orderkey % 2 = 0 THEN 'audit' ELSE 'remind' END AS action_type, 'action-' || o_orderkey % 900 AS name,
-    CASE WHEN o_orderkey % 17 = 0 THEN 190000000001 ELSE 30000000001 END + o_custkey AS subject, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 19 = 0 THEN 190000000001 + o_orderkey ELSE 60000000001 + o_orderkey END AS object,
+RULES = """rules AS (SELECT 210000000000001 + c_custkey AS id, CASE WHEN c_custkey % 41 = 0 THEN 'unknown' WHEN c_custkey % 2 = 0 THEN 'credit' ELSE 'duty' END AS rule_type, 'rule-' || c_custkey % 500 AS name,
+    30000000000001 + c_custkey AS a, 20000000000001 + c_nationkey + CASE WHEN c_custkey % 13 = 0 THEN 100 ELSE 0 END AS b, c_custkey % 3 = 0 AS strict, c_mktsegment AS description, c_custkey AS k, c_acctbal FROM customer)"""
+ACTIONS = """actions AS (SELECT 220000000000001 + o_orderkey AS id, CASE WHEN o_orderkey % 43 = 0 THEN 'unknown' WHEN o_orderkey % 2 = 0 THEN 'audit' ELSE 'remind' END AS action_type, 'action-' || o_orderkey % 900 AS name,
+    CASE WHEN o_orderkey % 17 = 0 THEN 190000000000001 ELSE 30000000000001 END + o_custkey AS subject, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 19 = 0 THEN 190000000000001 + o_orderkey ELSE 60000000000001 + o_orderkey END AS object,
     'done' AS effect, o_orderpriority AS description, o_orderkey AS k FROM orders)"""
 plain("rule_scan", f"WITH {RULES} SELECT id, rule_type, name, 'balance < 0' AS \"when\", 'hold' AS \"then\", a || ',' || b AS applies_to, strict, description FROM rules")
 plain("action_scan", f"WITH {ACTIONS} SELECT * EXCLUDE (k) FROM actions")
