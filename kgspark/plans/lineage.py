@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back, so that later steps read only the columns they need."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _shipped: set[str] = set()
 
 
