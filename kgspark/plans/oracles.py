@@ -386,3 +386,36 @@ graph(
     UNION ALL SELECT 'rule', id, rule_type, name FROM rules UNION ALL SELECT 'action', id, action_type, name FROM actions""",
     f"{RULES}, {ACTIONS}",
 )
+
+
+# A stream of records: when each is applied, then one counter over all of them
+
+plain(
+    "ingest_records",
+    """
+WITH customers AS (SELECT c_custkey AS c, c_name, c_nationkey, 50000000000000 + c_custkey * 3 AS own FROM customer),
+events AS (
+    SELECT 1 AS pass, 101 + c * 10 AS seq, 0 AS sub, 'Customer' AS type, CASE WHEN c % 7 = 0 THEN own END AS own, c AS k FROM customers
+    UNION ALL SELECT 1, 10000000000000 + o_orderkey * 10, 0, 'Order', NULL, o_orderkey FROM orders
+    UNION ALL SELECT 1, 10000000000001 + o_orderkey * 10, 0, 'placed_by', NULL, o_orderkey FROM orders
+    UNION ALL SELECT 1, 110000000000000 + c, 0, 'credit', NULL, c FROM customers WHERE c % 7 = 0
+    UNION ALL SELECT 1, 120000000000000 + c, 0, 'remind', CASE WHEN c % 5 = 0 THEN 60000000000000 + c END, c FROM customers WHERE c % 7 = 0
+    UNION ALL SELECT 1, 130000000000000 + c, 0, 'knows', CASE WHEN c % 4 = 0 THEN 70000000000000 + c * 10 END, c FROM customers
+    UNION ALL SELECT 1, 130000000000000 + c, 1, 'known', NULL, c FROM customers WHERE c // 7 % 20 <> 0
+    UNION ALL SELECT 1, 140000000000000 + n_nationkey, 0, 'Nation', NULL, n_nationkey FROM nation
+    UNION ALL SELECT 2, 100 + c * 10, 0, 'located_in', NULL, c FROM customers),
+counted AS (SELECT *, count(*) FILTER (own IS NULL) OVER (ORDER BY pass, seq, sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM events),
+reached AS (SELECT *, max(own + 1 - f) OVER (ORDER BY pass, seq, sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM counted),
+ids AS (SELECT type, k, CAST(coalesce(own, f + greatest(1, coalesce(m, 1))) AS BIGINT) AS id FROM reached),
+cust AS (SELECT k, id FROM ids WHERE type = 'Customer'), ord AS (SELECT k, id FROM ids WHERE type = 'Order'), nat AS (SELECT k, id FROM ids WHERE type = 'Nation')
+SELECT id, type, CASE type WHEN 'Customer' THEN c_name WHEN 'credit' THEN c_name WHEN 'remind' THEN c_name END AS name,
+    CASE WHEN type IN ('credit', 'remind') THEN own END AS a, CASE WHEN type = 'remind' AND c % 2 = 0 THEN own END AS b, CAST(NULL AS DOUBLE) AS weight
+    FROM ids JOIN customers ON c = k WHERE type IN ('Customer', 'credit', 'remind')
+UNION ALL SELECT id, type, CAST(k AS VARCHAR), NULL, NULL, NULL FROM ids WHERE type = 'Order'
+UNION ALL SELECT id, type, 'NATION ' || k, NULL, NULL, NULL FROM ids WHERE type = 'Nation'
+UNION ALL SELECT i.id, type, NULL, ord.id, cust.id, 1 FROM ids i JOIN orders ON o_orderkey = i.k JOIN ord ON ord.k = i.k JOIN cust ON cust.k = o_custkey WHERE type = 'placed_by'
+UNION ALL SELECT i.id, type, NULL, cust.id, nat.id, 1 FROM ids i JOIN customers ON c = i.k JOIN cust ON cust.k = i.k JOIN nat ON nat.k = c_nationkey WHERE type = 'located_in'
+UNION ALL SELECT id, 'knows', NULL, CASE WHEN type = 'knows' THEN x ELSE y END, CASE WHEN type = 'knows' THEN y ELSE x END, k / 8
+    FROM (SELECT *, 50000000000021 AS x, 50000000000021 + k // 7 % 20 * 21 AS y FROM ids WHERE type IN ('knows', 'known'))
+""",
+)

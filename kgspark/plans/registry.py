@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions import text
 from kgspark.operators import graph as g
-from kgspark.operators import mutate, prompts, proposals, retrieve, rules, stats, traverse, validate
+from kgspark.operators import ingest, mutate, prompts, proposals, retrieve, rules, stats, traverse, validate
 from kgspark.operators.ontology import Ontology, RelationType
 from kgspark.operators.traverse import Expansion
 from kgspark.sources import documents, records
@@ -634,6 +636,63 @@ def ingest_text_docs(kg):
     return documents.decoded(files).select("name", "lang", "is_binary", F.length("body").alias("n_chars"))
 
 
+#: Declarations of the stream below; the first waits for its types, the last never comes.
+_DECLARED = (
+    ("relation_type_decl", {"name": "located_in", "domain": "Party", "range": "Nation", "cardinality": "ManyToOne"}),
+    ("concept_type_decl", {"name": "Party"}),
+    ("concept_type_decl", {"name": "Customer", "parent": "Party"}),
+    ("concept_type_decl", {"name": "Order"}),
+    ("concept_type_decl", {"name": "Nation"}),
+    ("relation_type_decl", {"name": "placed_by", "domain": "Order", "range": "Party", "functional": True}),
+    ("relation_type_decl", {"name": "knows", "domain": "Party", "range": "Party", "symmetric": True}),
+    ("rule_type_decl", {"name": "credit", "when": "a party owes", "then": "hold its orders", "applies_to": ["Party"]}),
+    ("action_type_decl", {"name": "remind", "subject": "Customer", "object": "Customer"}),
+    ("relation_type_decl", {"name": "lost", "domain": "Nothing", "range": "Order"}),
+)
+
+
+def _stream(kg) -> DataFrame:
+    """Records of all kinds but a whole ontology: customers, some with ids of their own, come after relations that name
+    them, nations last of all; rules and actions go to customers by id, some of which never come."""
+    known = {f.split()[0]: f.split()[1] for f in ingest.RECORD.split(", ")}
+
+    def rows(table: str, seq, kind: str, **fields) -> DataFrame:
+        fields = {"seq": seq, "kind": F.lit(kind)} | fields
+        return kg.table(table).select(*[fields.get(c, F.lit(None)).cast(t).alias(c) for c, t in known.items()])
+
+    text = [(k, kind, json.dumps(d)) for k, (kind, d) in enumerate(_DECLARED)]
+    declared = kg.spark.createDataFrame(text, "seq long, kind string, declared string").select(*[F.col(c) if c in ("seq", "kind", "declared") else F.lit(None).cast(t).alias(c) for c, t in known.items()])
+    c, o, n = F.col("c_custkey"), F.col("o_orderkey"), F.col("n_nationkey")
+    own = 5 * BASE + c * 3
+    asked = F.when(c % 7 == 0, own).otherwise(9 * BASE + c)
+    customer = F.concat(F.lit("customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
+    named = {"type": F.lit("located_in"), "source_type": F.lit("Customer"), "source_name": F.col("c_name"), "target_type": F.lit("Nation"), "target_name": F.concat(F.lit("nation "), F.col("c_nationkey").cast("string"))}
+    parts = [
+        rows("customer", 100 + c * 10, "named_relation", **named),
+        rows("customer", 101 + c * 10, "concept", id=F.when(c % 7 == 0, own).otherwise(0), type=F.lit("Customer"), name=F.col("c_name")),
+        rows("orders", BASE + o * 10, "concept", type=F.lit("Order"), name=o.cast("string"), description=F.col("o_orderpriority")),
+        rows("orders", BASE + o * 10 + 1, "named_relation", type=F.lit("placed_by"), source_type=F.lit("Order"), source_name=o.cast("string"), target_type=F.lit("Customer"), target_name=customer),
+        rows("customer", 11 * BASE + c, "rule", type=F.lit("credit"), name=F.col("c_name"), applies_to=F.array(asked)),
+        rows("customer", 12 * BASE + c, "action", id=F.when(c % 5 == 0, 6 * BASE + c), type=F.lit("remind"), name=F.col("c_name"), subject=asked, object=F.when(c % 2 == 0, own)),
+        rows("customer", 13 * BASE + c, "relation", id=F.when(c % 4 == 0, 7 * BASE + c * 10), type=F.lit("knows"), source=F.lit(5 * BASE + 21), target=5 * BASE + F.floor(c / 7) % 20 * 21 + 21, weight=c / 8),
+        rows("nation", 14 * BASE + n, "concept", type=F.lit("Nation"), name=F.concat(F.lit("NATION "), n.cast("string"))),
+    ]
+    out = declared
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+@query
+def ingest_records(kg):
+    got = ingest.ingest_records(_stream(kg), ingest.State.empty(kg.spark)).state
+    none = F.lit(None).cast("long")
+    named = lambda df, kind, a, b: df.select("id", F.col(kind).alias("type"), "name", a.alias("a"), b.alias("b"), F.lit(None).cast("double").alias("weight"))
+    ends = got.relations.select("id", F.col("relation_type").alias("type"), F.lit(None).cast("string").alias("name"), F.col("source").alias("a"), F.col("target").alias("b"), "weight")
+    out = named(got.concepts, "concept_type", none, none).unionByName(ends).unionByName(named(got.rules, "rule_type", F.get("applies_to", F.lit(0)), none))
+    return out.unionByName(named(got.actions, "action_type", F.col("subject"), F.col("object")))
+
+
 # Rules, actions and small lists
 
 
