@@ -225,12 +225,12 @@ def schema_history(records: DataFrame, ontology: Ontology) -> tuple[History, Dat
     return _folded(applied.filter("kind <> 'ontology'"), ontology, replaced).closed(), applied.select("seq", "at")
 
 
-def allocate(events: DataFrame, start: int) -> DataFrame:
-    """``events`` (at, sub, id) with new_id: their own id, or for 0 the counter's at their time, from ``start`` on.
+def allocate(events: DataFrame, start: int, order: tuple[str, ...] = ("at", "sub")) -> DataFrame:
+    """``events`` (id and the columns of ``order``) with new_id: their own id, or for 0 the counter's at their time, from
+    ``start`` on.
 
     Ranges of time are numbered apart; each goes on where those before it end.
     """
-    order = ["at", "sub"]
     rows = settle(events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
     fresh = (F.col("id") == 0).cast("long")
     before = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -1,34 +1,100 @@
-"""Proposals that a model draws from documents: flattened, merged, held against the graph and applied after review."""
+"""Proposals that a model draws from documents: flattened, merged, held against the graph and applied after review.
+
+Items of all six kinds stand in one table (columns of ITEM).  ``type`` is that of a concept, relation, rule or action;
+``source_ref`` and ``target_ref`` are the ends of a relation, or the subject and object of an action.  A ref is a
+client_ref or ``Type:Name``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import asdict, dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions.text import strip_fences
+from kgspark.plans.lineage import settle
+
+from .ingest import END, History, State, _base_history, allocate
+from .ontology import Ontology
 
+#: Kinds of items in the order in which they are applied, and how refs name them (fixed values).
+KINDS = {"concept_type": "ct", "relation_type": "rt", "concept": "c", "relation": "r", "rule": "ru", "action": "a"}
 #: What a model's reply is read as; fields that are missing are null.
-CONCEPT_FIELDS = "array<struct<concept_type: string, name: string, description: string, confidence: double, evidence: string>>"
-RELATION_FIELDS = "array<struct<relation_type: string, source_ref: string, target_ref: string, weight: double, confidence: double>>"
-REPLY = f"concepts {CONCEPT_FIELDS}, relations {RELATION_FIELDS}"
+REPLY = (
+    "concept_types array<struct<name: string, description: string, properties: array<string>, parent: string, confidence: double>>,"
+    " relation_types array<struct<name: string, domain: string, range: string, symmetric: boolean, description: string, confidence: double>>,"
+    " concepts array<struct<concept_type: string, name: string, description: string, properties: array<array<string>>, evidence: string, confidence: double>>,"
+    " relations array<struct<relation_type: string, source_ref: string, target_ref: string, weight: double, evidence: string, confidence: double>>,"
+    " rules array<struct<rule_type: string, name: string, when: string, then: string, applies_to: array<string>, strict: boolean, description: string, evidence: string, confidence: double>>,"
+    " actions array<struct<action_type: string, name: string, subject_ref: string, object_ref: string, parameters: array<array<string>>, effect: string, description: string, evidence: string, confidence: double>>"
+)
+ITEM = {
+    "file_no": "long", "chunk": "long", "item": "int", "kind": "string", "client_ref": "string", "type": "string", "name": "string", "description": "string", "properties": "map<string,string>",
+    "property_names": "array<string>", "parent": "string", "domain": "string", "range": "string", "symmetric": "boolean", "source_ref": "string", "target_ref": "string", "weight": "double", "when": "string",
+    "then": "string", "applies_to": "array<string>", "strict": "boolean", "effect": "string", "evidence": "string", "confidence": "double",
+}
+_ORDER = ("file_no", "chunk", "item")
+#: Type declarations that one proposal may make; they are folded on the driver.
+MAX_TYPES = 100_000
+
+
+def _pairs(c: Column) -> Column:
+    """A map of [key, value] pairs; the last value of a key counts."""
+    keys = F.array_distinct(F.transform(c, lambda p: F.get(p, F.lit(0))))
+    last = lambda k: F.get(F.element_at(F.filter(c, lambda p: F.get(p, F.lit(0)).eqNullSafe(k)), -1), F.lit(1))
+    keys = F.filter(keys, lambda k: k.isNotNull())
+    return F.map_from_arrays(keys, F.transform(keys, last))
+
+
+def as_items(df: DataFrame) -> DataFrame:
+    """``df`` with all columns of ITEM, null where it has none."""
+    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in ITEM.items()])
 
 
 def parse_replies(replies: DataFrame) -> DataFrame:
-    """file, chunk, kind, item, client_ref and the item's fields from (file, chunk, reply).
+    """Items of model replies (file_no, chunk, reply).
 
-    A reply may stand in a code fence; one that is no JSON has no items.  Items are named c{chunk}-{kind}-{item}.
+    A reply may stand in a code fence; one that is no JSON has no items.  Items are named c{chunk}-{kind}-{number}.
     """
-    parsed = replies.select("file", "chunk", F.from_json(strip_fences(F.col("reply")), REPLY).alias("r"))
+    parsed = replies.select("file_no", "chunk", F.from_json(strip_fences(F.col("reply")), REPLY).alias("r"))
+    none = F.lit(None)
+    out = None
+    for kind, short in KINDS.items():
+        x = lambda f: F.col(f"x.{f}")
+        fields = {
+            "concept_type": {"name": x("name"), "description": x("description"), "property_names": x("properties"), "parent": x("parent")},
+            "relation_type": {"name": x("name"), "domain": x("domain"), "range": x("range"), "symmetric": x("symmetric"), "description": x("description")},
+            "concept": {"type": x("concept_type"), "name": x("name"), "description": x("description"), "properties": _pairs(x("properties")), "evidence": x("evidence")},
+            "relation": {"type": x("relation_type"), "source_ref": x("source_ref"), "target_ref": x("target_ref"), "weight": x("weight"), "evidence": x("evidence")},
+            "rule": {"type": x("rule_type"), "name": x("name"), "when": x("when"), "then": x("then"), "applies_to": x("applies_to"), "strict": x("strict"), "description": x("description"), "evidence": x("evidence")},
+            "action": {"type": x("action_type"), "name": x("name"), "source_ref": x("subject_ref"), "target_ref": x("object_ref"), "properties": _pairs(x("parameters")), "effect": x("effect"), "description": x("description"), "evidence": x("evidence")},
+        }[kind]
+        rows = parsed.select("file_no", "chunk", F.posexplode(f"r.{kind}s").alias("item", "x"))
+        ref = F.format_string(f"c%d-{short}-%d", F.col("chunk").cast("int"), F.col("item"))
+        given = {"file_no": F.col("file_no"), "chunk": F.col("chunk"), "item": F.col("item"), "kind": F.lit(kind), "client_ref": ref, "confidence": F.coalesce(x("confidence"), F.lit(0.0))} | fields
+        rows = rows.select(*[given.get(c, none).cast(t).alias(c) for c, t in ITEM.items()])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _kept(items: DataFrame, by: list[Column], best: Column) -> DataFrame:
+    """One item of each key, the one with the largest ``best``."""
+    keys = [f"__k{k}" for k in range(len(by))]
+    rows = items.withColumns(dict(zip(keys, by, strict=True)))
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*items.columns), best).alias("r")).select("r.*")
 
-    def items(field: str, kind: str, columns: list[Column]) -> DataFrame:
-        rows = parsed.select("file", "chunk", F.posexplode(f"r.{field}").alias("item", "x"))
-        ref = F.format_string("c%d-%s-%d", F.col("chunk").cast("int"), F.lit(kind), F.col("item"))
-        return rows.select("file", "chunk", F.lit(kind).alias("kind"), "item", ref.alias("client_ref"), *columns)
 
-    text, number = (lambda n: F.lit(None).cast("string").alias(n)), (lambda n: F.lit(None).cast("double").alias(n))
-    concepts = items("concepts", "concept", [F.col(f"x.{c}").alias(c) for c in ("concept_type", "name", "description")] + [text("relation_type"), text("source_ref"), text("target_ref"), number("weight"), F.coalesce("x.confidence", F.lit(0.0)).alias("confidence")])
-    relations = items("relations", "relation", [text("concept_type"), text("name"), text("description"), *[F.col(f"x.{c}").alias(c) for c in ("relation_type", "source_ref", "target_ref", "weight")], F.coalesce("x.confidence", F.lit(0.0)).alias("confidence")])
-    return concepts.unionByName(relations)
+def merge_chunks(items: DataFrame) -> DataFrame:
+    """The items of each file with those that chunks repeat once: concept types of a name and concepts of a type and trimmed
+    name in any case keep the most confident, of equals the first; relation types of a name the first; others all."""
+    first = F.struct(-F.col("chunk"), -F.col("item"))
+    surest = F.struct("confidence", first)
+    of = lambda k: items.filter(F.col("kind") == k)
+    types = _kept(of("concept_type"), [F.col("file_no"), F.col("name")], surest)
+    relation_types = _kept(of("relation_type"), [F.col("file_no"), F.col("name")], first)
+    concepts = _kept(of("concept"), [F.col("file_no"), F.col("type"), F.lower(F.trim("name"))], surest)
+    return types.unionByName(relation_types).unionByName(concepts).unionByName(items.filter(F.col("kind").isin("relation", "rule", "action")))
 
 
 def merge_concepts(items: DataFrame) -> DataFrame:
@@ -41,60 +107,316 @@ def merge_concepts(items: DataFrame) -> DataFrame:
     return items.groupBy(*key).agg(best.alias("b"), F.count("*").alias("n_merged")).select("concept_type", "key", "b.client_ref", "b.name", "b.description", "b.confidence", "n_merged")
 
 
-def merge_files(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Proposals of several files as one: (concepts, relations).
+def _is_graph_ref(c: Column) -> Column:
+    return F.contains(c, F.lit(":")) & ~F.coalesce(F.regexp_like(c, F.lit("^f[0-9]+/")), F.lit(False))
+
+
+def lead_on(links: DataFrame, hops: int = 4) -> DataFrame:
+    """ref, end: where each ref leads after at most ``hops`` links (ref, to; one a ref), a power of two, by pointer jumping."""
+    jump = links.filter("ref <> to").select("ref", F.col("to").alias("end"))
+    for _ in range(hops.bit_length() - 1):
+        on = jump.select(F.col("ref").alias("end"), F.col("end").alias("__on"))
+        jump = settle(jump.join(on, "end", "left").select("ref", F.coalesce("__on", "end").alias("end")))
+    return jump
 
-    items: file_no and the columns of ``merge_concepts``, and relation_type, source_ref, target_ref.  Refs get a file
-    prefix; of concepts with the same (type, name) the first stays and the others' refs lead to it; refs with a colon
-    (Type:Name) stay as they are; of relations equal after that the first stays.
+
+def merge_files(items: DataFrame) -> DataFrame:
+    """The items of several files (numbered from 0) as one proposal.
+
+    Refs get a file prefix; of items with the same natural key (types by name, concepts by type and trimmed name in any
+    case, relations by type and ends, rules and actions by type and name) the first stays, and refs to others lead to
+    it, on through at most four links.  Refs to nothing in their file, and ``Type:Name``, stay as they are.
     """
-    prefixed = lambda c: F.concat(F.lit("f"), F.col("file_no").cast("string"), F.lit("/"), F.col(c))
-    rows = items.withColumn("ref", prefixed("client_ref"))
-    concepts = rows.filter("kind = 'concept'").withColumn("key", F.lower(F.trim("name")))
-    first = concepts.groupBy("concept_type", "key").agg(F.min_by(F.struct("ref", "name", "description", "confidence"), F.struct("file_no", "chunk", "item")).alias("b"))
-    kept = first.select("concept_type", "key", F.col("b.ref").alias("ref"), "b.name", "b.description", "b.confidence")
-    remap = concepts.join(kept.select("concept_type", "key", F.col("ref").alias("to")), ["concept_type", "key"]).select(F.col("ref").alias("from"), "to")
-    relations = rows.filter("kind = 'relation'")
-    for end in ("source_ref", "target_ref"):
-        local = F.when(F.contains(F.col(end), F.lit(":")), F.col(end)).otherwise(prefixed(end))
-        relations = relations.withColumn(end, local).join(remap.withColumnsRenamed({"from": end, "to": "__to"}), end, "left").withColumn(end, F.coalesce("__to", end)).drop("__to")
-    unique = relations.groupBy("relation_type", "source_ref", "target_ref").agg(F.min_by("ref", F.struct("file_no", "chunk", "item")).alias("ref"))
-    return kept, unique
-
-
-def conflicts(concepts: DataFrame, relations: DataFrame, graph: DataFrame) -> DataFrame:
-    """client_ref, conflict, detail: concepts that exist, relations with a dangling end (the source first).
-
-    concepts: client_ref, concept_type, name; relations: client_ref, source_ref, target_ref.  A ref is a client_ref or
-    Type:Name, which matches proposed concepts by case and the graph's (id, concept_type, name) in any case.
+    prefixed = lambda c: F.concat(F.lit("f"), F.col("file_no").cast("string"), F.lit("/"), c)
+    rows = items.withColumn("client_ref", prefixed(F.col("client_ref")))
+    local = rows.select("file_no", F.col("client_ref").alias("__to")).distinct()
+    first = -F.col("file_no"), -F.col("chunk"), -F.col("item")
+    by = {"concept_type": ["name"], "relation_type": ["name"], "concept": ["type", F.lower(F.trim("name"))], "rule": ["type", "name"], "action": ["type", "name"]}
+
+    def settled(kind: str, df: DataFrame, keys: list) -> tuple[DataFrame, DataFrame]:
+        """The first of each key, and links from the others to it."""
+        columns = [F.col(k) if isinstance(k, str) else k for k in keys]
+        names = [f"__k{k}" for k in range(len(columns))]
+        keyed = df.withColumns(dict(zip(names, columns, strict=True)))
+        firsts = keyed.groupBy(*names).agg(F.max_by(F.struct(*df.columns), F.struct(*first)).alias("r"))
+        same = F.lit(True)
+        for n in names:
+            same = same & F.col(f"k.{n}").eqNullSafe(F.col(f"f.{n}"))
+        again = keyed.alias("k").join(firsts.alias("f"), same).filter(F.col("k.client_ref") != F.col("f.r.client_ref"))
+        again = again.select(F.lit(kind).alias("kind"), *[f"k.{c}" for c in _ORDER], F.col("k.client_ref").alias("ref"), F.col("f.r.client_ref").alias("to"))
+        return firsts.select("r.*"), again
+
+    kept, links = {}, []
+    for kind, keys in by.items():
+        kept[kind], more = settled(kind, rows.filter(F.col("kind") == kind), keys)
+        links.append(more)
+    link_rows = links[0]
+    for more in links[1:]:
+        link_rows = link_rows.unionByName(more)
+    phase = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    canonical = lead_on(settle(link_rows.groupBy("ref").agg(F.max_by("to", F.struct("file_no", phase, "chunk", "item")).alias("to"))))
+
+    def rewritten(df: DataFrame, column: str) -> DataFrame:
+        """Local refs prefixed, then led on."""
+        with_local = df.withColumn("__to", F.when(~_is_graph_ref(F.col(column)), prefixed(F.col(column))))
+        known = with_local.join(local.withColumn("__known", F.lit(True)), ["file_no", "__to"], "left")
+        named = known.withColumn(column, F.when(F.col("__known"), F.col("__to")).otherwise(F.col(column))).drop("__to", "__known")
+        return named.join(canonical.withColumnsRenamed({"ref": column, "end": "__end"}), column, "left").withColumn(column, F.coalesce("__end", column)).drop("__end")
+
+    ends = rewritten(rewritten(rows.filter("kind = 'relation'"), "source_ref"), "target_ref").select(rows.columns)
+    kept["relation"] = settled("relation", ends, ["type", "source_ref", "target_ref"])[0]
+    kept["action"] = rewritten(rewritten(kept["action"], "source_ref"), "target_ref").select(rows.columns)
+    scoped = kept["rule"].select("client_ref", "file_no", F.posexplode("applies_to").alias("__n", "__ref"))
+    scopes = rewritten(scoped, "__ref").groupBy("client_ref").agg(F.array_sort(F.collect_list(F.struct("__n", "__ref"))).alias("__s"))
+    kept["rule"] = kept["rule"].join(scopes, "client_ref", "left").withColumn("applies_to", F.coalesce(F.col("__s.__ref"), "applies_to")).select(rows.columns)
+    out = kept["concept_type"]
+    for kind in list(KINDS)[1:]:
+        out = out.unionByName(kept[kind])
+    return out
+
+
+def _typed_key(ref: Column) -> tuple[Column, Column]:
+    """Type and lower-case name of a Type:Name ref, nulls for others."""
+    has = F.contains(ref, F.lit(":"))
+    return F.when(has, F.substring_index(ref, ":", 1)), F.when(has, F.lower(F.substr(ref, F.instr(ref, ":") + 1)))
+
+
+def conflicts(items: DataFrame, ontology: Ontology, graph: DataFrame) -> DataFrame:
+    """kind, client_ref, conflict, detail: types and concepts that exist, relations and actions with a dangling end.
+
+    A ref may name a proposed concept (its client_ref, or its type and name by case) or one of the graph (id, concept_type,
+    name) by type and name in any case.  The source or subject is named before the target or object; rules are never
+    flagged.
     """
-    keyed = graph.select("concept_type", F.lower("name").alias("key"), "id")
-    exists = concepts.withColumn("key", F.lower("name")).join(keyed, ["concept_type", "key"]).groupBy("client_ref").agg(F.lit("exists").alias("conflict"), F.min("id").cast("string").alias("detail"))
-    known = concepts.select(F.col("client_ref").alias("ref")).union(concepts.select(F.concat_ws(":", "concept_type", "name"))).distinct().withColumn("proposed", F.lit(True))
-    in_graph = keyed.select(F.concat(F.col("concept_type"), F.lit(":"), F.col("key")).alias("graph_ref")).distinct().withColumn("stored", F.lit(True))
-    rows = relations
-    for end in ("source", "target"):
-        ref = f"{end}_ref"
-        typed = F.concat(F.substring_index(ref, ":", 1), F.lit(":"), F.lower(F.expr(f"substr({ref}, instr({ref}, ':') + 1)")))
-        rows = rows.withColumn("graph_ref", typed).join(known.withColumnsRenamed({"ref": ref, "proposed": f"p_{end}"}), ref, "left").join(in_graph.withColumnRenamed("stored", f"g_{end}"), "graph_ref", "left").drop("graph_ref")
-    missing = F.when(F.col("p_source").isNull() & F.col("g_source").isNull(), F.col("source_ref")).when(F.col("p_target").isNull() & F.col("g_target").isNull(), F.col("target_ref"))
-    dangling = rows.select("client_ref", F.lit("dangling_ref").alias("conflict"), missing.alias("detail")).filter("detail IS NOT NULL")
-    return exists.unionByName(dangling)
+    spark = items.sparkSession
+    declared = [("concept_type", x.name) for x in ontology.concept_types] + [("relation_type", x.name) for x in ontology.relation_types]
+    types = F.broadcast(spark.createDataFrame(declared, "kind string, name string"))
+    found = items.join(types, ["kind", "name"]).select("kind", "client_ref", F.lit("exists").alias("conflict"), F.col("name").alias("detail"))
+    keyed = graph.groupBy(F.col("concept_type").alias("type"), F.lower("name").alias("key")).agg(F.min("id").alias("id"))
+    concepts = items.filter("kind = 'concept'").withColumn("key", F.lower("name"))
+    exists = concepts.join(keyed, ["type", "key"]).select("kind", "client_ref", F.lit("exists").alias("conflict"), F.col("id").cast("string").alias("detail"))
+    proposed = concepts.select(F.col("client_ref").alias("ref")).union(concepts.select(F.concat_ws(":", "type", "name"))).distinct().withColumn("__p", F.lit(True))
+    ends = items.filter("kind IN ('relation', 'action')").select("kind", "client_ref", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.col("source_ref").alias("ref")), F.struct(F.lit(1).alias("n"), F.col("target_ref").alias("ref")))).alias("e"))
+    ends = ends.select("kind", "client_ref", "e.n", "e.ref").filter("ref IS NOT NULL OR kind = 'relation' OR n = 0")
+    kind, key = _typed_key(F.col("ref"))
+    missing = ends.join(proposed, "ref", "left").withColumns({"__type": kind, "__key": key}).join(keyed.select(F.col("type").alias("__type"), F.col("key").alias("__key"), "id"), ["__type", "__key"], "left").filter("__p IS NULL AND id IS NULL")
+    dangling = missing.groupBy("kind", "client_ref").agg(F.lit("dangling_ref").alias("conflict"), F.coalesce(F.min_by("ref", "n"), F.lit("")).alias("detail"))
+    return found.unionByName(exists).unionByName(dangling)
+
+
+@dataclass
+class Applied:
+    """The graph after a reviewed proposal; kind, client_ref, outcome (created, merged, skipped or failed), id and code of each item."""
 
+    state: State
+    report: DataFrame
 
-def apply_decisions(concepts: DataFrame, decisions: DataFrame, graph: DataFrame, default: str = "skip") -> DataFrame:
-    """client_ref, status (created, merged, skipped or failed), id for each proposed concept under a reviewer's decision.
 
-    decisions: client_ref, action (create_new, merge or skip).  merge on a concept that is there updates it, else it is
-    created; create_new on one that is there fails.
+def accepted_in_order(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """at of the rows that are accepted one after another: none may check a slot that an accepted one before it holds.
+
+    rows: at, checked and held (arrays of strings); taken: slots held before all.  Each round decides every row that is the
+    first to hold all it checks, and those that these leave out.
     """
-    keyed = graph.select("concept_type", F.lower("name").alias("key"), F.col("id").alias("existing"))
-    rows = concepts.withColumn("key", F.lower("name")).join(decisions, "client_ref", "left").join(keyed, ["concept_type", "key"], "left")
-    action = F.coalesce("action", F.lit(default))
-    status = F.when(action == "skip", "skipped").when((action == "merge") & F.col("existing").isNotNull(), "merged").when(F.col("existing").isNull(), "created").otherwise("failed")
-    return rows.select("client_ref", status.alias("status"), F.when(status == "merged", F.col("existing")).alias("id"))
+    left = settle(rows.select("at", "checked", "held"))
+    gone = taken.select("slot").distinct()
+    accepted = left.select("at").limit(0)
+    blocked = left.select("at", F.explode("checked").alias("slot")).join(gone, "slot", "left_semi").select("at").distinct()
+    left = settle(left.join(blocked, "at", "left_anti"))
+    while not left.isEmpty():
+        first = left.select("at", F.explode("held").alias("slot")).groupBy("slot").agg(F.min("at").alias("first"))
+        checks = left.select("at", F.explode_outer("checked").alias("slot")).join(first, "slot", "left")
+        won = settle(checks.groupBy("at").agg(F.min(F.col("slot").isNull() | (F.col("first") >= F.col("at"))).alias("ok")).filter("ok").select("at"))
+        accepted = accepted.unionByName(won)
+        held = left.join(won, "at").select(F.col("at").alias("by"), F.explode("held").alias("slot")).groupBy("slot").agg(F.min("by").alias("by"))
+        left = left.join(won, "at", "left_anti")
+        out = left.select("at", F.explode("checked").alias("slot")).join(held, "slot").filter("by < at").select("at").distinct()
+        left = settle(left.join(out, "at", "left_anti"))
+    return settle(accepted)
+
+
+def _ontology_after(types: DataFrame, ontology: Ontology) -> tuple[History, Ontology]:
+    """The ontology with the accepted types (kind, at and their fields), the last of each name."""
+    columns = ["kind", "at", "name", "description", "property_names", "parent", "domain", "range", "symmetric"]
+    last = types.groupBy("kind", "name").agg(F.max_by(F.struct(*columns), "at").alias("r")).select("r.*").limit(MAX_TYPES + 1).collect()
+    if len(last) > MAX_TYPES:
+        raise ValueError(f"more than {MAX_TYPES} types in a proposal")
+    h = _base_history(ontology)
+    for r in sorted(last, key=lambda r: (r.kind != "concept_type", tuple(r.at))):
+        fields = {"name": r.name, "description": r.description or ""}
+        if r.kind == "concept_type":
+            h.apply("concept_type_decl", fields | {"properties": r.property_names or None, "parent": r.parent}, 0)
+        else:
+            h.apply("relation_type_decl", fields | {"domain": r.domain, "range": r.range, "symmetric": bool(r.symmetric)}, 0)
+    h = h.closed()
+    return h, h.ontology_at(END)
+
+
+def _resolved(rows: DataFrame, column: str, refs: DataFrame, names: DataFrame, to: str) -> DataFrame:
+    """``rows`` with the id that a ref names: of a concept just applied, else of the graph by type and name."""
+    kind, key = _typed_key(F.col(column))
+    named = rows.withColumns({"__type": kind, "__key": key})
+    named = named.join(refs.select(F.col("ref").alias(column), F.col("id").alias("__a")), column, "left")
+    named = named.join(names.select(F.col("type").alias("__type"), F.col("key").alias("__key"), F.col("id").alias("__b")), ["__type", "__key"], "left")
+    return named.withColumn(to, F.coalesce("__a", "__b")).drop("__type", "__key", "__a", "__b")
+
+
+def apply_proposal(items: DataFrame, decisions: DataFrame, state: State, lang: str | None = None, default: str = "skip", strict: bool = False) -> Applied:
+    """Apply the items (columns of ITEM) that a reviewer lets through: types, then concepts, relations, rules and actions.
+
+    decisions: client_ref, action (create_new, merge or skip), one a ref; ``default`` holds for others.  A concept to merge
+    that is there gets the name, and the description and properties that are not empty; one whose properties do not fit
+    fails and keeps name and description.  Others are created, with ``lang`` as a property.  What refers to a concept that
+    failed or was skipped, and is not in the graph, fails in turn; a rule loses such a scope and an action such an
+    object.  Under ``strict`` the first failure ends it: later items are not in the report.
+    """
+    spark = items.sparkSession
+    phase = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
+    rows = as_items(items).withColumn("at", F.struct(phase.alias("phase"), *_ORDER))
+    chosen = decisions.select("client_ref", F.col("action").alias("__action"))
+    rows = settle(rows.join(chosen, "client_ref", "left").withColumn("action", F.coalesce("__action", F.lit(default))).drop("__action"))
+    live = rows.filter("action <> 'skip'")
+    of = lambda k: live.filter(F.col("kind") == k)
+    empty_map, empty_list = F.create_map().cast("map<string,string>"), F.array().cast("array<string>")
+
+    # types
+    known = spark.createDataFrame([(x.name,) for x in state.ontology.concept_types], "name string").union(of("concept_type").select("name")).distinct()
+    fits = lambda c: known.select(F.col("name").alias(c), F.lit(True).alias(f"__{c}"))
+    checked = of("relation_type").join(fits("domain"), "domain", "left").join(fits("range"), "range", "left").withColumn("ok", F.col("__domain").isNotNull() & F.col("__range").isNotNull())
+    report_types = of("concept_type").select("at", F.lit("created").alias("outcome"), F.col("name").alias("id"), F.lit(None).cast("string").alias("code"))
+    report_types = report_types.unionByName(checked.select("at", F.when(F.col("ok"), "created").otherwise("failed").alias("outcome"), F.when(F.col("ok"), F.col("name")).alias("id"), F.when(~F.col("ok"), "UnknownConceptType").alias("code")))
+    report_types = settle(report_types)
+    if strict:
+        stop = report_types.filter("outcome = 'failed'").agg(F.min("at")).first()[0]
+        accepted_types = checked.filter("ok") if stop is None else checked.filter("ok").filter(F.col("at") < _literal(stop))
+    else:
+        accepted_types = checked.filter("ok")
+    history, ontology = _ontology_after(of("concept_type").unionByName(accepted_types.select(live.columns)), state.ontology)
+    types = history.table(spark, "concept_type_decl").filter(F.col("until") == END).select(F.col("name").alias("type"), "allowed", "required", F.lit(True).alias("known"))
+    apart = {}
+    for a, b, _, until in history.pairs["disjoint"]:
+        if until == END:
+            apart.setdefault(a, []).append(b)
+    disjoint = F.broadcast(spark.createDataFrame([(k, v) for k, v in apart.items()], "type string, apart array<string>"))
+
+    # concepts: whether each could be created or updated by itself, then who comes first to a name
+    there = state.concepts.groupBy(F.col("concept_type").alias("type"), F.lower("name").alias("key")).agg(F.min("id").alias("there"))
+    given = F.coalesce("properties", empty_map)
+    full = given
+    if lang:
+        full = F.when(F.map_contains_key(given, "lang"), given).otherwise(F.map_concat(F.create_map(F.lit("lang"), F.lit(lang)), given))
+    concepts = of("concept").withColumns({"key": F.lower("name"), "given": given, "full": full}).join(types, "type", "left").join(disjoint, "type", "left").join(there, ["type", "key"], "left")
+    code = lambda m: F.when(F.col("known").isNull(), 1).when(F.col("allowed").isNotNull() & (F.size(F.array_except(F.map_keys(m), "allowed")) > 0), 2).when(F.size(F.array_except("required", F.map_keys(m))) > 0, 3)
+    concepts = settle(concepts.withColumns({"bad_create": code(F.col("full")), "bad_update": F.when(F.size("given") > 0, code(F.col("given")))}))
+    first = concepts.filter("there IS NULL AND bad_create IS NULL").groupBy("key", "type").agg(F.min("at").alias("at"), F.first("apart").alias("apart"))
+    claimed = there.groupBy("key").agg(F.collect_set("type").alias("held"))
+    # one entry a type, so an array has no more than there are types
+    tries = first.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "type", F.coalesce("apart", empty_list).alias("apart")))).alias("tries")).join(claimed, "key", "left")
+    start = F.struct(F.coalesce("held", empty_list).alias("held"), F.array().cast("array<struct<at:struct<phase:int,file_no:bigint,chunk:bigint,item:int>,type:string>>").alias("won"))
+    step = lambda acc, x: F.when(F.arrays_overlap(acc["held"], x["apart"]), acc).otherwise(F.struct(F.concat(acc["held"], F.array(x["type"])).alias("held"), F.concat(acc["won"], F.array(F.struct(x["at"].alias("at"), x["type"].alias("type")))).alias("won")))
+    wins = tries.select("key", F.explode(F.aggregate("tries", start, step)["won"]).alias("w")).select("key", "w.type", F.col("w.at").alias("claim_at"))
+    wins = settle(wins)
+    others = wins.select("key", F.col("type").alias("other"), "claim_at").unionByName(there.select("key", F.col("type").alias("other"), F.lit(None).cast(concepts.schema["at"].dataType).alias("claim_at")))
+    near = concepts.select("at", "key", F.explode("apart").alias("other")).join(others, ["key", "other"]).filter("claim_at IS NULL OR claim_at < at").select("at", F.lit(True).alias("blocked")).distinct()
+    judged = concepts.join(wins, ["key", "type"], "left").join(near, "at", "left")
+    before = F.col("there").isNotNull() | F.coalesce(F.col("claim_at") < F.col("at"), F.lit(False))
+    update = before & (F.col("action") == "merge")
+    n = F.when(update, F.col("bad_update")).otherwise(F.coalesce("bad_create", F.when(F.col("blocked"), 4), F.when(before, 5)))
+    judged = judged.withColumns({"update": update, "n": n})
+    # a name that is taken is found out after the counter has moved
+    counted = judged.filter("NOT update AND (n IS NULL OR n = 5)").select("at", F.lit(0).cast("long").alias("id"), F.lit(0).alias("sub"))
+    judged = settle(judged)
+
+    limits = history.table(spark, "relation_type_decl").select(F.col("name").alias("type"), "one_out", "one_in", "symmetric", "domain", "range", "until").filter(F.col("until") == END).drop("until")
+    codes = F.array(*[F.lit(x) for x in ("UnknownConceptType", "InvalidProperty", "MissingRequiredProperty", "DisjointTypeViolation", "DuplicateConcept")])
+
+    # ids of concepts, so that relations know their ends
+    order = ("phase", "file_no", "chunk", "item", "sub")
+    flat = lambda df: df.select("id", "sub", "at", "at.*")
+    concept_ids = settle(allocate(flat(counted), state.next_id, order).select("at", "new_id"))
+    created = judged.filter("NOT update AND n IS NULL").join(concept_ids, "at")
+    owners = created.select("key", "type", F.col("new_id").alias("id")).unionByName(there.select("key", "type", F.col("there").alias("id")))
+    owners = settle(owners)
+    updated = judged.filter("update").join(owners.withColumnRenamed("id", "new_id"), ["key", "type"])
+    columns = ["at", "client_ref", "type", "name", "description", "given", "full", "n", "new_id"]
+    changes = settle(created.select(*columns, F.lit(False).alias("update")).unionByName(updated.select(*columns, F.lit(True).alias("update"))))
+    done = changes.filter("n IS NULL")
+    refs = done.select(F.col("client_ref").alias("ref"), "at", "new_id").unionByName(done.select(F.concat_ws(":", "type", "name").alias("ref"), "at", "new_id"))
+    refs = settle(refs.groupBy("ref").agg(F.max_by("new_id", "at").alias("id")))
+    kinds = state.concepts.select("id", F.col("concept_type").alias("kind_of")).unionByName(created.select(F.col("new_id").alias("id"), F.col("type").alias("kind_of")))
+    outcome = F.when(F.col("n").isNotNull(), "failed").when(F.col("update"), "merged").otherwise("created")
+    report_concepts = judged.select("at", "key", "type", outcome.alias("outcome"), F.get(codes, F.col("n") - 1).alias("code")).join(owners, ["key", "type"], "left")
+    report_concepts = report_concepts.select("at", "outcome", F.when(F.col("outcome") != "failed", F.col("id").cast("string")).alias("id"), "code")
+
+    # relations, checked against the types and then one after another where a type allows only one
+    relations = _resolved(_resolved(of("relation"), "source_ref", refs, owners, "source"), "target_ref", refs, owners, "target")
+    relations = relations.drop("symmetric", "domain", "range").join(limits, "type", "left")
+    for end in ("source", "target"):
+        relations = relations.join(kinds.select(F.col("id").alias(end), F.col("kind_of").alias(f"{end}_kind")), end, "left")
+    above = history.pair_table(spark, "above").filter(F.col("until") == END)
+    for kind, limit, name in (("source_kind", "domain", "in_domain"), ("target_kind", "range", "in_range")):
+        relations = relations.join(above.select(F.col("a").alias(limit), F.col("b").alias(kind), F.lit(True).alias(name)), [limit, kind], "left")
+    bad = F.when(F.col("source").isNull() | F.col("target").isNull(), "DanglingRef").when(F.col("domain").isNull(), "UnknownRelationType").when(F.col("in_domain").isNull() | F.col("in_range").isNull(), "SchemaViolation")
+    relations = settle(relations.withColumn("code", bad))
+    slot = lambda side, end: F.concat_ws("|", F.lit(side), "type", F.col(end).cast("string"))
+    limited = relations.filter("code IS NULL AND (one_out OR one_in)")
+    own = F.array_compact(F.array(F.when(F.col("one_out"), slot("o", "source")), F.when(F.col("one_in"), slot("i", "target"))))
+    twin = F.when(F.col("symmetric"), F.array_compact(F.array(F.when(F.col("one_out"), slot("o", "target")), F.when(F.col("one_in"), slot("i", "source"))))).otherwise(empty_list)
+    tried = limited.select("at", own.alias("checked"), F.concat(own, twin).alias("held"))
+    old = state.relations.withColumnRenamed("relation_type", "type")
+    taken = old.select(F.explode(F.array(slot("o", "source"), slot("i", "target"))).alias("slot"))
+    passed = accepted_in_order(tried, taken).withColumn("__ok", F.lit(True))
+    relations = relations.join(passed, "at", "left").withColumn("code", F.coalesce("code", F.when(F.coalesce(F.col("one_out") | F.col("one_in"), F.lit(False)) & F.col("__ok").isNull(), "CardinalityViolation")))
+    relations = settle(relations.drop("__ok"))
+
+    # rules and actions
+    declared = lambda ts: F.broadcast(spark.createDataFrame([(t.name, True) for t in ts], "type string, declared boolean"))
+    rules = of("rule").join(declared(state.ontology.rule_types), "type", "left").withColumn("code", F.when(F.col("declared").isNull(), "UnknownRelationType"))
+    scoped = _resolved(rules.select("at", F.posexplode("applies_to").alias("n", "ref")), "ref", refs, owners, "to").filter("to IS NOT NULL")
+    scopes = scoped.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("n", "to"))).alias("__s"))
+    rules = settle(rules.join(scopes, "at", "left").withColumn("scope", F.coalesce(F.col("__s.to"), F.array().cast("array<long>"))))
+    actions = _resolved(_resolved(of("action"), "source_ref", refs, owners, "subject"), "target_ref", refs, owners, "object")
+    actions = actions.join(declared(state.ontology.action_types), "type", "left").withColumn("code", F.when(F.col("subject").isNull(), "DanglingRef").when(F.col("declared").isNull(), "UnknownRelationType"))
+    actions = settle(actions)
+
+    # one counter over all that was made
+    made = relations.filter("code IS NULL")
+    rows_of = lambda df, sub: df.select("at", F.lit(0).cast("long").alias("id"), F.lit(sub).alias("sub"))
+    twins = made.filter("symmetric AND source <> target")
+    events = counted.select("at", "id", "sub").unionByName(rows_of(made, 0)).unionByName(rows_of(twins, 1)).unionByName(rows_of(rules.filter("code IS NULL"), 0)).unionByName(rows_of(actions.filter("code IS NULL"), 0))
+    ids = settle(allocate(flat(events), state.next_id, order).select("at", "sub", "new_id"))
+    main = ids.filter("sub = 0").select("at", "new_id")
+    simple = lambda df: df.join(main, "at", "left").select("at", F.when(F.col("code").isNull(), "created").otherwise("failed").alias("outcome"), F.when(F.col("code").isNull(), F.col("new_id").cast("string")).alias("id"), "code")
+    report = report_types.unionByName(report_concepts).unionByName(simple(relations)).unionByName(simple(rules)).unionByName(simple(actions))
+    report = settle(rows.select("at", "kind", "client_ref").join(report, "at", "left").withColumn("outcome", F.coalesce("outcome", F.lit("skipped"))))
+    upto = F.lit(True)
+    if strict and (failed := report.filter("outcome = 'failed'").agg(F.min("at")).first()[0]) is not None:
+        upto = F.col("at") <= _literal(failed)
+        report = report.filter(upto)
+
+    # the graph after it
+    changes, made = changes.filter(upto), made.filter(upto)
+    base = state.concepts.unionByName(changes.filter("NOT update AND n IS NULL").select(F.col("new_id").alias("id"), F.col("type").alias("concept_type"), "name", F.coalesce("description", F.lit("")).alias("description"), F.col("full").alias("properties")))
+    filled = F.when(F.coalesce("description", F.lit("")) != "", F.col("at"))
+    fitting = F.when((F.size("given") > 0) & F.col("n").isNull(), F.col("at"))
+    last = changes.filter("update").groupBy(F.col("new_id").alias("id")).agg(F.max_by("name", "at").alias("__n"), F.max_by("description", filled).alias("__d"), F.max_by("given", fitting).alias("__p"))
+    merged = base.join(last, "id", "left").select("id", "concept_type", F.coalesce("__n", "name").alias("name"), F.coalesce("__d", "description").alias("description"), F.coalesce("__p", "properties").alias("properties"))
+    weight = F.coalesce("weight", F.lit(1.0)).alias("weight")
+    added = made.join(main, "at").select(F.col("new_id").alias("id"), F.col("type").alias("relation_type"), "source", "target", weight)
+    back = made.join(ids.filter("sub = 1").select("at", "new_id"), "at").select(F.col("new_id").alias("id"), F.col("type").alias("relation_type"), F.col("target").alias("source"), F.col("source").alias("target"), weight)
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    new_rules = rules.filter("code IS NULL").filter(upto).join(main, "at").select(F.col("new_id").alias("id"), F.col("type").alias("rule_type"), "name", text("when"), text("then"), F.col("scope").alias("applies_to"), F.coalesce("strict", F.lit(False)).alias("strict"), text("description"))
+    new_actions = actions.filter("code IS NULL").filter(upto).join(main, "at").select(F.col("new_id").alias("id"), F.col("type").alias("action_type"), "name", "subject", "object", text("effect"), text("description"))
+    top = ids.filter(upto).agg(F.max("new_id")).first()[0]
+    after = State(
+        ontology, settle(merged), settle(state.relations.unionByName(added).unionByName(back)), settle(state.rules.unionByName(new_rules)), settle(state.actions.unionByName(new_actions)),
+        max(state.next_id, (top or 0) + 1),
+    )
+    return Applied(after, report.select("kind", "client_ref", "outcome", "id", "code"))
 
 
-def first_of(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    window = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("__n", F.row_number().over(window)).filter("__n = 1").drop("__n")
+def _literal(at) -> Column:
+    """A time as a column to compare with."""
+    fields = asdict(at) if hasattr(at, "__dataclass_fields__") else at.asDict()
+    kinds = {"phase": "int", "file_no": "long", "chunk": "long", "item": "int"}
+    return F.struct(*[F.lit(fields[c]).cast(t).alias(c) for c, t in kinds.items()])

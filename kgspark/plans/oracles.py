@@ -280,28 +280,63 @@ plain(
     c AS (SELECT doc_id, t, (SELECT max(n) FROM range(0, 1001) r(n) WHERE strlen(t[1:n]) <= 1000) AS n FROM t)
     SELECT doc_id, CASE WHEN strlen(t) <= 1000 THEN t ELSE t[1:n] || '…' END AS description FROM c""",
 )
-LINES = "lines AS (SELECT l_orderkey AS file, CAST(l_linenumber AS BIGINT) AS chunk, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY ALL)"
+LINES = """lines AS (
+  SELECT l_orderkey AS file_no, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS BIGINT) AS chunk,
+    'c' || chunk || '-c-0' AS own, 'part ' || l_partkey % 50 AS part, 'Supplier:SUPPLIER#' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS supplier, trunc(l_discount * 100) / 100 AS sure, * FROM lineitem
+)"""
 plain(
     "proposal_refs",
-    f"""WITH {LINES} SELECT file, chunk, 'concept' AS kind, 'c' || chunk || '-concept-0' AS client_ref, 'part ' || p % 50 AS name, CAST(NULL AS VARCHAR) AS target_ref FROM lines
-    UNION ALL SELECT file, chunk, 'relation', 'c' || chunk || '-relation-0', NULL, 'Supplier:SUPPLIER#' || lpad(CAST(s AS VARCHAR), 9, '0') FROM lines""",
+    f"""WITH {LINES} SELECT file_no, chunk, 'concept_type' AS kind, 'c' || chunk || '-ct-0' AS client_ref, NULL AS type, 'Kind ' || l_linenumber AS name, NULL AS source_ref, NULL AS target_ref, NULL AS flag, NULL AS applies_to, CAST(NULL AS DOUBLE) AS weight FROM lines
+    UNION ALL SELECT file_no, chunk, 'relation_type', 'c' || chunk || '-rt-0', NULL, 'shipped_by', NULL, NULL, NULL, NULL, NULL FROM lines
+    UNION ALL SELECT file_no, chunk, 'concept', own, 'Part', part, NULL, NULL, l_linestatus, NULL, NULL FROM lines
+    UNION ALL SELECT file_no, chunk, 'relation', 'c' || chunk || '-r-0', 'shipped_by', NULL, own, supplier, NULL, NULL, l_quantity FROM lines
+    UNION ALL SELECT file_no, chunk, 'rule', 'c' || chunk || '-ru-0', 'duty', 'rule ' || l_returnflag, NULL, NULL, NULL, own || ',' || supplier, NULL FROM lines
+    UNION ALL SELECT file_no, chunk, 'action', 'c' || chunk || '-a-0', 'audit', 'audit ' || l_suppkey, supplier, CASE WHEN chunk > 1 THEN 'c1-c-0' END, NULL, NULL, NULL FROM lines""",
+)
+plain(
+    "merge_chunks",
+    f"""WITH {LINES} SELECT file_no, 'concept_type' AS kind, 'c' || arg_max(chunk, (sure, -chunk)) || '-ct-0' AS client_ref, NULL AS type, 'kind ' || l_linenumber AS name, max(sure) AS confidence FROM lines GROUP BY file_no, l_linenumber
+    UNION ALL SELECT file_no, 'relation_type', 'c1-rt-0', NULL, 'shipped_by', 0 FROM lines GROUP BY file_no
+    UNION ALL SELECT file_no, 'concept', 'c' || arg_max(chunk, (sure, -chunk)) || '-c-0', 'Part', part, max(sure) FROM lines GROUP BY file_no, part
+    UNION ALL SELECT file_no, 'relation', 'c' || chunk || '-r-0', 'shipped_by', NULL, 0 FROM lines
+    UNION ALL SELECT file_no, 'rule', 'c' || chunk || '-ru-0', 'duty', 'rule ' || lower(l_returnflag), 0 FROM lines
+    UNION ALL SELECT file_no, 'action', 'c' || chunk || '-a-0', 'audit', 'audit ' || l_suppkey, 0 FROM lines""",
 )
 plain("merge_concepts_confidence", "SELECT 'part ' || l_partkey % 100 AS key, max(CAST(CAST(trunc(l_discount * 100) AS INTEGER) AS DOUBLE)) AS confidence, count(*) AS n_merged FROM lineitem GROUP BY ALL")
 plain(
     "merge_proposals",
-    f"""WITH {LINES}, c AS (SELECT *, 'f' || file || '/c' || chunk || '-concept-0' AS ref, first_value('f' || file || '/c' || chunk || '-concept-0') OVER (PARTITION BY p % 50 ORDER BY file, chunk) AS kept FROM lines),
-    r AS (SELECT file, chunk, kept AS source_ref, 'Supplier:SUPPLIER#' || lpad(CAST(s AS VARCHAR), 9, '0') AS target_ref, 'f' || file || '/c' || chunk || '-relation-0' AS ref FROM c)
-    SELECT 'shipped_by' AS relation_type, source_ref, target_ref, arg_min(ref, file * 1000 + chunk) AS ref FROM r GROUP BY source_ref, target_ref""",
+    """WITH p AS (SELECT p_partkey AS k, p_partkey % 50 AS d, 'f' || (p_partkey - least(4, p_partkey % 50)) || '/a' AS a, p_brand, p_type FROM part),
+    brands AS (SELECT p_brand, min(k) AS k FROM p GROUP BY p_brand),
+    r AS (SELECT *, row_number() OVER (PARTITION BY a, k % 25 ORDER BY k) AS made, row_number() OVER (PARTITION BY a ORDER BY k) AS same, row_number() OVER (PARTITION BY p_brand, k % 40 ORDER BY k) AS ruled, row_number() OVER (PARTITION BY k % 700 ORDER BY k) AS sold FROM p)
+    SELECT 'concept_type' AS kind, 'f' || k || '/t' AS client_ref, NULL AS type, p_brand AS name, NULL AS source_ref, NULL AS target_ref, NULL AS applies_to FROM brands
+    UNION ALL SELECT 'relation_type', 'f' || min(k) || '/u', NULL, p_type, NULL, NULL, NULL FROM p GROUP BY p_type
+    UNION ALL SELECT 'concept', 'f' || k || '/a', 'Part', 'Part ' || k, NULL, NULL, NULL FROM p
+    UNION ALL SELECT 'relation', 'f' || k || '/r', 'made_in', NULL, a, 'Nation:' || k % 25, NULL FROM r WHERE made = 1
+    UNION ALL SELECT 'relation', 'f' || k || '/s', 'is', NULL, a, 'Nation:all', NULL FROM r WHERE same = 1
+    UNION ALL SELECT 'rule', 'f' || k || '/m', 'duty', p_brand || '-' || k % 40, NULL, NULL, a || ',f' || (SELECT b.k FROM brands b WHERE b.p_brand = r.p_brand) || '/t,none' FROM r WHERE ruled = 1
+    UNION ALL SELECT 'action', 'f' || k || '/n', 'sell', CAST(k % 700 AS VARCHAR), a, CASE WHEN k % 2 = 0 THEN 'gone' END, NULL FROM r WHERE sold = 1""",
 )
 graph(
     "proposal_conflicts",
-    """SELECT 'c0-concept-' || p_partkey AS client_ref, 'exists' AS conflict, CAST(50000000000001 + p_partkey AS VARCHAR) AS detail FROM part WHERE p_partkey % 3 = 0
-    UNION ALL SELECT 'c0-relation-' || p_partkey, 'dangling_ref', CASE WHEN p_partkey * 2 NOT IN (SELECT p_partkey FROM part) THEN 'c0-concept-' || p_partkey * 2 ELSE 'Nation:nation_' || p_partkey % 40 END FROM part WHERE p_partkey * 2 NOT IN (SELECT p_partkey FROM part) OR p_partkey % 40 >= 25""",
+    """SELECT 'concept' AS kind, 'c0-c-' || p_partkey AS client_ref, 'exists' AS conflict, CAST(50000000000001 + p_partkey AS VARCHAR) AS detail FROM part WHERE p_partkey % 3 = 0
+    UNION ALL SELECT 'relation', 'c0-r-' || p_partkey, 'dangling_ref', CASE WHEN p_partkey * 2 NOT IN (SELECT p_partkey FROM part) THEN 'c0-c-' || p_partkey * 2 ELSE 'Nation:nation_' || p_partkey % 40 END FROM part WHERE p_partkey * 2 NOT IN (SELECT p_partkey FROM part) OR p_partkey % 40 >= 25
+    UNION ALL SELECT 'action', 'c0-a-' || p_partkey, 'dangling_ref', CASE WHEN lost THEN 'Part:new part ' || p_partkey + 1 ELSE 'Nation:nation_' || p_partkey % 40 END
+      FROM (SELECT p_partkey, p_partkey + 1 NOT IN (SELECT p_partkey FROM part) OR (p_partkey + 1) % 3 = 0 AS lost FROM part) WHERE lost OR (p_partkey % 2 = 0 AND p_partkey % 40 >= 25)
+    UNION ALL SELECT 'concept_type', 'c0-ct-' || p_partkey, 'exists', 'Party' FROM part WHERE p_partkey % 7 = 0
+    UNION ALL SELECT 'relation_type', 'c0-rt-' || p_partkey, 'exists', 'placed_by' FROM part WHERE p_partkey % 9 = 0""",
 )
-graph(
-    "apply_decisions",
-    """SELECT client_ref, status, CASE WHEN status = 'merged' THEN CAST(30000000000001 + k AS BIGINT) END AS id FROM (
-      SELECT c_custkey AS k, 'c0-concept-' || c_custkey AS client_ref, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 3 = 2 THEN 'skipped' WHEN c_custkey % 2 = 1 THEN 'created' WHEN c_custkey % 3 = 1 THEN 'merged' ELSE 'failed' END AS status FROM customer)""",
+plain(
+    "apply_proposal",
+    """WITH c AS (SELECT c_custkey AS k, c_nationkey, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 3 = 2 THEN 'skipped' WHEN c_custkey % 11 = 0 THEN 'nobody' WHEN c_custkey % 2 = 1 THEN 'created' WHEN c_custkey % 3 = 1 THEN 'merged' ELSE 'twice' END AS what FROM customer),
+    s AS (SELECT 1 AS phase, k, 'concept' AS kind, what, what IN ('created', 'twice') AS counts FROM c
+      UNION ALL SELECT 2, k, 'relation', CASE WHEN k % 7 = 0 THEN 'skipped' WHEN what = 'created' THEN 'created' WHEN what = 'merged' THEN 'CardinalityViolation' ELSE 'DanglingRef' END, what = 'created' AND k % 7 <> 0 FROM c
+      UNION ALL SELECT 3, k, 'rule', CASE WHEN k % 8 = 0 THEN 'created' ELSE 'UnknownRelationType' END, k % 8 = 0 FROM c WHERE k % 4 = 0
+      UNION ALL SELECT 4, k, 'action', CASE WHEN what IN ('created', 'merged') THEN 'created' ELSE 'DanglingRef' END, what IN ('created', 'merged') FROM c WHERE k % 6 <> 0),
+    n AS (SELECT *, 200000000000000 + row_number() OVER (PARTITION BY counts ORDER BY phase, k) - 1 AS id FROM s)
+    SELECT kind, 'c0-' || CASE kind WHEN 'concept' THEN 'c' WHEN 'relation' THEN 'r' WHEN 'rule' THEN 'ru' ELSE 'a' END || '-' || k AS client_ref, CASE WHEN what IN ('created', 'merged', 'skipped') THEN what ELSE 'failed' END AS outcome,
+      CASE what WHEN 'created' THEN CAST(id AS VARCHAR) WHEN 'merged' THEN CAST(30000000000001 + k AS VARCHAR) END AS id,
+      CASE WHEN what = 'nobody' THEN 'UnknownConceptType' WHEN what = 'twice' THEN 'DuplicateConcept' WHEN what NOT IN ('created', 'merged', 'skipped') THEN what END AS code FROM n
+    UNION ALL VALUES ('concept_type', 'c0-ct-0', 'created', 'Gadget', NULL), ('relation_type', 'c0-rt-1', 'created', 'likes 1', NULL), ('relation_type', 'c0-rt-2', 'failed', NULL, 'UnknownConceptType')""",
 )
 
 # Prompts and answers

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions import text
@@ -14,7 +14,7 @@ from kgspark.operators.ontology import Ontology, RelationType
 from kgspark.operators.traverse import Expansion
 from kgspark.sources import documents, records
 
-from .encode import BASE, ONTOLOGY, RULED, Graph, node_id
+from .encode import BASE, LINE_ORDER, ONTOLOGY, RULED, Graph, node_id
 from .lineage import cut
 
 QUERIES: dict = {}
@@ -524,18 +524,35 @@ def chunk_documents(kg):
 
 
 def _replies(kg) -> DataFrame:
-    """Model replies as JSON, some in a code fence: an item for each order line's part and supplier."""
-    concept = F.struct(F.lit("Part").alias("concept_type"), F.concat(F.lit(" part "), (F.col("l_partkey") % 50).cast("string")).alias("name"), F.lit("").alias("description"), (F.col("l_linenumber") / 10).alias("confidence"))
-    relation = F.struct(F.lit("shipped_by").alias("relation_type"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string"), F.lit("-concept-0")).alias("source_ref"), F.concat(F.lit("Supplier:SUPPLIER#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias("target_ref"))
-    body = F.to_json(F.struct(F.array(concept).alias("concepts"), F.array(relation).alias("relations")))
-    fenced = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
-    lines = kg.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
-    return lines.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("long").alias("chunk"), fenced.alias("reply"))
+    """Model replies as JSON, some in a code fence: a chunk for each line of an order, with items of all six kinds."""
+    supplier = F.concat(F.lit("Supplier:SUPPLIER#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0"))
+    own = F.format_string("c%d-c-0", F.col("chunk"))
+    sure = (F.col("l_discount") * 100).cast("int") / 100
+    lists = {
+        "concept_types": F.struct(F.concat(F.lit("Kind "), F.col("l_linenumber").cast("string")).alias("name"), F.array(F.lit("size")).alias("properties"), sure.alias("confidence")),
+        "relation_types": F.struct(F.lit("shipped_by").alias("name"), F.lit("Part").alias("domain"), F.lit("Supplier").alias("range")),
+        "concepts": F.struct(F.lit("Part").alias("concept_type"), F.concat(F.lit(" part "), (F.col("l_partkey") % 50).cast("string")).alias("name"), F.array(F.array(F.lit("flag"), F.col("l_returnflag")), F.array(F.lit("flag"), F.col("l_linestatus"))).alias("properties"), sure.alias("confidence")),
+        "relations": F.struct(F.lit("shipped_by").alias("relation_type"), own.alias("source_ref"), supplier.alias("target_ref"), F.col("l_quantity").alias("weight")),
+        "rules": F.struct(F.lit("duty").alias("rule_type"), F.concat(F.lit("rule "), F.col("l_returnflag")).alias("name"), F.array(own, supplier).alias("applies_to")),
+        "actions": F.struct(F.lit("audit").alias("action_type"), F.concat(F.lit("audit "), F.col("l_suppkey").cast("string")).alias("name"), supplier.alias("subject_ref"), F.when(F.col("chunk") > 1, F.lit("c1-c-0")).alias("object_ref")),
+    }
+    lines = kg.table("lineitem").withColumn("chunk", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)))
+    body = F.to_json(F.struct(*[F.array(x).alias(c) for c, x in lists.items()]))
+    fenced = F.when(F.col("chunk") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    return lines.select(F.col("l_orderkey").alias("file_no"), F.col("chunk").cast("long").alias("chunk"), fenced.alias("reply"))
 
 
 @query
 def proposal_refs(kg):
-    return proposals.parse_replies(_replies(kg)).select("file", "chunk", "kind", "client_ref", F.trim("name").alias("name"), "target_ref")
+    items = proposals.parse_replies(_replies(kg))
+    scope = F.array_join("applies_to", ",")
+    return items.select("file_no", "chunk", "kind", "client_ref", "type", F.trim("name").alias("name"), "source_ref", "target_ref", F.element_at("properties", "flag").alias("flag"), scope.alias("applies_to"), "weight")
+
+
+@query
+def merge_chunks(kg):
+    items = proposals.merge_chunks(proposals.parse_replies(_replies(kg)))
+    return items.select("file_no", "kind", "client_ref", "type", F.lower(F.trim("name")).alias("name"), "confidence")
 
 
 @query
@@ -547,24 +564,78 @@ def merge_concepts_confidence(kg):
 
 @query
 def merge_proposals(kg):
-    items = proposals.parse_replies(_replies(kg)).withColumn("file_no", F.col("file"))
-    _, relations = proposals.merge_files(items)
-    return relations.select("relation_type", "source_ref", "target_ref", "ref")
+    """A file a part.  Each gives its ref `a` twice: to its own concept and to the one of the file before, which makes chains."""
+    k = F.col("p_partkey")
+    part = kg.table("part")
+    own = {"file_no": k, "chunk": F.lit(0)}
+
+    def items(kind: str, n: int, ref: str, rows: DataFrame = part, **fields) -> DataFrame:
+        return proposals.as_items(rows.select(*[c.alias(f) for f, c in (own | {"item": F.lit(n), "kind": F.lit(kind), "client_ref": F.lit(ref)} | fields).items()]))
+
+    rows = [
+        items("concept_type", 0, "t", name=F.col("p_brand")),
+        items("relation_type", 0, "u", name=F.col("p_type"), domain=F.lit("Part"), range=F.lit("Nation")),
+        items("concept", 0, "a", type=F.lit("Part"), name=F.concat(F.lit("Part "), k.cast("string"))),
+        items("concept", 1, "a", part.filter(k % 50 != 0), type=F.lit("Part"), name=F.concat(F.lit(" PART "), (k - 1).cast("string"))),
+        items("relation", 0, "r", type=F.lit("made_in"), source_ref=F.lit("a"), target_ref=F.concat(F.lit("Nation:"), (k % 25).cast("string"))),
+        items("relation", 1, "s", type=F.lit("is"), source_ref=F.lit("a"), target_ref=F.lit("Nation:all")),
+        items("rule", 0, "m", type=F.lit("duty"), name=F.concat(F.col("p_brand"), F.lit("-"), (k % 40).cast("string")), applies_to=F.array(F.lit("a"), F.lit("t"), F.lit("none"))),
+        items("action", 0, "n", type=F.lit("sell"), name=(k % 700).cast("string"), source_ref=F.lit("a"), target_ref=F.when(k % 2 == 0, F.lit("gone"))),
+    ]
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    return proposals.merge_files(every).select("kind", "client_ref", "type", F.trim("name").alias("name"), "source_ref", "target_ref", F.array_join("applies_to", ",").alias("applies_to"))
 
 
 @query
 def proposal_conflicts(kg):
-    concepts = kg.table("part").select(F.concat(F.lit("c0-concept-"), F.col("p_partkey").cast("string")).alias("client_ref"), F.lit("Part").alias("concept_type"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.upper("p_name"), F.lit(" #"), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.lit("new part "), F.col("p_partkey").cast("string"))).alias("name"))
-    relations = kg.table("part").select(F.concat(F.lit("c0-relation-"), F.col("p_partkey").cast("string")).alias("client_ref"), F.concat(F.lit("c0-concept-"), (F.col("p_partkey") * 2).cast("string")).alias("source_ref"), F.concat(F.lit("Nation:nation_"), (F.col("p_partkey") % 40).cast("string")).alias("target_ref"))
-    return proposals.conflicts(concepts, relations, kg.concepts.select("id", "concept_type", "name"))
-
-
-@query
-def apply_decisions(kg):
-    concepts = kg.table("customer").select(F.concat(F.lit("c0-concept-"), F.col("c_custkey").cast("string")).alias("client_ref"), F.lit("Customer").alias("concept_type"), F.when(F.col("c_custkey") % 2 == 0, F.upper("c_name")).otherwise(F.concat(F.lit("new "), "c_name")).alias("name"))
-    action = F.element_at(F.array(F.lit("create_new"), F.lit("merge"), F.lit("skip")), (F.col("c_custkey") % 3 + 1).cast("int"))
-    decisions = kg.table("customer").filter("c_custkey % 5 <> 0").select(F.concat(F.lit("c0-concept-"), F.col("c_custkey").cast("string")).alias("client_ref"), action.alias("action"))
-    return proposals.apply_decisions(concepts, decisions, kg.concepts.filter("concept_type = 'Customer'").select("id", "concept_type", "name"))
+    k = F.col("p_partkey")
+    part = kg.table("part")
+    own = lambda kind, short: {"kind": F.lit(kind), "client_ref": F.concat(F.lit(f"c0-{short}-"), k.cast("string"))}
+    items = lambda **fields: proposals.as_items(part.select(*[c.alias(f) for f, c in fields.items()]))
+    concepts = items(**own("concept", "c"), type=F.lit("Part"), name=F.when(k % 3 == 0, F.concat(F.upper("p_name"), F.lit(" #"), k.cast("string"))).otherwise(F.concat(F.lit("new part "), k.cast("string"))))
+    nation = F.concat(F.lit("Nation:nation_"), (k % 40).cast("string"))
+    relations = items(**own("relation", "r"), source_ref=F.concat(F.lit("c0-c-"), (k * 2).cast("string")), target_ref=nation)
+    actions = items(**own("action", "a"), source_ref=F.concat(F.lit("Part:new part "), (k + 1).cast("string")), target_ref=F.when(k % 2 == 0, nation))
+    types = items(**own("concept_type", "ct"), name=F.when(k % 7 == 0, F.lit("Party")).otherwise(F.col("p_brand")))
+    relation_types = items(**own("relation_type", "rt"), name=F.when(k % 9 == 0, F.lit("placed_by")).otherwise(F.col("p_type")))
+    rules = items(**own("rule", "ru"), applies_to=F.array(F.lit("none")))
+    every = concepts.unionByName(relations).unionByName(actions).unionByName(types).unionByName(relation_types).unionByName(rules)
+    return proposals.conflicts(every, kg.ontology, kg.concepts.select("id", "concept_type", "name"))
+
+
+@query
+def apply_proposal(kg):
+    """A concept, a relation, a rule and an action for each customer, onto the graph of customers and nations."""
+    k = F.col("c_custkey")
+    customers = kg.table("customer")
+    none = F.lit(0)
+
+    def items(rows: DataFrame, kind: str, short: str, key, **fields) -> DataFrame:
+        fields = {"file_no": none, "chunk": none, "item": key, "kind": F.lit(kind), "client_ref": F.concat(F.lit(f"c0-{short}-"), key.cast("string"))} | fields
+        return proposals.as_items(rows.select(*[c.alias(f) for f, c in fields.items()]))
+
+    own = F.concat(F.lit("c0-c-"), k.cast("string"))
+    types = kg.spark.createDataFrame([(0, "Gadget", None, None), (1, None, "Customer", "Gadget"), (2, None, "Nothing", "Gadget")], "n long, name string, domain string, range string")
+    n = F.col("n")
+    name = F.when(k % 2 == 0, F.upper("c_name")).otherwise(F.concat(F.lit("new "), "c_name"))
+    every = items(types.filter("n = 0"), "concept_type", "ct", n, name=F.col("name"))
+    for more in (
+        items(types.filter("n > 0"), "relation_type", "rt", n, name=F.concat(F.lit("likes "), n.cast("string")), domain=F.col("domain"), range=F.col("range")),
+        items(customers, "concept", "c", k, type=F.when(k % 11 == 0, F.lit("Nobody")).otherwise(F.lit("Customer")), name=name, description=F.when(k % 4 == 0, F.col("c_mktsegment"))),
+        items(customers, "relation", "r", k, type=F.lit("located_in"), source_ref=own, target_ref=F.concat(F.lit("Nation:nation_"), F.col("c_nationkey").cast("string"))),
+        items(customers.filter("c_custkey % 4 = 0"), "rule", "ru", k, type=F.when(k % 8 == 0, F.lit("credit")).otherwise(F.lit("unknown")), name=F.col("c_name"), applies_to=F.array(own)),
+        items(customers.filter("c_custkey % 6 <> 0"), "action", "a", k, type=F.lit("remind"), name=F.col("c_name"), source_ref=own, target_ref=F.lit("none")),
+    ):
+        every = every.unionByName(more)
+    chosen = F.when(F.col("kind") != "concept", "create_new").otherwise(F.element_at(F.array(F.lit("create_new"), F.lit("merge"), F.lit("skip")), (F.col("item") % 3 + 1).cast("int")))
+    decisions = every.filter("kind <> 'concept' OR item % 5 <> 0").filter("kind <> 'relation' OR item % 7 <> 0").select("client_ref", chosen.alias("action"))
+    concepts = kg.concepts.filter("concept_type IN ('Customer', 'Nation')").withColumn("properties", F.create_map().cast("map<string,string>"))
+    empty = ingest.State.empty(kg.spark)
+    located = _edges(g.relations_where(kg.relations, relation_type="located_in"))
+    state = ingest.State(RULED, concepts, located, empty.rules, empty.actions, 20 * BASE)
+    return proposals.apply_proposal(every, decisions, state).report
 
 
 # Prompts and answers

@@ -1,4 +1,4 @@
-"""Scalar functions, readers, retrieval, proposals and prompts on small inputs."""
+"""Scalar functions, readers, retrieval and prompts on small inputs."""
 
 import io
 import zipfile
@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgspark.functions import text
-from kgspark.operators import prompts, proposals, retrieve, stats
+from kgspark.operators import prompts, retrieve, stats
 from kgspark.operators.ontology import ActionType, ConceptType, Ontology, RuleType
 from kgspark.sources import documents, records
 
@@ -194,18 +194,6 @@ def test_dense_topk(spark, monkeypatch, block):
     assert retrieve.dense_topk(df.limit(0), df, 5).count() == 0 and retrieve.dense_topk(df, df.limit(0), 5).count() == 0
 
 
-def test_proposals(spark):
-    reply = '```json\n{"concepts":[{"concept_type":"A","name":" x ","confidence":0.5},{"concept_type":"A","name":"X","confidence":0.9}],"relations":[{"relation_type":"r","source_ref":"c1-concept-0","target_ref":"A:q"}]}\n```'
-    items = proposals.parse_replies(spark.createDataFrame([(0, 1, reply), (0, 2, "no json")], "file long, chunk long, reply string"))
-    assert sorted(r.client_ref for r in items.collect()) == ["c1-concept-0", "c1-concept-1", "c1-relation-0"]
-    best = proposals.merge_concepts(items.filter("kind = 'concept'")).collect()
-    assert [(r.client_ref, r.confidence, r.n_merged) for r in best] == [("c1-concept-1", 0.9, 2)]
-    graph = spark.createDataFrame([(7, "A", "X")], "id long, concept_type string, name string")
-    concepts = items.filter("kind = 'concept' AND item = 1")
-    got = proposals.conflicts(concepts.select("client_ref", "concept_type", "name"), items.filter("kind = 'relation'").select("client_ref", "source_ref", "target_ref"), graph)
-    assert {(r.client_ref, r.conflict, r.detail) for r in got.collect()} == {("c1-concept-1", "exists", "7"), ("c1-relation-0", "dangling_ref", "c1-concept-0")}
-
-
 def test_prompts(spark):
     onto = Ontology([ConceptType("B"), ConceptType("A", description="first")], [], [RuleType("r", "", "act", ("A",), strict=True)], [ActionType("sign", "A", "B", ("date",), "done")])
     assert [r.line for r in prompts.static_lines(onto, spark).collect()] == ["- A :: first", "- B :: (no description)", "- [MUST] r (A): when - then act", "- sign: (A) -> (B) [date] => done"]
