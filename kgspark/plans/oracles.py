@@ -454,3 +454,22 @@ UNION ALL SELECT id, 'knows', NULL, CASE WHEN type = 'knows' THEN x ELSE y END,
     FROM (SELECT *, 50000000000021 AS x, 50000000000021 + k // 7 % 20 * 21 AS y FROM ids WHERE type IN ('knows', 'known'))
 """,
 )
+
+
+# Languages and encodings
+
+plain(
+    "decode_charsets",
+    """SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'utf-16-le' WHEN doc_id % 4 = 3 AND narrow AND wide THEN 'windows-1252' ELSE 'utf-8' END AS encoding, md5(body) AS body_md5, CAST(length(body) AS INTEGER) AS n_chars
+    FROM (SELECT doc_id, nfc_normalize(coalesce(text, '')) AS body, NOT regexp_matches(coalesce(text, ''), '[^\\x00-\\x7F\\x{A0}-\\x{FF}]') AS narrow, regexp_matches(coalesce(text, ''), '[^\\x00-\\x7F]') AS wide FROM documents)""",
+)
+plain(
+    "detect_languages",
+    """WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{M}]+', ' ', 'g')) || ' ' AS t FROM documents),
+    grams AS (SELECT doc_id, lang, text, substr(t, i, 3) AS run FROM d, unnest(range(1, length(t) - 1)) AS u(i)),
+    own AS (SELECT doc_id, run, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, run) AS own FROM grams GROUP BY doc_id, run QUALIFY own <= 300),
+    known AS (SELECT lang, run, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, run) AS rank FROM grams WHERE doc_id % 2 = 0 AND lang IS NOT NULL GROUP BY lang, run QUALIFY rank <= 300),
+    near AS (SELECT doc_id, lang, sum(300 - least(abs(own - rank), 300)) AS near FROM own JOIN known USING (run) GROUP BY doc_id, lang HAVING near > 0),
+    told AS (SELECT doc_id, lang, near, lead(near, 1, 0) OVER (PARTITION BY doc_id ORDER BY near DESC, lang) AS next, row_number() OVER (PARTITION BY doc_id ORDER BY near DESC, lang) AS n FROM near)
+    SELECT doc_id AS id, told.lang, CASE WHEN regexp_matches(text, '\\p{Latin}') THEN 'Latin' END AS script, round((near - next) / near, 6) AS confidence FROM d LEFT JOIN told USING (doc_id) WHERE n IS NULL OR n = 1""",
+)

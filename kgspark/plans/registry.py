@@ -12,10 +12,10 @@ from kgspark.operators import graph as g
 from kgspark.operators import ingest, mutate, prompts, proposals, retrieve, rules, stats, traverse, validate
 from kgspark.operators.ontology import Ontology, RelationType
 from kgspark.operators.traverse import Expansion
-from kgspark.sources import documents, records
+from kgspark.sources import documents, language, records
 
 from .encode import BASE, LINE_ORDER, ONTOLOGY, RULED, Graph, node_id
-from .lineage import cut
+from .lineage import cut, settle
 
 QUERIES: dict = {}
 CUSTOMER7, NATION3 = 3 * BASE + 8, 2 * BASE + 4
@@ -764,6 +764,25 @@ def ingest_records(kg):
     return out.unionByName(named(got.actions, "action_type", F.col("subject"), F.col("object")))
 
 
+@query
+def decode_charsets(kg):
+    """Each document as UTF-8, with a mark, as UTF-16 with a mark, or in one byte a character where it can be."""
+    k, body = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    narrow = ~F.regexp_like(body, F.lit(r"[^\x00-\x7F\xA0-\xFF]"))
+    marked = lambda mark, encoding: F.concat(F.unhex(F.lit(mark)), F.encode(body, encoding))
+    content = F.when(k % 4 == 0, F.encode(body, "UTF-8")).when(k % 4 == 1, marked("EFBBBF", "UTF-8")).when(k % 4 == 2, marked("FFFE", "UTF-16LE")).when(narrow, F.encode(body, "ISO-8859-1")).otherwise(F.encode(body, "UTF-8"))
+    files = kg.table("documents").select(F.concat(F.lit("/docs/"), k.cast("string"), F.lit(".txt")).alias("path"), content.alias("content"))
+    return documents.bodies(files).select(F.col("name").cast("long").alias("doc_id"), "encoding", F.md5("body").alias("body_md5"), F.length("body").alias("n_chars"))
+
+
+@query
+def detect_languages(kg):
+    """Every document, by profiles of those documents of even id whose language is known."""
+    docs = kg.table("documents")
+    known = settle(language.profiles(docs.filter("doc_id % 2 = 0").select("lang", "text")))
+    return language.detect(docs.select(F.col("doc_id").alias("id"), "text"), known).select("id", "lang", "script", F.round("confidence", 6).alias("confidence"))
+
+
 # Rules, actions and small lists
 
 

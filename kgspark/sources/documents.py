@@ -2,55 +2,22 @@
 
 from __future__ import annotations
 
-import codecs
 import io
 import re
-import unicodedata
 import zipfile
-from collections import Counter
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions import text
-from kgspark.plans.lineage import ship_package
+from kgspark.plans.lineage import settle, ship_package
 
-_MARKS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
-_WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-
-# Frequent words that tell languages apart (fixed values).
-STOP_WORDS = {
-    "en": "the and of to in is that it for was with as his on be at by this had not are but from or have an they which one you were her all she there would their we him been has when who will".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec son aux ou mais comme ont cette sa ses nous leur elle été".split(),
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta".split(),
-    "it": "di che e la il un a per in una non sono mi ho lo ma ha con si le da ti se cosa come ci io no bene della del al gli questo i nel alla dei".split(),
-}
-
-
-def decode(data: bytes) -> str:
-    """Text of unknown charset: byte order marks, else UTF-8, else windows-1252; in composed form, without marks."""
-    for mark, name in _MARKS:
-        if data.startswith(mark):
-            out = data[len(mark) :].decode(name, "replace")
-            break
-    else:
-        try:
-            out = data.decode("utf-8")
-        except UnicodeDecodeError:
-            out = data.decode("windows-1252", "replace")
-    return unicodedata.normalize("NFC", out.replace("﻿", ""))
-
-
-def language(body: str) -> str | None:
-    """The language whose frequent words make up most of a text; none if no word tells."""
-    words = Counter(re.findall(r"[^\W\d_]+", body.lower()))
-    scores = {lang: sum(words[w] for w in known) for lang, known in STOP_WORDS.items()}
-    best = max(sorted(scores), key=lambda k: scores[k])
-    return best if scores[best] else None
+from . import charset, language
 
+_WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 def docx_text(data: bytes) -> str:
     """Paragraphs of a word-processor file; breaks and tabs kept, runs of blank lines made one."""
@@ -102,23 +69,33 @@ def sheet_rows(data: bytes) -> list[dict[str, object]]:
 
 
 def read_documents(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("txt", "md")) -> DataFrame:
-    """name (file stem), body, lang and is_binary of the files in a folder with one of the extensions, in any case."""
+    """name (file stem), body, encoding, lang and is_binary of the files in a folder with one of the extensions, in any case."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     files = files.filter(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*extensions))
     return decoded(files)
 
 
-def decoded(files: DataFrame) -> DataFrame:
-    """name, body, lang, is_binary of (path, content)."""
+def bodies(files: DataFrame) -> DataFrame:
+    """path, name, body and encoding of (path, content)."""
+    schema = pa.schema([("path", pa.string()), ("name", pa.string()), ("body", pa.string()), ("encoding", pa.string())])
 
-    def run(frames):
-        for f in frames:
-            bodies = [docx_text(bytes(c)) if p.lower().endswith(".docx") else decode(bytes(c)) for p, c in zip(f["path"], f["content"], strict=True)]
-            names = [re.sub(r"\.[^.]*$", "", p.rstrip("/").rsplit("/", 1)[-1]) for p in f["path"]]
-            yield pd.DataFrame({"name": names, "body": bodies, "lang": [language(b) for b in bodies]})
+    def run(batches):
+        for batch in batches:
+            paths = batch.column("path").to_pylist()
+            read = [(docx_text(c), "docx") if p.lower().endswith(".docx") else charset.decode(c)[:2] for p, c in zip(paths, batch.column("content").to_pylist(), strict=True)]
+            names = [re.sub(r"\.[^.]*$", "", p.rstrip("/").rsplit("/", 1)[-1]) for p in paths]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (paths, names, [b for b, _ in read], [e for _, e in read])], schema=schema)
 
     ship_package(files.sparkSession)
-    return files.mapInPandas(run, "name string, body string, lang string").withColumn("is_binary", text.looks_binary(F.col("body")))
+    return files.select("path", "content").mapInArrow(run, "path string, name string, body string, encoding string")
+
+
+def decoded(files: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """name, body, encoding, lang, is_binary of (path, content); the language by the given profiles or those of the samples."""
+    read = settle(bodies(files))
+    told = language.detect(read.select(F.col("path").alias("id"), F.col("body").alias("text")), language.sample_profiles(files.sparkSession) if profiles is None else profiles)
+    joined = read.join(told.select(F.col("id").alias("path"), "lang"), "path", "left")
+    return joined.select("name", "body", "encoding", "lang", text.looks_binary(F.col("body")).alias("is_binary"))
 
 
 def read_sheets(spark: SparkSession, path: str, concept_type: str) -> DataFrame:

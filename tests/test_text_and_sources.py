@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kgspark.functions import text
 from kgspark.operators import prompts, retrieve, stats
 from kgspark.operators.ontology import ActionType, ConceptType, Ontology, RuleType
-from kgspark.sources import documents, records
+from kgspark.sources import charset, documents, records
 
 
 def one(spark, value, f, kind="string"):
@@ -71,14 +71,7 @@ def test_directives(spark):
     [(b"plain", "plain"), (b"\xef\xbb\xbfcaf\xc3\xa9", "café"), (b"na\xefve r\xe9sum\xe9", "naïve résumé"), (b"\xff\xfeh\x00\xe9\x00", "hé"), ("café".encode(), "café")],
 )
 def test_decode(data, want):
-    assert documents.decode(data) == want
-
-
-def test_language():
-    assert documents.language("This is the house that was built for them and not for us.") == "en"
-    assert documents.language("Questa non è la casa che ho visto con gli amici del mare.") == "it"
-    assert documents.language("Elle est dans la maison avec nous et les enfants qui jouent.") == "fr"
-    assert documents.language("12345") is None
+    assert charset.decode(data).text == want
 
 
 def docx(*paragraphs):
