@@ -4,8 +4,8 @@ A record has a time: its place in the stream if what it needs is there by then,
 follows the stream.  What is there at a time is known from the times of other records, so a stream is not walked: each
 level (types, names, ids, references) is a join or an aggregate over the one before.
 
-* Types of an ontology are few.  Their history is folded on the driver from the first declaration of each, and from all
-  declarations of the names that were declared in different ways.
+* Types of an ontology are few.  Their history is folded on the driver from the first declaration of each, and from the
+  declarations that differ from the one before of their name.
 * The first concept with a name holds it for good.  A relation by names waits for both.
 * Ids come from one counter, which an explicit id lifts above itself: the id of the f-th new row is f plus the largest of
   ``e + 1 - f(e)`` over the explicit ids e before it, a prefix sum and a prefix maximum over ranges of time.
@@ -38,7 +38,7 @@ ACTION = "id long, action_type string, name string, subject long, object long, e
 
 #: What a record's time gains when it is applied on the retry, and a time after all.
 RETRY, END = 1 << 60, 1 << 62
-#: Declarations of names that are declared in different ways: beyond this the history is no ontology's.
+#: How often types may change: beyond this the history is no ontology's.
 MAX_CHANGES = 100_000
 _DECLARED = {"concept_type_decl": ConceptType, "relation_type_decl": RelationType, "rule_type_decl": RuleType, "action_type_decl": ActionType}
 _LISTS = {"concept_types": "concept_type_decl", "relation_types": "relation_type_decl", "rule_types": "rule_type_decl", "action_types": "action_type_decl"}
@@ -194,9 +194,11 @@ def _folded(declared: DataFrame, ontology: Ontology, replaced: list) -> History:
     changing = each.filter("a <> b").select("kind", "name")
     first = known.join(changing, ["kind", "name"], "left_anti").groupBy("kind", "name", "epoch").agg(F.min("at").alias("at"), F.first("declared").alias("declared"))
     rows = [(r.at, r.kind, r.declared) for r in first.collect()]
-    other = known.join(changing, ["kind", "name"], "left_semi").select("at", "kind", "declared").limit(MAX_CHANGES + 1).collect()
+    before = Window.partitionBy("kind", "name").orderBy("at")
+    turns = known.join(changing, ["kind", "name"], "left_semi").withColumn("same", (F.lag("declared").over(before) == F.col("declared")) & (F.lag("epoch").over(before) == F.col("epoch")))
+    other = turns.filter(~F.coalesce("same", F.lit(False))).select("at", "kind", "declared").limit(MAX_CHANGES + 1).collect()
     if len(other) > MAX_CHANGES:
-        raise ValueError(f"more than {MAX_CHANGES} declarations of types that are declared in different ways")
+        raise ValueError(f"types change their declaration more than {MAX_CHANGES} times")
     rows += [tuple(r) for r in other] + [(r.seq, "ontology", r.declared) for r in replaced]
     h = _base_history(ontology)
     for at, kind, text in sorted(rows):

@@ -34,15 +34,33 @@ def docx_text(data: bytes) -> str:
     return re.sub(r"\n[ \t]*\n[ \t\n]*", "\n\n", joined).strip()
 
 
-def sheet_rows(data: bytes) -> list[dict[str, object]]:
-    """Rows of a workbook's first sheet by header; numbers and booleans typed, empty cells left out, nameless rows skipped."""
-    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{ns}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{ns}si")]
-        first = sorted(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))[0]
-        sheet = ElementTree.fromstring(z.read(first))
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL = "{http://schemas.openxmlformats.org/package/2006/relationships}"
+_OFFICE_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_TABLE = "{urn:oasis:names:tc:opendocument:xmlns:table:1.0}"
+_OFFICE = "{urn:oasis:names:tc:opendocument:xmlns:office:1.0}"
+_TEXT = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
+
+
+def _first_sheet(z: zipfile.ZipFile) -> str:
+    """The part of a workbook that its first sheet in order is kept in."""
+    names = set(z.namelist())
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        first = next(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet"), None)
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")).iter(f"{_REL}Relationship")}
+        if first is not None and (target := targets.get(first.get(f"{_OFFICE_REL}id"))):
+            part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            if part in names:
+                return part
+    return sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: (len(n), n))[0]
+
+
+def _xlsx_cells(z: zipfile.ZipFile) -> list[dict[int, object]]:
+    shared = []
+    if "xl/sharedStrings.xml" in z.namelist():
+        # phonetic readings beside a text are not part of it
+        shared = ["".join(t.text or "" for run in [si, *si.findall(f"{_SHEET}r")] for t in run.findall(f"{_SHEET}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
+    sheet = ElementTree.fromstring(z.read(_first_sheet(z)))
 
     def column(ref: str) -> int:
         n = 0
@@ -51,19 +69,48 @@ def sheet_rows(data: bytes) -> list[dict[str, object]]:
         return n
 
     rows = []
-    for row in sheet.iter(f"{ns}row"):
+    for row in sheet.iter(f"{_SHEET}row"):
         cells: dict[int, object] = {}
-        for k, c in enumerate(row.iter(f"{ns}c"), 1):
-            kind, v = c.get("t"), c.find(f"{ns}v")
-            inline = "".join(t.text or "" for t in c.iter(f"{ns}t"))
+        for k, c in enumerate(row.iter(f"{_SHEET}c"), 1):
+            kind, v = c.get("t"), c.find(f"{_SHEET}v")
+            inline = "".join(t.text or "" for t in c.iter(f"{_SHEET}t"))
             raw = v.text if v is not None else None
-            value: object = shared[int(raw)] if kind == "s" else inline if kind == "inlineStr" else raw == "1" if kind == "b" else raw if kind == "str" else float(raw) if raw is not None else None
+            value: object = shared[int(raw)] if kind == "s" else inline if kind == "inlineStr" else raw == "1" if kind == "b" else raw if kind in ("str", "e", "d") else float(raw) if raw is not None else None
             if value not in (None, ""):
                 cells[column(c.get("r")) if c.get("r") else k] = value
         rows.append(cells)
+    return rows
+
+
+def _ods_cells(z: zipfile.ZipFile) -> list[dict[int, object]]:
+    table = next(ElementTree.fromstring(z.read("content.xml")).iter(f"{_TABLE}table"))
+    rows: list[dict[int, object]] = []
+    for row in table.iter(f"{_TABLE}table-row"):
+        cells: dict[int, object] = {}
+        at = 1
+        for c in row:
+            if c.tag not in (f"{_TABLE}table-cell", f"{_TABLE}covered-table-cell"):
+                continue
+            kind = c.get(f"{_OFFICE}value-type")
+            shown = "\n".join("".join(p.itertext()) for p in c.findall(f"{_TEXT}p"))
+            value: object = c.get(f"{_OFFICE}boolean-value") == "true" if kind == "boolean" else float(c.get(f"{_OFFICE}value", "0")) if kind in ("float", "currency", "percentage") else shown
+            times = int(c.get(f"{_TABLE}number-columns-repeated", "1"))
+            if value != "":
+                cells |= {at + k: value for k in range(times)}
+            at += times
+        # rows that are repeated without content fill a sheet to its end
+        rows += [dict(cells) for _ in range(int(row.get(f"{_TABLE}number-rows-repeated", "1")) if cells else 1)]
+    return rows
+
+
+def sheet_rows(data: bytes) -> list[dict[str, object]]:
+    """Rows of a workbook's first sheet (XLSX or ODS) by header; numbers and booleans typed, empty cells left out, nameless rows skipped."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        rows = _ods_cells(z) if "content.xml" in z.namelist() else _xlsx_cells(z)
     if not rows:
         return []
     header = {k: str(v).strip() for k, v in rows[0].items()}
+    header = {k: v.lower() if v.lower() in ("name", "description") else v for k, v in header.items()}
     named = ({header[k]: v for k, v in r.items() if header.get(k)} for r in rows[1:])
     return [r for r in named if str(r.get("name", "")).strip()]
 
