@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions import text
-from kgspark.plans.lineage import ship_package
+from kgspark.plans.lineage import settle, ship_package
 
 from .ontology import Ontology
 
@@ -116,24 +116,74 @@ def citation_validity(answers: DataFrame, allowed: DataFrame) -> DataFrame:
     return marked.groupBy("answer_id").agg(valid.alias("n_valid"), (F.count("id") - valid).alias("n_invalid"))
 
 
-def better_retry(first: Column, retry: Column, first_valid: Column, first_invalid: Column, retry_valid: Column, retry_invalid: Column) -> Column:
-    """The retry if it has no invalid citation or strictly more valid ones, where the first had an invalid one."""
-    return F.when((first_invalid > 0) & ((retry_invalid == 0) | (retry_valid > first_valid)), retry).otherwise(first)
+class ModelError(RuntimeError):
+    """A model gave no answer."""
 
 
-def answer(prompts: DataFrame, make: Callable[[], LanguageModel] = Echo) -> DataFrame:
-    """prompt_id, raw of prompts (prompt_id, system, context, question), each batch answered by a model of its task."""
+def answer(prompts: DataFrame, make: Callable[[], LanguageModel] = Echo, lenient: bool = False) -> DataFrame:
+    """prompt_id, raw of prompts (prompt_id, system, context, question), each batch answered by a model of its task.
+
+    lenient: whether a prompt that the model fails has a null answer, and does not end the job.
+    """
 
     def run(batches):
         model = make()
+
+        def asked(s, c, q):
+            try:
+                return model.generate(s, c, q)
+            except ModelError:
+                if not lenient:
+                    raise
+                return None
+
         for b in batches:
-            b["raw"] = [model.generate(s, c, q) for s, c, q in zip(b["system"], b["context"], b["question"], strict=True)]
+            b["raw"] = [asked(s, c, q) for s, c, q in zip(b["system"], b["context"], b["question"], strict=True)]
             yield b[["prompt_id", "raw"]]
 
     ship_package(prompts.sparkSession)
     return prompts.select("prompt_id", "system", "context", "question").mapInPandas(run, "prompt_id long, raw string")
 
 
+def _judged(answers: DataFrame, allowed: DataFrame) -> DataFrame:
+    """prompt_id, raw, valid and invalid: the cited ids that are, and are not, among those allowed for the prompt."""
+    ids = answers.select("prompt_id", "raw", F.explode_outer(text.cited_ids(F.col("raw"))).alias("id"))
+    marked = ids.join(allowed.select("prompt_id", "id").distinct().withColumn("ok", F.lit(True)), ["prompt_id", "id"], "left")
+    listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("id"))))
+    return marked.groupBy("prompt_id").agg(F.any_value("raw").alias("raw"), listed(F.col("ok")).alias("valid"), listed(F.col("ok").isNull() & F.col("id").isNotNull()).alias("invalid"))
+
+
+def _listed(ids: Column) -> Column:
+    return F.array_join(F.transform(ids, lambda i: F.concat(F.lit("#"), i.cast("string"))), ", ")
+
+
+def answer_cited(prompts: DataFrame, allowed: DataFrame, make: Callable[[], LanguageModel] = Echo, retries: int = 1) -> DataFrame:
+    """prompt_id, raw, answer, cited (the allowed ids among those cited) and n_asked of prompts, whose ids are unique.
+
+    allowed: prompt_id, id.  A prompt whose answer cites an id that is not allowed is asked again, at most ``retries``
+    times, with its answer and the ids that it may cite; only these rows go back to the model.  A new answer takes the
+    place of the old one if it cites nothing else, or more allowed ids.  A retry that the model fails (ModelError) leaves
+    the answer.
+    """
+    ids = allowed.groupBy("prompt_id").agg(F.array_sort(F.collect_set("id")).alias("may"))
+    kept = settle(_judged(answer(prompts, make), allowed).withColumn("n_asked", F.lit(1)))
+    for _ in range(retries):
+        failed = kept.filter(F.size("invalid") > 0)
+        if failed.isEmpty():
+            break
+        again = prompts.join(failed.select("prompt_id", "raw", "invalid"), "prompt_id").join(ids, "prompt_id", "left")
+        may = F.coalesce(_listed(F.col("may")), F.lit(""))
+        note = F.concat(F.lit("Not in the context: "), _listed(F.col("invalid")), F.lit(". Answer again in the same form and cite only: "), may)
+        asked = again.withColumn("question", F.concat_ws("\n\n", "question", "raw", note)).select(prompts.columns)
+        retried = _judged(answer(asked, make, lenient=True).filter("raw IS NOT NULL"), allowed)
+        new = retried.select("prompt_id", *[F.col(c).alias(f"new_{c}") for c in ("raw", "valid", "invalid")])
+        better = (F.size("new_invalid") == 0) | (F.size("new_valid") > F.size("valid"))
+        joined = kept.join(new, "prompt_id", "left")
+        swap = lambda c: F.when(F.col("new_raw").isNotNull() & better, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
+        kept = settle(joined.select("prompt_id", swap("raw"), swap("valid"), swap("invalid"), (F.col("n_asked") + (F.size("invalid") > 0).cast("int")).alias("n_asked")))
+    return kept.select("prompt_id", "raw", text.answer_text(F.col("raw")).alias("answer"), F.col("valid").alias("cited"), "n_asked")
+
+
 def echo(prompts: DataFrame) -> DataFrame:
     """What ``Echo`` answers, as an expression."""
     return prompts.select("prompt_id", F.concat(F.lit("[echo] "), "question").alias("raw"))

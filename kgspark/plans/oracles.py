@@ -473,3 +473,31 @@ plain(
     told AS (SELECT doc_id, lang, near, lead(near, 1, 0) OVER (PARTITION BY doc_id ORDER BY near DESC, lang) AS next, row_number() OVER (PARTITION BY doc_id ORDER BY near DESC, lang) AS n FROM near)
     SELECT doc_id AS id, told.lang, CASE WHEN regexp_matches(text, '\\p{Latin}') THEN 'Latin' END AS script, round((near - next) / near, 6) AS confidence FROM d LEFT JOIN told USING (doc_id) WHERE n IS NULL OR n = 1""",
 )
+
+plain(
+    "cited_answers",
+    """SELECT item_id AS prompt_id, array_to_string(list_filter(list_sort(list_distinct([item_id % 40, item_id * 7 % 40])), lambda x: x % 2 = 0), ',') AS cited,
+    CAST(length(regexp_replace(trim('[echo] ' || chr(10) || 'Answer: ' || replace(text, chr(10), ' ')), '^[Aa]nswer:\\s*', '')) AS INTEGER) AS n_chars, CASE WHEN item_id % 2 = 1 OR item_id * 7 % 40 % 2 = 1 THEN 2 ELSE 1 END AS n_asked FROM benchmark""",
+)
+plain(
+    "parsed_directives",
+    """WITH d AS (SELECT doc_id AS k, coalesce(source, 'none') AS s, coalesce(text, '') AS t FROM documents),
+    r(line_no, part, kind, type, name, source_name, target_name, declared) AS (VALUES
+      (0, 0, 'concept_type_decl', NULL, NULL, NULL, NULL, '{"name":"Note","description":""}'), (0, 1, 'concept', 'Note', 'doc-%k', NULL, NULL, NULL),
+      (1, 0, 'concept_type_decl', NULL, NULL, NULL, NULL, '{"name":"Kind %s","description":"about %s"}'),
+      (2, 0, 'concept_type_decl', NULL, NULL, NULL, NULL, '{"name":"Party","description":""}'), (2, 1, 'concept', 'Party', 'P%k', NULL, NULL, NULL),
+      (3, 0, 'relation_type_decl', NULL, NULL, NULL, NULL, '{"name":"likes %k","domain":"Party","range":"Kind","symmetric":true}'),
+      (4, 0, 'relation_type_decl', NULL, NULL, NULL, NULL, '{"name":"works with","domain":"Party","range":"Order"}'), (4, 1, 'named_relation', 'works with', NULL, 'P%k', '%k', NULL),
+      (5, 0, 'concept_type_decl', NULL, NULL, NULL, NULL, '{"name":"Party","description":""}'), (5, 1, 'concept_type_decl', NULL, NULL, NULL, NULL, '{"name":"Order","description":""}'),
+      (5, 2, 'rule_type_decl', NULL, NULL, NULL, NULL, '{"name":"pay","when":"due","then":"pay %k","applies_to":["Party","Order"],"strict":true}'),
+      (7, 0, 'concept_type_decl', NULL, NULL, NULL, NULL, '{"name":"Party","description":""}'), (7, 1, 'concept_type_decl', NULL, NULL, NULL, NULL, '{"name":"Order","description":""}'),
+      (7, 2, 'action_type_decl', NULL, NULL, NULL, NULL, '{"name":"sign","subject":"Party","object":"Order","parameters":["date","place"],"effect":"done %k"}'),
+      (8, 0, 'concept_type_decl', NULL, NULL, NULL, NULL, '{"name":"Party","description":""}'), (8, 1, 'action_type_decl', NULL, NULL, NULL, NULL, '{"name":"wait","subject":"Party","parameters":[],"effect":""}'),
+      (2147483647, 0, 'relation_type_decl', NULL, NULL, NULL, NULL, '{"name":"mentions_party","domain":"Note","range":"Party"}'), (2147483647, 1, 'named_relation', 'mentions_party', NULL, 'doc-%k', 'P%k', NULL),
+      (2147483647, 0, 'relation_type_decl', NULL, NULL, NULL, NULL, '{"name":"mentions_order","domain":"Note","range":"Order"}'), (2147483647, 1, 'named_relation', 'mentions_order', NULL, 'doc-%k', '%k', NULL)),
+    head AS (SELECT *, strlen(t) + strlen('@concept_type Kind  -- about ') + 2 * strlen(s) + strlen('@concept Party: P -- told ,@relation_type likes : Party -> Kind [symmetric]@relation Party:P -works with-> Order:;')
+      + strlen('@rule strict pay on Party, Order: when due then pay @rule no colon@action sign: Party -> Order (date, place) => done @action wait: Party') + 6 * strlen(CAST(k AS VARCHAR)) + 8 AS bytes FROM d)
+    SELECT k AS doc, line_no, part, kind, type, replace(name, '%k', CAST(k AS VARCHAR)) AS name, replace(source_name, '%k', CAST(k AS VARCHAR)) AS source_name, replace(target_name, '%k', CAST(k AS VARCHAR)) AS target_name,
+      replace(replace(declared, '%k', CAST(k AS VARCHAR)), '%s', s) AS declared,
+      CASE WHEN kind = 'concept' AND type = 'Party' THEN 4 WHEN kind = 'concept' AND bytes <= 65536 THEN CAST(length(t) + bytes - strlen(t) - 2 * (strlen(s) - length(s)) AS INTEGER) END AS n_description FROM head, r""",
+)

@@ -12,7 +12,7 @@ from kgspark.operators import graph as g
 from kgspark.operators import ingest, mutate, prompts, proposals, retrieve, rules, stats, traverse, validate
 from kgspark.operators.ontology import Ontology, RelationType
 from kgspark.operators.traverse import Expansion
-from kgspark.sources import documents, language, records
+from kgspark.sources import directives, documents, language, records
 
 from .encode import BASE, LINE_ORDER, ONTOLOGY, RULED, Graph, node_id
 from .lineage import cut, settle
@@ -677,6 +677,29 @@ def echo_answer(kg):
     return prompts.echo(asked)
 
 
+@query
+def cited_answers(kg):
+    """Every benchmark text asked of the model that repeats its question, which cites ids below 40; even ones may be cited."""
+    i = F.col("item_id")
+    question = F.concat(F.lit("\nCited: #"), (i % 40).cast("string"), F.lit(", #"), (i * 7 % 40).cast("string"), F.lit("\nAnswer: "), F.translate("text", "\n", " "))
+    asked = kg.table("benchmark").select(i.alias("prompt_id"), F.lit("").alias("system"), F.lit("").alias("context"), question.alias("question"))
+    allowed = asked.select("prompt_id", F.explode(F.sequence(F.lit(0), F.lit(39), F.lit(2))).alias("id")).withColumn("id", F.col("id").cast("long"))
+    got = prompts.answer_cited(asked, allowed)
+    return got.select("prompt_id", F.array_join(F.transform("cited", lambda x: x.cast("string")), ",").alias("cited"), F.length("answer").alias("n_chars"), F.col("n_asked"))
+
+
+@query
+def parsed_directives(kg):
+    """A line of each tag in front of every document, with its flags, parameters and effects."""
+    k, about = F.col("doc_id"), F.coalesce("source", F.lit("none"))
+    head = F.format_string(
+        "@concept_type Kind %1$s -- about %1$s\n@concept Party: P%2$d -- told ,\n@relation_type likes %2$d: Party -> Kind [symmetric]\n@relation Party:P%2$d -works with-> Order:%2$d;\n"
+        "@rule strict pay on Party, Order: when due then pay %2$d\n@rule no colon\n@action sign: Party -> Order (date, place) => done %2$d\n@action wait: Party\n", about, k)
+    docs = kg.table("documents").select(k.alias("doc"), F.lit("Note").alias("type"), F.concat(F.lit("doc-"), k.cast("string")).alias("name"), F.concat(head, F.coalesce("text", F.lit(""))).alias("body"))
+    rows = directives.text_records(docs)
+    return rows.select("doc", "line_no", "part", "kind", "type", "name", "source_name", "target_name", "declared", F.length("description").alias("n_description"))
+
+
 # Ingest
 
 

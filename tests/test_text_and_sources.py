@@ -194,6 +194,30 @@ def test_prompts(spark):
     assert prompts.answer(asked).first().raw == prompts.echo(asked).first().raw == "[echo] why?"
 
 
+def test_citations_are_asked_for_again_once(spark):
+    class Scripted:
+        """Answers by the first word of the question; asked again, as the script says."""
+
+        def generate(self, system, context, question):
+            first, again = {"good": ("Cited: #1\nAnswer: a", None), "mends": ("Cited: #1, #9\nAnswer: b", "Cited: #2\nAnswer: b2"), "more": ("Cited: #9\nAnswer: c", "Cited: #1, #2, #8\nAnswer: c2"), "worse": ("Cited: #1, #9\nAnswer: d", "Cited: #7, #8\nAnswer: d2"), "fails": ("Cited: #9\nAnswer: e", prompts.ModelError("down")), "none": ("Hello", None)}[question.split()[0]]
+            if "cite only" not in question:
+                return first
+            assert question.endswith("cite only: #1, #2")
+            if isinstance(again, Exception):
+                raise again
+            return again
+
+    asked = [(k, "", "", f"{w} question") for k, w in enumerate(("good", "mends", "more", "worse", "fails", "none"))]
+    df = spark.createDataFrame(asked, "prompt_id long, system string, context string, question string")
+    allowed = spark.range(6).selectExpr("id AS prompt_id").crossJoin(spark.range(1, 3))
+    got = {r.prompt_id: (r.answer, r.cited, r.n_asked) for r in prompts.answer_cited(df, allowed, Scripted).collect()}
+    assert got == {0: ("a", [1], 1), 1: ("b2", [2], 2), 2: ("c2", [1, 2], 2), 3: ("d", [1], 2), 4: ("e", [], 2), 5: ("Hello", [], 1)}
+    # a second round goes to those that still cite others
+    twice = {r.prompt_id: r.n_asked for r in prompts.answer_cited(df, allowed, Scripted, retries=2).collect()}
+    assert twice == {0: 1, 1: 2, 2: 3, 3: 3, 4: 3, 5: 1}
+    assert {r.answer for r in prompts.answer_cited(df, allowed, Scripted, retries=0).collect()} == {"a", "b", "c", "d", "e", "Hello"}
+
+
 def test_history(spark):
     rows = [("a", t, float(t)) for t in (0, 30, 59, 60, 100, 121, 500)]
     got = stats.history(spark.createDataFrame(rows, "series string, at long, value double"))
