@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions import text
-from kgspark.plans.lineage import cut, ship_package
+from kgspark.plans.lineage import cut, settle, ship_package
 
 from .ontology import Ontology
+from .stored import StoredEdges
 from .traverse import Expansion, Subgraph, allowed_types, default_seeds, expand
 
 #: Candidates of each index for one wanted result, without and with a type filter; scores below this share of the best are dropped.
@@ -78,17 +79,30 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _hashed(term: Column, dimensions: int) -> tuple[Column, Column]:
+    """The dimension of a term and its sign."""
+    digest = F.md5(term.cast("binary"))
+    bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(dimensions))
+    return bucket, F.when(F.pmod(F.conv(F.substring(digest, 9, 2), 16, 10).cast("bigint"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+
+
 def hash_embedding(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """id, dim, value: signed feature hashing of tokens by MD5, of unit length; texts without tokens have no rows."""
-    digest = F.md5(F.col("term").cast("binary"))
-    bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(dimensions))
-    sign = F.when(F.pmod(F.conv(F.substring(digest, 9, 2), 16, 10).cast("bigint"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    bucket, sign = _hashed(F.col("term"), dimensions)
     terms = docs.select("id", F.explode(text.tokens(F.col("text"))).alias("term"))
     summed = terms.groupBy("id", bucket.alias("dim")).agg(F.sum(sign).alias("v")).filter("v <> 0")
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))
     return summed.select("id", "dim", (F.col("v") / norm).alias("value"))
 
 
+def embedding_of_postings(posted: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """What ``hash_embedding`` gives for the documents of postings: each term is hashed once a document."""
+    bucket, sign = _hashed(F.col("term"), dimensions)
+    summed = posted.groupBy("id", bucket.alias("dim")).agg(F.sum(sign * F.col("tf")).alias("v")).filter("v <> 0")
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))
+    return summed.select("id", "dim", (F.col("v") / norm).alias("value"))
+
+
 def sparse_cosine(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """query_id, id, score of unit vectors in (id, dim, value) form, over the dimensions that they share."""
     q = queries.select(F.col("id").alias("query_id"), "dim", F.col("value").alias("q"))
@@ -185,13 +199,29 @@ class Index:
     @classmethod
     def build(cls, concepts: DataFrame, embed: Callable[[DataFrame], DataFrame] = hash_embedding) -> Index:
         docs = concepts.select("id", indexable_text(concepts).alias("text"))
-        return cls(concepts, docs, cut(postings(docs)), cut(embed(docs)), docs.agg(F.count("*").alias("n")), embed)
+        posted = settle(postings(docs))
+        vectors = embedding_of_postings(posted) if embed is hash_embedding else embed(docs)
+        return cls(concepts, docs, posted, settle(vectors), docs.agg(F.count("*").alias("n")), embed)
+
+    def write(self, path: str) -> Index:
+        """The index as files: postings in ranges of terms and vectors in ranges of dimensions, so that a request reads its own."""
+        self.posted.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+        self.vectors.repartitionByRange("dim").sortWithinPartitions("dim").write.parquet(f"{path}/vectors")
+        self.n_docs.write.parquet(f"{path}/size")
+        return Index.open(self.concepts, path, self.embed)
+
+    @classmethod
+    def open(cls, concepts: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame] = hash_embedding) -> Index:
+        """An index that was written for these concepts."""
+        read = concepts.sparkSession.read.parquet
+        docs = concepts.select("id", indexable_text(concepts).alias("text"))
+        return cls(concepts, docs, read(f"{path}/postings"), read(f"{path}/vectors"), read(f"{path}/size"), embed)
 
     def forgotten(self, ids: DataFrame) -> Index:
         """The index without the concepts in ids (id); ids that it does not hold change nothing."""
         gone = _small(ids.select("id").distinct())
         concepts, docs, posted, vectors = (t.join(gone, "id", "left_anti") for t in (self.concepts, self.docs, self.posted, self.vectors))
-        return replace(self, concepts=concepts, docs=docs, posted=cut(posted.select(self.posted.columns)), vectors=cut(vectors), n_docs=docs.agg(F.count("*").alias("n")))
+        return replace(self, concepts=concepts, docs=docs, posted=settle(posted.select(self.posted.columns)), vectors=settle(vectors.select(self.vectors.columns)), n_docs=docs.agg(F.count("*").alias("n")))
 
     def replaced(self, concepts: DataFrame) -> Index:
         """The index with these concepts in place of those of the same ids, or added; only their texts are read."""
@@ -204,14 +234,20 @@ class Index:
 
 
 def rank(index: Index, ontology: Ontology, request: Request) -> DataFrame:
-    """id, score, lexical, vector of a request."""
+    """id, score, lexical, vector of a request.
+
+    The request's terms and dimensions are looked up first, one row's worth, and named in filters on the index.
+    """
     query = index.concepts.sparkSession.createDataFrame([(0, request.query)], "query_id long, text string")
-    lexical = lexical_scores(query, index.posted, index.n_docs)
-    vector = sparse_cosine(index.embed(query.withColumnRenamed("query_id", "id")), index.vectors)
+    terms = query.select(F.array_distinct(text.tokens(F.col("text")))).first()[0]
+    asked = index.embed(query.withColumnRenamed("query_id", "id")).collect()
+    lexical = lexical_scores(query, index.posted.filter(F.col("term").isin(terms)), index.n_docs)
+    held = index.concepts.sparkSession.createDataFrame([(r["id"], int(r["dim"]), float(r["value"])) for r in asked], "id long, dim long, value double")
+    vector = sparse_cosine(held, index.vectors.filter(F.col("dim").isin([r["dim"] for r in asked])))
     return fuse(lexical, vector, index.concepts, ontology, request)
 
 
-def retrieve(index: Index, concepts: DataFrame, relations: DataFrame, ontology: Ontology, request: Request) -> tuple[DataFrame, Subgraph]:
+def retrieve(index: Index, concepts: DataFrame, relations: DataFrame | StoredEdges, ontology: Ontology, request: Request) -> tuple[DataFrame, Subgraph]:
     """The ranked concepts, and the graph around them; the index may hold fewer concepts than the graph."""
     scored = rank(index, ontology, request)
     order = Window.orderBy(F.col("score").desc(), "id")
@@ -219,7 +255,7 @@ def retrieve(index: Index, concepts: DataFrame, relations: DataFrame, ontology:
     return scored, expand(concepts, relations, ontology, seeds, request.expansion)
 
 
-def requested_subgraph(index: Index, relations: DataFrame, ontology: Ontology, ids: tuple[int, ...] = (), query: str = "", concept_types: tuple[str, ...] = (), depth: int = 1, limit: int = 200) -> Subgraph:
+def requested_subgraph(index: Index, relations: DataFrame | StoredEdges, ontology: Ontology, ids: tuple[int, ...] = (), query: str = "", concept_types: tuple[str, ...] = (), depth: int = 1, limit: int = 200) -> Subgraph:
     """The graph around given concepts and, after them, the eight best of a query; without either, around the first concepts.
 
     concept_types hold for the query, the first concepts and the expansion; given ids are not filtered.

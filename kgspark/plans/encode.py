@@ -5,6 +5,9 @@ Ids are global and never zero: type code * 10**13 + key + 1.  ``seq`` is the ord
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 
 from kgspark.operators.ontology import ActionType, ConceptType, Ontology, RelationType, RuleType
 
+from .lineage import shared_dir
+
 BASE = 10_000_000_000_000
 
 #: Relations of line items: table code * LINE_BASE + order key * LINES + number in the order.
@@ -51,6 +56,9 @@ RULED = Ontology(
 )
 
 
+_STORED: dict[tuple[str, str, str], object] = {}
+
+
 def node_id(code: int, key: Column | str) -> Column:
     return F.lit(code * BASE + 1).cast("long") + (F.col(key) if isinstance(key, str) else key).cast("long")
 
@@ -66,6 +74,15 @@ class Graph:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stored(self, name: str, write: Callable[[str], object]):
+        """What ``write`` makes of a path, once for this session and version of the tables (names, sizes and times of files)."""
+        files = self.spark.read.format("binaryFile").load(f"{self.sf_dir}/*.parquet").select("path", "length", "modificationTime").orderBy("path").collect()
+        version = hashlib.sha256(repr([tuple(r) for r in files]).encode()).hexdigest()[:16]
+        key = (self.spark.sparkContext.applicationId, name, version)
+        if key not in _STORED:
+            _STORED[key] = write(f"{shared_dir(self.spark)}/{name}-{version}-{uuid.uuid4().hex[:8]}")
+        return _STORED[key]
+
     def _concepts(self, name: str, code: int, kind: str, key: str, label: Column, description: Column) -> DataFrame:
         return self.table(name).select(node_id(code, key).alias("id"), F.lit(kind).alias("concept_type"), label.alias("name"), description.alias("description"))
 
