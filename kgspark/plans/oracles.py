@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from kgspark.sources.language import SAMPLES as LANGUAGE_SAMPLES
+
 from .encode import SQL_CLOSURE, SQL_GRAPH
 
 SQL: dict[str, str] = {}
@@ -501,3 +503,23 @@ plain(
       replace(replace(declared, '%k', CAST(k AS VARCHAR)), '%s', s) AS declared,
       CASE WHEN kind = 'concept' AND type = 'Party' THEN 4 WHEN kind = 'concept' AND bytes <= 65536 THEN CAST(length(t) + bytes - strlen(t) - 2 * (strlen(s) - length(s)) AS INTEGER) END AS n_description FROM head, r""",
 )
+
+plain(
+    "chunk_documents",
+    """WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS l FROM documents), m AS (SELECT *, 8 * (l + 2) <= 12000 AS whole, greatest(1, 12002 // (l + 2)) AS m FROM d),
+    k AS (SELECT *, CASE WHEN whole THEN 1 ELSE -(-8 // m) + CASE WHEN 8 % m = 0 THEN 0 ELSE 1 END END AS k FROM m),
+    c AS (SELECT doc_id, l, i, whole, i = k - 1 AS last, CASE WHEN i = k - 1 THEN 8 - m * (k - 1) ELSE m END AS n FROM k, unnest(range(k)) AS t(i))
+    SELECT doc_id, CAST(i AS INTEGER) AS chunk, CAST(CASE WHEN whole THEN 8 * (l + 2) WHEN last AND n * (l + 2) <= 12000 THEN n * (l + 2) ELSE n * (l + 2) - 2 END AS INTEGER) AS n_chars FROM c""",
+)
+plain(
+    "ingest_text_docs",
+    f"""WITH samples(lang, text) AS (VALUES {", ".join(f"('{lang}', '{body}')" for lang, body in LANGUAGE_SAMPLES.items())}),
+    every AS (SELECT 'page-' || page_id AS id, NULL AS lang, nfc_normalize(coalesce(html, '')) AS text FROM pages UNION ALL SELECT NULL, lang, text FROM samples),
+    t AS (SELECT *, ' ' || trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}]+', ' ', 'g')) || ' ' AS t FROM every),
+    grams AS (SELECT id, lang, substr(t, i, 3) AS run FROM t, unnest(range(1, length(t) - 1)) AS u(i)),
+    ranked AS (SELECT id, lang, run, row_number() OVER (PARTITION BY id, lang ORDER BY count(*) DESC, run) AS rank FROM grams GROUP BY id, lang, run QUALIFY rank <= 300),
+    near AS (SELECT o.id, k.lang, sum(300 - least(abs(o.rank - k.rank), 300)) AS near FROM ranked o JOIN ranked k USING (run) WHERE o.id IS NOT NULL AND k.lang IS NOT NULL GROUP BY o.id, k.lang HAVING near > 0)
+    SELECT id AS name, (SELECT lang FROM near WHERE near.id = every.id ORDER BY near DESC, lang LIMIT 1) AS lang,
+      coalesce(contains(text[1:8192], chr(0)) OR 10 * (length(text[1:8192]) - length(regexp_replace(text[1:8192], '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}\\x{{FFFD}}]', '', 'g'))) >= length(text[1:8192]) AND text <> '', false) AS is_binary,
+      CAST(length(text) AS INTEGER) AS n_chars FROM every WHERE id IS NOT NULL""",
+)

@@ -16,7 +16,7 @@ from kgspark.operators.traverse import Expansion
 from kgspark.sources import directives, documents, language, records
 
 from .encode import BASE, LINE_ORDER, ONTOLOGY, RULED, Graph, node_id
-from .lineage import cut, settle
+from .lineage import settle, spread
 
 QUERIES: dict = {}
 CUSTOMER7, NATION3 = 3 * BASE + 8, 2 * BASE + 4
@@ -195,18 +195,28 @@ def indexable_text(kg):
 
 
 def _corpus(kg) -> DataFrame:
-    return kg.table("documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return spread(kg.table("documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")))
+
+
+def _corpus_postings(kg) -> DataFrame:
+    """The postings of this version of the documents, written in ranges of terms when they are first asked for."""
+
+    def write(path: str) -> DataFrame:
+        retrieve.postings(_corpus(kg)).repartitionByRange("term").sortWithinPartitions("term").write.parquet(path)
+        return kg.spark.read.parquet(path)
+
+    return kg.stored("corpus", write)
 
 
 @query
 def term_stats(kg):
-    posted = retrieve.postings(_corpus(kg))
+    posted = _corpus_postings(kg)
     return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("total"))
 
 
 def _lexical(kg) -> DataFrame:
-    posted = cut(retrieve.postings(_corpus(kg)))
-    n = _corpus(kg).agg(F.count("*").alias("n"))
+    posted = _corpus_postings(kg)
+    n = kg.table("documents").agg(F.count("*").alias("n"))
     queries = kg.table("benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
     return retrieve.lexical_scores(queries, posted, n)
 
