@@ -18,7 +18,7 @@ from kgspark.functions import text
 from kgspark.plans.lineage import cut, settle, ship_package
 
 from .ontology import Ontology
-from .stored import StoredEdges
+from .stored import NAMED, StoredEdges
 from .traverse import Expansion, Subgraph, allowed_types, default_seeds, expand
 
 #: Candidates of each index for one wanted result, without and with a type filter; scores below this share of the best are dropped.
@@ -66,7 +66,9 @@ def lexical_scores(queries: DataFrame, posted: DataFrame, n_docs: DataFrame) ->
     sqrt(tf / dl) * ln((N - df + 0.5) / (df + 0.5) + 1).  n_docs: one row, n.
     """
     terms = queries.select("query_id", F.explode(text.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    asked = posted.join(_small(terms.select("term").distinct()), "term", "left_semi")
+    few = [r[0] for r in terms.select("term").distinct().limit(NAMED + 1).collect()]
+    # few terms are named in a filter, which prunes stored postings
+    asked = posted.filter(F.col("term").isin(few)) if len(few) <= NAMED else posted.join(_small(terms.select("term").distinct()), "term", "left_semi")
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weighted = asked.join(df, "term").join(F.broadcast(n_docs)).select("term", "id", (F.sqrt(F.col("tf") / F.col("dl")) * idf).alias("w"))
@@ -236,12 +238,11 @@ class Index:
 def rank(index: Index, ontology: Ontology, request: Request) -> DataFrame:
     """id, score, lexical, vector of a request.
 
-    The request's terms and dimensions are looked up first, one row's worth, and named in filters on the index.
+    The request's dimensions are looked up first, one row's worth, and named in a filter on the vectors.
     """
     query = index.concepts.sparkSession.createDataFrame([(0, request.query)], "query_id long, text string")
-    terms = query.select(F.array_distinct(text.tokens(F.col("text")))).first()[0]
     asked = index.embed(query.withColumnRenamed("query_id", "id")).collect()
-    lexical = lexical_scores(query, index.posted.filter(F.col("term").isin(terms)), index.n_docs)
+    lexical = lexical_scores(query, index.posted, index.n_docs)
     held = index.concepts.sparkSession.createDataFrame([(r["id"], int(r["dim"]), float(r["value"])) for r in asked], "id long, dim long, value double")
     vector = sparse_cosine(held, index.vectors.filter(F.col("dim").isin([r["dim"] for r in asked])))
     return fuse(lexical, vector, index.concepts, ontology, request)
