@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 
@@ -57,7 +58,7 @@ alnum_words = re.compile(ALNUM_WORD).findall
 
 
 #: Bytes of an Arrow batch where the session leaves Spark's default; a longer row comes alone.
-BATCH_BYTES, _DEFAULT_BYTES = 16 << 20, "67108864b"
+BATCH_BYTES, _DEFAULT_BYTES = 8 << 20, "67108864b"
 _BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -74,6 +75,15 @@ def _array(x, kind: pa.DataType) -> pa.Array:
     return x if x.type == kind else x.cast(kind)
 
 
+def give_back() -> None:
+    """Return memory that this worker holds but no longer uses, as it stays for later tasks beside other workers."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it holds
+        pass
+
+
 def over_batches(df: DataFrame, rows_of, schema: str) -> DataFrame:
     """``rows_of(batch) -> dict of lists`` over each Arrow batch of ``df``, as a DataFrame of ``schema``.
 
@@ -86,6 +96,8 @@ def over_batches(df: DataFrame, rows_of, schema: str) -> DataFrame:
         for batch in batches:
             got = rows_of(batch)
             yield pa.RecordBatch.from_arrays([_array(got[f.name], f.type) for f in arrow], schema=arrow)
+        got = batch = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, over_batches, ready, settle, small, spaced_word_hashes, text_bytes, window_hashes
+from .common import give_back, LOWER_BYTES, over_batches, ready, settle, small, spaced_word_hashes, text_bytes, window_hashes
 
 #: Rounds of hashing and buckets of a round; their product is the number of registers.
 ROUNDS, BUCKETS = 8, 16
@@ -228,6 +228,8 @@ def _groups(batches, key: tuple[str, ...]):
         rest = table.slice(starts[-1])
     if rest is not None and len(rest):
         yield rest
+    rest = table = batch = None
+    give_back()
 
 
 _KEY = ("band", "block", "part")

@@ -268,6 +268,7 @@ def _decoded(spark: SparkSession, path: str, column: str, of_ids) -> DataFrame:
     starts = starts.join(small(parts), "part").select("segment", (F.col("inside") + F.col("start")).alias("first"))
 
     def rows_of(batch):
+        _encoders.clear()  # a worker that decodes needs no tokenizer beside it
         found = [range_coder.split_blocks(x) for x in batch.column("blocks").to_pylist()]
         ids = iter(range_coder.decode_blocks([b for blocks in found for b in blocks]))
         out: dict[str, list] = {"doc_id": [], "start": [], "n_tokens": [], name: []}
