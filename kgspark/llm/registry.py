@@ -6,28 +6,30 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kgspark.plans.lineage import spread
+
 from . import class_lm, decontaminate, html_text, licenses, mixing, near_dedup, quality, sharding, simhash_dedup, token_alignment, token_output, url_filter, vector_codes
 from .common import ALNUM_WORD, SPACED_WORD, table
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"), words=4, percent=80)
+    return near_dedup.near_groups(spread(table(spark, sf_dir, "documents", "doc_id", "text")), words=4, percent=80)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return licenses.scan(spread(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return html_text.extract(spread(table(spark, sf_dir, "pages", "page_id", "url", "html")))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return quality.quality(spread(table(spark, sf_dir, "documents", "doc_id", "text", "lang")))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sizes(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return mixing.mix_sizes(spread(table(spark, sf_dir, "documents", "doc_id", "text", "source")))
 
 
 def op6_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,15 +37,15 @@ def op6_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.tokenized(table(spark, sf_dir, "documents", "doc_id", "text"), end_id=2)
+    return token_output.tokenized(spread(table(spark, sf_dir, "documents", "doc_id", "text")), end_id=2)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(spread(table(spark, sf_dir, "documents", "doc_id", "text")), table(spark, sf_dir, "benchmark"))
 
 
 def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return class_lm.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return class_lm.score(spread(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,15 +54,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    return vector_codes.vector_codes(spread(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")))
 
 
 def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, radius=2)
+    return simhash_dedup.simhash_groups(spread(table(spark, sf_dir, "documents", "doc_id", "text")), words=3, radius=2)
 
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_alignment.token_alignment(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return token_alignment.token_alignment(spread(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 _ALL = (op1_near_dedup, op2_license_scan, op3_main_text, op4_quality_rules, op5_mix_sources, op6_shard_tree, op7_token_output, op8_decontaminate, op9_class_lm, op10_url_filter)
