@@ -1,7 +1,8 @@
 """Benchmark decontamination: a broadcast hash set of normalised benchmark n-grams, scanned over every text.
 
-The benchmark is held in parts of a bounded number of bytes; each part is broadcast and scanned in its
-own narrow pass, so a benchmark of any size works and only one bounded part is ever broadcast at a time.
+The benchmark is held in parts of a bounded number of bytes, long items cut into pieces that share their windows' words;
+each part is broadcast and scanned in its own narrow pass, so a benchmark of any size works and only one bounded part is
+ever broadcast at a time.
 """
 
 from __future__ import annotations
@@ -80,11 +81,51 @@ def hits(words: list[bytes], grams: NGrams) -> tuple[np.ndarray | None, set[int]
     return mask, items
 
 
-def _parts(benchmark: DataFrame) -> list[DataFrame]:
-    texts = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_bytes().alias("text"))
-    total = texts.agg(F.sum(F.length("text") + 64)).first()[0] or 0
-    n = -(-total // PART_BYTES) or 1
-    return [texts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [texts]
+def pieces(text: bytes, most: int, window: int) -> list[bytes]:
+    """A text in pieces of about ``most`` bytes that together hold each of its windows: each begins window - 1 words before
+    the last one's end."""
+    words = lower_alnum_words(text)
+    out, first, size = [], 0, 0
+    for k, w in enumerate(words):
+        size += len(w) + 1
+        if size > most and k - first + 1 >= window:
+            out.append(b" ".join(words[first : k + 1]))
+            first = k + 2 - window
+            size = sum(len(x) + 1 for x in words[first : k + 1])
+    if not out or len(words) - first >= window:
+        out.append(b" ".join(words[first:]))
+    return out
+
+
+def _parts(benchmark: DataFrame, window: int) -> list[DataFrame]:
+    """The items in tables of at most PART_BYTES, one if all fit; long items are cut, repeated rows are taken once."""
+    texts = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_bytes().alias("text")).distinct()
+    size = F.length("text") + 64
+    if (texts.agg(F.sum(size)).first()[0] or 0) <= PART_BYTES:
+        return [texts]
+
+    def rows_of(batch):
+        cut = [pieces(t, PART_BYTES // 16, window) for t in batch.column("text").to_pylist()]
+        return {"item_id": [i for i, ps in zip(batch.column("item_id").to_pylist(), cut, strict=True) for _ in ps], "text": [p for ps in cut for p in ps]}
+
+    held = settle(over_batches(texts, rows_of, "item_id string, text binary").withColumn("__h", F.xxhash64("item_id", "text")))
+    total = held.agg(F.sum(size)).first()[0]
+    buckets = 8 * -(-total // PART_BYTES)
+    while True:
+        sizes = held.groupBy(F.pmod("__h", F.lit(buckets)).alias("b")).agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).orderBy("b").collect()
+        if all(r.n == 1 or r.bytes <= PART_BYTES for r in sizes):
+            break
+        buckets *= 2
+    # buckets are put together while they fit
+    parts: list[list[int]] = []
+    room = 0
+    for r in sizes:
+        if not parts or r.bytes > room:
+            parts.append([])
+            room = PART_BYTES
+        parts[-1].append(r.b)
+        room -= r.bytes
+    return [held.filter(F.pmod("__h", F.lit(buckets)).isin(p)).drop("__h") for p in parts]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -100,7 +141,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     kept = [c for c in docs.columns if c not in added]
     docs = docs.select(*kept)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{c} {t}" for c, t in added.items()])
-    parts = _parts(benchmark)
+    parts = _parts(benchmark, window)
     out = None
     for part in parts:
         grams = spark.sparkContext.broadcast(build([(r["item_id"], bytes(r["text"])) for r in part.collect()], window))

@@ -130,12 +130,24 @@ def plain_hits(text, items, window=10):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 20, 150])
+def test_pieces_hold_each_window_of_a_long_item():
+    rng = random.Random(8)
+    for n in (0, 1, 9, 10, 11, 25, 300):
+        words = [f"w{rng.randrange(99)}" for _ in range(n)]
+        for most in (1, 40, 333, 10_000):
+            cut = [p.decode().split() for p in decontaminate.pieces(" ".join(words).encode(), most, 10)]
+            windows = {tuple(w[i : i + 10]) for w in [words] for i in range(max(1, len(w) - 9))}
+            assert {tuple(w[i : i + 10]) for w in cut for i in range(max(1, len(w) - 9))} == windows
+            assert all(sum(len(x) + 1 for x in w[:-1]) <= most + 40 for w in cut)
+
+
+@pytest.mark.parametrize("part_bytes", [1 << 20, 400])
 def test_contamination(spark, monkeypatch, part_bytes):
     monkeypatch.setattr(decontaminate, "PART_BYTES", part_bytes)
     rng = random.Random(4)
     words = [f"w{k}" for k in range(30)]
-    items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 9, 10, 14])))) for k in range(12)] + [(12, None), (13, "É, b c! d e f g h i j")]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 9, 10, 14])))) for k in range(12)] + [(12, None), (13, "É, b c! d e f g h i j"), (14, " ".join(rng.choice(words) for _ in range(200)))]
+    items += [items[5]] * 3
     texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(8)] + [f"pre {items[k][1]} post" for k in range(12)] + [None, "", "x É b C d e f g h I j y", " ".join(["w1"] * 30_000)]
     rows = [(k, t, "en", "s", 7) for k, t in enumerate(texts)] * 2
     docs = spark.createDataFrame(rows, DOCS)
