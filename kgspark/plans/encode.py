@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kgspark.operators.ontology import ActionType, ConceptType, Ontology, RelationType, RuleType
 
-from .lineage import shared_dir
+from .lineage import shared_dir, spread
 
 BASE = 10_000_000_000_000
 
@@ -83,8 +83,9 @@ class Graph:
             _STORED[key] = write(f"{shared_dir(self.spark)}/{name}-{version}-{uuid.uuid4().hex[:8]}")
         return _STORED[key]
 
-    def _concepts(self, name: str, code: int, kind: str, key: str, label: Column, description: Column) -> DataFrame:
-        return self.table(name).select(node_id(code, key).alias("id"), F.lit(kind).alias("concept_type"), label.alias("name"), description.alias("description"))
+    def _concepts(self, name: str, code: int, kind: str, key: str, label: Column, description: Column, dealt: bool = False) -> DataFrame:
+        rows = spread(self.table(name)) if dealt else self.table(name)
+        return rows.select(node_id(code, key).alias("id"), F.lit(kind).alias("concept_type"), label.alias("name"), description.alias("description"))
 
     @cached_property
     def rules(self) -> DataFrame:
@@ -112,6 +113,14 @@ class Graph:
     @cached_property
     def concepts(self) -> DataFrame:
         """id, concept_type, name, description."""
+        return self._every_concept(False)
+
+    @cached_property
+    def dealt_concepts(self) -> DataFrame:
+        """The same with the long texts of a small table dealt over the cores, for work on all of them."""
+        return self._every_concept(True)
+
+    def _every_concept(self, dealt: bool) -> DataFrame:
         none = F.lit("")
         parts = [
             self._concepts("region", 1, "Region", "r_regionkey", F.col("r_name"), none),
@@ -120,7 +129,7 @@ class Graph:
             self._concepts("supplier", 4, "Supplier", "s_suppkey", F.col("s_name"), none),
             self._concepts("part", 5, "Part", "p_partkey", F.concat("p_name", F.lit(" #"), F.col("p_partkey").cast("string")), F.concat_ws(" ", "p_brand", "p_type")),
             self._concepts("orders", 6, "Order", "o_orderkey", F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string")), F.col("o_orderpriority")),
-            self._concepts("documents", 7, "Document", "doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), F.coalesce("text", F.lit(""))),
+            self._concepts("documents", 7, "Document", "doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), F.coalesce("text", F.lit("")), dealt),
         ]
         out = parts[0]
         for p in parts[1:]:

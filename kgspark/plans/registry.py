@@ -241,7 +241,12 @@ def hash_embed(kg):
 
 def _index(kg) -> retrieve.Index:
     """The index of this version of the tables, built and written when it is first asked for."""
-    return kg.stored("index", lambda path: retrieve.Index.build(kg.concepts).write(path))
+
+    def write(path: str) -> retrieve.Index:
+        retrieve.Index.build(kg.dealt_concepts).write(path)
+        return retrieve.Index.open(kg.concepts, path)
+
+    return kg.stored("index", write)
 
 
 def _stored_edges(kg) -> StoredEdges:
