@@ -26,13 +26,15 @@ SEGMENT_IDS = 1 << 20
 #: Places of the table in which a Python worker remembers the ids of short pieces, and longer pieces it remembers.
 PLACES, LONG_PIECES = 1 << 20, 20_000
 #: Bytes of text that are cut at once, and pieces that are encoded as one text.
-CHUNK_BYTES, JOINED = 1 << 19, 500
+CHUNK_BYTES, JOINED = 1 << 19, 100
 #: Most bytes and ids of a piece in the table, and most bytes of a longer one that is remembered.
 SHORT_BYTES, SHORT_IDS, LONG_BYTES = 16, 8, 64
 
 # White space outside ASCII (fixed values), and such beside white space of ASCII.
 _WIDE_SPACE = "\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WIDE_MARKS = tuple(x.encode() for x in "\u0085\u00a0\u1680\u205f\u3000") + ("\u2000".encode()[:2],)
+_LEADS_WIDE = np.zeros(256, bool)
+_LEADS_WIDE[[x[0] for x in _WIDE_MARKS]] = True
 _MIXED_SPACE = re.compile(f"[\t-\r ][{_WIDE_SPACE}]|[{_WIDE_SPACE}][\t-\r ]").search
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
@@ -66,8 +68,8 @@ def _piece_starts(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class TextEncoder:
     """Ids of whole texts by the tokenizers library, remembering those of pieces that it never joins.
 
-    Pieces of up to SHORT_BYTES bytes have a place by hash in a table of fixed size that holds their bytes, so a hit is
-    exact; the newest piece of a place stays.  All other ids come from the library, each distinct piece of a chunk once.
+    Pieces of up to SHORT_BYTES bytes have two places by hash in a table of fixed size that holds their bytes, so a hit is
+    exact; a piece that was found of late is not pushed out by one that is new.  All other ids come from the library, each distinct piece of a chunk once.
     Texts with a special token, or with white space outside ASCII beside such of ASCII, go to the library whole.
 
     ordinary_specials: whether a special token that stands in a text is encoded as ordinary text; if not, it gets its
@@ -85,7 +87,7 @@ class TextEncoder:
         if len(self.line_break) != 2:
             raise ValueError("the tokenizer has no id for a line break")
         self.head, self.tail = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.uint64)
-        self.size, self.n_ids = np.zeros(PLACES, np.uint8), np.zeros(PLACES, np.uint8)
+        self.size, self.n_ids, self.used = np.zeros(PLACES, np.uint8), np.zeros(PLACES, np.uint8), np.zeros(PLACES, bool)
         self.ids = np.zeros(PLACES * SHORT_IDS, np.uint16)
         self.long: dict[bytes, bytes] = {}
 
@@ -110,7 +112,8 @@ class TextEncoder:
 
     def _known(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Ids of the distinct pieces among these that are not in the table."""
-        got = {p: self.long.get(p) for p in pieces}
+        got = dict.fromkeys(pieces)
+        got.update((p, self.long[p]) for p in self.long.keys() & got.keys())
         asked = [p for p, ids in got.items() if ids is None]
         got.update(zip(asked, self._library(asked), strict=True))
         if len(self.long) > LONG_PIECES:
@@ -126,9 +129,16 @@ class TextEncoder:
         eight = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))
         head = eight[at] & _MASKS[np.minimum(sizes, 8)]
         tail = eight[np.minimum(at + 8, len(data))] & _MASKS[np.clip(sizes - 8, 0, 8)]
-        place = (mix64(head + tail * _ODD + sizes.astype(np.uint64)) & np.uint64(PLACES - 1)).astype(np.int64)
+        drawn = mix64(head + tail * _ODD + sizes.astype(np.uint64))
+        place = (drawn & np.uint64(PLACES - 1)).astype(np.int64)
         hit = (self.size[place] == sizes) & (self.head[place] == head) & (self.tail[place] == tail)
-        missing = np.flatnonzero(~hit)
+        rest = np.flatnonzero(~hit)
+        other = ((drawn[rest] >> np.uint64(32)) & np.uint64(PLACES - 1)).astype(np.int64)
+        again = (self.size[other] == sizes[rest]) & (self.head[other] == head[rest]) & (self.tail[other] == tail[rest])
+        hit[rest[again]] = True
+        place[rest[again]] = other[again]
+        self.used[place[hit]] = True
+        missing, other = rest[~again], other[~again]
         n_ids = self.n_ids[place].astype(np.int64)
         counts, first = n_ids[hit], place[hit] * SHORT_IDS
         ready = self.ids.take(np.repeat(first + counts - np.cumsum(counts), counts) + np.arange(counts.sum()), mode="clip")
@@ -139,12 +149,17 @@ class TextEncoder:
         from_hit = np.repeat(hit, n_ids)
         out = np.empty(len(from_hit), np.uint16)
         out[from_hit], out[~from_hit] = ready, np.frombuffer(b"".join(found), np.uint16)
+        # a piece takes the first of its places that was not used of late; if both were, they may be taken next time
+        one = place[missing]
+        where = np.where(self.used[one], other, one)
+        busy = self.used[where]
+        self.used[one[busy]] = self.used[other[busy]] = False
+        short = (sizes[missing] <= SHORT_BYTES) & (n_ids[missing] <= SHORT_IDS) & ~busy
         # a place gets all its columns from one piece, the last one
-        short = (sizes[missing] <= SHORT_BYTES) & (n_ids[missing] <= SHORT_IDS)
-        last = dict(zip(place[missing].tolist(), np.where(short, np.arange(len(missing)), -1).tolist(), strict=True))
-        which = np.array([k for k in last.values() if k >= 0], np.int64)
+        last = dict(zip(where[short].tolist(), np.flatnonzero(short).tolist(), strict=True))
+        which = np.fromiter(last.values(), np.int64, len(last))
         learn = missing[which]
-        where, counts = place[learn], n_ids[learn]
+        where, counts = where[which], n_ids[learn]
         rows = np.zeros((len(learn), SHORT_IDS), np.uint16)
         rows[np.arange(SHORT_IDS) < counts[:, None]] = np.frombuffer(b"".join(found[k] for k in which.tolist()), np.uint16)
         self.head[where], self.tail[where] = head[learn], tail[learn]
@@ -168,10 +183,15 @@ class TextEncoder:
                 run.clear()
                 size = 0
 
+        # most batches hold no special token and little wide space, so it is looked for in all texts at once
+        whole = b"".join(texts)
+        specials = [x for x in self.specials if x in whole]
+        wide = [x for x in _WIDE_MARKS if x in whole] if _LEADS_WIDE[np.frombuffer(whole, np.uint8)].any() else []
+        del whole
         for k, t in enumerate(texts):
             if not t:
                 continue
-            if any(x in t for x in self.specials) or (any(x in t for x in _WIDE_MARKS) and _MIXED_SPACE(t.decode(errors="replace"))):
+            if any(x in t for x in specials) or (any(x in t for x in wide) and _MIXED_SPACE(t.decode(errors="replace"))):
                 (ids,) = self._ids([t.decode(errors="replace")])
                 lengths[k] = len(ids) // 2
                 out.append((k, np.frombuffer(ids, np.uint16)))
