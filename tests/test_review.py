@@ -295,3 +295,15 @@ def test_conflicts_of_six_kinds(spark):
         ("action", "a1", "dangling_ref", "Robot:no"), ("concept", "c0", "exists", "4"), ("concept_type", "t0", "exists", "Person"),
         ("relation", "r1", "dangling_ref", "none"), ("relation", "r2", "dangling_ref", "Person:new one"), ("relation", "r3", "dangling_ref", "Person:x"), ("relation_type", "t2", "exists", "knows"),
     ]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_reply_is_parsed_once(spark):
+    replies = spark.range(3).selectExpr("id AS file_no", "id AS chunk", "concat('{\"concept_types\": [{\"name\": \"A\"}], \"actions\": [{\"name\": \"b\"}, null]}', left('', id)) AS reply")
+    items = proposals.parse_replies(replies)
+    assert plan_of(items).count("from_json(") == 1
+    got = {tuple(r) for r in items.filter("chunk = 1").select("kind", "item", "client_ref", "name", "confidence").collect()}
+    assert got == {("concept_type", 0, "c1-ct-0", "A", 0.0), ("action", 0, "c1-a-0", "b", 0.0), ("action", 1, "c1-a-1", None, 0.0)}
