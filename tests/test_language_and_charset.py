@@ -66,6 +66,13 @@ def test_traditional_chinese_and_marks():
     assert charset.decode(cut).text == "é" * 40_000  # the head ends inside no character's reading
 
 
+def test_words_repeated_and_of_two_languages_read_as_the_commonest_encoding():
+    repeated = "Le Le Le eux eux eux aiquement " + "Ê " * 9
+    mixed = "Étion en ench èanier, vi èenaioi èenque éçaux. Ciónasasta ciónuellí íquega ciónqueue íll ciónosarco."
+    for body in (repeated, mixed):
+        assert charset.decode(body.encode("windows-1252"))[:2] == (body, "windows-1252")
+
+
 def test_files_of_a_folder(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(SENTENCES["ru"].encode("koi8-r"))
     (tmp_path / "b.MD").write_bytes(SENTENCES["fr"].encode("windows-1252"))
