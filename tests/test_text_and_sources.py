@@ -223,3 +223,11 @@ def test_history(spark):
     got = stats.history(spark.createDataFrame(rows, "series string, at long, value double"))
     assert sorted(r.at for r in got.collect()) == [0, 60, 121, 500]
     assert [r.delta_percent for r in stats.delta(spark.createDataFrame([("z", 0, 0.0), ("z", 1, 5.0)], "series string, at long, value double")).collect()] == [100.0]
+
+
+def test_parsed_directives_gives_no_length_of_a_description_that_was_cut(spark, tmp_path):
+    from kgspark.plans import registry
+
+    spark.createDataFrame([(1, "s", "short"), (2, "s", "x" * 70_000)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["parsed_directives"](spark, str(tmp_path)).filter("type = 'Note'").collect()
+    assert {r.doc: r.n_description is None for r in got} == {1: False, 2: True}
