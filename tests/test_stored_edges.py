@@ -76,3 +76,18 @@ def test_expansion_of_stored_edges_is_that_of_the_table(spark, tmp_path):
         a, b = (traverse.expand(concepts, r, ONTOLOGY, seeds, spec) for r in (relations, kept))
         for part in ("nodes", "edges"):
             assert sorted(map(tuple, getattr(a, part).collect())) == sorted(map(tuple, getattr(b, part).collect()))
+
+
+def test_edges_read_in_place_are_those_at_the_nodes(spark, sf, monkeypatch):
+    from kgspark.plans import encode, registry
+
+    kg = encode.Graph(spark, sf)
+    ids = [registry.CUSTOMER7, registry.NATION3, 5 * encode.BASE + 6, 4 * encode.BASE + 2, 6 * encode.BASE + 8]
+    nodes = spark.createDataFrame([(i,) for i in ids], "id long")
+    want = sorted(map(tuple, kg.relations.filter(F.col("source").isin(ids) | F.col("target").isin(ids)).collect()))
+    assert sorted(map(tuple, kg.touching(nodes).collect())) == want
+    monkeypatch.setattr(encode, "NAMED", 2)
+    assert sorted(map(tuple, kg.touching(nodes).collect())) == want
+    for name in ("transitive_enrich", "shortest_path"):
+        registry.QUERIES[name](spark, sf).collect()
+    assert not any(name == "edges" for _, name, _ in encode._STORED)
