@@ -307,3 +307,10 @@ def test_a_reply_is_parsed_once(spark):
     assert plan_of(items).count("from_json(") == 1
     got = {tuple(r) for r in items.filter("chunk = 1").select("kind", "item", "client_ref", "name", "confidence").collect()}
     assert got == {("concept_type", 0, "c1-ct-0", "A", 0.0), ("action", 0, "c1-a-0", "b", 0.0), ("action", 1, "c1-a-1", None, 0.0)}
+
+
+def test_chunks_merge_in_one_grouping(spark):
+    replies = spark.createDataFrame([(1, 0, '{"concepts": [{"concept_type": "T", "name": " a", "confidence": 0.5}], "relation_types": [{"name": "r", "confidence": 0.1}]}'), (1, 1, '{"concepts": [{"concept_type": "T", "name": "A ", "confidence": 0.9}], "relation_types": [{"name": "r", "confidence": 0.9}]}')], "file_no long, chunk long, reply string")
+    merged = proposals.merge_chunks(proposals.parse_replies(replies))
+    assert plan_of(merged).count("from_json(") == 2
+    assert {(r.kind, r.client_ref) for r in merged.collect()} == {("concept", "c1-c-0"), ("relation_type", "c0-rt-0")}
