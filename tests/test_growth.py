@@ -1,9 +1,15 @@
 """Steps whose cost must grow no faster than the input: what they shuffle, write and hold."""
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kgspark.operators import retrieve
+from kgspark.plans import registry
+from kgspark.sources import documents, language
 
 
 def plan(df) -> str:
@@ -42,3 +48,56 @@ def test_upkeep_writes_no_postings_again(spark, tmp_path):
     assert {(r.term, r.id) for r in less.posted.collect()} == {("red", 1), ("one", 1), ("blue", 3)} and {r.id for r in less.vectors.collect()} == {1, 3}
     compact = less.write(str(tmp_path / "less"))
     assert compact.posted.count() == 3 and compact.n_docs.first().n == 2
+
+
+def _ranks(words: str) -> dict[str, int]:
+    t = f" {words} "
+    counts = Counter(t[i : i + 3] for i in range(len(t) - 2))
+    return {run: k for k, run in enumerate(sorted(counts, key=lambda r: (-counts[r], r))[: language.RUNS], 1)}
+
+
+@pytest.mark.parametrize("step", [5, 1 << 21])
+def test_languages_are_told_where_the_texts_lie(spark, monkeypatch, step):
+    monkeypatch.setattr(language, "STEP", step)
+    # lower-case words, one with letters beyond 16 bits; a text of more than RUNS runs; equal counts; nothing to tell
+    long = " ".join(f"{a}{b}{c}o" for a in "abcdefgh" for b in "aeiou" for c in "klmnrst")
+    texts = {1: "the cat and the hat", 2: "der hut und die katze", 3: long, 4: "\U00010428\U00010429\U0001042a the cat", 5: "zzz", 6: "", 7: None, 8: "x"}
+    known = {"en": "the hat and the cat sat", "de": "die katze und der hut", "xx": long, "deseret": "\U00010428\U00010429\U0001042a"}
+    profiles = language.profiles(spark.createDataFrame(list(known.items()), "lang string, text string"))
+    want = {k: _ranks(v) for k, v in known.items()}
+    assert {(r.lang, r.run): r["rank"] for r in profiles.collect()} == {(k, run): n for k, v in want.items() for run, n in v.items()}
+    found = language.detect(spark.createDataFrame(list(texts.items()), "id long, text string"), profiles)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: (r.lang, r.confidence) for r in found.collect()}
+    for i, text in texts.items():
+        own = _ranks(text or "")
+        near = sorted((-sum(300 - min(abs(own[r] - n), 300) for r, n in ranks.items() if r in own), lang) for lang, ranks in want.items())
+        best, second = near[0], near[1]
+        assert got[i] == ((best[1], (best[0] - second[0]) / best[0]) if best[0] else (None, None)), i
+
+
+def test_files_are_decoded_without_a_shuffle(spark):
+    files = spark.createDataFrame([("/a/one.txt", b"Alle Menschen sind frei und gleich"), ("/a/two.txt", "Всі люди народжуються вільними".encode()), ("/a/none.txt", b"")], "path string, content binary")
+    read = documents.decoded(files)
+    assert "Exchange" not in plan(read)
+    assert {(r.name, r.lang) for r in read.collect()} == {("one", "de"), ("two", "uk"), ("none", None)}
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_a_task_gives_few_vectors_and_holds_a_block(monkeypatch, block):
+    monkeypatch.setattr(retrieve, "ROW_BLOCK", block)
+    rng = np.random.default_rng(5)
+    rows = np.round(rng.normal(size=(400, 4)), 1)
+    rows[200:210] = rows[0]  # ties
+    held = np.argsort(-(rows @ rows[0]), kind="stable")  # the best first, so that few come after them
+    batches = [pa.RecordBatch.from_arrays([pa.array(held[i : i + 50]), pa.array(rows[held[i : i + 50]].tolist(), pa.list_(pa.float64()))], names=["id", "v"]) for i in range(0, 400, 50)]
+    got = [r for b in retrieve._best_of(batches, {4: (np.array([7]), rows[:1])}, 5) for r in b.to_pylist()]
+    scores = np.round(rows @ rows[0], 9)
+    want = sorted(range(400), key=lambda i: (-scores[i], i))[:5]
+    assert [r["id"] for r in sorted(got, key=lambda r: (-r["score"], r["id"]))[:5]] == want
+    # before, every batch gave at least five
+    assert len(got) < 5 * len(batches)
+
+
+def test_exported_lines_are_parsed_once(spark, sf):
+    assert "get_json_object" not in plan(registry.QUERIES["export_records"](spark, sf))
