@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _IS_SPACE, LOWER_BYTES, lower_spaced_words, over_batches, settle, spaced_word_hashes, text_bytes
+from .common import _IS_SPACE, LOWER_BYTES, _array, give_back, lower_spaced_words, mix64, over_batches, settle, spaced_word_hashes, text_bytes
 
 #: Words that the clustering begins with, classes, and words whose counts are broadcast.
 SYMBOL_WORDS, CLASSES, HEAD_WORDS = 512, 48, 200_000
@@ -33,6 +33,8 @@ SHAPES = 64
 PASSES, LEAST_RISE = 12, 1e-3
 #: Bytes of text whose words are looked up at once; a longer text is looked up alone.
 CHUNK_BYTES = 1 << 18
+#: Pairs of symbols that a task counts at once, about.
+GROUP_PAIRS = 1 << 20
 
 
 def shape(word: bytes) -> int:
@@ -167,17 +169,42 @@ def _chunks(texts: list[bytes]):
         yield run
 
 
-
-
-def neighbours(train: DataFrame, hashes: Vocabulary) -> DataFrame:
+def neighbours(train: DataFrame, hashes: Vocabulary, tokens: int | None = None) -> DataFrame:
     """A row for each symbol: the symbols after it and those before it, and how often they stand there.
 
     Texts begin and end with the end symbol.  A pair of a symbol with itself is not given twice.
+
+    Pairs are counted in groups, then dealt by symbol to as many groups again.  ``tokens`` (if not given, the bytes of the
+    texts) bounds the pairs, so a group has about GROUP_PAIRS of them however many there are; a frequent pair comes once
+    from each batch, and a frequent symbol has each of its neighbours once.
     """
     end = len(hashes) + SHAPES
     size = end + 1
+    if tokens is None:
+        tokens = train.agg(F.sum(F.length("__bytes").cast("long"))).first()[0] or 0
+    groups = 1 + tokens // GROUP_PAIRS
     shared = train.sparkSession.sparkContext.broadcast(hashes)
 
+    def dealt(to: np.ndarray, codes: np.ndarray, n: np.ndarray) -> dict[str, list]:
+        """A row for each group: its codes and their counts, as bytes."""
+        order = np.argsort(to, kind="stable")
+        to, codes, n = to[order], codes[order], n[order]
+        cuts = np.flatnonzero(np.diff(to, prepend=-1))
+        parts = [[x.astype("<i8").tobytes() for x in np.split(v, cuts[1:])] if len(to) else [] for v in (codes, n)]
+        return {"to": to[cuts], "codes": parts[0], "n": parts[1]}
+
+    def group_of(x: np.ndarray) -> np.ndarray:
+        to = mix64(x.astype(np.uint64)) % np.uint64(groups)
+        return to.astype(np.int16 if groups < 1 << 15 else np.int64)  # short numbers are sorted by their digits
+
+    def summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct codes of a group in ascending order, and the sums of their counts."""
+        codes, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), "<i8") for c in ("codes", "n"))
+        order = np.argsort(codes)
+        codes, n = codes[order], n[order]
+        cuts = np.flatnonzero(np.diff(codes, prepend=-1))
+        return codes[cuts], np.add.reduceat(n, cuts)
+
     def pairs_of(batch):
         codes = [np.empty(0, np.int64)]
         for texts in _chunks(batch.column("__bytes").to_pylist()):
@@ -185,42 +212,33 @@ def neighbours(train: DataFrame, hashes: Vocabulary) -> DataFrame:
             path = np.insert(symbols, np.concatenate(([0], ends)), end)
             codes.append(path[:-1] * size + path[1:])
         pairs, n = np.unique(np.concatenate(codes), return_counts=True)
-        return {"pair": pairs, "n": n}
-
-    def row_each(batches):
-        held, kept = -1, []
-        for batch in batches:
-            place, n = batch.column("place").to_numpy(), batch.column("n").to_numpy()
-            symbol, other = place >> 33, place & ((1 << 33) - 1)
-            other = np.where(other >> 32, -1 - (other & 0xFFFF_FFFF), other)
-            cuts = np.flatnonzero(np.diff(symbol)) + 1
-            ids = symbol[np.concatenate(([0], cuts))].tolist() if len(symbol) else []
-            done: list[tuple[int, np.ndarray, np.ndarray]] = []
-            for k, run in zip(ids, zip(np.split(other, cuts), np.split(n, cuts), strict=True)):
-                if k != held:
-                    if kept:
-                        done.append((held, *map(np.concatenate, zip(*kept))))
-                    held, kept = k, []
-                kept.append(run)
-            yield rows(done)
-        yield rows([(held, *map(np.concatenate, zip(*kept)))] if kept else [])
-
-    def lists(runs, kind):
-        values = pa.array(np.concatenate(runs) if runs else [], kind)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, runs)]), pa.int32()), values)
-
-    def rows(done):
-        sides = [(o[o >= 0], n[o >= 0], -1 - o[o < 0], n[o < 0]) for _, o, n in done]
-        columns = [lists([x[k] for x in sides], (pa.int32(), pa.int64())[k % 2]) for k in range(4)]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in done], pa.int32()), *columns], ["symbol", "after", "n_after", "before", "n_before"])
-
-    pairs = over_batches(train.select("__bytes"), pairs_of, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    # a pair stands with each of its symbols: symbol, whether the other is before it, other
-    first, second = F.expr(f"pair div {size}"), F.col("pair") % size
-    places = F.shiftleft(first, 33) + second, F.shiftleft(second, 33) + F.shiftleft(F.lit(1).cast("long"), 32) + first
-    beside = pairs.select(F.explode(F.when(first == second, F.array(places[0])).otherwise(F.array(*places))).alias("place"), "n")
-    beside = beside.repartition(F.shiftright("place", 33)).sortWithinPartitions("place")
-    return settle(beside.mapInArrow(row_each, "symbol int, after array<int>, n_after array<bigint>, before array<int>, n_before array<bigint>"))
+        return dealt(group_of(pairs), pairs, n)
+
+    def by_symbol(table):
+        pairs, n = summed(table)
+        first, second = pairs // size, pairs % size
+        # a pair stands with each of its symbols: symbol, whether the other is before it, other
+        two = first != second
+        places = np.concatenate(((first << 33) + second, (second[two] << 33) + (1 << 32) + first[two]))
+        rows = dealt(group_of(places >> 33), places, np.concatenate((n, n[two])))
+        out = pa.table([_array(rows["to"], pa.int64()), pa.array(rows["codes"], pa.binary()), pa.array(rows["n"], pa.binary())], ["to", "codes", "n"])
+        give_back()
+        return out
+
+    def row_each(table):
+        places, n = summed(table)
+        symbols, row = np.unique(places >> 33, return_inverse=True)
+        before, other = (places >> 32 & 1).astype(bool), (places & 0xFFFF_FFFF).astype(np.int32)
+        columns = [pa.array(symbols, pa.int32())]
+        for side in (~before, before):
+            offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row[side], minlength=len(symbols))))), pa.int32())
+            columns += [pa.ListArray.from_arrays(offsets, pa.array(x[side], kind)) for x, kind in ((other, pa.int32()), (n, pa.int64()))]
+        give_back()
+        return pa.table(columns, ["symbol", "after", "n_after", "before", "n_before"])
+
+    kind = "to bigint, codes binary, n binary"
+    pairs = over_batches(train.select("__bytes"), pairs_of, kind).groupBy("to").applyInArrow(by_symbol, kind)
+    return settle(pairs.groupBy("to").applyInArrow(row_each, "symbol int, after array<int>, n_after array<bigint>, before array<int>, n_before array<bigint>"))
 
 
 def _flat(batch: pa.RecordBatch, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -372,7 +390,7 @@ def fit(train: DataFrame, counts: DataFrame, classes: int = CLASSES) -> tuple[Mo
     hashes, first, at = np.unique(np.asarray(got["hash"]).view(np.uint64), return_index=True, return_inverse=True)
     n_of, shape_of = np.bincount(at, np.asarray(got["n"]), len(hashes)), np.asarray(got["shape"])[first]
     words_of = Vocabulary(hashes)
-    table = neighbours(train, words_of)
+    table = neighbours(train, words_of, int(totals[0] or 0) + n_docs)
     # to begin with the most frequent words and the shapes are clustered; any other word has its shape's class
     seeds = np.lexsort((hashes, -n_of))[:SYMBOL_WORDS]
     coarse = np.concatenate((SYMBOL_WORDS + shape_of, SYMBOL_WORDS + np.arange(SHAPES + 1))).astype(np.int32)

@@ -324,3 +324,26 @@ def test_special_tokens_in_texts_get_their_ids(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for got in (registry.op7_token_output(spark, str(tmp_path)), corpus_pipeline.token_stage(spark, docs, str(tmp_path))):
         assert sorted(map(tuple, got.collect())) == want
+
+
+def test_neighbours_are_counted_in_groups_of_bounded_size(spark, monkeypatch):
+    """Groups grow with the tokens, none takes in the whole corpus, and their sums are the plain counts."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.randrange(60))) for _ in range(80)] + ["", " \n"]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").select(class_lm.text_bytes().alias("__bytes")).repartition(3)
+    hashes = class_lm.Vocabulary(np.sort(class_lm.spaced_word_hashes(" ".join(f"w{k}" for k in range(60)).encode())))
+    end = 60 + class_lm.SHAPES
+    want = Counter()
+    for t in texts:
+        path = [end, *class_lm._symbols([t.encode()], hashes)[0].tolist(), end]
+        want.update(zip(path, path[1:]))
+    monkeypatch.setattr(class_lm, "GROUP_PAIRS", 64)
+    for tokens in (None, sum(want.values()), 0):
+        after, before = Counter(), Counter()
+        rows = class_lm.neighbours(train, hashes, tokens).collect()
+        assert len({r.symbol for r in rows}) == len(rows)
+        for r in rows:
+            after.update(dict(zip(((r.symbol, k) for k in r.after), r.n_after, strict=True)))
+            before.update(dict(zip(((k, r.symbol) for k in r.before), r.n_before, strict=True)))
+        assert after == want
+        assert before == Counter({k: n for k, n in want.items() if k[0] != k[1]})
