@@ -324,3 +324,19 @@ def test_onto_a_graph(spark):
     again = numbered([record("named_relation", type="boss", source_type="Person", source_name="Anna", target_type="Person", target_name="bob")])
     assert ingest_records(frame(spark, again), got.state).error == "CardinalityViolation"
     assert RETRY > 1 << 50
+
+
+def test_ids_are_counted_in_one_pass_over_each_range(spark):
+    """As a plain loop counts them, over ranges that hold new rows, own ids or both, without a window over the rows."""
+    from kgspark.operators.ingest import allocate
+
+    rng = random.Random(11)
+    rows = [(at, sub, rng.choice([0, 0, 0, at * 3, 5])) for at in range(400) for sub in range(rng.choice([1, 1, 2]))]
+    want, counter = {}, 7
+    for at, sub, own in rows:
+        want[at, sub] = own or counter
+        counter = max(counter, (own or counter) + 1)
+    got = allocate(spark.createDataFrame(rows, "at long, sub int, id long").repartition(5), 7)
+    assert {(r.at, r.sub): r.new_id for r in got.collect()} == want
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert allocate(spark.createDataFrame([], "at long, sub int, id long"), 7).count() == 0
