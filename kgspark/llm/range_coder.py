@@ -22,8 +22,8 @@ import numpy as np
 
 #: Bits of the table of order 0, of all intervals, and of the hashed contexts.
 ORDER0_BITS, TABLE_BITS, CONTEXT_BITS = 10, 24, 8
-#: Ids of a block, and steps that are predicted from the same tables.
-BLOCK_IDS, CHUNK = 2048, 16
+#: Ids of a block (shorter ones make more lanes and fewer steps for the same ids), and steps that are predicted from the same tables.
+BLOCK_IDS, CHUNK = 1024, 16
 #: Blocks coded in lockstep.
 LANES = 2048
 #: Largest share of a prediction, in 1/4096.

@@ -33,8 +33,7 @@ SHORT_BYTES, SHORT_IDS, LONG_BYTES = 16, 8, 64
 # White space outside ASCII (fixed values), and such beside white space of ASCII.
 _WIDE_SPACE = "\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WIDE_MARKS = tuple(x.encode() for x in "\u0085\u00a0\u1680\u205f\u3000") + ("\u2000".encode()[:2],)
-_LEADS_WIDE = np.zeros(256, bool)
-_LEADS_WIDE[[x[0] for x in _WIDE_MARKS]] = True
+_WIDE_LEADS = sorted({x[:1] for x in _WIDE_MARKS})
 _MIXED_SPACE = re.compile(f"[\t-\r ][{_WIDE_SPACE}]|[{_WIDE_SPACE}][\t-\r ]").search
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
@@ -44,24 +43,30 @@ _KIND = np.array([1 if chr(k).isalpha() else 2 if chr(k).isdigit() else 4 if k =
 _KIND[_IS_SPACE.nonzero()[0]] = 0
 _PARTED = np.zeros((5, 5), bool)
 _PARTED[[1, 1, 1, 2, 2, 2, 3, 3], [2, 3, 4, 1, 3, 4, 1, 2]] = True
+# The same as tables of bytes; a pair is five times the first kind and the second.
+_SPACE_BYTES, _KIND_BYTES, _PARTED_BYTES = _IS_SPACE.tobytes(), _KIND.tobytes(), _PARTED.tobytes() + bytes(256 - 25)
 
 
-def _piece_starts(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _looked_up(data: bytes, table: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(data.translate(table), kind)
+
+
+def _piece_starts(data: bytes, starts: np.ndarray) -> np.ndarray:
     """Where pieces begin in the bytes of texts that begin at ``starts``.
 
     The byte-level pre-tokenizer takes a run of white space before a word apart from its last character, and that on its
     own unless it is a space, which goes with the word; a run at the end of a text stays whole.  It also parts ASCII
     letters, digits and marks, if no apostrophe stands before them.
     """
-    space = _IS_SPACE[b]
+    b, space = np.frombuffer(data, np.uint8), _looked_up(data, _SPACE_BYTES, bool)
     first = np.zeros(len(b) + 1, bool)
     first[starts] = True
     before = np.concatenate(([True], space[:-1]))
     after = np.concatenate((space[1:], [True]))
     cut = space & (~before | (~after & ~first[1:]))
     cut |= ~space & before & (np.concatenate(([0], b[:-1])) != 32)
-    kind = _KIND[b]
-    cut[1:] |= _PARTED[kind[:-1], kind[1:]]
+    kind = _looked_up(data, _KIND_BYTES, np.uint8)
+    cut[1:] |= _looked_up((kind[:-1] * np.uint8(5) + kind[1:]).tobytes(), _PARTED_BYTES, bool)
     return np.flatnonzero(cut | first[:-1])
 
 
@@ -123,7 +128,7 @@ class TextEncoder:
 
     def _chunk(self, data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts that begin at ``starts`` in data, none empty, and how many each has."""
-        at = _piece_starts(np.frombuffer(data, np.uint8), starts)
+        at = _piece_starts(data, starts)
         sizes = np.diff(at, append=len(data))
         padded = np.frombuffer(data + b"\0" * SHORT_BYTES, np.uint8)
         eight = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))
@@ -186,7 +191,7 @@ class TextEncoder:
         # most batches hold no special token and little wide space, so it is looked for in all texts at once
         whole = b"".join(texts)
         specials = [x for x in self.specials if x in whole]
-        wide = [x for x in _WIDE_MARKS if x in whole] if _LEADS_WIDE[np.frombuffer(whole, np.uint8)].any() else []
+        wide = [x for x in _WIDE_MARKS if x in whole] if any(x in whole for x in _WIDE_LEADS) else []
         del whole
         for k, t in enumerate(texts):
             if not t:

@@ -347,3 +347,20 @@ def test_neighbours_are_counted_in_groups_of_bounded_size(spark, monkeypatch):
             before.update(dict(zip(((k, r.symbol) for k in r.before), r.n_before, strict=True)))
         assert after == want
         assert before == Counter({k: n for k, n in want.items() if k[0] != k[1]})
+
+
+def test_ids_are_decoded_in_few_steps(monkeypatch):
+    """The segment of a batch is coded in lockstep, so steps, not ids, cost calls: they are those of one block."""
+    rng = np.random.default_rng(7)
+    ids = rng.zipf(1.3, 20_000).clip(0, 50_000).astype(np.uint16)
+    blocks = [ids[k : k + range_coder.BLOCK_IDS] for k in range(0, len(ids), range_coder.BLOCK_IDS)]
+    coded = b"".join(range_coder.encode_blocks(blocks))
+    steps, plain = [], range_coder._find
+    monkeypatch.setattr(range_coder, "_find", lambda *a: steps.append(1) or plain(*a))
+    got = range_coder.decode_blocks(range_coder.split_blocks(coded))
+    assert np.array_equal(np.concatenate(got), ids)
+    assert len(steps) <= 1024
+    # blocks of twice the length, as earlier data sets have them, are still read
+    longer = [ids[k : k + 2048] for k in range(0, len(ids), 2048)]
+    old = range_coder.decode_blocks(range_coder.split_blocks(b"".join(range_coder.encode_blocks(longer))))
+    assert np.array_equal(np.concatenate(old), ids)
