@@ -187,6 +187,14 @@ def test_strict_ends_at_the_first_failure(spark, seed):
     assert report[-1][2] == "failed" and sum(r[2] == "failed" for r in report) == 1
 
 
+def test_frequent_refs_and_short_runs(spark, monkeypatch):
+    """Refs that more than a few items use are looked up where these lie; ids go on from run to run."""
+    monkeypatch.setattr(proposals, "HOT", 2)
+    monkeypatch.setattr(proposals, "RUN", 2)
+    items, decisions = random_items(4)
+    check(spark, items, decisions, default="create_new")
+
+
 def test_nothing_is_proposed(spark):
     assert check(spark, [], {"x": "merge"}) == []
 
